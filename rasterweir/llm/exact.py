@@ -4,7 +4,7 @@
    the directory doubled when its depth is reached. The driver sees one number per prefix, never keys or rows.
 2. Index: within each Arrow batch equal texts are chained first, so that a text with millions of copies reaches its
    owner once per batch. What is left goes to its bucket; the buckets are the files of a bucketed table in the shared
-   folder. The other rows keep only (row id, id of their batch's representative).
+   folder, texts compressed. The other rows keep only (row id, id of their batch's representative).
 3. Owners: a task reads the files of a bucket (no exchange), chains the rows of equal keys and compares bytes.
 """
 
@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from .shared import new_path, written
 BUCKET_KEYS = 8_192
 #: Prefix bits beyond the mean depth that a split can use; the counts on the driver are 2**SLACK per bucket.
 SLACK = 4
+#: Rows that are held as Python objects, or sent back, at a time.
+OUT_ROWS = 512
 #: Stands for a null id among the ids of a group.
 NULL_ID = -(1 << 63)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -38,6 +41,17 @@ def normalised(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").translate(_LOWER)
 
 
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    """(id, text) of a batch, a few hundred rows as Python objects at a time."""
+    for i in range(0, b.num_rows, OUT_ROWS):
+        part = b.slice(i, OUT_ROWS)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+
+
 def _key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big") >> 1  # 63 bits: a non-negative long, ordered by prefix
 
@@ -73,7 +87,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_key(hashlib.sha256(normalised(x)).digest()) for x in b.column(0).to_pylist()], pa.int64())], names=["key"])
+            found = [_key(hashlib.sha256(normalised(x)).digest()) for i in range(0, b.num_rows, OUT_ROWS) for x in b.column(0).slice(i, OUT_ROWS).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["key"])
 
     distinct = rows.select("text").mapInArrow(keys, "key long").distinct()
     distinct = written(distinct, "keys")
@@ -87,23 +102,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def chain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = itertools.count(TaskContext.get().partitionId() << 33)  # the same ones if a lost task runs again
+        packer = zstandard.ZstdCompressor(level=1)
         for b in batches:
             heads: dict[int, list[list]] = {}
             refs: list[tuple[int | None, list]] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in _rows(b):
                 own = normalised(text)
                 digest = hashlib.sha256(own).digest()
                 chained = heads.setdefault(_key(digest), [])
-                head = next((h for h in chained if h[1] == own), None)
+                head = next((h for h in chained if _unpacked(h[1]) == own), None)
                 if head is None:
-                    head = [next(names), own, digest.hex(), 0, NULL_ID]
+                    head = [next(names), packer.compress(own), digest.hex(), 0, NULL_ID]
                     chained.append(head)
                 head[3] += 1
                 head[4] = max(head[4], NULL_ID if doc is None else doc)
                 refs.append((doc, head))
             flat = [(k, h) for k, chained in heads.items() for h in chained]
             n = len(refs)
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([-1 - i % 997 for i in range(n)] + [int(shared.value[k >> (63 - depth)]) if depth else 0 for k, _ in flat], pa.int32()),
                     pa.array([d for d, _ in refs] + [h[4] for _, h in flat], pa.int64()),
@@ -115,11 +131,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ],
                 names=["bucket", "doc_id", "head", "key", "n", "sha", "data"],
             )
+            yield from (out.slice(i, OUT_ROWS) for i in range(0, out.num_rows, OUT_ROWS))
 
     index = rows.mapInArrow(chain, "bucket int, doc_id long, head long, key long, n long, sha string, data binary")
     path, table = new_path(spark, "hash-index"), f"hash_index_{uuid.uuid4().hex}"
     files = max(1, min(buckets, 4096))
-    index.repartition(files, "bucket").write.option("path", path).bucketBy(files, "bucket").sortBy("bucket", "key").format("parquet").saveAsTable(table)
+    index.repartition(files, "bucket").write.option("path", path).option("compression", "none").bucketBy(files, "bucket").sortBy("bucket", "key").format("parquet").saveAsTable(table)
     index = spark.table(table)
 
     def own(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +144,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = []
         for doc, head, k, n, sha, data in zip(pdf["doc_id"].tolist(), pdf["head"], pdf["key"], pdf["n"], pdf["sha"], pdf["data"], strict=True):
             chained = chains.setdefault(int(k), [])
-            group = next((g for g in chained if g[0] == data), None)
+            group = next((g for g in chained if _unpacked(g[0]) == _unpacked(data)), None)
             if group is None:
                 group = [data, 0, NULL_ID]
                 chained.append(group)
