@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _chunks
-from .shared import connected_components, written
+from .shared import connected_components, size_bytes, written
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,9 @@ class NearParams:
 
 
 WORD_CACHE = 300_000
+#: The written ids of documents that share a bucket are broadcast up to this size, so that only their texts are moved;
+#: beyond it, texts and ids are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 _words: dict[str, int] = {}
 
 
@@ -210,7 +213,11 @@ def near_groups(docs: DataFrame, params: NearParams | None = None, id_col: str =
     ranked = banded.join(busy, "rep").select("band", "rep", F.struct("busy", F.negative("rep").alias("neg")).alias("rank"))
     leaders = ranked.groupBy("band").agg(F.negative(F.max("rank")["neg"]).alias("leader"))
     star = written(banded.join(leaders, "band").where("rep <> leader").select("leader", "rep").distinct(), "star")
-    links = written(_verified(star, rows, p), "links")
+    members = written(star.select(F.col("rep").alias("doc_id")).union(star.select("leader")).distinct(), "members")
+    if size_bytes(members) <= BROADCAST_BYTES:
+        members = F.broadcast(members)
+    texts = written(rows.join(members, "doc_id", "left_semi"), "member-texts")
+    links = written(_verified(star, texts, p), "links")
 
     # 4. buckets that are not one component yet
     comp = connected_components(links)
@@ -220,7 +227,7 @@ def near_groups(docs: DataFrame, params: NearParams | None = None, id_col: str =
     split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi AND members > 2")
     sizes = named.join(split.select("band"), "band", "left_semi").groupBy("band", "component").agg(F.count("*").alias("n"))
     most = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("members")).select("band", F.col("most.component").alias("main"), F.col("most.n").alias("main_n"), "members")
-    more = _resolved(named.join(most, "band"), signed, rows, p)
+    more = _resolved(named.join(most, "band"), signed, texts, p)
     comp = connected_components(links.select("a", "b").unionByName(more))
 
     final = firsts.select("words", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("words", F.coalesce("component", "rep").alias("class_id"))
