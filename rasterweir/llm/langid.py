@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 14
@@ -160,4 +162,5 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
         return pd.DataFrame({"lang_pred": best, "score": p})
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, guess(F.col(text_col)).alias("_guess")).select(*kept, "_guess.lang_pred", "_guess.score")
+    found = fresh("guess", docs.columns)
+    return docs.select(*kept, guess(F.col(f"`{text_col}`")).alias(found)).select(*kept, f"{found}.lang_pred", f"{found}.score")

@@ -34,6 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that isn't among the given ones, in any case."""
+    taken = {c.lower() for c in columns}
+    return next(n for i in range(len(taken) + 1) if (n := f"_{name}_{i}").lower() not in taken)
+
+
 def size_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of a table that has been written (its files' size for Parquet)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

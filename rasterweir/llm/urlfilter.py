@@ -108,9 +108,11 @@ def build(listed: DataFrame, universe: DataFrame, max_levels: int = 40) -> Casca
 
 def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     """Host suffixes (whole labels) x path prefixes of the given lengths, longest keys first. Empty host: none."""
+    if not lengths:
+        return F.array().cast("array<string>")
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    cuts = F.array_distinct(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])) if lengths else F.array().cast("array<string>")
+    cuts = F.array_distinct(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]))
     cuts = F.filter(cuts, lambda p: p.isNotNull())
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(cuts, lambda p: F.concat(s, p))))
     keys = F.array_sort(keys, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
@@ -126,16 +128,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url",
     without ``://`` have empty host and path and fit no rule. Existing columns with these names are replaced.
     """
     spark = pages.sparkSession
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    url = F.col(url_col)
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     lengths = sorted({len(k) - k.index("/") for k, _ in rules})
-    rows = pages.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"))
+    # the page's own columns travel as one struct, so that no name of theirs can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    rows = pages.select(row, host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
     universe = written(rows.select("host", F.substring("path", 1, max(lengths, default=0)).alias("path")).distinct().select(F.explode(keys).alias("key")).distinct(), "universe")
     cascades = {v: build(spark.createDataFrame([(k,) for k, x in rules if x == v], "key string"), universe) for v in ("allow", "block")}
-    rows = rows.withColumn("_keys", keys)
+    rows = rows.withColumn("keys", keys)
     shapes = [(v, k, bits) for v, c in cascades.items() for k, (bits, _) in enumerate(c.levels)]
-    at = F.transform("_keys", lambda x: F.flatten(F.array(*[_positions(x, k, bits) for _, k, bits in shapes]))) if shapes else F.expr("array()").cast("array<array<bigint>>")
+    at = F.transform("keys", lambda x: F.flatten(F.array(*[_positions(x, k, bits) for _, k, bits in shapes]))) if shapes else F.array().cast("array<array<bigint>>")
     shared = spark.sparkContext.broadcast(cascades)  # at most MAX_LEVEL_BYTES a level
 
     @F.pandas_udf("rule string, verdict string")
@@ -157,5 +160,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url",
                         rule[r], verdict[r] = flat[j], v
         return pd.DataFrame({"rule": rule, "verdict": verdict})
 
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return rows.withColumn("_judged", decide("_keys", at)).select(*[F.col(f"`{c}`") for c in names], "host", "path", "_judged.rule", "_judged.verdict")
+    return rows.withColumn("judged", decide("keys", at)).select("row.*", "host", "path", "judged.rule", "judged.verdict")

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .shared import new_path
@@ -101,8 +101,8 @@ class _Buffered:
         return None
 
 
-def parse(file, types: set[str] | None, headers: dict[str, set[str]], payload: bool) -> Iterator[tuple]:  # noqa: ANN001
-    """Rows of SCHEMA. Headers first: a record that a predicate rejects costs a seek, its payload isn't read or decoded."""
+def parse(file, types: set[str] | None, headers: dict[str, set[str] | None], payload: bool) -> Iterator[tuple]:  # noqa: ANN001
+    """Rows of SCHEMA. headers: the values that a header may have, None for any. Headers first: a record that a predicate rejects costs a seek, its payload isn't read or decoded."""
     src = _Buffered(file)
     while (raw := src.head()) is not None:
         lines = raw.decode("utf-8", "replace").split("\r\n")
@@ -111,7 +111,7 @@ def parse(file, types: set[str] | None, headers: dict[str, set[str]], payload: b
         h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = int(h["content-length"])
         after = src.at + size + 4
-        if (types is None or h.get("warc-type") in types) and all(h.get(k) in v for k, v in headers.items()):
+        if (types is None or h.get("warc-type") in types) and all(k in h if v is None else h.get(k) in v for k, v in headers.items()):
             data = None
             if payload and h.get("warc-type") == "response":
                 block = src.take(size)
@@ -136,18 +136,21 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.payload = _uri(options["path"]), str(options.get("payload", "true")).lower() != "false"
         self.types: set[str] | None = None
-        self.headers: dict[str, set[str]] = {}
+        self.headers: dict[str, set[str] | None] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            name = f.attribute[0] if isinstance(f, EqualTo | In) and len(f.attribute) == 1 else None
+            name = f.attribute[0] if isinstance(f, EqualTo | In | IsNotNull) and len(f.attribute) == 1 else None
             values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else set()
             if name not in self.COLUMNS or None in values:
                 yield f  # Spark applies it
+            elif isinstance(f, IsNotNull):
+                self.headers.setdefault(self.COLUMNS[name], None)
             elif name == "record_type":
                 self.types = values if self.types is None else self.types & values
             else:
-                self.headers[self.COLUMNS[name]] = self.headers.get(self.COLUMNS[name], values) & values
+                before = self.headers.get(self.COLUMNS[name])
+                self.headers[self.COLUMNS[name]] = values if before is None else before & values
 
     def partitions(self) -> list[InputPartition]:
         fs, root = _fs(self.path)
