@@ -44,7 +44,7 @@ def apply_scaler(data: DataFrame, scaler: DataFrame) -> DataFrame:
 def train_val_split(data: DataFrame, share: float = 0.2, seed: int = 0, *, exact: bool = True) -> DataFrame:
     """``data`` with ``part`` (``train`` or ``val``): rows in order of md5(seed:key), the first n_val validate.
 
-    n_val = max(1, min(N - 1, bround(N * share))). exact: the cut is the n_val-th hash, found by a top-n; else a
+    n_val = max(1, min(N - 1, bround(N * share))). exact: the cut is the n_val-th hash; else a
     threshold on the hash, for corpora where even that is too much. A class missing from validation: all rows also
     validate, as part ``both``.
     """
@@ -53,7 +53,12 @@ def train_val_split(data: DataFrame, share: float = 0.2, seed: int = 0, *, exact
     if exact:
         n = data.count()
         n_val = max(1, min(n - 1, int(round(n * share))))
-        cut = data.select("_h").orderBy("_h").limit(n_val).agg(F.max("_h").alias("_cut"))
+        # the hash prefix in which the n_val-th row lies, from 65,536 counts at most; only that prefix's rows are ordered
+        upto = F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+        steps = data.groupBy(F.substring("_h", 1, 4).alias("p")).count().withColumn("upto", upto)
+        at = steps.where(F.col("upto") >= n_val).orderBy("p").first() or {"p": "", "upto": 0, "count": 0}
+        rest = n_val - (at["upto"] - at["count"])
+        cut = data.where(F.substring("_h", 1, 4) == at["p"]).select("_h").orderBy("_h").limit(rest).agg(F.max("_h").alias("_cut"))
         out = data.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col("_h") <= F.col("_cut"), "val").otherwise("train")).drop("_h", "_cut")
     else:
         out = data.withColumn("part", F.when(uniform(seed, F.col("key")) < share, "val").otherwise("train")).drop("_h")

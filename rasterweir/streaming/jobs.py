@@ -13,7 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.qc import image_stencil_qc
 from ..operators.rasters import raster_map
-from ..sources.images import run_pixels  # noqa: F401  (long layout for users of the stream's output)
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -39,23 +38,22 @@ def _replay(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
         labels = {r: c for r, c in zip(pairs[::2], pairs[1::2], strict=True)}
         stack = list(zip(undo[::2], undo[1::2], strict=True))
     out = []
-    for pdf in parts:
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            changed = []
-            if r.action == "click" and r.region_id > 0:
-                stack.append((r.region_id, labels.get(r.region_id, -1)))
-                labels[r.region_id] = r.mode
-                changed = [r.region_id]
-            elif r.action == "undo" and stack:
-                region, before = stack.pop()
-                if before < 0:
-                    labels.pop(region, None)
-                else:
-                    labels[region] = before
-                changed = [region]
-            elif r.action == "clear":
-                changed, stack, labels = list(labels), [], {}
-            out += [(key[0], key[1], x, labels.get(x, -1), r.seq) for x in changed]
+    for r in pd.concat(list(parts)).sort_values("seq").itertuples(index=False):
+        changed = []
+        if r.action == "click" and r.region_id > 0:
+            stack.append((r.region_id, labels.get(r.region_id, -1)))
+            labels[r.region_id] = r.mode
+            changed = [r.region_id]
+        elif r.action == "undo" and stack:
+            region, before = stack.pop()
+            if before < 0:
+                labels.pop(region, None)
+            else:
+                labels[region] = before
+            changed = [region]
+        elif r.action == "clear":
+            changed, stack, labels = list(labels), [], {}
+        out += [(key[0], key[1], x, labels.get(x, -1), r.seq) for x in changed]
     state.update(([x for p in labels.items() for x in p], [x for p in stack for x in p]))
     yield pd.DataFrame(out, columns=["session_id", "image_id", "region_id", "cls", "seq"])
 
