@@ -97,6 +97,19 @@ SIDE_NAMES = [x.split()[0] for x in SIDES.split(", ")]
 PLACE_ROWS = 8_192
 
 
+def _unit(vector: pd.Series) -> pd.Series:
+    """Vectors of length one; null for those that link with nothing."""
+
+    def one(x: np.ndarray | None) -> np.ndarray | None:
+        a = None if x is None else np.asarray(x, float)  # a null component becomes nan
+        if a is None or not a.size or not np.isfinite(a).all() or not a.any():
+            return None
+        a = a / np.abs(a).max()
+        return a / np.sqrt((a * a).sum())
+
+    return vector.map(one, na_action=None)
+
+
 def near_vectors(rows: DataFrame, params: PQParams | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row for each input row.
 
@@ -106,15 +119,8 @@ def near_vectors(rows: DataFrame, params: PQParams | None = None, id_col: str =
     smallest id that links reach. Other columns are ignored; an empty table gives no rows.
     """
     p = params or PQParams()
-    spark = rows.sparkSession
-    v = F.col("vector")
     base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    fine = F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    top = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    base = base.withColumn("unit", F.when(F.coalesce(fine, F.lit(False)), F.transform(scaled, lambda x: x / norm)))
-    base = written(base.select("vec_id", "label", "unit"), "units")
+    base = written(base.select("vec_id", "label", F.when(F.col("label").isNotNull(), F.pandas_udf(_unit, "array<double>")("vector")).alias("unit")), "units")
 
     # equal vectors collapse: reps(vec, label, n, unit)
     good = base.where("unit IS NOT NULL AND vec_id IS NOT NULL")
