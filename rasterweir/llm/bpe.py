@@ -39,6 +39,8 @@ BREAK = "\ud800"
 NO_RANK = 1 << 60
 CACHE_WORDS = 300_000
 CACHE_CHARS = 40
+#: Rows of an Arrow batch of encoded texts at most.
+BATCH_ROWS = 1_000
 #: Characters that are scanned at once.
 STEP = 1 << 21
 
@@ -335,12 +337,21 @@ def _chunks(batches: Iterable[pa.RecordBatch], col: str, limit: int) -> Iterator
             yield b.slice(i, step)
 
 
+def _small_batches(df: DataFrame) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows if they're larger: a row holds thousands of ids and offsets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+
+
 def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids ARRAY<INT>`` and ``offsets ARRAY<INT>`` (byte offset of each token) for whole texts.
 
     Map-only. Null text counts as empty: empty arrays. No special tokens. Existing columns called ids or offsets are
     replaced, others pass through. Repeated rows stay; an empty table stays empty.
     """
+    _small_batches(docs)
     kept = [c for c in docs.columns if c not in ("ids", "offsets")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
@@ -367,6 +378,7 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
 
     Null ids: null. An id outside the vocabulary fails the job. A column called decoded is replaced.
     """
+    _small_batches(tokens)
     kept = [c for c in tokens.columns if c not in ("ids", "offsets", "decoded")]
     schema = T.StructType([*(tokens.schema[c] for c in kept), T.StructField("decoded", T.BinaryType())])
 
