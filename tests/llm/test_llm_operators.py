@@ -450,6 +450,19 @@ def test_lines_by_hand(spark, size):
     assert len(out.columns) == len(set(out.columns)) == 6
 
 
+@pytest.mark.parametrize("size", [8 << 20, 0])
+def test_lines_of_distinct_texts(spark, size):
+    rng = random.Random(10)
+    rows = [(i, rng.choice(["a", None]), "\n".join(rng.choice(["menu", "", *[f"line {k}" for k in range(40)]]) for _ in range(rng.randrange(6)))) for i in range(100)]
+    rows += [(200 + i, "a", "copied\ntwice\n\ncopied") for i in range(40)] + [(300 + i, "a", None) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("whole", F.lit(1)).withColumn("own", F.lit(2))
+    first = {(h, t): d for d, h, t in reversed(rows)}
+    one = {d: (t, n) for d, t, n in cleaned([(d, h, t) for (h, t), d in first.items()], 0.08, 4)}
+    got = linededup.drop_boilerplate(frame, max_ratio=0.08, min_pages=4, broadcast_bytes=size, distinct=True).collect()
+    assert {r.doc_id: (r.text, r.lines_dropped) for r in got} == {d: one[first[h, t]] for d, h, t in rows} and len(got) == len(rows)
+    assert any(n for _, n in one.values()) and one[200] == ("copied\ntwice\n\ncopied", 0)
+
+
 def test_no_lines(spark):
     out = linededup.drop_boilerplate(empty(spark))
     assert out.count() == 0 and set(out.columns) == {*empty(spark).columns, "lines_dropped"}
@@ -556,6 +569,19 @@ def test_pipeline_equals_brute_force(spark):
     assert out.groupby("doc_id")["length"].sum().to_dict() == size
 
 
+def test_one_whole_document_of_many_copies_is_left(spark):
+    import corpus_pipeline
+
+    text = "\n".join(" ".join(f"wort{7 * i + k}" for k in range(12)) for i in range(6))
+    rows = [(i, text, "de", "a", len(text)) for i in range(30)]
+    rows += [(100 + i, "\n".join(["kopfzeile", *[" ".join(f"w{i}x{j}y{k}" for k in range(9)) for j in range(4)]]), "de", "a", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    cleaned = corpus_pipeline.lines(spark, docs, DATA)
+    left = {r.doc_id: r for r in corpus_pipeline.near(spark, cleaned, DATA).collect()}
+    assert [r.text for r in left.values() if r.doc_id < 100] == [text] and len(left) == 61
+    assert not any("kopfzeile" in r.text or not r.text for r in left.values())
+
+
 def test_pipeline_stages_on_awkward_rows(spark):
     import corpus_pipeline
 
