@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -232,13 +234,27 @@ class Cache(dict):
 
 
 class Encoder:
-    """Encodes texts with one vocabulary; held once per Python worker."""
+    """Encodes texts with one vocabulary; held once per Python worker.
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    ``added`` holds strings that are one token wherever they stand. Texts are cut at them, the longest of several at
+    a place first, before anything else; the stretches between are texts of their own for the pre-token rule.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]], added: dict[str, int] | None = None):
         self.cache = Cache(encode)
+        self.added = {word: np.array([i], "<u4").tobytes() for word, i in (added or {}).items()}
+        self.cut = re.compile("(" + "|".join(re.escape(w) for w in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Packed ids per text. Texts are joined and scanned about STEP characters at a time."""
+        """Packed ids per text."""
+        if self.cut is None:
+            return self._plain(texts)
+        cut = [self.cut.split(x) for x in texts]  # stretches and added tokens by turns
+        packed = iter(self._plain([x for own in cut for x in own[::2]]))
+        return [next(packed) if len(own) == 1 else b"".join([self.added[x] if k % 2 else next(packed) for k, x in enumerate(own)]) for own in cut]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Packed ids per text without added tokens. Texts are joined and scanned about STEP characters at a time."""
         out: list[bytes] = []
         i = 0
         while i < len(texts):
@@ -282,13 +298,27 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(rest)) for b in range(256)]
 
 
+def read_added(path: str) -> dict[str, int]:
+    """The added tokens of a file of the tokenizers library. Those with rules about their surroundings aren't supported."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    added = data.get("added_tokens") or []
+    for t in added:
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or (t.get("normalized") and data.get("normalizer")):
+            raise ValueError(f"added token {t['content']!r} has rules about its surroundings")
+    return {t["content"]: t["id"] for t in added}
+
+
 def json_encoder(path: str) -> Encoder:
-    """An encoder over a byte-level BPE file of the tokenizers library, which merges the pre-tokens the cache lacks."""
+    """An encoder over a byte-level BPE file of the tokenizers library, which merges the pre-tokens the cache lacks.
+
+    The file's added tokens are recognised in texts, as the library does by default.
+    """
     if (key := ("json", path)) not in _loaded:
         from tokenizers import Tokenizer
 
         model, letters = Tokenizer.from_file(path).model, _byte_letters()
-        _loaded[key] = Encoder(lambda w: [t.id for t in model.tokenize("".join([letters[b] for b in w.encode("utf-8", "replace")]))])
+        _loaded[key] = Encoder(lambda w: [t.id for t in model.tokenize("".join([letters[b] for b in w.encode("utf-8", "replace")]))], read_added(path))
     return _loaded[key]
 
 

@@ -195,6 +195,22 @@ def test_packing_whole_documents(spark):
     assert out["sequence_id"].nunique() <= 1.02 * out["length"].sum() / 2048 + 1
 
 
+def test_packing_texts_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t, end = Tokenizer.from_file(JSON), "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end}", f"one  {end}  two\n{end}", f"it{end}'s", "<|endoftext", f"<|endoftext{end}|>", "plain  text ", "", LONG + end + LONG]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.json_encoder(JSON).encode_all(texts)] == want
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON).toPandas()
+    full(out)
+    for doc, own in out.groupby("doc_id"):
+        ids = np.array([*want[doc], 0], "<u4")
+        assert own["length"].sum() == len(ids)
+        assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own["start"], own["length"], strict=True)] == own["ids_crc32"].tolist()
+
+
 def test_all_capacities_hold():
     rng = np.random.default_rng(0)
     n = np.sort(rng.integers(1, 400, 900))[::-1]
