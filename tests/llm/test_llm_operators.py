@@ -479,6 +479,15 @@ def test_lines_of_distinct_texts(spark, size):
     assert any(n for _, n in one.values()) and one[200] == ("copied\ntwice\n\ncopied", 0)
 
 
+def test_the_repeated_line_goes_in_every_source(spark):
+    line = "The and attion to thanedble the, anea. Eriner thanea."
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source", "text")
+    has = F.array_contains(F.split("text", "\n", -1), line)
+    assert docs.where(has).select("source").distinct().count() == 20
+    for distinct in (False, True):
+        assert linededup.drop_boilerplate(docs, distinct=distinct).where(has).count() == 0
+
+
 def test_no_lines(spark):
     out = linededup.drop_boilerplate(empty(spark))
     assert out.count() == 0 and set(out.columns) == {*empty(spark).columns, "lines_dropped"}
