@@ -605,8 +605,8 @@ def hlvq_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hlvq_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Sequential training for one setting per label value, bounded by the label table's distinct values."""
-    configs = fixtures.table(spark, d, "embeddings").select("label").distinct().where("label < 4").select(F.col("label").alias("config_id"), F.col("label").alias("seed"), F.lit(20).alias("total"), F.lit(2).alias("epochs"), F.lit(0.03).alias("alpha0"))
+    """Synchronous training over all rows for one setting per label value."""
+    configs = fixtures.table(spark, d, "embeddings").select("label").distinct().where("label IS NOT NULL").select(F.col("label").alias("config_id"), F.col("label").alias("seed"), F.lit(20).alias("total"), F.lit(2).alias("epochs"), F.lit(0.03).alias("alpha0"))
     return r6(model.hlvq_sweep(_vectors(spark, d), configs), "acc_train", "acc_val")
 
 

@@ -156,3 +156,13 @@ def test_reconnecting_merges_touching_regions(spark):
     runs = spark.createDataFrame([(0, 1, 0, 0, 2), (0, 2, 1, 2, 4)], "image_id int, region_id int, y int, x0 int, x1 int")
     merged = rasters.connected_components(images.pack(images.run_pixels(runs).withColumn("v", F.lit(1))))
     assert regions.region_stats(merged).count() == 1
+
+
+def test_sweep_has_every_label_and_no_row_limit(spark):
+    labels_of = {r.label for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("label").distinct().collect()}
+    assert {r.config_id for r in registry.QUERIES["hlvq_sweep"](spark, DATA).collect()} == labels_of
+    rows = spark.range(50_001).select(F.col("id").alias("key"), F.array((F.col("id") % 2).cast("double"), F.col("id") / 50_001).alias("features"), (F.col("id") % 2).cast("int").alias("cls"))
+    configs = spark.createDataFrame([(3, 5, 4, 1, 0.03)], "config_id int, seed int, total int, epochs int, alpha0 double")
+    got = model.hlvq_sweep(rows, configs).collect()
+    last = model.hlvq_fit(rows, 1, 4, 0.03, p_drop=0.0, p_jump=0.0, seed=5, noise=0.0)[1].where("epoch = 0").first()
+    assert [tuple(r) for r in got] == [(3, last.acc_train, last.acc_val)]
