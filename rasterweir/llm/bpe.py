@@ -34,6 +34,13 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, JOIN, REST1, REST2, IN_WHITE = range(8
 CONTRACTIONS_2 = ("s", "t", "m", "d")
 CONTRACTIONS_3 = ("re", "ve", "ll")
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+# Letters and numbers of Unicode 16 that Python's character database (15.1) lacks and the library knows.
+NEWER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEWER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 
 #: Stands between texts; Spark strings are UTF-8 and can't hold it.
 BREAK = "\ud800"
@@ -41,10 +48,10 @@ BREAK = "\ud800"
 NO_RANK = 1 << 60
 CACHE_WORDS = 300_000
 CACHE_CHARS = 40
-#: Rows of an Arrow batch of encoded texts at most.
-BATCH_ROWS = 1_000
 #: Characters that are scanned at once.
 STEP = 1 << 21
+#: Bytes of text that become one Arrow batch of ids and offsets, which take about twice as many.
+BATCH_BYTES = 1 << 21
 
 
 def _rules() -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +136,9 @@ def _kind() -> np.ndarray:
                 t[i] = LETTER
             elif c == "N":
                 t[i] = NUMBER
+        for newer, kind in ((NEWER_LETTERS, LETTER), (NEWER_NUMBERS, NUMBER)):
+            for first, last in newer:
+                t[first : last + 1] = kind
         t[WHITE] = W_OTHER
         t[ord(BREAK)] = END
         _kinds.append(t)
@@ -367,28 +377,21 @@ def _chunks(batches: Iterable[pa.RecordBatch], col: str, limit: int) -> Iterator
             yield b.slice(i, step)
 
 
-def _small_batches(df: DataFrame) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows if they're larger: a row holds thousands of ids and offsets."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
-    if not 0 < now <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-
-
 def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids ARRAY<INT>`` and ``offsets ARRAY<INT>`` (byte offset of each token) for whole texts.
 
-    Map-only. Null text counts as empty: empty arrays. No special tokens. Existing columns called ids or offsets are
-    replaced, others pass through. Repeated rows stay; an empty table stays empty.
+    Map-only. Null text counts as empty: empty arrays. No special tokens. A very long text is one row like any other: it
+    is scanned whole and its arrays are as long as it needs; other texts are done and handed on BATCH_BYTES at a time.
+    Existing columns called ids or offsets are replaced, others pass through. Repeated rows stay; an empty table stays
+    empty. Session settings aren't touched.
     """
-    _small_batches(docs)
     kept = [c for c in docs.columns if c not in ("ids", "offsets")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = rank_encoder(ranks_path), byte_table(ranks_path)
-        for b in _chunks(batches, text_col, 2 * STEP):
+        for b in _chunks(batches, text_col, BATCH_BYTES):
             texts = [x or "" for x in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             packed = encoder.encode_all(texts)
             count = np.array([len(x) // 4 for x in packed], np.int64)
@@ -406,15 +409,15 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFram
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     """``tokens(ids, offsets, ...)`` with ``decoded BINARY``, the bytes the ids stand for; ids and offsets are dropped.
 
-    Null ids: null. An id outside the vocabulary fails the job. A column called decoded is replaced.
+    Null ids: null. An id outside the vocabulary fails the job. A column called decoded is replaced, others pass through.
+    Bytes are handed on about BATCH_BYTES at a time, a very long text's whole. An empty table stays empty.
     """
-    _small_batches(tokens)
     kept = [c for c in tokens.columns if c not in ("ids", "offsets", "decoded")]
     schema = T.StructType([*(tokens.schema[c] for c in kept), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table(ranks_path)
-        for b in batches:
+        for b in _chunks(batches, "ids", 2 * BATCH_BYTES):
             out = []
             for ids, at in zip(b.column(b.schema.get_field_index("ids")), b.column(b.schema.get_field_index("offsets")), strict=True):
                 own = None if ids.values is None else ids.values.to_numpy(zero_copy_only=False)

@@ -1,8 +1,9 @@
 """Chat formatting with DataFrame functions only: turn-order automaton, template, loss flags, reading back.
 
-A template gives each role a start mark and a flag that says whether its text is learnt from. Control strings inside
-texts are escaped by doubling: the marks begin with the ``control`` character, and each such character inside a text
-is written twice, so no text can contain a mark, and halving gives the text back.
+A template gives each role a start mark and a flag that says whether its text is learnt from. A turn emits three segments:
+mark, text and end; only the text of a role that is learnt from bears the loss flag. Control strings inside texts are
+escaped by doubling: the marks begin with the ``control`` character, and each such character inside a text is written
+twice, so no text can contain a mark, and halving gives the text back.
 """
 
 from __future__ import annotations
@@ -42,12 +43,19 @@ def _escape(text: Column, t: Template) -> Column:
     return F.replace(text, F.lit(t.control), F.lit(t.control * 2))
 
 
-def _segment(role: Column, text: Column, t: Template) -> Column:
-    """Mark, escaped text and end mark of a turn; a role the template doesn't know is written out before its text."""
-    mark = F.concat(F.lit(t.mark(t.other)), _escape(role, t), F.lit(t.mark(t.named)))
-    for name, (short, _) in t.roles.items():
-        mark = F.when(role == name, F.lit(t.mark(short))).otherwise(mark)
-    return F.concat(mark, _escape(text, t), F.lit(t.mark(t.end)))
+def unescape(text: Column, template: Template | None = None) -> Column:
+    """The text as it was before the control character was doubled."""
+    t = template or Template()
+    return F.replace(text, F.lit(t.control * 2), F.lit(t.control))
+
+
+def _emit(role: Column, text: Column, t: Template) -> Column:
+    """The three segments of a turn; a role the template doesn't know is written out before its text."""
+    mark, loss = F.concat(F.lit(t.mark(t.other)), _escape(role, t), F.lit(t.mark(t.named))), F.lit(False)
+    for name, (short, flag) in t.roles.items():
+        mark, loss = F.when(role == name, F.lit(t.mark(short))).otherwise(mark), F.when(role == name, F.lit(flag)).otherwise(loss)
+    segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+    return F.array(segment(mark, F.lit(False)), segment(_escape(text, t), loss), segment(F.lit(t.mark(t.end)), F.lit(False)))
 
 
 def _order_ok(roles: Column, t: Template) -> Column:
@@ -66,19 +74,19 @@ def _order_ok(roles: Column, t: Template) -> Column:
 def format_chats(turns: DataFrame, template: Template | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``(conv_id, formatted STRING, segments ARRAY<STRUCT<text, loss>>, valid BOOLEAN)``, one row per conversation.
 
-    Turns in order of ``turn``; ties by role, then text; null turns first; null role or text counts as empty. A
-    conversation whose order the automaton rejects is formatted as well, with ``valid`` false. Rows with a null id
-    form one conversation. Repeated rows stay. Other columns are ignored; an empty table gives no rows.
+    ``segments`` joined are ``formatted``; texts in them are escaped, and ``unescape`` gives them back. Turns in order of
+    ``turn``; ties by role, then text; null turns first; null role or text counts as empty. A conversation whose order
+    the automaton rejects is formatted as well, with ``valid`` false. Rows with a null id form one conversation. Repeated
+    rows stay. A very long text or conversation is one row; its turns are gathered in blocks of BLOCK first. Other columns
+    are ignored, whatever their names; an empty table gives no rows.
     """
     t = template or Template()
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
-    loss = role.isin(*[name for name, (_, flag) in t.roles.items() if flag])
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), F.struct(_segment(role, text, t).alias("text"), loss.alias("loss")).alias("segment"))
-    rows = rows.select("conv_id", F.floor(F.col("turn") / BLOCK).alias("block"), F.struct("turn", "role", "text", "segment").alias("row"))
-    some = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("row")).alias("rows")).select("conv_id", F.struct("block", F.col("rows.role").alias("roles"), F.col("rows.segment").alias("segments")).alias("part"))
-    whole = some.groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    segments = F.flatten(F.col("parts.segments"))
-    return whole.select("conv_id", segments.alias("segments"), _order_ok(F.flatten(F.col("parts.roles")), t).alias("valid")).select("conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments", "valid")
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.floor(F.col(turn_col) / BLOCK).alias("block"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("row"))
+    some = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("row")).alias("rows")).select("conv_id", F.struct("block", "rows").alias("part"))
+    whole = some.groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts")).select("conv_id", F.flatten(F.col("parts.rows")).alias("rows"))
+    out = whole.select("conv_id", F.flatten(F.transform("rows", lambda r: _emit(r["role"], r["text"], t))).alias("segments"), _order_ok(F.col("rows.role"), t).alias("valid"))
+    return out.select("conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments", "valid")
 
 
 def read_back(formatted: Column, template: Template | None = None) -> Column:

@@ -1,7 +1,7 @@
 """Exact dedup with an extendible-hash index on shared files.
 
-1. Directory: the distinct keys are counted by key prefix; starting from one bucket, an overfull bucket is split and
-   the directory doubled when its depth is reached. The driver sees one number per prefix, never keys or rows.
+1. Directory: the bytes of the distinct keys' texts are summed by key prefix; starting from one bucket, an overfull bucket
+   is split and the directory doubled when its depth is reached. The driver sees one number per prefix, never keys or rows.
 2. Index: within each Arrow batch equal texts are chained first, so that a text with millions of copies reaches its
    owner once per batch. What is left goes to its bucket; the buckets are the files of a bucketed table in the shared
    folder, texts compressed. The other rows keep only (row id, id of their batch's representative).
@@ -23,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, written
+from .shared import discard, new_path, written
 
-#: Distinct keys that a bucket holds before it is split.
-BUCKET_KEYS = 8_192
-#: Prefix bits beyond the mean depth that a split can use; the counts on the driver are 2**SLACK per bucket.
+#: Bytes that a bucket holds before it is split: its distinct texts, and KEY_BYTES for each. A single text may be larger.
+BUCKET_BYTES = 16 << 20
+KEY_BYTES = 256
+#: Prefix bits beyond the mean depth that a split can use; the sums on the driver are 2**SLACK per bucket, 2**MOST_BITS at most.
 SLACK = 4
+MOST_BITS = 21
 #: Rows that are held as Python objects, or sent back, at a time.
 OUT_ROWS = 512
 #: Stands for a null id among the ids of a group.
@@ -56,13 +58,13 @@ def _key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big") >> 1  # 63 bits: a non-negative long, ordered by prefix
 
 
-def directory(prefix_counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """Extendible hashing on counts per prefix: (bucket of each directory entry, global depth).
+def directory(prefix_bytes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """Extendible hashing on bytes per prefix: (bucket of each directory entry, global depth).
 
-    ``prefix_counts`` has 2**D entries. A bucket over ``capacity`` is split by its next bit while D allows it.
+    ``prefix_bytes`` has 2**D entries. A bucket over ``capacity`` is split by its next bit while D allows it.
     """
-    limit = int(len(prefix_counts)).bit_length() - 1
-    total = np.concatenate([[0], np.cumsum(prefix_counts)])
+    limit = int(len(prefix_bytes)).bit_length() - 1
+    total = np.concatenate([[0], np.cumsum(prefix_bytes)])
     depth, todo, leaves = 0, [(0, 0)], []
     while todo:
         local, prefix = todo.pop()
@@ -75,28 +77,35 @@ def directory(prefix_counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int
     return np.repeat(np.arange(len(leaves)), [1 << (depth - local) for local, _ in leaves]), depth
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row for each input row, dropped ones too.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of equal texts the row with the
     largest id stays. Rows that repeat an id count separately, and all rows with the id that stays are kept. A null
-    id orders before all others. Other columns are ignored. An empty table gives no rows.
+    id orders before all others. A very long text is one row of its bucket. Other columns are ignored, whatever their
+    names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_key(hashlib.sha256(normalised(x)).digest()) for i in range(0, b.num_rows, OUT_ROWS) for x in b.column(0).slice(i, OUT_ROWS).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["key"])
-
-    distinct = rows.select("text").mapInArrow(keys, "key long").distinct()
-    distinct = written(distinct, "keys")
-    limit = min(24, max(1, distinct.count() // bucket_keys).bit_length() + SLACK)
-    counts = np.zeros(1 << limit, np.int64)
-    for r in distinct.groupBy(F.shiftright("key", 63 - limit).alias("prefix")).count().toLocalIterator():
-        counts[r[0]] = r[1]
-    entry, depth = directory(counts, bucket_keys)
+            found: dict[int, int] = {}
+            for i in range(0, b.num_rows, OUT_ROWS):
+                for x in b.column(0).slice(i, OUT_ROWS).to_pylist():
+                    own = normalised(x)
+                    k = _key(hashlib.sha256(own).digest())
+                    found[k] = max(found.get(k, 0), len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["key", "size"])
+
+    distinct = written(rows.select("text").mapInArrow(keys, "key long, size long").groupBy("key").agg((F.max("size") + KEY_BYTES).alias("size")), "keys")
+    whole = distinct.agg(F.sum("size")).first()[0] or 0
+    limit = min(MOST_BITS, max(1, whole // bucket_bytes).bit_length() + SLACK)
+    found = distinct.groupBy(F.shiftright("key", 63 - limit).alias("prefix")).agg(F.sum("size").alias("size")).toPandas()  # 2**MOST_BITS rows at most
+    sizes = np.zeros(1 << limit, np.int64)
+    sizes[found["prefix"].to_numpy(np.int64)] = found["size"].to_numpy(np.int64)
+    discard(distinct)
+    entry, depth = directory(sizes, bucket_bytes)
     buckets = int(entry[-1]) + 1
     shared = spark.sparkContext.broadcast(entry.astype(np.int32))  # 2**depth entries, about the number of buckets
 
@@ -138,6 +147,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     files = max(1, min(buckets, 4096))
     index.repartition(files, "bucket").write.option("path", path).option("compression", "none").bucketBy(files, "bucket").sortBy("bucket", "key").format("parquet").saveAsTable(table)
     index = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalogue forgets the name; the files stay and the plan has found them
 
     def own(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         chains: dict[int, list[list]] = {}

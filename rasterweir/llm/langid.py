@@ -14,13 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import discard, fresh, written
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 14
-#: Documents that the model is fitted on at most; a documented bound, chosen by a hash of the id.
+#: Documents that the model is fitted on at most; a documented bound, chosen by a hash of the row.
 MAX_TRAIN = 20_000
+#: Languages that a model has at most, those of most training documents: a matrix of 16 MB.
+MAX_LANGUAGES = 256
 #: Characters of one scoring step; a longer text is scored in overlapping slices.
 STEP = 1 << 20
 
@@ -72,18 +74,21 @@ def _slices(text: str):
         yield text[max(0, i - max(ORDERS) + 1) : i + STEP]
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", max_train: int = MAX_TRAIN, alpha: float = 0.5) -> LanguageModel:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", max_train: int = MAX_TRAIN, alpha: float = 0.5, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
     """Learn from the labelled rows of ``docs``.
 
-    Rows whose text or label is null teach nothing. Where more than ``max_train`` rows are labelled, those with a
-    small hash of the key are taken, so the choice does not depend on order or partitions. What reaches the driver
-    is languages x buckets counts at most. No labelled row: a model without languages, that calls all texts ``und``.
+    Rows whose text or label is null teach nothing. Where more than ``max_train`` rows are labelled, those with the
+    smallest hashes of key and text are taken, never more than that many (equal rows that straddle the bound are all left
+    out), so the choice doesn't depend on order or partitions. Of more than ``max_languages`` labels in them the most
+    frequent are learnt, ties by name. Empty texts teach the label's frequency only; very long ones are counted in slices.
+    What reaches the driver is languages x buckets counts at most. No labelled row: a model without languages, that calls
+    all texts ``und``.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    n = rows.count()
-    cut = min(1.0, max_train / max(1, n)) * (1 << 30)
-    rows = rows.where(F.pmod(F.xxhash64(F.col(key_col), F.lit(17)), F.lit(1 << 30)) < F.lit(int(cut)))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.select(F.xxhash64(F.col(key_col), F.col(text_col)).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    end = rows.select("h").orderBy("h").limit(max_train + 1).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
+    rows = written((rows.where(F.col("h") < end["h"]) if end["n"] > max_train else rows).select("lang", "text"), "language-sample")
+    most = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -98,7 +103,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
             at = np.flatnonzero(got)
             yield pd.DataFrame({"lang": lang, "bucket": np.append(at, -1).astype(np.int32), "n": np.append(got[at], docs_of[lang])})
 
-    found = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.where(F.col("lang").isin(most)).mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    discard(rows)
     languages = sorted(found["lang"].unique())
     counts, seen = np.zeros((1 << BUCKET_BITS, len(languages))), np.zeros(len(languages))
     for j, lang in enumerate(languages):
@@ -110,10 +116,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     return LanguageModel(languages, np.log(seen / max(1, seen.sum())) if languages else seen, logp.astype(np.float32))
 
 
-def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Best language and its posterior per text; ``und`` and 0 for null and for texts without letters."""
+def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Best language, its posterior, and its evidence per text; ``und``, 0 and nan for null and for texts without letters."""
     total = np.zeros((len(texts), max(1, len(model.languages))))
-    known = np.zeros(len(texts), bool)
+    grams = np.zeros(len(texts))
     indices, rows, size = [], [], 0
 
     def add() -> None:
@@ -132,35 +138,40 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
             codes = _codes(part)
             if not codes.any():
                 continue
-            known[i] = True
             indices.append(ngram_buckets(codes))
             rows.append(i)
+            grams[i] += len(indices[-1])
             size += len(codes)
             if size >= STEP:
                 add()
     add()
     if not model.languages:
-        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
     z = total + model.prior
     z = np.exp(z - z.max(axis=1, keepdims=True))
-    best, p = z.argmax(axis=1), z.max(axis=1) / z.sum(axis=1)
-    return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, p, 0.0)
+    best, p, known = z.argmax(axis=1), z.max(axis=1) / z.sum(axis=1), grams > 0
+    own = total[np.arange(len(texts)), best] / np.maximum(grams, 1) + BUCKET_BITS * np.log(2)
+    return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, p, 0.0), np.where(known, own, np.nan)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred STRING`` and ``score DOUBLE`` (posterior, 0..1), one row for each input row.
+    """``docs`` with ``lang_pred STRING``, ``score DOUBLE`` (posterior, 0..1) and ``evidence DOUBLE``, one row for each input row.
 
-    Only the text is an input. Null text and text without a letter: ``und``, 0. Equal posteriors: the language that
-    sorts first. Existing columns with these two names are replaced; all others pass through unread. An empty table
-    stays empty.
+    ``evidence`` is the mean log-likelihood ratio of the text's n-grams under the language against n-grams drawn evenly:
+    over 0 the language explains the text better than noise does. Unlike the posterior it doesn't grow with the text.
+
+    Only the text is an input. Null text and text without a letter: ``und``, 0, null. Equal posteriors: the language that
+    sorts first. A very long text is scored whole, in slices. Existing columns with these names are replaced; all others
+    pass through unread. Repeated rows stay; an empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets floats: bounded by the model's shape
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES x 2 ** BUCKET_BITS floats
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, evidence double")
     def guess(text: pd.Series) -> pd.DataFrame:
-        best, p = score_texts(shared.value, [x if isinstance(x, str) else None for x in text])
-        return pd.DataFrame({"lang_pred": best, "score": p})
+        best, p, own = score_texts(shared.value, [x if isinstance(x, str) else None for x in text])
+        return pd.DataFrame({"lang_pred": best, "score": p, "evidence": pd.Series(own).astype(object).where(~np.isnan(own), None)})
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    names = ("lang_pred", "score", "evidence")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     found = fresh("guess", docs.columns)
-    return docs.select(*kept, guess(F.col(f"`{text_col}`")).alias(found)).select(*kept, f"{found}.lang_pred", f"{found}.score")
+    return docs.select(*kept, guess(F.col(f"`{text_col}`")).alias(found)).select(*kept, *[F.col(f"{found}.{c}") for c in names])

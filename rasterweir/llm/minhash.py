@@ -7,10 +7,11 @@ point falls on a random register, which keeps its earliest point. Two documents
 probability of their weighted Jaccard similarity. A process is followed only as long as its points can still be a
 register's earliest.
 
-Classes: documents with equal word sequences collapse first. In each band's bucket the member that collides most is
-the leader, and the others are verified against it: one link per member, never a bucket's pairs. Buckets that then
-still span several components are resolved exactly by blocks (members outside the largest component against all),
-each block in one bounded task that keeps spanning links only.
+Classes: texts with equal word sequences collapse first into word classes with ids of their own. In each band's bucket
+the member that collides most is the leader, and the others are verified against it: one link per member, never a
+bucket's pairs. Buckets that then still span several components are resolved exactly by blocks (members outside the
+largest component against all), each block in one bounded task that keeps spanning links only. Documents get their
+classes at the very end, so that rows that repeat an id lose no link.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _chunks
-from .shared import connected_components, size_bytes, written
+from .shared import connected_components, discard, memory_bytes, written
 
 
 @dataclass(frozen=True)
@@ -46,9 +47,10 @@ class NearParams:
 
 
 WORD_CACHE = 300_000
-#: The written ids of documents that share a bucket are broadcast up to this size, so that only their texts are moved;
-#: beyond it, texts and ids are joined by shuffle.
+#: The ids of documents that share a bucket are broadcast if they take so much memory at most (ID_BYTES a row, counted),
+#: so that only their texts are moved; beyond it, texts and ids are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
+ID_BYTES = 32
 _words: dict[str, int] = {}
 
 
@@ -162,48 +164,51 @@ def _roots(n: int) -> tuple[list[int], object]:
     return parent, find
 
 
+def _words_key(text: str | None) -> bytes | None:
+    """128 bits of the text's word sequence; none without words."""
+    own = " ".join((text or "").lower().split())
+    return xxhash.xxh128_digest(own.encode("utf-8", "replace")) if own else None
+
+
 def near_groups(docs: DataFrame, params: NearParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, class_id, kept)``: one row for each input row; ``class_id`` is the smallest id of its class, which is kept.
 
     A class is a connected component of the documents by links of weighted Jaccard >= ``similarity`` over word
     shingles. Rows with equal word sequences always share a class. Null texts and texts without words are classes of
-    their own. Rows that repeat an id keep one row each, all with the same class. Rows with a null id: ``class_id`` null,
-    kept. Other columns are ignored; an empty table gives no rows.
+    their own. Rows that repeat an id are one document: each keeps its row, and the links of all its texts count. Rows
+    with a null id: ``class_id`` null, kept. A very long text is signed and verified whole. Other columns are ignored,
+    whatever their names; an empty table gives no rows. The tables that the result reads stay in the shared folder
+    (hashes and ids); the others, texts among them, are deleted.
     """
     p = params or NearParams()
     registers = p.bands * p.rows
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    # 1. documents with equal word sequences
+    # 1. word classes, numbered when they are written
     def word_key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
-            for x in b.column(1).to_pylist():
-                own = " ".join((x or "").lower().split())
-                keys.append(xxhash.xxh128_digest(own.encode("utf-8", "replace")) if own else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary())], names=["doc_id", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_words_key(x) for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "words"])
 
     keyed = written(rows.mapInArrow(word_key, "doc_id long, words binary"), "word-keys")
-    firsts = keyed.where("words IS NOT NULL AND doc_id IS NOT NULL").groupBy("words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    firsts = written(firsts, "word-classes")
+    known = keyed.where("words IS NOT NULL AND doc_id IS NOT NULL")
+    firsts = written(known.groupBy("words").agg(F.min("doc_id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "word-classes")
 
-    # 2. signatures of the representatives, as bands
+    # 2. signatures of the word classes, as bands; copies within a batch are signed once
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches, "text", 4 << 20):
-            bags = [shingles(x, p.words) for x in b.column(1).to_pylist()]
-            some = [i for i, x in enumerate(bags) if len(x[0])]
-            if not some:
+            own = {k: x for x in b.column(0).to_pylist() if (k := _words_key(x))}
+            if not own:
                 continue
-            sig = np.ascontiguousarray(signatures([bags[i] for i in some], registers))
-            bands = np.zeros((len(some), p.bands), np.uint64)
+            sig = np.ascontiguousarray(signatures([shingles(x, p.words) for x in own.values()], registers))
+            bands = np.zeros((len(own), p.bands), np.uint64)
             for j in range(p.rows):
                 bands = _mix(bands + sig[:, j :: p.rows].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
             bands = _mix(bands ^ np.arange(p.bands, dtype=np.uint64)).astype(np.int64)
-            at = pa.array(np.arange(len(some) + 1, dtype=np.int32) * p.bands)
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_pylist(), pa.int64()).take(pa.array(some)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.ListArray.from_arrays(at, pa.array(bands.ravel()))], names=["rep", "sig", "bands"])
+            at = pa.array(np.arange(len(own) + 1, dtype=np.int32) * p.bands)
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.ListArray.from_arrays(at, pa.array(bands.ravel()))], names=["words", "sig", "bands"])
 
-    reps = firsts.select(F.col("rep").alias("doc_id"))
-    signed = written(rows.mapInArrow(sign, "rep long, sig binary, bands array<long>").join(reps.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").dropDuplicates(["rep"]), "signatures")
+    signed = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(sign, "words binary, sig binary, bands array<long>").dropDuplicates(["words"])
+    signed = written(signed.join(firsts, "words").select("rep", "sig", "bands"), "signatures")
     banded = signed.select("rep", F.explode("bands").alias("band"))
     full = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     banded = written(banded.join(full, "band"), "bands")
@@ -212,35 +217,52 @@ def near_groups(docs: DataFrame, params: NearParams | None = None, id_col: str =
     busy = banded.groupBy("rep").agg(F.sum("size").alias("busy"))
     ranked = banded.join(busy, "rep").select("band", "rep", F.struct("busy", F.negative("rep").alias("neg")).alias("rank"))
     leaders = ranked.groupBy("band").agg(F.negative(F.max("rank")["neg"]).alias("leader"))
-    star = written(banded.join(leaders, "band").where("rep <> leader").select("leader", "rep").distinct(), "star")
-    members = written(star.select(F.col("rep").alias("doc_id")).union(star.select("leader")).distinct(), "members")
-    if size_bytes(members) <= BROADCAST_BYTES:
-        members = F.broadcast(members)
-    texts = written(rows.join(members, "doc_id", "left_semi"), "member-texts")
+    star = written(banded.join(leaders, "band").where("rep <> leader").groupBy("leader", "rep").agg(F.max("size").alias("size")), "star")
+    members = star.select("rep").union(star.select("leader")).distinct()
+    members = written(members.join(firsts, "rep"), "members")
+    ids = members.select(F.col("first").alias("doc_id")).distinct()
+    if memory_bytes(members, ID_BYTES) <= BROADCAST_BYTES:
+        ids = F.broadcast(ids)
+
+    def keyed_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _chunks(batches, "text", 4 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array([_words_key(x) for x in b.column(0).to_pylist()], pa.binary()), b.column(0)], names=["words", "text"])
+
+    texts = rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(keyed_text, "words binary, text string")
+    texts = written(texts.join(members.select("words", "rep"), "words").select("rep", "text").dropDuplicates(["rep"]), "member-texts")
     links = written(_verified(star, texts, p), "links")
 
     # 4. buckets that are not one component yet
-    comp = connected_components(links)
-    comp = written(comp, "component")
+    comp = written(connected_components(links), "component")
     named = banded.select("band", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = written(named, "named")
     split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi AND members > 2")
     sizes = named.join(split.select("band"), "band", "left_semi").groupBy("band", "component").agg(F.count("*").alias("n"))
     most = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("members")).select("band", F.col("most.component").alias("main"), F.col("most.n").alias("main_n"), "members")
-    more = _resolved(named.join(most, "band"), signed, texts, p)
-    comp = connected_components(links.select("a", "b").unionByName(more))
-
-    final = firsts.select("words", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("words", F.coalesce("component", "rep").alias("class_id"))
+    more = written(_resolved(named.join(most, "band"), signed, texts, p), "more-links")
+
+    # 5. texts of one document belong together; then classes of documents
+    several = known.groupBy("doc_id").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low <> high")
+    same = known.join(several, "doc_id").where("words <> low").select("words", "low").distinct()
+    same = same.join(firsts.select("words", F.col("rep").alias("a")), "words").join(firsts.select(F.col("words").alias("low"), F.col("rep").alias("b")), "low")
+    comp = written(connected_components(links.unionByName(more).unionByName(same.select("a", "b"))), "component")
+    discard(signed, banded, star, members, texts, named, links, more)
+    linked = comp.join(firsts.select(F.col("rep").alias("id"), "first"), "id")
+    linked = linked.join(linked.groupBy("component").agg(F.min("first").alias("class_id")), "component").select(F.col("id").alias("rep"), "class_id")
+    final = firsts.join(linked, "rep", "left").select("words", F.coalesce("class_id", "first").alias("class_id"))
     out = keyed.join(final, "words", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def _verified(star: DataFrame, rows: DataFrame, p: NearParams) -> DataFrame:
-    """Links ``(a, b)`` of ``star(leader, rep)`` that reach the similarity. A leader's members are dealt to parts of bounded size."""
-    many = star.groupBy("leader").agg(F.count("*").alias("n"))
-    dealt = star.join(many, "leader").select("leader", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / p.block)).alias("part"), "rep")
-    wanted = dealt.union(dealt.select("leader", "part", F.col("leader").alias("rep")).distinct())
-    full = wanted.join(rows.withColumnRenamed("doc_id", "rep"), "rep")
+def _verified(star: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
+    """Links ``(a, b)`` of ``star(leader, rep, size)`` that reach the similarity.
+
+    A leader's members are dealt to parts by a hash and the size class of the bucket they met in, so no step gathers all
+    members of a leader in a task and none needs to count them.
+    """
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("size") / p.block, F.lit(1.0))))).cast("long")
+    dealt = star.select("leader", parts.alias("parts"), "rep").select("leader", "parts", F.pmod(F.xxhash64("rep"), "parts").alias("part"), "rep")
+    wanted = dealt.union(dealt.select("leader", "parts", "part", F.col("leader").alias("rep")).distinct())
 
     def check(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         leader = int(key[0])
@@ -248,10 +270,10 @@ def _verified(star: DataFrame, rows: DataFrame, p: NearParams) -> DataFrame:
         good = [int(r) for r, x in zip(pdf["rep"], pdf["text"], strict=True) if r != leader and weighted_jaccard(own, shingles(x, p.words)) >= p.similarity]
         return pd.DataFrame({"a": np.full(len(good), leader, np.int64), "b": np.array(good, np.int64)})
 
-    return full.groupBy("leader", "part").applyInPandas(check, "a long, b long")
+    return wanted.join(texts, "rep").groupBy("leader", "parts", "part").applyInPandas(check, "a long, b long")
 
 
-def _resolved(open_rows: DataFrame, signed: DataFrame, rows: DataFrame, p: NearParams) -> DataFrame:
+def _resolved(open_rows: DataFrame, signed: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
     """Spanning links between components of a bucket: members outside the main component against all members, in blocks.
 
     ``open_rows(band, rep, component, main, main_n, members)``. A pair of blocks is one task; signatures rule out what
@@ -263,7 +285,7 @@ def _resolved(open_rows: DataFrame, signed: DataFrame, rows: DataFrame, p: NearP
     base = open_rows.select("band", "rep", "component", (F.col("component") != F.col("main")).alias("outside"), n_out.alias("n_out"), n_all.alias("n_all"), spot.alias("spot"))
     left = base.where("outside").select("band", "rep", "component", F.pmod("spot", "n_out").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(True).alias("query"))
     right = base.select("band", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), F.pmod("spot", "n_all").cast("int").alias("j"), F.lit(False).alias("query"))
-    full = left.unionByName(right).join(signed.select("rep", "sig"), "rep").join(rows.withColumnRenamed("doc_id", "rep"), "rep")
+    full = left.unionByName(right).join(signed.select("rep", "sig").join(texts, "rep"), "rep")
     registers = p.bands * p.rows
     least = p.similarity - p.slack * (p.similarity * (1 - p.similarity) / registers) ** 0.5
 
@@ -295,7 +317,11 @@ def _resolved(open_rows: DataFrame, signed: DataFrame, rows: DataFrame, p: NearP
 
 
 def keep_one(docs: DataFrame, params: NearParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id. All columns pass through."""
+    """``docs`` with one document of each class: the one with the smallest id. All columns pass through.
+
+    Rows are told apart by id alone: those that repeat the id that stays all stay. Rows with a null id stay, and so do
+    those without words. An empty table stays empty.
+    """
     mark = f"_kept_{uuid.uuid4().hex}"
     kept = near_groups(docs, params, id_col, text_col).where("kept").select(F.col("doc_id").alias(mark)).distinct()
     return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(mark)), "left_semi")

@@ -108,7 +108,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: Capacity | None = None, id_
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``: one row per piece of each document.
 
     Sequences hold at most what ``capacity`` says, in every dimension; offsets have no gaps. Which piece goes where
-    depends on the rows alone, not on partitions. An empty table gives no rows.
+    depends on the rows alone, not on partitions. Null text is a separator alone, repeated rows are packed each by itself,
+    a very long text becomes full pieces. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     capacity = capacity or Capacity()
     limit = min(capacity.tokens, int(capacity.attention**0.5))

@@ -1,9 +1,11 @@
 """URL filters by Bloom filter cascades.
 
 The candidate keys of a URL are host suffix + path prefix, the prefixes cut at the lengths that listed rules have. All
-candidate keys of the corpus form the key universe. Level 1 of a cascade encodes the listed keys that occur, level 2
-the other keys of the universe that level 1 lets pass, level 3 the listed keys that level 2 lets pass, and so on until
-none are left. So every key of the universe gets an exact answer from a few small bit arrays, without a join.
+candidate keys of the corpus form the key universe. Level 1 of a cascade encodes the listed keys, level 2 the other keys
+of the universe that level 1 lets pass, level 3 the listed keys that level 2 lets pass, and so on until none are left. So
+every key of the universe gets an exact answer from a few small bit arrays, without a join: the universe meets level 1
+in a map, and only what passes is told from the listed keys, by an aggregation. A list whose level would be too large to
+broadcast is cut by key hash into several cascades, which the pages pass one after the other.
 """
 
 from __future__ import annotations
@@ -13,16 +15,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 #: Bits per key and hash functions of a level; the odd levels pass few others, so the levels shrink quickly.
 BITS_PER_KEY = 10
 HASHES = 7
-#: A level's bit array may have so many bytes; it is what is broadcast.
-MAX_LEVEL_BYTES = 256 << 20
+#: Bytes that the first level of a list may have, which is what is broadcast; longer lists are cut into several cascades.
+MAX_LEVEL_BYTES = 64 << 20
+#: 64-bit words of a bit array that are packed into one row on their way to the driver.
+PACK_WORDS = 8_192
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,19 +67,23 @@ class Cascade:
 
 
 def _level(keys: DataFrame, level: int) -> tuple[int, np.ndarray] | None:
-    """The bits of all keys: partial bit arrays by word, combined map-side; what arrives is the array itself."""
+    """The bits of all keys: words are combined map-side and packed PACK_WORDS to a row; what arrives is the array itself."""
     n = keys.count()
     if not n:
         return None
     bits = max(64, -(-n * BITS_PER_KEY // 64) * 64)
-    if bits // 8 > MAX_LEVEL_BYTES:
-        raise ValueError(f"{n} keys need a filter over {MAX_LEVEL_BYTES} bytes; split the list by key hash into several cascades")
     at = keys.select(F.explode(_positions(F.col("key"), level, bits)).alias("at"))
     words = at.groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("value"))
-    out = np.zeros(bits // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r[0]] = r[1]
-    return bits, out.view(np.uint8)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, first = np.zeros(PACK_WORDS, np.int64), int(pdf["word"].iloc[0]) // PACK_WORDS
+        part[pdf["word"].to_numpy() % PACK_WORDS] = pdf["value"]
+        return pd.DataFrame({"block": [first], "bits": [part.tobytes()]})
+
+    out = np.zeros(-(-bits // 64 // PACK_WORDS) * PACK_WORDS * 8, np.uint8)
+    for r in words.groupBy(F.floor(F.col("word") / PACK_WORDS)).applyInPandas(pack, "block long, bits binary").collect():
+        out[r["block"] * PACK_WORDS * 8 :][: PACK_WORDS * 8] = np.frombuffer(r["bits"], np.uint8)
+    return bits, out[: bits // 8].copy()
 
 
 def _tested(keys: DataFrame, level: int, built: tuple[int, np.ndarray]) -> DataFrame:
@@ -94,15 +102,20 @@ def _tested(keys: DataFrame, level: int, built: tuple[int, np.ndarray]) -> DataF
 
 def build(listed: DataFrame, universe: DataFrame, max_levels: int = 40) -> Cascade:
     """A cascade for ``listed(key)`` that is exact over all of ``universe(key)``. Null keys are ignored, repeats do no harm."""
-    own = written(listed.where("key IS NOT NULL").distinct().join(universe.distinct(), "key", "left_semi"), "listed")
-    other = written(universe.where("key IS NOT NULL").distinct().join(own, "key", "left_anti"), "unlisted")
+    own = written(listed.where("key IS NOT NULL").distinct(), "listed")
     out = Cascade()
-    sides = [own, other]
-    for k in range(max_levels):
+    if (made := _level(own, 0)) is None:
+        return out
+    out.levels.append(made)
+    passed = _tested(universe.where("key IS NOT NULL"), 0, made).withColumn("own", F.lit(False)).unionByName(own.withColumn("own", F.lit(True)))
+    sides = [written(passed.groupBy("key").agg(F.max("own").alias("own")).where("NOT own").select("key"), "false-positives"), own]
+    for k in range(1, max_levels):
         if (made := _level(sides[0], k)) is None:
+            discard(*sides)
             return out
         out.levels.append(made)
-        sides = [written(_tested(sides[1], k, made), "pass"), sides[0]]
+        old, sides = sides[1], [written(_tested(sides[1], k, made), "pass"), sides[0]]
+        discard(old)
     raise RuntimeError("the cascade did not end")
 
 
@@ -119,45 +132,71 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(keys)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, url_col: str = "url", default: str = "allow", max_bytes: int = MAX_LEVEL_BYTES) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``.
 
-    rules: (key, "allow" or "block"), a key being host + path such as ``org/``. A rule fits its host and all subdomains
-    if the path starts with the rule's; the longest key wins, of equally long ones the block rule, then the first in
-    order. No rule: ``rule`` null and ``default``, what the cascades say of a key in neither list. Null URLs and those
-    without ``://`` have empty host and path and fit no rule. Existing columns with these names are replaced.
+    rules: (key, "allow" or "block"), or a table ``(key, verdict)`` of them; a key is host + path such as ``org/``. A rule
+    fits its host and all subdomains if the path starts with the rule's; the longest key wins, of equally long ones the
+    block rule, then the first in order. No rule: ``rule`` null and ``default``, what the cascades say of a key in neither
+    list. Null URLs and those without ``://`` have empty host and path and fit no rule. A very long URL is read whole.
+    Repeated rows are judged alike and all stay; an empty table stays empty. Existing columns with these names are
+    replaced, others pass through. A list of any length is exact: beyond ``max_bytes`` a level it is cut by key hash, and
+    the pages are written once more per further part.
     """
     spark = pages.sparkSession
+    rules = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "key string, verdict string")
+    rules = written(rules.where("key IS NOT NULL").select("key", "verdict"), "rules")
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    lengths = sorted({len(k) - k.index("/") for k, _ in rules})
+    size = F.length("key") - F.instr("key", "/") + 1
+    lengths = sorted(r[0] for r in rules.select(size).distinct().collect())
+    most = max([r["count"] for r in rules.groupBy("verdict").count().collect()], default=0)
+    shards = max(1, -(-most * BITS_PER_KEY // 8 // max_bytes))
+    shard = lambda key: F.pmod(F.xxhash64(F.lit(-1), key), F.lit(shards))
     # the page's own columns travel as one struct, so that no name of theirs can clash
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     rows = pages.select(row, host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
+    rows = rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
     universe = written(rows.select("host", F.substring("path", 1, max(lengths, default=0)).alias("path")).distinct().select(F.explode(keys).alias("key")).distinct(), "universe")
-    cascades = {v: build(spark.createDataFrame([(k,) for k, x in rules if x == v], "key string"), universe) for v in ("allow", "block")}
-    rows = rows.withColumn("keys", keys)
+    for n in range(shards):
+        own, every = rules.where(shard(F.col("key")) == n), universe.where(shard(F.col("key")) == n)
+        cascades = {v: build(own.where(F.col("verdict") == v).select("key"), every) for v in ("allow", "block")}
+        here = keys if shards == 1 else F.filter(keys, lambda k: shard(k) == n)  # noqa: B023
+        judged = rows.withColumn("keys", here).withColumn("judged", _decided(spark, cascades))
+        rows = judged.select("row", "host", "path", "judged.rule", "judged.verdict")
+        rows = written(rows, "judged") if n + 1 < shards else rows
+    discard(rules, universe)
+    return rows.select("row.*", "host", "path", "rule", "verdict")
+
+
+def _decided(spark: SparkSession, cascades: dict[str, Cascade]) -> Column:
+    """``STRUCT<rule, verdict>`` from the columns keys, rule and verdict: the rule so far, or a better one by one pair of cascades."""
     shapes = [(v, k, bits) for v, c in cascades.items() for k, (bits, _) in enumerate(c.levels)]
     at = F.transform("keys", lambda x: F.flatten(F.array(*[_positions(x, k, bits) for _, k, bits in shapes]))) if shapes else F.array().cast("array<array<bigint>>")
-    shared = spark.sparkContext.broadcast(cascades)  # at most MAX_LEVEL_BYTES a level
+    shared = spark.sparkContext.broadcast(cascades)  # about ``max_bytes`` each
+
+    def better(old: tuple, new: tuple) -> bool:
+        if old[0] is None or len(new[0]) != len(old[0]):
+            return old[0] is None or len(new[0]) > len(old[0])
+        return new[0] < old[0] if new[1] == old[1] else new[1] == "block"
 
     @F.pandas_udf("rule string, verdict string")
-    def decide(keys: pd.Series, at: pd.Series) -> pd.DataFrame:
+    def decide(keys: pd.Series, at: pd.Series, rule: pd.Series, verdict: pd.Series) -> pd.DataFrame:
         count = np.array([len(x) for x in keys], np.int64)
-        rule, verdict = np.full(len(keys), None, object), np.full(len(keys), default, object)
+        rule, verdict = rule.to_numpy(object, na_value=None).copy(), verdict.to_numpy(object).copy()
         if count.sum() and shapes:
             flat = [k for x in keys for k in x]
             places = np.array([p for x in at for p in x], dtype=np.int64).reshape(len(flat), -1)
             row = np.repeat(np.arange(len(keys)), count)
-            for v in ("allow", "block"):  # of equally long keys the later one, block, takes effect
+            for v in ("allow", "block"):
                 own = [i for i, s in enumerate(shapes) if s[0] == v]
                 if not own:
                     continue
                 found = np.flatnonzero(shared.value[v].contains([places[:, i * HASHES : (i + 1) * HASHES] for i in own]))
-                first, at_first = np.unique(row[found], return_index=True)
+                first, at_first = np.unique(row[found], return_index=True)  # keys are in order: the first is the longest
                 for r, j in zip(first, found[at_first], strict=True):
-                    if rule[r] is None or len(flat[j]) >= len(rule[r]):
+                    if better((rule[r], verdict[r]), (flat[j], v)):
                         rule[r], verdict[r] = flat[j], v
         return pd.DataFrame({"rule": rule, "verdict": verdict})
 
-    return rows.withColumn("judged", decide("keys", at)).select("row.*", "host", "path", "judged.rule", "judged.verdict")
+    return decide("keys", at, "rule", "verdict")

@@ -1,40 +1,59 @@
 """Embedding near-dedup by product quantisation: inverted lists, residual codes, table-lookup distances, exact rerank.
 
-Vectors are normalised; cosine >= t is a Euclidean distance <= r = sqrt(2 - 2t). Each label has coarse centroids;
-a vector is stored once, in the list of its nearest centroid, with the codes of its residual and its quantisation
-error. As a query it visits the lists of its ``probes`` nearest centroids. The asymmetric distance d(q, code(x)) comes
-from a table per query; by the triangle inequality a link has d <= r + error(x), so that test loses no link, and what
-passes is reranked by exact cosine in double precision. Equal vectors collapse first.
+Vectors are normalised; cosine >= t is a Euclidean distance <= r = sqrt(2 - 2t). Equal vectors collapse first. A label of
+more vectors than a task takes is divided into cells by coarse centroids, whose number grows with the label; a vector is at
+home in its nearest cell and visits the next ones as a query. A cell's members are dealt to blocks, and a task meets two
+blocks. It indexes the first: coarse inverted lists, and per list the codes of the residuals with their quantisation
+errors. Queries of the second probe the lists nearest to them. The asymmetric distance d(q, code(x)) comes from a
+table per query; by the triangle inequality a link has d <= r + error(x), so that test loses no link, and what passes is
+reranked by exact cosine in double precision. Links are summed and joined to components inside the task, so what leaves
+it is a row per linked vector, not per link.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, written
+from .shared import connected_components, discard, memory_bytes, written
 
 
 @dataclass(frozen=True)
 class PQParams:
-    """cosine: least of a link. list_size: vectors that a list aims at. probes: lists a query visits. subspaces, codes:
-    of the quantiser. sample: vectors of a label that it is fitted on at most (a bounded sample, by hash). max_lists:
-    per label. block: vectors of one side of a task; longer lists are cut into blocks, and all pairs of blocks are done.
+    """cosine: least of a link. cell_rows: vectors that a cell aims at; max_cells: cells of a label at most. visits: cells a
+    vector is compared in, its own among them. sample: vectors of a label that its cells are fitted on at most (a bounded
+    sample, by hash). block: vectors of one side of a task. list_size: vectors that an inverted list aims at. probes: lists
+    of a block that a query visits. subspaces, codes: of the quantiser. rounds: of k-means.
     """
 
     cosine: float = 0.93
+    cell_rows: int = 8_192
+    max_cells: int = 4_096
+    visits: int = 3
+    sample: int = 65_536
+    block: int = 8_192
     list_size: int = 256
-    probes: int = 6
+    probes: int = 8
     subspaces: int = 8
-    codes: int = 32
-    sample: int = 4_096
-    max_lists: int = 1_024
-    block: int = 1_024
-    rounds: int = 8
+    codes: int = 128
+    rounds: int = 6
+
+
+#: All cells' centroids together are broadcast in so many bytes at most: where they would be more, cells are larger.
+CELL_BYTES = 64 << 20
+#: The table of blocks per cell is broadcast up to so many bytes (SHAPE_BYTES a row, counted); beyond it, it is joined.
+BROADCAST_BYTES = 64 << 20
+SHAPE_BYTES = 64
+#: Vectors that a quantiser of a block is fitted on at most.
+FIT_ROWS = 4_096
+#: Queries whose tables are held at a time, and pairs that are reranked at a time.
+QUERIES, PAIRS = 1_024, 1 << 15
 
 
 def _nearest(x: np.ndarray, c: np.ndarray, k: int = 1) -> np.ndarray:
@@ -48,66 +67,67 @@ def _nearest(x: np.ndarray, c: np.ndarray, k: int = 1) -> np.ndarray:
 def kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     """Lloyd's centroids from evenly spread rows; an empty one keeps its place."""
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
-    for _ in range(rounds):
-        own = _nearest(x, c)[:, 0]
-        n = np.bincount(own, minlength=len(c))
-        s = np.zeros_like(c)
-        np.add.at(s, own, x)
-        c[n > 0] = s[n > 0] / n[n > 0, None]
+    for _ in range(rounds if len(c) < len(x) else 0):
+        own = np.concatenate([_nearest(x[i : i + 8192], c)[:, 0] for i in range(0, len(x), 8192)])
+        order = np.argsort(own, kind="stable")
+        at = np.flatnonzero(np.diff(own[order], prepend=-1))
+        c[own[order][at]] = np.add.reduceat(x[order], at, axis=0) / np.diff(np.append(at, len(x)))[:, None]
     return c
 
 
-@dataclass
-class Quantiser:
-    """Of one label: coarse centroids (lists x dim), and per subspace a code book (codes x its dims)."""
+class Index:
+    """A block of unit vectors: inverted lists around coarse centroids, residual codes per subspace, quantisation errors."""
 
-    coarse: np.ndarray
-    books: list[np.ndarray]
-    cuts: list[slice]
-
-    @staticmethod
-    def fit(x: np.ndarray, lists: int, p: PQParams) -> Quantiser:
-        coarse = kmeans(x, lists, p.rounds)
-        rest = x - coarse[_nearest(x, coarse)[:, 0]]
+    def __init__(self, x: np.ndarray, p: PQParams):
+        some = x[np.linspace(0, len(x) - 1, min(FIT_ROWS, len(x))).astype(int)]
+        self.coarse = kmeans(some, max(1, len(x) // p.list_size), p.rounds)
+        self.home = home = _nearest(x, self.coarse)[:, 0]
+        rest = x - self.coarse[home]
         edges = np.linspace(0, x.shape[1], min(p.subspaces, x.shape[1]) + 1).astype(int)
-        cuts = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
-        return Quantiser(coarse, [kmeans(np.ascontiguousarray(rest[:, s]), p.codes, p.rounds) for s in cuts], cuts)
-
-    def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and quantisation error of vectors in their lists."""
-        rest = x - self.coarse[lists]
-        code = np.stack([_nearest(rest[:, s], b)[:, 0] for s, b in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
+        self.cuts = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+        fit = rest[np.linspace(0, len(x) - 1, min(FIT_ROWS, len(x))).astype(int)]
+        self.books = [kmeans(np.ascontiguousarray(fit[:, s]), p.codes, p.rounds) for s in self.cuts]
+        code = np.stack([_nearest(rest[:, s], b)[:, 0] for s, b in zip(self.cuts, self.books, strict=True)], axis=1)
         back = np.concatenate([b[code[:, j]] for j, b in enumerate(self.books)], axis=1)
-        return code, np.sqrt(((rest - back) ** 2).sum(axis=1))
-
-    def distances(self, q: np.ndarray, cell: int, code: np.ndarray) -> np.ndarray:
-        """Asymmetric distances (queries x codes) in one list, by table lookups."""
-        rest = q - self.coarse[cell]
-        out = np.zeros((len(q), len(code)))
-        for j, (s, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            part = rest[:, s]
-            table = (part * part).sum(1)[:, None] - 2 * part @ b.T + (b * b).sum(1)
-            out += table[:, code[:, j]]
-        return np.sqrt(np.maximum(out, 0))
-
-
-SIDES = "vec long, label int, dim int, n long, unit array<double>, home int, probes array<int>, code binary, error double"
-SIDE_NAMES = [x.split()[0] for x in SIDES.split(", ")]
-#: Vectors that are placed in one task step.
-PLACE_ROWS = 8_192
-
-
-def _unit(vector: pd.Series) -> pd.Series:
-    """Vectors of length one; null for those that link with nothing."""
-
-    def one(x: np.ndarray | None) -> np.ndarray | None:
-        a = None if x is None else np.asarray(x, float)  # a null component becomes nan
-        if a is None or not a.size or not np.isfinite(a).all() or not a.any():
-            return None
-        a = a / np.abs(a).max()
-        return a / np.sqrt((a * a).sum())
-
-    return vector.map(one, na_action=None)
+        error = np.sqrt(((rest - back) ** 2).sum(axis=1))
+        # |q - c - b|^2 = |q - c|^2 + (2 c b + |b|^2) - 2 q b: the middle belongs to the vector, the last comes from the query's table
+        own = (back * (back + 2 * self.coarse[home])).sum(axis=1)
+        self.lists = [(m, code[m].T, own[m].astype(np.float32), error[m].astype(np.float32)) for m in (np.flatnonzero(home == k) for k in range(len(self.coarse)))]
+
+    def probed(self, q: np.ndarray, probes: int) -> np.ndarray:
+        """The lists that each query probes (queries x probes)."""
+        return np.concatenate([_nearest(q[a : a + QUERIES], self.coarse, max(2, probes))[:, :probes] for a in range(0, len(q), QUERIES)])
+
+    def search(self, q: np.ndarray, probed: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, vector) pairs within the radius by table distance and error, from the lists that a query probes."""
+        for a in range(0, len(q), QUERIES):
+            part = q[a : a + QUERIES]
+            far = np.maximum(0, 1 + (self.coarse**2).sum(1) - 2 * part @ self.coarse.T).astype(np.float32)
+            visit = np.zeros(far.shape, bool)
+            np.put_along_axis(visit, probed[a : a + QUERIES], True, axis=1)
+            tables = [(2 * b @ part[:, s].T).astype(np.float32) for s, b in zip(self.cuts, self.books, strict=True)]  # codes x queries
+            for k, (members, code, own, error) in enumerate(self.lists):
+                who = np.flatnonzero(visit[:, k])
+                if not len(members) or not len(who):
+                    continue
+                d2 = own[:, None] + far[who, k]
+                for t, c in zip(tables, code, strict=True):
+                    d2 -= (t if len(who) == len(part) else t[:, who])[c]
+                x, y = np.nonzero(d2 <= (((radius + error) ** 2) + 1e-4)[:, None])  # 1e-4: rounding of single precision
+                yield a + who[y], members[x]
+
+
+def _units(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    """Vectors of length one in double precision."""
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).astype(np.float64).reshape(n, -1)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _usable(vector: Column) -> Column:
+    """Not null, not empty, all components finite, not all zero."""
+    fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return vector.isNotNull() & F.coalesce(fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
 def near_vectors(rows: DataFrame, params: PQParams | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -115,119 +135,136 @@ def near_vectors(rows: DataFrame, params: PQParams | None = None, id_col: str =
 
     Two rows link if their labels are equal and not null and the cosine of their vectors, in double precision, is at
     least ``cosine``. Null or zero vectors, those with null or non-finite components, and those of unlike lengths link
-    with nothing. Rows that repeat an id are rows of their own that link like any others. ``component_id`` is the
-    smallest id that links reach. Other columns are ignored; an empty table gives no rows.
+    with nothing, and neither do rows with a null id. Rows that repeat an id are rows of their own that link like any
+    others, each by its own vector. ``component_id`` is the smallest id that links reach. Links found are exact; one may be
+    missed if neither vector probes the other's list, or neither visits the other's cell. A vector of any length is one
+    row. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     p = params or PQParams()
-    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    base = written(base.select("vec_id", "label", F.when(F.col("label").isNotNull(), F.pandas_udf(_unit, "array<double>")("vector")).alias("unit")), "units")
-
-    # equal vectors collapse: reps(vec, label, n, unit)
-    good = base.where("unit IS NOT NULL AND vec_id IS NOT NULL")
-    reps = written(good.groupBy("label", "unit").agg(F.min("vec_id").alias("vec"), F.count("*").alias("n")).select("vec", "label", "n", "unit"), "vector-reps")
-
-    # quantisers: bounded samples, one fit per label inside a task
-    count = reps.groupBy("label", F.size("unit").alias("dim")).agg(F.count("*").alias("rows"))
-    chosen = reps.withColumn("dim", F.size("unit")).join(count, ["label", "dim"])
-    chosen = chosen.where(F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.lit(float(p.sample)) / F.col("rows"))
+    kind = rows.schema[vector_col].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast(kind).alias("vector"))
+    fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _usable(F.col("vector"))
+    # 128 bits of a vector stand for it wherever rows are only counted or looked up
+    base = base.select("vec_id", "label", *[F.when(fine, F.xxhash64(F.lit(i), "vector")).alias(f"h{i}") for i in (1, 2)], F.when(fine, F.col("vector")).alias("vector"))
+
+    # equal vectors collapse, copies within a map task before they are moved; numbered when they are written
+    key = ["label", "h1", "h2"]
+    reps = base.where("h1 IS NOT NULL").groupBy(*key).agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("vector").alias("vector"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("rep"), *key, F.size("vector").alias("dim"), "first", "n", "vector"), "vector-reps")
+
+    placed, shape = _placed(reps, p)
+    found = written(_searched(placed, shape, kind, p), "links")
+    discard(shape)
+    comp = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    comp = comp.join(reps.select(F.col("rep").alias("id"), "first"), "id")
+    comp = comp.join(comp.groupBy("component").agg(F.min("first").alias("component_id")), "component").select(F.col("id").alias("rep"), "component_id")
+    links = found.groupBy("rep").agg(F.sum("n_links").alias("links"))
+    known = reps.select("rep", *key, "first", "n").join(links, "rep", "left").join(comp, "rep", "left")
+    known = known.select(*key, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
+    # narrow rows: adaptive execution splits the partition of a vector that a third of all rows share
+    out = base.select("vec_id", *key).join(known, key, "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _placed(reps: DataFrame, p: PQParams) -> tuple[DataFrame, DataFrame]:
+    """``reps`` with ``home INT`` and ``visits ARRAY<INT>``, and the written ``shape(label, dim, cell, hs, vs)``: blocks of members and of visitors."""
+    count = reps.groupBy("label", "dim").agg(F.count("*").alias("rows"))
+    width = count.where(F.col("rows") > p.cell_rows).agg(F.sum(F.col("rows") * F.col("dim") * 8)).first()[0] or 0
+    cell_rows = max(p.cell_rows, -(-int(width) // CELL_BYTES))
+    big = count.where(F.col("rows") > cell_rows)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec")
-        lists = int(min(p.max_lists, max(1, pdf["rows"].iloc[0] // p.list_size)))
-        q = Quantiser.fit(np.stack(pdf["unit"].to_numpy()), lists, p)
-        return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1].astype(np.int32), "coarse": [q.coarse.ravel()], "books": [np.concatenate([b.ravel() for b in q.books])], "codes": np.array([len(q.books[0])], np.int32)})
-
-    fitted = written(chosen.groupBy("label", "dim").applyInPandas(fit, "label int, dim int, coarse array<double>, books array<double>, codes int"), "quantisers")
-
-    # lists: each vector with its list, its probes, codes and error; a label's vectors are dealt to parts of bounded
-    # size, and each part meets its label's quantiser once
-    parts = count.select("label", "dim", F.ceil(F.col("rows") / PLACE_ROWS).cast("int").alias("parts"))
-    dealt = reps.withColumn("dim", F.size("unit")).join(parts, ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("vec", F.lit(3)), F.col("parts")).cast("int")).drop("parts")
-    models = fitted.join(parts, ["label", "dim"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-
-    def place(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[["vec", "label", "dim", "n"]].copy()
-        if not len(pdf):
-            return out.reindex(columns=SIDE_NAMES)
-        q, x = _model(model.iloc[0], p), np.stack(pdf["unit"].to_numpy())
-        near = np.concatenate([_nearest(x[i : i + 2048], q.coarse, max(2, p.probes))[:, : p.probes] for i in range(0, len(x), 2048)])
-        code, error = q.encode(x, near[:, 0])
-        out["unit"], out["home"], out["probes"] = list(x), near[:, 0].astype(np.int32), list(near.astype(np.int32))
-        out["code"], out["error"] = [c.tobytes() for c in code], error
-        return out
-
-    placed = written(dealt.groupBy("label", "dim", "part").cogroup(models.groupBy("label", "dim", "part")).applyInPandas(place, SIDES), "placed")
-
-    # tasks: (list, block of its vectors, block of its queries), each with the list's centroid and the code books
+        pdf = pdf.sort_values("h1")[: p.sample]
+        x = np.stack(pdf["vector"].to_numpy()).astype(float)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        cells = int(min(p.max_cells, -(-pdf["rows"].iloc[0] // cell_rows)))
+        return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": np.int32([x.shape[1]]), "centres": [kmeans(x, cells, p.rounds).ravel()]})
+
+    whole = count.where(F.col("rows") <= cell_rows).select("label", "dim", F.lit(0).alias("cell"), F.col("rows").alias("members"), F.lit(0).cast("long").alias("visitors"))
+    placed = reps.withColumns({"home": F.lit(0), "visits": F.array(F.lit(0))})
+    if width:
+        chosen = reps.join(big, ["label", "dim"]).where(F.pmod("h1", F.lit(1 << 30)) < F.lit(float(1 << 30)) * p.sample / F.col("rows"))
+        fitted = chosen.select("label", "dim", "rows", "h1", "vector").groupBy("label", "dim").applyInPandas(fit, "label int, dim int, centres array<double>").toPandas()  # CELL_BYTES at most
+        centres = {(r.label, r.dim): np.asarray(r.centres, float).reshape(-1, r.dim) for r in fitted.itertuples()}
+        shared = reps.sparkSession.sparkContext.broadcast(centres)
+
+        def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                label, dim = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("label", "dim"))
+                home, visits = np.zeros(b.num_rows, np.int32), [[0]] * b.num_rows
+                vector = b.column(b.schema.get_field_index("vector"))
+                for k, d in {k for k in zip(label.tolist(), dim.tolist(), strict=True) if k in shared.value}:
+                    at = np.flatnonzero((label == k) & (dim == d))
+                    near = _nearest(_units(pa.chunked_array([vector.take(pa.array(at))]), len(at)), shared.value[k, d], max(2, p.visits))[:, : p.visits]
+                    home[at] = near[:, 0]
+                    for i, own in zip(at.tolist(), near.tolist(), strict=True):
+                        visits[i] = own
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(visits, pa.list_(pa.int32()))], names=[*b.schema.names, "home", "visits"])
+
+        placed = reps.mapInArrow(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema) + ", home int, visits array<int>")
+        cells = placed.join(big.select("label", "dim"), ["label", "dim"], "left_semi").select("label", "dim", "home", F.explode("visits").alias("cell"))
+        inside = F.col("home") == F.col("cell")
+        cells = cells.groupBy("label", "dim", "cell").agg(F.count(F.when(inside, 1)).alias("members"), F.count(F.when(~inside, 1)).alias("visitors"))
+        whole = whole.unionByName(cells.where("members > 0"))
+    blocks = lambda n: F.ceil(F.col(n) / p.block).cast("int")
+    return placed, written(whole.select("label", "dim", "cell", blocks("members").alias("hs"), blocks("visitors").alias("vs")), "cells")
+
+
+def _searched(placed: DataFrame, shape: DataFrame, kind: str, p: PQParams) -> DataFrame:
+    """``(rep, n_links, to)`` per task: how many rows a vector links with, and the least vector of its links' component."""
+    small = memory_bytes(shape, SHAPE_BYTES) <= BROADCAST_BYTES
+    shape = F.broadcast(shape) if small else shape
     cell = ["label", "dim", "cell"]
-    shape = placed.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / p.block).cast("int").alias("xs"))
-    visits = placed.select("label", "dim", F.explode("probes").alias("cell")).groupBy(*cell).agg(F.ceil(F.count("*") / p.block).cast("int").alias("qs"))
-    shape = written(shape.join(visits, cell), "lists")
-    spot = F.pmod(F.xxhash64("vec", F.lit(11)), F.lit(1 << 30))
-    index = placed.withColumn("cell", F.col("home")).join(shape, cell).select("*", F.pmod(spot, "xs").cast("int").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), F.lit(False).alias("query"))
-    query = placed.withColumn("cell", F.explode("probes")).join(shape, cell).select("*", F.pmod(spot, "qs").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), F.lit(True).alias("query"))
-    both = index.drop("xs", "qs").unionByName(query.drop("xs", "qs"))
-    tools = shape.join(fitted, ["label", "dim"]).select(*cell, F.slice("coarse", F.col("cell") * F.col("dim") + 1, F.col("dim")).alias("coarse"), "books", "codes", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("xb"), "qs")
-    tools = tools.select(*cell, "coarse", "books", "codes", "xb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"))
+    spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    columns = ["rep", "n", "home", "visits", "vector"]
+    task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    upto = lambda a, b: F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+    # members: every pair of blocks once, then as index of each block of visitors
+    mine = placed.withColumn("cell", F.col("home")).join(shape, cell).withColumn("b", spot("hs"))
+    pairs = F.transform(upto(F.lit(0), F.col("hs")), lambda k: task(F.least("b", k), F.greatest("b", k), F.when(k < F.col("b"), 1).otherwise(0)))
+    guests = F.transform(upto(F.col("hs"), F.col("hs") + F.col("vs")), lambda v: task(F.col("b"), v, 0))
+    mine = mine.select(*cell, *columns, F.explode(F.concat(pairs, guests)).alias("t"))
+    away = placed.withColumn("cell", F.explode(F.filter("visits", lambda c: c != F.col("home")))).join(shape, cell)
+    away = away.withColumn("b", F.col("hs") + spot("vs")).select(*cell, *columns, F.explode(F.transform(upto(F.lit(0), F.col("hs")), lambda k: task(k, F.col("b"), 1))).alias("t"))
+    both = mine.unionByName(away).select(*cell, F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("t.side").alias("side"), *columns)
     radius = float(np.sqrt(max(0.0, 2 - 2 * p.cosine)))
 
-    def search(pdf: pd.DataFrame, tool: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[~pdf["query"].astype(bool)], pdf[pdf["query"].astype(bool)]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"vec": np.zeros(0, np.int64), "n_links": np.zeros(0, np.int64), "to": np.zeros(0, np.int64)})
-        q = _model(tool.iloc[0], p)
-        xu, yu = np.stack(x["unit"].to_numpy()), np.stack(y["unit"].to_numpy())
-        code = np.stack([np.frombuffer(c, np.uint8) for c in x["code"]])
-        reach = radius + x["error"].to_numpy() + 1e-9
-        xv, yv, xn, yn = (c.to_numpy() for c in (x["vec"], y["vec"], x["n"], y["n"]))
-        home, probes = y["home"].to_numpy(), np.stack(x["probes"].to_numpy())
-        n_x, n_y, found = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
-        for a in range(0, len(y), 256):
-            i, j = np.nonzero(q.distances(yu[a : a + 256], 0, code) <= reach)
-            i += a
-            for b in range(0, len(i), 1 << 15):
-                s, t = i[b : b + (1 << 15)], j[b : b + (1 << 15)]
-                keep = (np.einsum("ij,ij->i", yu[s], xu[t]) >= p.cosine) & (yv[s] != xv[t])
-                s, t = s[keep], t[keep]
-                np.add.at(n_y, s, xn[t])
-                # a pair that the other side doesn't find, as it doesn't visit the query's list, counts for both here
-                alone = ~(probes[t] == home[s][:, None]).any(axis=1)
-                np.add.at(n_x, t[alone], yn[s[alone]])
-                found.append((s, t))
-        ids = np.unique(np.concatenate([xv, yv]))
-        s = np.searchsorted(ids, yv[np.concatenate([f[0] for f in found])]) if found else np.zeros(0, np.int64)
-        t = np.searchsorted(ids, xv[np.concatenate([f[1] for f in found])]) if found else s
-        root = np.arange(len(ids))
-        while True:  # least label over the task's links
-            before = root.copy()
-            np.minimum.at(root, s, root[t])
-            np.minimum.at(root, t, root[s])
-            root = root[root]
-            if (root == before).all():
+    def search(table: pa.Table) -> pa.Table:
+        side, rep, n, home = (table.column(c).to_numpy() for c in ("side", "rep", "n", "home"))
+        unit = _units(table.column("vector"), len(side))
+        own = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        x = np.flatnonzero(side == 0)
+        y = x if own else np.flatnonzero(side == 1)
+        count, edges = np.zeros(len(side), np.int64), []
+        if len(x) and len(y):
+            visits = table.column("visits").to_pylist()
+            width = max(map(len, visits))
+            visits = np.array([v + [-1] * (width - len(v)) for v in visits])
+            at = table.column("cell")[0].as_py()
+            index = Index(unit[x], p)
+            probed = index.probed(unit[y], p.probes)
+            for s, t in index.search(unit[y], probed, radius):
+                for b in range(0, len(s), PAIRS):
+                    s1, t1 = s[b : b + PAIRS], t[b : b + PAIRS]
+                    q, m = y[s1], x[t1]
+                    good = (np.einsum("ij,ij->i", unit[q], unit[m]) >= p.cosine) & (q != m)
+                    s1, t1, q, m = s1[good], t1[good], q[good], m[good]
+                    # a link that its other side finds too, in this block or in the guest's own cell, counts there for that side
+                    twice = (probed[t1] == index.home[s1][:, None]).any(axis=1) if own else (home[q] != at) & (visits[m] == home[q][:, None]).any(axis=1)
+                    np.add.at(count, q, n[m])
+                    np.add.at(count, m[~twice], n[q[~twice]])
+                    edges.append((q, m))
+        s, t = (np.concatenate(e) for e in zip(*edges, strict=True)) if edges else (x[:0], x[:0])
+        least = rep.copy()
+        while True:  # least number over the task's links
+            before = least.copy()
+            np.minimum.at(least, s, least[t])
+            np.minimum.at(least, t, least[s])
+            if (least == before).all():
                 break
-        n = np.zeros(len(ids), np.int64)
-        np.add.at(n, np.searchsorted(ids, yv), n_y)
-        np.add.at(n, np.searchsorted(ids, xv), n_x)
-        some = (n > 0) | (root != np.arange(len(ids)))
-        return pd.DataFrame({"vec": ids[some], "n_links": n[some], "to": ids[root[some]]})
-
-    task = [*cell, "xb", "qb"]
-    found = written(both.groupBy(*task).cogroup(tools.groupBy(*task)).applyInPandas(search, "vec long, n_links long, to long"), "links")
-    comp = connected_components(found.select(F.col("vec").alias("a"), F.col("to").alias("b")))
-    links = found.groupBy("vec").agg(F.sum("n_links").alias("links"))
-    known = reps.join(links, "vec", "left").join(comp.withColumnRenamed("id", "vec"), "vec", "left")
-    known = known.select("label", "unit", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "vec").alias("component_id"))
-    out = base.join(known, ["label", "unit"], "left")
-    return out.select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-
-
-def _model(row: pd.Series, p: PQParams) -> Quantiser:
-    dim, codes = int(row["dim"]), int(row["codes"])
-    edges = np.linspace(0, dim, min(p.subspaces, dim) + 1).astype(int)
-    cuts = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
-    flat, books, at = np.asarray(row["books"], float), [], 0
-    for s in cuts:
-        n = codes * (s.stop - s.start)
-        books.append(flat[at : at + n].reshape(codes, -1))
-        at += n
-    return Quantiser(np.asarray(row["coarse"], float).reshape(-1, dim), books, cuts)
+        some = count > 0
+        some[s] = some[t] = True
+        return pa.table({"rep": rep[some], "n_links": count[some], "to": least[some]})
+
+    return both.groupBy(*cell, "i", "j").applyInArrow(search, "rep long, n_links long, to long")

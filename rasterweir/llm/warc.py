@@ -1,8 +1,9 @@
 """WARC files as a Spark data source: ``df.write.format("warc")`` and ``spark.read.format("warc")``.
 
-Records are written uncompressed, their payloads gzipped as the HTTP content encoding, so that a reader can seek from
-header to header. The reader plans one partition per file, tests record type and other header predicates on the
-headers, and skips the payloads of records that don't qualify or whose payload isn't asked for.
+Records are WARC 1.1. By default they are written uncompressed, their payloads gzipped as the HTTP content encoding, so
+that a reader can seek from header to header; with ``compression`` ``gzip`` each record is a gzip member of a ``.warc.gz``
+file, the usual form. The reader takes any folder of such files, plans one partition per file, tests record type and other
+header predicates on the headers, and skips the payloads of records that don't qualify or whose payload isn't asked for.
 """
 
 from __future__ import annotations
@@ -11,24 +12,30 @@ import base64
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .shared import new_path
+from .shared import discard, memory_bytes, new_path, written
 
-SCHEMA = "page_id long, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+SCHEMA = "page_id long, record_type string, record_id string, date string, target_uri string, payload_digest string, payload_bytes long, refers_to long, refers_to_uri string, payload binary"
 #: A writer task begins another file beyond so many bytes.
 FILE_BYTES = 256 << 20
 READ_BYTES = 1 << 20
-# Header names and the profile of revisit records, from the WARC 1.1 format.
+#: The digests of repeated payloads are broadcast up to so many bytes (DIGEST_BYTES and the URL a row, counted).
+BROADCAST_BYTES = 64 << 20
+DIGEST_BYTES = 160
+# Version, and the profile of revisit records, from the WARC 1.1 format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "_MANIFEST"
+SUFFIXES = (".warc", ".warc.gz")
 
 
 def _fs(path: str):  # noqa: ANN202
@@ -42,84 +49,121 @@ def _uri(path: str) -> str:
     return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def record_bytes(row: dict) -> bytes:
-    """One record. Line ends in a target URI are percent-encoded; a page's id and payload size are extension headers."""
+def record_bytes(row: dict, record_id: str, date: str, *, encode: bool = True) -> bytes:
+    """One record. Line ends in a target URI are percent-encoded, a null or empty one is ``urn:page:`` and the page's id;
+    a page's id and payload size are extension headers. encode: gzip as the content encoding."""
     revisit = row["record_type"] == "revisit"
-    http = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8"]
-    body = b"" if revisit else gzip.compress(bytes(row["payload"] or b""), 4, mtime=0)
+    http, body = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8"], b""
     if not revisit:
-        http.append(b"Content-Encoding: gzip")
+        body = bytes(row["payload"] or b"")
+        if encode:
+            http.append(b"Content-Encoding: gzip")
+            body = gzip.compress(body, 4, mtime=0)
     block = b"\r\n".join(http) + b"\r\n\r\n" + body
-    head = [
-        ("WARC-Type", row["record_type"]),
-        ("WARC-Record-ID", f"<urn:page:{row['page_id']}>"),
-        ("WARC-Payload-Digest", f"sha1:{row['payload_digest']}"),
-        ("X-Payload-Bytes", str(row["payload_bytes"])),
-        ("Content-Type", "application/http; msgtype=response"),
-        ("Content-Length", str(len(block))),
-    ]
-    if row["target_uri"] is not None:
-        head.insert(2, ("WARC-Target-URI", row["target_uri"].replace("\r", "%0D").replace("\n", "%0A")))
+    line = lambda uri: uri.replace("\r", "%0D").replace("\n", "%0A")
+    head = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", f"<urn:uuid:{record_id}>"), ("WARC-Date", date), ("WARC-Target-URI", line(row["target_uri"] or f"urn:page:{row['page_id']}"))]
+    head.append(("WARC-Payload-Digest", f"sha1:{row['payload_digest']}"))
     if revisit:
-        head[-2:-2] = [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{row['refers_to']}>")]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", line(row["refers_to_uri"] or f"urn:page:{row['refers_to']}")), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page", str(row["refers_to"]))]
+    if row["page_id"] is not None:
+        head.append(("X-Page-Id", str(row["page_id"])))
+    head += [("X-Payload-Bytes", str(row["payload_bytes"])), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _page(urn: str | None) -> int | None:
-    """The page id in ``<urn:page:N>``; null for other forms."""
-    inner = (urn or "").strip("<>").rpartition(":")[2]
-    return int(inner) if inner.lstrip("-").isdigit() else None
+class _Source:
+    """Sequential reads and skips over a file; where it can seek, a skip costs no read."""
 
+    def __init__(self, file, *, seeks: bool) -> None:  # noqa: ANN001
+        self.file, self.seeks = file, seeks
+        self.held, self.at = b"", 0
 
-class _Buffered:
-    """Sequential reads and skips over a random-access file."""
-
-    def __init__(self, file) -> None:  # noqa: ANN001
-        self.file, self.size = file, file.size()
-        self.at, self.held, self.start = 0, b"", 0
+    def _more(self, n: int) -> bool:
+        """At least one more byte is held, if there is one."""
+        got = self.file.read(max(n, READ_BYTES))
+        self.held, self.at = self.held[self.at :] + got, 0
+        return bool(got)
 
     def take(self, n: int) -> bytes:
-        i = self.at - self.start
-        if not 0 <= i <= len(self.held) - n:
-            self.file.seek(self.at)
-            self.held, self.start, i = self.file.read(max(n, READ_BYTES)), self.at, 0
+        while len(self.held) - self.at < n:
+            if not self._more(n - (len(self.held) - self.at)):
+                raise ValueError("a WARC record ends before its length")
         self.at += n
-        return self.held[i : i + n]
+        return self.held[self.at - n : self.at]
+
+    def skip(self, n: int) -> None:
+        own = min(n, len(self.held) - self.at)
+        self.at += own
+        n -= own
+        if n and self.seeks:
+            self.file.seek(self.file.tell() + n)
+        while n and not self.seeks and (got := self.file.read(min(n, READ_BYTES))):
+            n -= len(got)
 
     def head(self) -> bytes | None:
-        """Up to and without the next empty line; null at the end of the file."""
-        n = 4096
-        while self.at < self.size:
-            at, got = self.at, self.take(min(n, self.size - self.at))
-            if (end := got.find(b"\r\n\r\n")) >= 0:
-                self.at = at + end + 4
-                return got[:end]
-            self.at = at
-            if n >= self.size - at:
-                raise ValueError(f"a WARC header at byte {at} has no end")
-            n *= 4
+        """Up to and without the next empty line, line ends before it skipped; null at the end of the file."""
+        while True:
+            while self.held[self.at : self.at + 1] in (b"\r", b"\n"):
+                self.at += 1
+            if self.at < len(self.held) and (end := self.held.find(b"\r\n\r\n", self.at)) >= 0:
+                out, self.at = self.held[self.at : end], end + 4
+                return out
+            if not self._more(READ_BYTES):
+                if self.at < len(self.held):
+                    raise ValueError("a WARC header has no end")
+                return None
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The body without the marks of HTTP's chunked transfer."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0 and (n := int(body[at:end].split(b";")[0] or b"0", 16)):
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return b"".join(out)
+
+
+def _payload(kind: str, content: str, block: bytes) -> bytes | None:
+    """HTTP body of a response, its transfer and content encoding undone; the block of a resource or conversion; else null."""
+    if kind in ("resource", "conversion") or (kind == "response" and not content.startswith("application/http")):
+        return block
+    if kind != "response":
         return None
+    raw, _, body = block.partition(b"\r\n\r\n")
+    http = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(b":") for x in raw.split(b"\r\n")[1:])}
+    if http.get(b"transfer-encoding", b"").endswith(b"chunked"):
+        body = _unchunked(body)
+    if http.get(b"content-encoding") in (b"gzip", b"x-gzip"):
+        return gzip.decompress(body)
+    return zlib.decompress(body) if http.get(b"content-encoding") == b"deflate" else body
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.lstrip("-").isdigit() else None
 
 
-def parse(file, types: set[str] | None, headers: dict[str, set[str] | None], payload: bool) -> Iterator[tuple]:  # noqa: ANN001
-    """Rows of SCHEMA. headers: the values that a header may have, None for any. Headers first: a record that a predicate rejects costs a seek, its payload isn't read or decoded."""
-    src = _Buffered(file)
+def parse(file, types: set[str] | None, headers: dict[str, set[str] | None], payload: bool, *, seeks: bool = True) -> Iterator[tuple]:  # noqa: ANN001
+    """Rows of SCHEMA. headers: the values that a header may have, None for any. Headers first: a record that a predicate rejects is skipped, its payload isn't read or decoded."""
+    src = _Source(file, seeks=seeks)
     while (raw := src.head()) is not None:
         lines = raw.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record before byte {src.at}")
+            raise ValueError(f"no WARC record: {lines[0][:40]!r}")
         h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(h["content-length"])
-        after = src.at + size + 4
-        if (types is None or h.get("warc-type") in types) and all(k in h if v is None else h.get(k) in v for k, v in headers.items()):
-            data = None
-            if payload and h.get("warc-type") == "response":
-                block = src.take(size)
-                http, _, body = block.partition(b"\r\n\r\n")
-                data = gzip.decompress(body) if b"content-encoding: gzip" in http.lower() else body
-            n = h.get("x-payload-bytes")
-            yield (_page(h.get("warc-record-id")), h.get("warc-type"), h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, int(n) if n else None, _page(h.get("warc-refers-to")), data)
-        src.at = after
+        size, kind, data = int(h["content-length"]), h.get("warc-type", ""), None
+        if (types is not None and kind not in types) or not all(k in h if v is None else h.get(k) in v for k, v in headers.items()):
+            src.skip(size)
+            continue
+        if payload and kind in ("response", "resource", "conversion"):
+            data = _payload(kind, h.get("content-type", ""), src.take(size))
+        else:
+            src.skip(size)
+        n = _number(h.get("x-payload-bytes"))
+        uri = lambda name: h[name].strip("<>") if name in h else None  # noqa: B023, E731
+        yield (
+            _number(h.get("x-page-id")), kind, uri("warc-record-id"), h.get("warc-date"), h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
+            len(data) if n is None and data is not None else n, _number(h.get("x-refers-to-page")), h.get("warc-refers-to-target-uri"), data,
+        )
 
 
 @dataclass
@@ -153,9 +197,17 @@ class WarcReader(DataSourceReader):
                 self.headers[self.COLUMNS[name]] = values if before is None else before & values
 
     def partitions(self) -> list[InputPartition]:
+        """A file that is named; what the manifest of a folder lists; else all its WARC files, in folders below it too."""
+        from pyarrow.fs import FileSelector, FileType
+
         fs, root = _fs(self.path)
-        with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-            names = f.read().decode().split()
+        if fs.get_file_info(root).type == FileType.File:
+            return [FilePart(self.path)]
+        if fs.get_file_info(f"{root}/{MANIFEST}").type == FileType.File:
+            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
+                names = f.read().decode().split()
+        else:
+            names = sorted(f.path[len(root) :].lstrip("/") for f in fs.get_file_info(FileSelector(root, recursive=True)) if f.type == FileType.File and f.path.endswith(SUFFIXES))
         return [FilePart(f"{self.path}/{n}") for n in names]
 
     def read(self, partition: FilePart | None) -> Iterator[tuple]:
@@ -163,7 +215,11 @@ class WarcReader(DataSourceReader):
             return
         fs, path = _fs(partition.path)
         with fs.open_input_file(path) as f:
-            yield from parse(f, self.types, self.headers, self.payload)
+            if path.endswith(".gz"):
+                with gzip.GzipFile(fileobj=f) as g:
+                    yield from parse(g, self.types, self.headers, self.payload, seeks=False)
+            else:
+                yield from parse(f, self.types, self.headers, self.payload)
 
 
 @dataclass
@@ -172,22 +228,31 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Tasks write files under names of their own; only those of committed tasks are listed in the manifest."""
+    """Options: path; date (of the capture, ISO 8601 in UTC; the time of writing if unset); compression ("gzip": a member per record).
+
+    Tasks write files under names of their own; only those of committed tasks are listed in the manifest. Record ids
+    follow from the file's name and the record's place, so they are unique.
+    """
 
     def __init__(self, options: dict) -> None:
-        self.path = _uri(options["path"])
+        self.path, self.gzip = _uri(options["path"]), options.get("compression") == "gzip"
+        self.date = options.get("date") or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(self, iterator: Iterator) -> Written:
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
-        names, out, size = [], None, 0
+        names, out, size, n = [], None, 0, 0
         for row in iterator:
             if out is None or size > FILE_BYTES:
                 if out is not None:
                     out.close()
-                names.append(f"part-{uuid.uuid4().hex}.warc")
-                out, size = fs.open_output_stream(f"{root}/{names[-1]}"), 0
-            size += out.write(data := record_bytes(row.asDict())) or len(data)
+                own, n = uuid.uuid4(), 0
+                names.append(f"part-{own.hex}.warc{'.gz' if self.gzip else ''}")
+                out, size = fs.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
+            data = record_bytes(row.asDict(), str(uuid.uuid5(own, str(n))), self.date, encode=not self.gzip)
+            data = gzip.compress(data, 4, mtime=0) if self.gzip else data
+            out.write(data)
+            size, n = size + len(data), n + 1
         if out is not None:
             out.close()
         return Written(names)
@@ -235,43 +300,50 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def sha1_base32(data: F.Column) -> F.Column:
-    """Upper-case base32 of the SHA-1 of a binary or string column: five hexadecimal digits are four letters."""
-    digest, letters = F.sha1(data), F.lit(BASE32)
-    out = []
+def sha1_base32(digest: F.Column) -> F.Column:
+    """Upper-case base32 of a SHA-1 in hexadecimal: five of its digits are four letters."""
+    letters, out = F.lit(BASE32), []
     for i in range(0, 40, 5):
         five = F.conv(F.substring(digest, i + 1, 5), 16, 10).cast("int")
         out += [F.substr(letters, F.shiftright(five, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
     return F.concat(*out)
 
 
-def archive_rows(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages as rows of SCHEMA: of equal payloads of ``least_bytes`` or more the smallest id is the response, others revisit it.
+def archive_rows(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
+    """Pages as rows of SCHEMA, and the written table they read: of equal payloads of ``least_bytes`` or more the smallest id is the response, others revisit it.
 
     Null html: empty payload. Rows that repeat the smallest id are all responses. A null id can't be referred to: such
-    rows are responses. Equal payloads are told by SHA-1 and length, counted with map-side combination; the join
-    with the repeated ones carries their few rows to the pages if Spark measures them as small, else it is a sort-merge
-    join whose hot keys adaptive execution splits.
+    rows are responses. A very long payload is one record. Other columns are ignored, whatever their names. Equal payloads
+    are told by SHA-1 and length. First the digests that repeat are found, with map-side combination; if they take
+    BROADCAST_BYTES at most they are broadcast and payloads go straight to their files, else both are joined by shuffle,
+    where adaptive execution splits hot digests.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
-    rows = rows.select("*", sha1_base32(F.col("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1 AND first IS NOT NULL").drop("n")
-    rows = rows.join(first, ["payload_digest", "payload_bytes"], "left")
+    rows = rows.select("*", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    first = rows.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("sha", "payload_bytes").agg(F.min(F.struct("page_id", "target_uri")).alias("first"), F.count("*").alias("n"))
+    first = written(first.where("n > 1").select("sha", "payload_bytes", F.col("first.page_id").alias("first"), F.col("first.target_uri").alias("first_uri")), "repeated-digests")
+    small = memory_bytes(first, DIGEST_BYTES, "first_uri") <= BROADCAST_BYTES
+    rows = rows.join(F.broadcast(first) if small else first, ["sha", "payload_bytes"], "left")
     again = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("first") != F.col("page_id"))
-    return rows.select("page_id", F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", "payload_digest", "payload_bytes", F.when(again, F.col("first")).alias("refers_to"), F.when(~again, F.col("payload")).alias("payload"))
+    none = F.lit(None).cast("string")
+    return rows.select(
+        "page_id", F.when(again, "revisit").otherwise("response").alias("record_type"), none.alias("record_id"), none.alias("date"), "target_uri", sha1_base32(F.col("sha")).alias("payload_digest"), "payload_bytes",
+        F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_uri")).alias("refers_to_uri"), F.when(~again, F.col("payload")).alias("payload"),
+    ), first
 
 
-def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> str:
-    """Write a record per page; returns the folder (a new one in the shared folder unless named)."""
+def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0, **options: str) -> str:
+    """Write a record per page; returns the folder (a new one in the shared folder unless named). An empty table: no records. options: the writer's."""
     register(pages.sparkSession)
     path = path or new_path(pages.sparkSession, "warc")
-    archive_rows(pages, least_bytes).write.format("warc").mode("append").save(path)
+    rows, first = archive_rows(pages, least_bytes)
+    rows.write.format("warc").options(**options).mode("append").save(path)
+    discard(first)
     return path
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Rows of SCHEMA; filters on record_type and target_uri are decided on the headers."""
+    """Rows of SCHEMA from a file or folder; filters on record_type and target_uri are decided on the headers. Page ids are null in archives from elsewhere."""
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
