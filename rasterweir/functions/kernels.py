@@ -199,19 +199,27 @@ def high_boost(a: np.ndarray, factor: float = 1.5, sigma: float = 2.0) -> np.nda
     return clip_bytes(factor * a - np.rint(smooth(a, sigma)))
 
 
-#: Steps by name; each takes an image and keyword numbers.
+FREQUENCY_KINDS = ("high_ideal", "high_butterworth", "high_gaussian", "low_ideal", "low_butterworth", "low_gaussian", "band")
+
+
+def _frequency_step(kind: str):  # noqa: ANN202
+    return lambda a, fc=30.0, low=10.0, high=80.0, order=2: frequency_filter(a, kind, fc, low, high, int(order))
+
+
+#: Steps by name; each takes an image and keyword numbers. By kind: light, noise, contrast, edges, frequency.
 STEPS = {
-    "homomorphic": homomorphic,
     "background_subtraction": background_subtraction,
+    "homomorphic": homomorphic,
     "bilateral": bilateral,
-    "non_local_means": non_local_means,
     "gaussian": lambda a, sigma=1.0: clip_bytes(smooth(a, sigma), rounded=True),
     "median": lambda a, k=3: median_window(a, int(k)),
+    "non_local_means": non_local_means,
     "clahe": lambda a, clip=2.5, tiles=8: clahe(a, clip, int(tiles)),
     "contrast_stretch": contrast_stretch,
     "gamma": gamma,
-    "unsharp": unsharp,
     "high_boost": high_boost,
+    "unsharp": unsharp,
+    **{f"frequency_{kind}": _frequency_step(kind) for kind in FREQUENCY_KINDS},
 }
 
 
@@ -255,6 +263,26 @@ def runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return y, x0, np.nonzero(step == -1)[1]
 
 
+def label_runs(label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Horizontal runs (label, row, first column, end column) of all labels over 0, in row order, in one pass."""
+    p = np.pad(label, ((0, 0), (1, 1)))
+    own, left, right = p[:, 1:-1], p[:, :-2], p[:, 2:]
+    y, x0 = np.nonzero((own > 0) & (own != left))
+    return label[y, x0], y, x0, np.nonzero((own > 0) & (own != right))[1] + 1
+
+
+def label_boxes(label: np.ndarray) -> list[tuple[int, int, tuple[slice, slice]]]:
+    """(label, pixels, bounding box) of all labels over 0, in order."""
+    n, y, x0, x1 = label_runs(label)
+    if not len(n):
+        return []
+    order = np.argsort(n, kind="stable")
+    n, y, x0, x1 = n[order], y[order], x0[order], x1[order]
+    at = np.flatnonzero(np.diff(n, prepend=n[0] - 1))
+    ends = zip(n[at].tolist(), np.add.reduceat(x1 - x0, at).tolist(), *(f.reduceat(v, at).tolist() for f, v in ((np.minimum, y), (np.maximum, y), (np.minimum, x0), (np.maximum, x1))), strict=True)
+    return [(k, area, np.s_[a : b + 1, c:d]) for k, area, a, b, c, d in ends]
+
+
 def components(m: np.ndarray, connectivity: int = 8) -> np.ndarray:
     """Label map; 0 is background, regions count from 1 in the order of their first pixel. Union-find over runs."""
     y, x0, x1 = runs(m)
@@ -429,8 +457,8 @@ def shape_features(m: np.ndarray) -> dict[str, float]:
     """solidity, circularity, holes, euler (8-connected components less holes) of a crop mask."""
     label = components(m, 8)
     best, area = np.zeros((0, 2), int), -1.0
-    for i in range(1, int(label.max()) + 1):
-        line = outline(label == i)
+    for i, _, box in label_boxes(label):
+        line = outline(label[box] == i)
         if (own := polygon_area(line)) > area:
             best, area = line, own
     outer = polygon_area(hull(best)) if len(best) else 0.0
@@ -446,6 +474,84 @@ def shape_features(m: np.ndarray) -> dict[str, float]:
     }
 
 
+def value_entropy(v: np.ndarray) -> float:
+    n = np.bincount(v.ravel())
+    p = n[n > 0] / (v.size + EPS)
+    return float(-(p * np.log2(p + EPS)).sum())
+
+
+def intensity_features(v: np.ndarray) -> dict[str, float]:
+    """mean, std, cv, iqr, median and entropy of an object's gray values."""
+    mean, std = float(v.mean()), float(v.std())
+    low, mid, high = np.percentile(v, [25, 50, 75])
+    return {"mean": mean, "std": std, "cv": std / (abs(mean) + EPS), "iqr": float(high - low), "median": float(mid), "entropy": value_entropy(v)}
+
+
+def contrast_features(v: np.ndarray, ring: np.ndarray) -> dict[str, float]:
+    """Object against ring: mean difference, ratio of deviations, entropy difference; zeros without a ring."""
+    if not ring.size:
+        return dict.fromkeys(("contrast_mean", "contrast_std", "contrast_entropy"), 0.0)
+    return {"contrast_mean": float(v.mean() - ring.mean()), "contrast_std": float(v.std() / (ring.std() + EPS)), "contrast_entropy": value_entropy(v) - value_entropy(ring)}
+
+
+def glcm_features(a: np.ndarray, levels: int = 32) -> dict[str, float]:
+    """Co-occurrence of quantised levels at distance 1 in 4 directions, symmetric, normalised; five properties, averaged.
+
+    Correlation is 1 where a direction's level doesn't vary; directions without pairs count as 0 in the averages except
+    correlation, where they count as 1.
+    """
+    q = np.minimum(a.astype(np.int64) * levels // 256, levels - 1)
+    h, w = q.shape
+    i, j = np.mgrid[:levels, :levels].astype(float)
+    out = np.zeros(5)
+    for dy, dx in ((0, 1), (1, 1), (1, 0), (1, -1)):
+        here, there = q[: h - dy, max(0, -dx) : w - max(0, dx)], q[dy:, max(0, dx) : w - max(0, -dx)]
+        n = np.bincount((here * levels + there).ravel(), minlength=levels * levels).reshape(levels, levels).astype(float)
+        n += n.T
+        if not (t := n.sum()):
+            out += (0, 0, 0, 0, 1)
+            continue
+        mean = (n * i).sum() / t
+        var = (n * i * i).sum() / t - mean * mean
+        corr = 1.0 if var < 1e-15 else ((n * i * j).sum() / t - mean * mean) / var
+        out += ((n * (i - j) ** 2).sum() / t, (n * np.abs(i - j)).sum() / t, (n / (1 + (i - j) ** 2)).sum() / t, np.sqrt((n * n).sum()) / t, corr)
+    return dict(zip(("glcm_contrast", "glcm_dissimilarity", "glcm_homogeneity", "glcm_energy", "glcm_correlation"), (out / 4).tolist(), strict=True))
+
+
+def lbp_features(a: np.ndarray, m: np.ndarray) -> dict[str, float]:
+    """Uniform local binary patterns (8 points, radius 1) of object pixels in filled crops: uniformity and entropy of 10 bins.
+
+    Diagonal points are bilinear; outside the crop is 0. Differences are rounded to 1e-9 before they are compared, so
+    flat areas can't flip.
+    """
+    if not m.any():
+        return {"lbp_uniformity": 0.0, "lbp_entropy": 0.0}
+    p, r = np.pad(a.astype(float), 1), 0.5**0.5
+    h, w = a.shape
+    at = lambda dy, dx: p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w][m]
+    c = at(0, 0)
+    bits = []
+    for dy, dx in ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)):
+        v = at(dy, dx) if dy == 0 or dx == 0 else (1 - r) * (1 - r) * c + (1 - r) * r * (at(dy, 0) + at(0, dx)) + r * r * at(dy, dx)
+        bits.append(np.round(v - c, 9) >= 0)
+    b = np.array(bits, np.int64)
+    code = np.where((b != np.roll(b, -1, axis=0)).sum(axis=0) <= 2, b.sum(axis=0), 9)
+    n = np.bincount(code, minlength=10)
+    share = n[n > 0] / (len(code) + EPS)
+    return {"lbp_uniformity": float((share * share).sum()), "lbp_entropy": float(-(share * np.log2(share + EPS)).sum())}
+
+
+def two_band_ratio(a: np.ndarray, m: np.ndarray, share: float = 0.18) -> float:
+    """Energy beyond a share of the largest radius over the energy within it, of the mean-removed object; 0 without pixels."""
+    if not m.any():
+        return 0.0
+    e = np.abs(np.fft.fftshift(np.fft.fft2(np.where(m, np.asarray(a, float) - a[m].mean(), 0.0)))) ** 2
+    y, x = np.ogrid[: e.shape[0], : e.shape[1]]
+    r = np.hypot(y - e.shape[0] // 2, x - e.shape[1] // 2)
+    low = r <= share * (r.max() + EPS)
+    return float(e[~low].sum() / (e[low].sum() + EPS))
+
+
 def spectrum_features(a: np.ndarray, m: np.ndarray) -> dict[str, float]:
     """Radial energy shares of the mean-removed object, their ratio and the normalised spectral entropy."""
     zero = dict.fromkeys(("fft_ratio", "spectral_entropy", "energy_low", "energy_mid", "energy_high"), 0.0)

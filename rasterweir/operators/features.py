@@ -1,25 +1,27 @@
-"""Region features: intensity, contrast, texture and context natively; shape, spectrum and edges by a helper per region.
+"""Region features: one row per region, cut from packed images and label runs; all pixel features in one map.
 
-``filled`` crops: the box of a region grown by a pad and clamped to the image, in which pixels outside the object have
-the truncated median of the object.
+A region's row holds its filled crop (the box grown by a pad and clamped to the image, in which pixels outside the object
+have the truncated median of the object), its mask, and the gray values of the ring around it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from .pixels import gray_histogram
-from .regions import border_context, region_ring
+from .regions import border_context
 
-EPS = K.EPS
 LEVELS = 32
 PAD = 12
+#: Size of the ellipse that an object is grown by for its ring.
+RING = 9
 REGION = ["image_id", "region_id"]
-#: The 30 features in the order of the vector.
+# The 30 features in the order of the vector, which stored models and data sets rely on.
 FEATURES = [
     "solidity", "holes", "euler", "intensity_std", "intensity_cv", "intensity_iqr", "intensity_entropy", "contrast_mean", "contrast_std", "contrast_entropy",
     "glcm_contrast", "glcm_dissimilarity", "glcm_homogeneity", "glcm_energy", "glcm_correlation", "lbp_uniformity", "lbp_entropy", "fft_ratio", "spectral_entropy",
@@ -27,164 +29,117 @@ FEATURES = [
 ]
 
 
-def _value_entropy(pixels: DataFrame) -> DataFrame:
-    h = gray_histogram(pixels, "region_id")
-    total = h.groupBy(*REGION).agg(F.sum("n").alias("total"))
-    p = F.col("n") / (F.col("total") + EPS)
-    return h.join(total, REGION).groupBy(*REGION).agg((-F.sum(p * F.log2(p + EPS))).alias("entropy"))
-
-
-def region_intensity(pixels: DataFrame) -> DataFrame:
-    """mean, std, cv, iqr, median and entropy of ``pixels(image_id, region_id, v)``."""
-    s = pixels.groupBy(*REGION).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    s = s.join(_value_entropy(pixels), REGION)
-    return s.select(*REGION, "mean", "std", (F.col("std") / (F.abs("mean") + EPS)).alias("cv"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), F.col("q")[1].alias("median"), "entropy")
-
 
-def region_contrast(intensity: DataFrame, ring_pixels: DataFrame) -> DataFrame:
-    """Object against ring: mean difference, ratio of deviations, entropy difference; zeros without a ring."""
-    r = ring_pixels.groupBy(*REGION).agg(F.avg("v").alias("ring_mean"), F.stddev_pop("v").alias("ring_std")).join(_value_entropy(ring_pixels).withColumnRenamed("entropy", "ring_entropy"), REGION)
-    j = intensity.join(r, REGION, "left")
-    zero = F.lit(0.0)
-    return j.select(
-        *REGION, F.coalesce(F.col("mean") - F.col("ring_mean"), zero).alias("contrast_mean"), F.coalesce(F.col("std") / (F.col("ring_std") + EPS), zero).alias("contrast_std"),
-        F.coalesce(F.col("entropy") - F.col("ring_entropy"), zero).alias("contrast_entropy"),
-    )
-
-
-def filled_crops(regions: DataFrame, sizes: DataFrame, region_pixels: DataFrame, medians: DataFrame, pad: int = PAD) -> DataFrame:
-    """``(image_id, region_id, y, x, v, inside)``, one row per pixel of each padded box; ``inside``: of the object."""
-    from .regions import padded_bbox
-
-    box = padded_bbox(regions, sizes, pad).join(medians.select(*REGION, F.floor("median").cast("int").alias("fill")), REGION)
-    grid = box.withColumn("y", F.explode(F.sequence("py_min", F.col("py_max") - 1))).withColumn("x", F.explode(F.sequence("px_min", F.col("px_max") - 1)))
-    own = region_pixels.select(*REGION, "y", "x", F.col("v").alias("own"))
-    full = grid.join(own, [*REGION, "y", "x"], "left")
-    return full.select(*REGION, "y", "x", F.coalesce("own", "fill").alias("v"), F.col("own").isNotNull().alias("inside"))
+INTENSITY = ["mean", "std", "cv", "iqr", "median", "entropy"]
+CONTRAST = ["contrast_mean", "contrast_std", "contrast_entropy"]
+GLCM = ["glcm_contrast", "glcm_dissimilarity", "glcm_homogeneity", "glcm_energy", "glcm_correlation"]
+LBP = ["lbp_uniformity", "lbp_entropy"]
+SHAPE = ["solidity", "circularity", "holes", "euler"]
+SPECTRUM = ["fft_ratio", "spectral_entropy", "energy_low", "energy_mid", "energy_high"]
+EDGES = ["edge_density", "gradient_mean", "gradient_std", "laplacian_var", "log_mean", "log_std"]
+CROP = "height int, width int, crop binary, mask binary, ring binary"
 
 
-def region_glcm(crops: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """Co-occurrence of quantised levels at distance 1 in 4 directions, symmetric, normalised; five properties, averaged.
+def region_crops(gray: DataFrame, runs: DataFrame, pad: int = PAD) -> DataFrame:
+    """``(image_id, region_id, height, width, crop, mask, ring)``: a row per region of ``label_runs`` whose image is in ``gray``.
 
-    Pairs come from one equi-join on the neighbour's place; counts are summed before they are made symmetric, so at
-    most 4 x levels^2 cells a region go on. Correlation is 1 where a direction's level doesn't vary; directions without
-    pairs count as 0 in the averages except correlation, where they count as 1.
+    An image meets its runs in one task, and its regions leave as rows of their own. The ring is what lies within an
+    ellipse of size RING around the object, inside the image and not in it; other objects' pixels belong to it.
     """
-    q = crops.select(*REGION, "y", "x", F.least(F.floor(F.col("v") / 256.0 * levels), F.lit(levels - 1)).cast("int").alias("q"))
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for a, (dy, dx) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1)))])
-    here = q.withColumn("s", F.explode(steps)).select(*REGION, F.col("s.a").alias("a"), (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("q").alias("i"))
-    pairs = here.join(q.withColumnRenamed("q", "j"), [*REGION, "y", "x"]).groupBy(*REGION, "a", "i", "j").agg(F.count("*").alias("n"))
-    both = pairs.unionByName(pairs.select(*REGION, "a", F.col("j").alias("i"), F.col("i").alias("j"), "n"))
-    d, n = (F.col("i") - F.col("j")).cast("double"), F.col("n").cast("double")
-    cells = both.groupBy(*REGION, "a", "i", "j").agg(F.sum("n").alias("n"))
-    sums = cells.groupBy(*REGION, "a").agg(
-        F.sum(n).alias("t"), F.sum(n * d * d).alias("con"), F.sum(n * F.abs(d)).alias("dis"), F.sum(n / (1 + d * d)).alias("hom"), F.sum(n * n).alias("sq"),
-        F.sum(n * F.col("i")).alias("si"), F.sum(n * F.col("i") * F.col("i")).alias("sii"), F.sum(n * F.col("i") * F.col("j")).alias("sij"),
-    )
-    t, mean = F.col("t"), F.col("si") / F.col("t")
-    var = F.col("sii") / t - mean * mean
-    corr = F.when(var < 1e-15, 1.0).otherwise((F.col("sij") / t - mean * mean) / var)
-    per = sums.select(*REGION, (F.col("con") / t).alias("con"), (F.col("dis") / t).alias("dis"), (F.col("hom") / t).alias("hom"), (F.sqrt("sq") / t).alias("en"), corr.alias("corr"))
-    mean4 = lambda c: F.sum(c) / 4
-    got = per.groupBy(*REGION).agg(mean4("con").alias("glcm_contrast"), mean4("dis").alias("glcm_dissimilarity"), mean4("hom").alias("glcm_homogeneity"), mean4("en").alias("glcm_energy"), ((F.sum("corr") + 4 - F.count("*")) / 4).alias("glcm_correlation"))
-    names = [f"glcm_{k}" for k in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")]
-    single = q.select(*REGION).distinct().join(got, REGION, "left")
-    return single.select(*REGION, *[F.coalesce(c, F.lit(1.0 if c == "glcm_correlation" else 0.0)).alias(c) for c in names])
-
+    kind = runs.schema["image_id"].dataType.simpleString()
+    near, reach = K.ellipse(RING), RING // 2
+
+    def cut(image: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(image) and len(own):
+            first = image.iloc[0]
+            a = np.frombuffer(first["data"], np.uint8).reshape(first["height"], first["width"])
+            own = own.sort_values("region_id", kind="stable")
+            region, y, x0, x1 = (own[c].to_numpy() for c in ("region_id", "y", "x0", "x1"))
+            ends = np.flatnonzero(np.diff(region, append=region[-1] + 1)) + 1
+            for i, k in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                box = (y[i:k].min(), y[i:k].max() + 1, x0[i:k].min(), x1[i:k].max())
+                grown = lambda n: np.s_[max(0, box[0] - n) : min(a.shape[0], box[1] + n), max(0, box[2] - n) : min(a.shape[1], box[3] + n)]  # noqa: B023, E731
+                m = np.zeros(a.shape, bool) if i == 0 else m
+                for r, b, e in zip(y[i:k].tolist(), x0[i:k].tolist(), x1[i:k].tolist(), strict=True):
+                    m[r, b:e] = True
+                wide, tight = grown(reach), grown(pad)
+                ring = a[wide][K.dilate(m[wide], near) & ~m[wide]]
+                fill = int(np.median(a[tight][m[tight]]))
+                crop = np.where(m[tight], a[tight], fill).astype(np.uint8)
+                out.append((image["image_id"].iloc[0], region[i], *crop.shape, crop.tobytes(), m[tight].astype(np.uint8).tobytes(), ring.tobytes()))
+                m[grown(0)] = False
+        return pd.DataFrame(out, columns=[*REGION, "height", "width", "crop", "mask", "ring"])
+
+    pair = gray.select("image_id", "height", "width", "data").groupBy("image_id").cogroup(runs.select(*REGION, "y", "x0", "x1").groupBy("image_id"))
+    return pair.applyInPandas(cut, f"image_id {kind}, region_id int, {CROP}")
+
+
+def _per_region(crops: DataFrame, names: list[str], fn: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, float]]) -> DataFrame:
+    """``fn(crop, mask, ring)`` of every region as columns."""
+    kind = crops.schema["image_id"].dataType.simpleString()
 
-def region_lbp(crops: DataFrame) -> DataFrame:
-    """Uniform local binary patterns (8 points, radius 1) of object pixels in filled crops: uniformity and entropy of 10 bins.
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            got = []
+            for h, w, crop, mask, ring in zip(pdf["height"], pdf["width"], pdf["crop"], pdf["mask"], pdf["ring"], strict=True):
+                got.append(fn(np.frombuffer(crop, np.uint8).reshape(h, w), np.frombuffer(mask, np.uint8).reshape(h, w) > 0, np.frombuffer(ring, np.uint8)))
+            yield pd.concat([pdf[REGION].reset_index(drop=True), pd.DataFrame(got, columns=names, dtype=float)], axis=1)
 
-    Diagonal points are bilinear; outside the crop is 0. Differences are rounded to 1e-9 before they are compared, so
-    flat areas can't flip.
-    """
-    near = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    spread = crops.withColumn("d", F.explode(near)).select(*REGION, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), F.negative("d.dy").alias("dy"), F.negative("d.dx").alias("dx"), "v", "inside")
-    at = lambda dy, dx: F.coalesce(F.max(F.when((F.col("dy") == dy) & (F.col("dx") == dx), F.col("v"))), F.lit(0)).cast("double").alias(f"p{dy + 1}{dx + 1}")
-    centre = F.max(F.when((F.col("dy") == 0) & (F.col("dx") == 0), F.col("inside"))).alias("inside")
-    full = spread.groupBy(*REGION, "y", "x").agg(centre, *[at(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]).where("inside")
-    c, r = F.col("p11"), 0.5**0.5
-
-    def point(dy: int, dx: int) -> Column:
-        p = lambda a, b: F.col(f"p{a + 1}{b + 1}")
-        if dy == 0 or dx == 0:
-            return p(dy, dx)
-        return (1 - r) * (1 - r) * c + (1 - r) * r * (p(dy, 0) + p(0, dx)) + r * r * p(dy, dx)
-
-    bits = [(F.round(point(dy, dx) - c, 9) >= 0).cast("int") for dy, dx in ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))]
-    coded = full.select(*REGION, F.array(*bits).alias("b"))
-    turns = sum((F.col("b")[i] != F.col("b")[(i + 1) % 8]).cast("int") for i in range(8))
-    ones = sum((F.col("b")[i] for i in range(1, 8)), F.col("b")[0])
-    h = coded.select(*REGION, F.when(turns <= 2, ones).otherwise(9).alias("code")).groupBy(*REGION, "code").agg(F.count("*").alias("n"))
-    total = h.groupBy(*REGION).agg(F.sum("n").alias("total"))
-    p = F.col("n") / (F.col("total") + EPS)
-    return h.join(total, REGION).groupBy(*REGION).agg(F.sum(p * p).alias("lbp_uniformity"), (-F.sum(p * F.log2(p + EPS))).alias("lbp_entropy"))
-
-
-CROP = "height int, width int, crop binary, mask binary"
-
-
-def packed_crops(crops: DataFrame) -> DataFrame:
-    """Filled crops as one row per region: ``(image_id, region_id, height, width, crop, mask)``."""
-    kind = crops.schema["image_id"].dataType.simpleString()
+    return crops.mapInPandas(run, f"image_id {kind}, region_id int, " + ", ".join(f"{n} double" for n in names))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy() - pdf["y"].min(), pdf["x"].to_numpy() - pdf["x"].min()
-        a, m = np.zeros((y.max() + 1, x.max() + 1), np.uint8), np.zeros((y.max() + 1, x.max() + 1), np.uint8)
-        a[y, x], m[y, x] = pdf["v"], pdf["inside"]
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[:1], "region_id": pdf["region_id"].iloc[:1], "height": np.int32([a.shape[0]]), "width": np.int32([a.shape[1]]), "crop": [a.tobytes()], "mask": [m.tobytes()]})
 
-    return crops.groupBy(*REGION).applyInPandas(run, f"image_id {kind}, region_id int, {CROP}")
+def region_intensity(crops: DataFrame) -> DataFrame:
+    """mean, std, cv, iqr, median and entropy of the object's pixels."""
+    return _per_region(crops, INTENSITY, lambda a, m, ring: K.intensity_features(a[m]))
 
 
-def _per_region(packed: DataFrame, names: list[str], fn) -> DataFrame:  # noqa: ANN001
-    kind = packed.schema["image_id"].dataType.simpleString()
+def region_contrast(crops: DataFrame) -> DataFrame:
+    """Object against ring."""
+    return _per_region(crops, CONTRAST, lambda a, m, ring: K.contrast_features(a[m], ring))
 
-    def run(parts):  # noqa: ANN001, ANN202
-        for pdf in parts:
-            got = []
-            for h, w, crop, mask in zip(pdf["height"], pdf["width"], pdf["crop"], pdf["mask"], strict=True):
-                got.append(fn(np.frombuffer(crop, np.uint8).reshape(h, w), np.frombuffer(mask, np.uint8).reshape(h, w) > 0))
-            yield pd.concat([pdf[REGION].reset_index(drop=True), pd.DataFrame(got, columns=names, dtype=float)], axis=1)
 
-    return packed.mapInPandas(run, f"image_id {kind}, region_id int, " + ", ".join(f"{n} double" for n in names))
+def region_glcm(crops: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """Co-occurrence properties of the filled crop."""
+    return _per_region(crops, GLCM, lambda a, m, ring: K.glcm_features(a, levels))
 
 
-SHAPE = ["solidity", "circularity", "holes", "euler"]
-SPECTRUM = ["fft_ratio", "spectral_entropy", "energy_low", "energy_mid", "energy_high"]
-EDGES = ["edge_density", "gradient_mean", "gradient_std", "laplacian_var", "log_mean", "log_std"]
+def region_lbp(crops: DataFrame) -> DataFrame:
+    """Local binary patterns of the object's pixels."""
+    return _per_region(crops, LBP, lambda a, m, ring: K.lbp_features(a, m))
 
 
-def region_shape(packed: DataFrame) -> DataFrame:
+def region_shape(crops: DataFrame) -> DataFrame:
     """Solidity, circularity, holes and Euler number."""
-    return _per_region(packed, SHAPE, lambda a, m: K.shape_features(m))
+    return _per_region(crops, SHAPE, lambda a, m, ring: K.shape_features(m))
 
 
-def region_spectrum(packed: DataFrame) -> DataFrame:
+def region_spectrum(crops: DataFrame) -> DataFrame:
     """Radial energy shares and spectral entropy."""
-    return _per_region(packed, SPECTRUM, K.spectrum_features)
+    return _per_region(crops, SPECTRUM, lambda a, m, ring: K.spectrum_features(a, m))
+
 
+def region_band_ratio(crops: DataFrame, share: float = 0.18) -> DataFrame:
+    """The plain ratio of two bands: ``fft_ratio`` alone."""
+    return _per_region(crops, ["fft_ratio"], lambda a, m, ring: {"fft_ratio": K.two_band_ratio(a, m, share)})
 
-def region_edges(packed: DataFrame) -> DataFrame:
+
+def region_edges(crops: DataFrame) -> DataFrame:
     """Edge density, gradient, Laplacian and LoG statistics."""
-    return _per_region(packed, EDGES, K.edge_features)
+    return _per_region(crops, EDGES, lambda a, m, ring: K.edge_features(a, m))
 
 
-def region_features(regions: DataFrame, sizes: DataFrame, region_pixels: DataFrame, pixels: DataFrame, label_pixels: DataFrame, pad: int = PAD) -> DataFrame:
-    """All 30 features of ``regions``, by name and as ``features ARRAY<FLOAT>``; non-finite values are 0.
+def _measured(a: np.ndarray, m: np.ndarray, ring: np.ndarray) -> dict[str, float]:
+    """All pixel features of a region."""
+    own = {f"intensity_{k}": v for k, v in K.intensity_features(a[m]).items()}
+    return own | K.contrast_features(a[m], ring) | K.glcm_features(a, LEVELS) | K.lbp_features(a, m) | K.shape_features(m) | K.spectrum_features(a, m) | K.edge_features(a, m)
 
-    The helper's three groups of features share one pass over the packed crops.
-    """
-    own = region_pixels.join(regions.select(*REGION), REGION, "left_semi")
-    intensity = region_intensity(own)
-    labels = label_pixels.join(regions.select(*REGION), REGION, "left_semi")
-    ring = region_ring(labels, sizes, K.ellipse(9)).join(pixels, ["image_id", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
-    crops = filled_crops(regions, sizes, own, intensity, pad)
-    helper = _per_region(packed_crops(crops), SHAPE + SPECTRUM + EDGES, lambda a, m: K.shape_features(m) | K.spectrum_features(a, m) | K.edge_features(a, m))
-    named = intensity.select(*REGION, F.col("std").alias("intensity_std"), F.col("cv").alias("intensity_cv"), F.col("iqr").alias("intensity_iqr"), F.col("entropy").alias("intensity_entropy"))
-    out = regions.select(*REGION)
-    for part in (helper, named, region_contrast(intensity, ring), region_glcm(crops), region_lbp(crops), border_context(regions, sizes)):
-        out = out.join(part, REGION, "left")
+
+def region_features(regions: DataFrame, sizes: DataFrame, gray: DataFrame, runs: DataFrame, pad: int = PAD) -> DataFrame:
+    """All 30 features of ``regions``, by name and as ``features ARRAY<FLOAT>``; non-finite values and regions without pixels give 0."""
+    names = [f"intensity_{c}" for c in INTENSITY] + CONTRAST + GLCM + LBP + SHAPE + SPECTRUM + EDGES
+    crops = region_crops(gray, runs.join(regions.select(*REGION), REGION, "left_semi"), pad)
+    out = regions.select(*REGION).join(_per_region(crops, names, _measured), REGION, "left").join(border_context(regions, sizes), REGION, "left")
     clean = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).otherwise(0.0)
     out = out.select(*REGION, *[F.coalesce(F.nanvl(clean(c), F.lit(0.0)), F.lit(0.0)).cast("float").alias(c) for c in FEATURES])
     return out.withColumn("features", F.array(*FEATURES))

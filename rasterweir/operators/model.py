@@ -44,8 +44,8 @@ def train_val_split(data: DataFrame, share: float = 0.2, seed: int = 0, *, exact
     """``data`` with ``part`` (``train`` or ``val``): rows in order of md5(seed:key), the first n_val validate.
 
     n_val = max(1, min(N - 1, bround(N * share))). exact: the cut is the n_val-th hash; else a
-    threshold on the hash, for corpora where even that is too much. A class missing from validation: all rows also
-    validate, as part ``both``.
+    threshold on the hash, for corpora where even that is too much. A class missing from validation: the training rows also
+    validate, as part ``both``, and the others are ``unused``.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("key").cast("string")))
     data = data.withColumn("_h", h)
@@ -63,7 +63,7 @@ def train_val_split(data: DataFrame, share: float = 0.2, seed: int = 0, *, exact
         out = data.withColumn("part", F.when(uniform(seed, F.col("key")) < share, "val").otherwise("train")).drop("_h")
     classes = out.groupBy("cls").agg(F.max((F.col("part") == "val").cast("int")).alias("seen"))
     lacks = classes.where("seen = 0").count() > 0
-    return out.withColumn("part", F.lit("both")) if lacks else out
+    return out.withColumn("part", F.when(F.col("part") == "val", "unused").otherwise("both")) if lacks else out
 
 
 def class_ranges(data: DataFrame) -> DataFrame:
@@ -110,7 +110,8 @@ def nearest_prototype(data: DataFrame, prototypes: DataFrame) -> DataFrame:
 
     Map-only: all prototypes are one broadcast row, whose size is bounded by MAX_PROTOTYPES.
     """
-    row = prototypes.agg(F.collect_list(F.struct("proto_id", "cls", "w")).alias("_p"), F.assert_true(F.count("*") <= MAX_PROTOTYPES).alias("_ok")).select("_p")
+    too_many = F.raise_error(F.lit(f"more than {MAX_PROTOTYPES} prototypes"))
+    row = prototypes.agg(F.when(F.count("*") <= MAX_PROTOTYPES, F.collect_list(F.struct("proto_id", "cls", "w"))).otherwise(too_many).alias("_p"))
 
     def scored(p: Column) -> Column:
         d2 = F.aggregate(F.zip_with("features", p["w"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
@@ -229,7 +230,7 @@ def hlvq_fit(data: DataFrame, epochs: int = 300, total: int = 200, alpha0: float
     """
     spark = data.sparkSession
     parts = train_val_split(data, share, seed).cache()
-    train, val = parts.where("part <> 'val'"), parts.where("part <> 'train'")
+    train, val = parts.where("part IN ('train', 'both')"), parts.where("part IN ('val', 'both')")
     schema = "proto_id int, cls int, w array<double>"
     fixed = lambda df: spark.createDataFrame([tuple(r) for r in df.select("proto_id", "cls", "w").collect()], schema)  # noqa: E731  MAX_PROTOTYPES rows
     score = lambda rows, w: accuracy(nearest_prototype(rows, w)).first()[0]
@@ -254,18 +255,18 @@ SWEEP_RUNS = 5
 
 
 def hlvq_sweep(data: DataFrame, configs: DataFrame) -> DataFrame:
-    """Synchronous training for each row of ``configs(config_id, seed, total, epochs, alpha0)``: ``(config_id, acc_train, acc_val)``.
+    """Training for each row of ``configs(config_id, seed, total, epochs, alpha0)``: ``(config_id, best_epoch, acc_train, acc_val)``.
 
-    Each setting is a run of ``hlvq_fit`` to its last epoch without jumps, dropout or noise; SWEEP_RUNS of them go at a time,
-    as their jobs are short. The samples stay in the cluster and may be any number; what comes to the driver is the
-    settings and each one's model and accuracies.
+    Each setting is a run of ``hlvq_fit`` with its dropout, new seeds, jumps and patience; the best epoch is the first with
+    the highest validation accuracy, -1 for the start. SWEEP_RUNS of them go at a time, as their jobs are short. The samples
+    stay in the cluster and may be any number; what comes to the driver is the settings and each one's model and accuracies.
     """
 
-    def fit(r: Row) -> tuple[int, float, float]:
-        _, history = hlvq_fit(data, int(r["epochs"]), int(r["total"]), float(r["alpha0"]), patience=int(r["epochs"]) + 1, p_drop=0.0, p_jump=0.0, seed=int(r["seed"]), noise=0.0)
-        last = history.orderBy(F.desc("epoch")).first()
-        return int(r["config_id"]), last["acc_train"], last["acc_val"]
+    def fit(r: Row) -> tuple[int, int, float, float]:
+        _, history = hlvq_fit(data, int(r["epochs"]), int(r["total"]), float(r["alpha0"]), seed=int(r["seed"]))
+        best = history.orderBy(F.desc("acc_val"), "epoch").first()
+        return int(r["config_id"]), best["epoch"], best["acc_train"], best["acc_val"]
 
     with ThreadPoolExecutor(SWEEP_RUNS) as pool:
         out = list(pool.map(fit, configs.orderBy("config_id").collect()))
-    return data.sparkSession.createDataFrame(out, "config_id int, acc_train double, acc_val double")
+    return data.sparkSession.createDataFrame(out, "config_id int, best_epoch int, acc_train double, acc_val double")

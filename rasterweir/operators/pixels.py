@@ -34,20 +34,26 @@ def image_profile(pixels: DataFrame) -> DataFrame:
     )
 
 
-def otsu_threshold(pixels: DataFrame) -> DataFrame:
-    """``(image_id, threshold)``: the first level that maximises the variance between classes; 0 for one level.
+def otsu_counts(pixels: DataFrame) -> DataFrame:
+    """``(image_id, threshold, n_over)``: the first level that maximises the variance between classes, 0 for one level, and how many pixels are over it.
 
     Works on the histogram: exact in integers up to the last division, so that equal levels tie exactly.
     """
     up = Window.partitionBy("image_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("image_id")
     h = gray_histogram(pixels)
-    h = h.select("image_id", "v", F.sum("n").over(up).alias("w0"), F.sum(F.col("n") * F.col("v")).over(up).alias("s0"), F.sum("n").over(whole).alias("w"), F.sum(F.col("n") * F.col("v")).over(whole).alias("s"))
+    h = h.select("image_id", "v", "n", F.sum("n").over(up).alias("w0"), F.sum(F.col("n") * F.col("v")).over(up).alias("s0"), F.sum("n").over(whole).alias("w"), F.sum(F.col("n") * F.col("v")).over(whole).alias("s"))
     w0, s0, w, s = (F.col(c).cast("double") for c in ("w0", "s0", "w", "s"))
     gap = s0 * w - s * w0
     var = F.when(F.col("w0") < F.col("w"), gap * gap / (w0 * (w - w0))).otherwise(0.0)
-    best = h.withColumn("var", var).groupBy("image_id").agg(F.max(F.struct("var", F.negative("v").alias("neg"))).alias("best"))
-    return best.select("image_id", F.when(F.col("best.var") > 0, -F.col("best.neg")).otherwise(0).cast("int").alias("threshold"))
+    best = h.withColumn("var", var).groupBy("image_id").agg(F.max(F.struct("var", F.negative("v").alias("neg"), "w0")).alias("best"), F.sum(F.when(F.col("v") > 0, F.col("n")).otherwise(0)).alias("over"), F.max("w").alias("w"))
+    split = F.col("best.var") > 0
+    return best.select("image_id", F.when(split, -F.col("best.neg")).otherwise(0).cast("int").alias("threshold"), F.when(split, F.col("w") - F.col("best.w0")).otherwise(F.col("over")).alias("n_over"))
+
+
+def otsu_threshold(pixels: DataFrame) -> DataFrame:
+    """``(image_id, threshold)``."""
+    return otsu_counts(pixels).select("image_id", "threshold")
 
 
 def foreground(pixels: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..sources.images import run_pixels
+from ..sources.sinks import saved
 from . import regions as R
 
 
@@ -24,7 +25,7 @@ def _arrays(pdf: pd.DataFrame, column: str = "data") -> Iterator[tuple]:
 
 
 def raster_map(gray: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``fn`` on every image: ``(image_id, height, width, data, status)``. An image on which it fails keeps its data and says why."""
+    """``fn`` on every image: ``(image_id, height, width, data, status)``. An image on which it fails becomes all zero, and ``status`` says why."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -33,44 +34,40 @@ def raster_map(gray: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataF
                 try:
                     data.append(np.asarray(fn(a)).astype(np.uint8).tobytes())
                     status.append("ok")
-                except (ValueError, ArithmeticError, IndexError) as e:
-                    data.append(a.tobytes())
+                except Exception as e:  # noqa: BLE001  one image's failure is its own
+                    data.append(bytes(a.size))
                     status.append(f"failed: {e}")
             yield pdf[["image_id", "height", "width"]].assign(data=data, status=status)
 
     return gray.select("image_id", "height", "width", "data").mapInPandas(run, f"image_id {_kind(gray)}, height int, width int, data binary, status string")
 
 
-def _strict(df: DataFrame) -> DataFrame:
-    return df.drop("status")
-
-
 def frequency_filter(gray: DataFrame, kind: str, fc: float = 30, low: float = 10, high: float = 80, order: int = 2) -> DataFrame:
     """Seven kinds of frequency filters; an unknown kind raises at once."""
     K.frequency_filter(np.zeros((2, 2), np.uint8), kind, fc, low, high, order)
-    return _strict(raster_map(gray, lambda a: K.frequency_filter(a, kind, fc, low, high, order)))
+    return raster_map(gray, lambda a: K.frequency_filter(a, kind, fc, low, high, order))
 
 
 def local_entropy(gray: DataFrame, k: int = 13) -> DataFrame:
     """Whole bits of local entropy per pixel."""
-    return _strict(raster_map(gray, lambda a: K.entropy_map(a, k)))
+    return raster_map(gray, lambda a: K.entropy_map(a, k))
 
 
 def morphology(masks: DataFrame, how: str, offsets: list[tuple[int, int]] | None = None, times: int = 1) -> DataFrame:
     """dilate, erode, close or open of packed masks (non-zero is set; 1 in the result)."""
     fn = {"dilate": K.dilate, "erode": K.erode, "close": K.close, "open": K.open_}[how]
     offsets = offsets or K.square(3)
-    return _strict(raster_map(masks, lambda a: fn(a > 0, offsets, times)))
+    return raster_map(masks, lambda a: fn(a > 0, offsets, times))
 
 
 def fill_holes(masks: DataFrame) -> DataFrame:
-    return _strict(raster_map(masks, lambda a: K.fill_holes(a > 0)))
+    return raster_map(masks, lambda a: K.fill_holes(a > 0))
 
 
 def clean_mask(masks: DataFrame, least: int = 50) -> DataFrame:
     """Closed and opened twice by an ellipse of 5, holes filled, regions under ``least`` pixels dropped."""
     e = K.ellipse(5)
-    return _strict(raster_map(masks, lambda a: K.large(K.fill_holes(K.open_(K.close(a > 0, e, 2), e, 2)), least)))
+    return raster_map(masks, lambda a: K.large(K.fill_holes(K.open_(K.close(a > 0, e, 2), e, 2)), least))
 
 
 def connected_components(masks: DataFrame, connectivity: int = 8) -> DataFrame:
@@ -90,7 +87,8 @@ def apply_filters(gray: DataFrame, steps: DataFrame, extra: dict[str, Callable]
     """Each image through its own step list: ``steps(image_id, steps ARRAY<STRUCT<name, method, params>>)``.
 
     Images are dealt anew by how dear their steps are (non-local means costs hundreds of shifts a pixel), so that they
-    don't pile up in a task. ``extra``: more steps by name. An unknown step is reported in ``status``.
+    don't pile up in a task. ``extra``: more steps by name. An unknown step, or one that fails (a parameter it doesn't know,
+    a value it can't use), is reported in ``status``; the image stays as it was before that step.
     """
     known = K.STEPS | (extra or {})
     dear = F.aggregate("steps", F.lit(1), lambda s, x: s + F.when(x["method"] == "non_local_means", 441).when(x["method"] == "bilateral", 25).otherwise(4)) * F.col("height") * F.col("width")
@@ -106,7 +104,11 @@ def apply_filters(gray: DataFrame, steps: DataFrame, extra: dict[str, Callable]
                     if s["method"] not in known:
                         said = f"failed: unknown step {s['method']}"
                         break
-                    a = np.asarray(known[s["method"]](a, **dict(s["params"] or {}))).astype(np.uint8)
+                    try:
+                        a = np.asarray(known[s["method"]](a, **dict(s["params"] or {}))).astype(np.uint8)
+                    except Exception as e:  # noqa: BLE001  one image's failure is its own
+                        said = f"failed: {s['method']}: {e}"
+                        break
                 data.append(a.tobytes())
                 status.append(said)
             yield pdf[["image_id", "height", "width"]].assign(data=data, status=status)
@@ -124,7 +126,7 @@ def candidate(a: np.ndarray, fc: float, area: int, k: int) -> np.ndarray:
 
 def candidate_mask(gray: DataFrame, fc: float = 90, area: int = 20, k: int = 13) -> DataFrame:
     """The candidate mask of every image, map-only."""
-    return _strict(raster_map(gray, lambda a: candidate(a, fc, area, k)))
+    return raster_map(gray, lambda a: candidate(a, fc, area, k))
 
 
 def candidate_mask_simple(gray: DataFrame, fc: float = 80) -> DataFrame:
@@ -135,7 +137,7 @@ def candidate_mask_simple(gray: DataFrame, fc: float = 80) -> DataFrame:
         n = K.frequency_filter(a, "high_ideal", fc)
         return K.fill_holes(K.open_(K.close(n > K.otsu(n), e), e, 2))
 
-    return _strict(raster_map(gray, one))
+    return raster_map(gray, one)
 
 
 ISLAND = "island_id int, oy int, ox int, height int, width int, area long, data binary, mask binary"
@@ -150,12 +152,10 @@ def islands(gray: DataFrame, masks: DataFrame, least: int = 50) -> DataFrame:
             out = []
             for (i, a), (_, m) in zip(_arrays(pdf), _arrays(pdf, "m"), strict=True):
                 label = K.components(m > 0, 4)
-                for n in range(1, int(label.max()) + 1):
-                    y, x = np.nonzero(label == n)
-                    if len(y) >= least:
-                        box = np.s_[y.min() : y.max() + 1, x.min() : x.max() + 1]
+                for n, area, box in K.label_boxes(label):
+                    if area >= least:
                         own = label[box] == n
-                        out.append((i, n, y.min(), x.min(), *own.shape, len(y), a[box].tobytes(), own.astype(np.uint8).tobytes()))
+                        out.append((i, n, box[0].start, box[1].start, *own.shape, area, a[box].tobytes(), own.astype(np.uint8).tobytes()))
             yield pd.DataFrame(out, columns=["image_id", "island_id", "oy", "ox", "height", "width", "area", "data", "mask"])
 
     return rows.mapInPandas(run, f"image_id {_kind(gray)}, {ISLAND}")
@@ -172,16 +172,12 @@ def watershed_islands(gray: DataFrame, masks: DataFrame, share: float = 0.35, le
         for pdf in parts:
             for r in pdf.itertuples(index=False):
                 a, m = (np.frombuffer(b, np.uint8).reshape(r.height, r.width) for b in (r.data, r.mask))
-                label = K.split_island(a, m > 0, share)
-                for n in range(1, int(label.max()) + 1):
-                    y, x0, x1 = K.runs(label == n)
-                    if len(y):
-                        yield pd.DataFrame({"image_id": r.image_id, "island_id": np.int32(r.island_id), "segment": np.int32(n), "y": (y + r.oy).astype(np.int32), "x0": (x0 + r.ox).astype(np.int32), "x1": (x1 + r.ox).astype(np.int32)})
+                n, y, x0, x1 = K.label_runs(K.split_island(a, m > 0, share))
+                yield pd.DataFrame({"image_id": r.image_id, "island_id": np.int32(r.island_id), "segment": n.astype(np.int32), "y": (y + r.oy).astype(np.int32), "x0": (x0 + r.ox).astype(np.int32), "x1": (x1 + r.ox).astype(np.int32)})
 
     runs = rows.mapInPandas(run, f"image_id {_kind(gray)}, island_id int, segment int, y int, x0 int, x1 int")
-    runs = runs.withColumn("region_id", F.struct("island_id", "segment"))
-    ids = R.relabel(runs.select("image_id", "region_id").distinct())
-    return runs.join(ids, ["image_id", "region_id"]).select("image_id", F.col("new_id").alias("region_id"), "y", "x0", "x1")
+    runs = R.relabel(runs.withColumn("region_id", F.struct("island_id", "segment")))  # a window, so the watershed runs once
+    return runs.select("image_id", F.col("new_id").alias("region_id"), "y", "x0", "x1")
 
 
 def watershed_mask(gray: DataFrame, masks: DataFrame, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -191,38 +187,46 @@ def watershed_mask(gray: DataFrame, masks: DataFrame, share: float = 0.5) -> tup
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for (i, a), (_, m) in zip(_arrays(pdf), _arrays(pdf, "m"), strict=True):
-                label = K.split_island(a, m > 0, share)
-                for n in range(1, int(label.max()) + 1):
-                    y, x0, x1 = K.runs(label == n)
-                    yield pd.DataFrame({"image_id": i, "region_id": np.int32(n), "y": y.astype(np.int32), "x0": x0.astype(np.int32), "x1": x1.astype(np.int32)})
+                n, y, x0, x1 = K.label_runs(K.split_island(a, m > 0, share))
+                yield pd.DataFrame({"image_id": i, "region_id": n.astype(np.int32), "y": y.astype(np.int32), "x0": x0.astype(np.int32), "x1": x1.astype(np.int32)})
 
     runs = rows.mapInPandas(run, f"image_id {_kind(gray)}, region_id int, y int, x0 int, x1 int")
-    return runs, _strict(raster_map(masks, lambda m: K.stretch(np.minimum(K.chamfer(m > 0), m.size))))
+    return runs, raster_map(masks, lambda m: K.stretch(np.minimum(K.chamfer(m > 0), m.size)))
 
 
 def segment_corpus(gray: DataFrame, pixels: DataFrame, fc: float = 90, area: int = 20, k: int = 13, share: float = 0.5, least: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stage 1 over a corpus: ``label_runs``, processed images, and a status per image (``ok`` or ``empty``).
+    """Stage 1 over a corpus: ``label_runs``, processed images, and a status per image (``ok``, ``empty`` or ``failed: why``).
 
-    Candidate mask (per image), quality plan (aggregates), its steps (per image, dealt by cost), masked stretch, watershed (per island), ids.
+    Candidate mask (per image), quality plan (aggregates), its steps (per image, dealt by cost), masked stretch, watershed
+    (per island), ids. Processed images and runs are written, as several results read them. An image that fails in a step
+    has no regions and all-zero results; the others aren't touched by it.
     """
     from . import qc
 
     masks = candidate_mask(gray, fc, area, k)
     plan = qc.qc_plan(qc.qc_flags(qc.image_qc(pixels, gray)))
     done = apply_filters(gray, plan)
-    both = done.select("image_id", "height", "width", "data").join(masks.select("image_id", F.col("data").alias("m")), "image_id")
+    both = done.select("image_id", "height", "width", "data", "status").join(masks.select("image_id", F.col("data").alias("m"), F.col("status").alias("ms")), "image_id")
+    both = both.withColumn("status", F.when(F.col("ms") != "ok", F.col("ms")).otherwise(F.col("status"))).drop("ms")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pdf[["image_id", "height", "width"]].assign(data=[K.stretch(np.where(m > 0, a, 0)).tobytes() for (_, a), (_, m) in zip(_arrays(pdf), _arrays(pdf, "m"), strict=True)])
-
-    processed = both.mapInPandas(cut, f"image_id {_kind(gray)}, height int, width int, data binary")
-    runs = watershed_islands(processed, masks, share, least)
-    status = gray.select("image_id").join(runs.select("image_id").distinct().withColumn("some", F.lit(1)), "image_id", "left").select("image_id", F.when(F.col("some").isNull(), "empty").otherwise("ok").alias("status"))
-    return runs, processed, status
-
-
-def classify_regions(runs: DataFrame, pixels: DataFrame, sizes: DataFrame, scaler: DataFrame, prototypes: DataFrame, least: int = 80, *, reconnect: bool = True) -> DataFrame:
+            data, mask = [], []
+            for (_, a), (_, m), status in zip(_arrays(pdf), _arrays(pdf, "m"), pdf["status"], strict=True):
+                good = status == "ok"
+                data.append(K.stretch(np.where(m > 0, a, 0)).tobytes() if good else bytes(a.size))
+                mask.append(m.tobytes() if good else bytes(a.size))
+            yield pdf[["image_id", "height", "width", "status"]].assign(data=data, mask=mask)
+
+    processed = saved(both.mapInPandas(cut, f"image_id {_kind(gray)}, height int, width int, status string, data binary, mask binary"), "processed")
+    runs = saved(watershed_islands(processed, processed.select("image_id", "height", "width", F.col("mask").alias("data")), share, least), "segments")
+    some = runs.select("image_id").distinct().withColumn("some", F.lit(1))
+    status = gray.select("image_id").join(processed.select("image_id", "status"), "image_id", "left").join(some, "image_id", "left")
+    said = F.when(F.col("status") != "ok", F.col("status")).when(F.col("some").isNull(), "empty").otherwise("ok")
+    return runs, processed.select("image_id", "height", "width", "data"), status.select("image_id", said.alias("status"))
+
+
+def classify_regions(runs: DataFrame, gray: DataFrame, scaler: DataFrame, prototypes: DataFrame, least: int = 80, *, reconnect: bool = True) -> DataFrame:
     """``predictions(image_id, region_id, proto_id, d2, cls)`` of regions of at least so many pixels.
 
     reconnect: regions that touch become one (8-connected) before they are measured.
@@ -233,11 +237,16 @@ def classify_regions(runs: DataFrame, pixels: DataFrame, sizes: DataFrame, scale
     kind = runs.schema["image_id"].dataType.simpleString()
     if reconnect:
         runs = connected_components(pack(run_pixels(runs).withColumn("v", F.lit(1))), 8)
-    runs = runs.withColumn("image_id", F.col("image_id").cast(kind))
+    runs = saved(runs.withColumn("image_id", F.col("image_id").cast(kind)), "regions")
     big = R.area_filter(R.region_stats(runs), least)
-    label = run_pixels(runs)
-    own = R.region_pixels(label, pixels)
-    vec = features.region_features(big, sizes, own, pixels, label)
+    vec = features.region_features(big, gray.select("image_id", "height", "width"), gray, runs)
     vec = vec.select("image_id", "region_id", F.transform("features", lambda v: v.cast("double")).alias("features"))
     found = model.nearest_prototype(model.apply_scaler(vec, scaler), prototypes)
     return found.select("image_id", "region_id", "proto_id", "d2", F.col("pred").alias("cls"))
+
+
+def classify_masks(masks: DataFrame, gray: DataFrame, scaler: DataFrame, prototypes: DataFrame, least: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidate masks to their 8-connected regions, predictions, and the runs of class 1 with dense ids."""
+    runs = saved(connected_components(masks, 8), "candidates")
+    found = saved(classify_regions(runs, gray, scaler, prototypes, least, reconnect=False), "predictions")
+    return runs, found, R.accepted_regions(runs, found)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..operators import features, labels, model, pixels, qc, rasters, regions
 from ..sources import fixtures, images, sinks
+from ..sources.sinks import saved
 from ..streaming import jobs
 from .sql import SQL
 
@@ -55,13 +56,6 @@ def lab(spark: SparkSession, d: str) -> DataFrame:
     return images.run_pixels(runs(spark, d))
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """A table that several parts of a query read, written once."""
-    path = sinks.new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def stats(spark: SparkSession, d: str) -> DataFrame:
     return regions.region_stats(runs(spark, d))
 
@@ -162,9 +156,7 @@ def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
 @query
 def text_otsu(spark: SparkSession, d: str) -> DataFrame:
     """Thresholds of the text rasters, and how many pixels are over them."""
-    text = fixtures.text_pixels(spark, d)
-    over = pixels.foreground(text, pixels.otsu_threshold(text))
-    return over.groupBy("image_id").agg(F.count("*").alias("n_over"))
+    return pixels.otsu_counts(fixtures.text_pixels(spark, d)).where("n_over > 0").select("image_id", "n_over")
 
 
 @query
@@ -265,9 +257,20 @@ def region_pixels(spark: SparkSession, d: str) -> DataFrame:
     return own_pixels(spark, d)
 
 
+def _region_inputs(spark: SparkSession, d: str, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Images, and the runs of their regions of at least so many pixels."""
+    gray = saved(packed(spark, d), "gray")
+    found = saved(rasters.connected_components(gray), "runs")
+    return gray, found.join(regions.area_filter(regions.region_stats(found), least).select(*REGION), REGION, "left_semi") if least > 1 else found
+
+
+def _crops(spark: SparkSession, d: str, least: int = 4, pad: int = 3) -> DataFrame:
+    return features.region_crops(*_region_inputs(spark, d, least), pad)
+
+
 @query
 def region_intensity(spark: SparkSession, d: str) -> DataFrame:
-    return r6(features.region_intensity(own_pixels(spark, d)), "mean", "std", "cv", "iqr", "median", "entropy")
+    return r6(features.region_intensity(_crops(spark, d, 1)), *features.INTENSITY)
 
 
 @query
@@ -277,64 +280,61 @@ def region_ring(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def region_contrast(spark: SparkSession, d: str) -> DataFrame:
-    ring = region_ring(spark, d).join(px(spark, d), ["image_id", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
-    return r6(features.region_contrast(features.region_intensity(own_pixels(spark, d)), ring), "contrast_mean", "contrast_std", "contrast_entropy")
-
-
-def _crops(spark: SparkSession, d: str, least: int = 4, pad: int = 3) -> DataFrame:
-    own = own_pixels(spark, d, least)
-    return features.filled_crops(regions.area_filter(stats(spark, d), least), sizes(px(spark, d)), own, features.region_intensity(own), pad)
+    return r6(features.region_contrast(_crops(spark, d, 1)), *features.CONTRAST)
 
 
 @query
 def region_glcm(spark: SparkSession, d: str) -> DataFrame:
-    got = features.region_glcm(_crops(spark, d))
-    return r6(got, *[c for c in got.columns if c.startswith("glcm")])
+    return r6(features.region_glcm(_crops(spark, d)), *features.GLCM)
 
 
 @query
 def region_lbp(spark: SparkSession, d: str) -> DataFrame:
-    return r6(features.region_lbp(_crops(spark, d)), "lbp_uniformity", "lbp_entropy")
+    return r6(features.region_lbp(_crops(spark, d)), *features.LBP)
 
 
 @query
 def region_shape(spark: SparkSession, d: str) -> DataFrame:
-    return r6(features.region_shape(features.packed_crops(_crops(spark, d))), *features.SHAPE)
+    return r6(features.region_shape(_crops(spark, d)), *features.SHAPE)
 
 
 @query
 def region_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    return r6(features.region_spectrum(features.packed_crops(_crops(spark, d))), *features.SPECTRUM)
+    return r6(features.region_spectrum(_crops(spark, d)), *features.SPECTRUM)
+
+
+@query
+def region_band_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return r6(features.region_band_ratio(_crops(spark, d)), "fft_ratio")
 
 
 @query
 def region_edges(spark: SparkSession, d: str) -> DataFrame:
-    return r6(features.region_edges(features.packed_crops(_crops(spark, d))), *features.EDGES)
+    return r6(features.region_edges(_crops(spark, d)), *features.EDGES)
 
 
-def _features(p: DataFrame, found: DataFrame, least: int = 20) -> DataFrame:
-    """Features of the regions of at least so many pixels, from pixels and label runs that have been written."""
-    label = images.run_pixels(found)
+def _features(gray: DataFrame, found: DataFrame, least: int = 20) -> DataFrame:
+    """Features of the regions of at least so many pixels, from images and label runs that have been written."""
     big = regions.area_filter(regions.region_stats(found), least)
-    own = regions.region_pixels(label.join(big.select(*REGION), REGION, "left_semi"), p)
-    return features.region_features(big, sizes(p), own, p, label)
+    return features.region_features(big, gray.select("image_id", "height", "width"), gray, found)
 
 
 @query
 def region_features(spark: SparkSession, d: str) -> DataFrame:
-    p, found = saved(px(spark, d), "pixels"), saved(runs(spark, d), "runs")
-    return r6(_features(p, found).drop("features"), *features.FEATURES)
+    gray = saved(packed(spark, d), "gray")
+    found = saved(rasters.connected_components(gray), "runs")
+    return r6(_features(gray, found).drop("features"), *features.FEATURES)
 
 
 @query
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Otsu foreground of the rasters, its components of 4 pixels or more with dense ids, and their intensity."""
-    p = px(spark, d)
+    p = saved(px(spark, d), "pixels")
     over = pixels.foreground(p, pixels.otsu_threshold(p)).withColumn("v", F.lit(1))
-    found = rasters.connected_components(images.pack(over, H, W))
+    found = saved(rasters.connected_components(images.pack(over, H, W)), "runs")
     big = regions.relabel(regions.area_filter(regions.region_stats(found), 4))
-    own = regions.region_pixels(images.run_pixels(found.join(big.select(*REGION), REGION, "left_semi")), p)
-    return r6(big.join(features.region_intensity(own), REGION).drop("region_id"), "mean", "std", "cv", "iqr", "median", "entropy")
+    crops = features.region_crops(images.pack(p, H, W), found.join(big.select(*REGION), REGION, "left_semi"))
+    return r6(big.join(features.region_intensity(crops), REGION).drop("region_id"), *features.INTENSITY)
 
 
 FLAGSHIP = "flagship"
@@ -481,7 +481,7 @@ def label_summary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def labelled_dataset(spark: SparkSession, d: str) -> DataFrame:
     """Labels joined with three features of their regions."""
-    f = features.region_intensity(own_pixels(spark, d)).select(*REGION, F.array("mean", "std", "median").alias("features"))
+    f = features.region_intensity(_crops(spark, d, 1)).select(*REGION, F.array("mean", "std", "median").alias("features"))
     data = labels.labelled_dataset(_seed_labels(spark, d), f)
     return r6(data.select(*REGION, "cls", *[F.col("features")[i].alias(n) for i, n in enumerate(("mean", "std", "median"))]), "mean", "std", "median")
 
@@ -571,7 +571,7 @@ def hlvq_epoch(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def levy_alpha(spark: SparkSession, d: str) -> DataFrame:
-    """The schedule without jumps, one epoch per customer segment day: as many epochs as the events have hours."""
+    """The schedule without jumps: as many epochs as the events have hours."""
     epochs = fixtures.table(spark, d, "events").select(F.date_trunc("hour", "ts")).distinct().count()
     return r6(model.levy_alpha(spark, epochs, p_jump=0.0), "alpha")
 
@@ -605,21 +605,22 @@ def hlvq_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hlvq_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Synchronous training over all rows for one setting per label value."""
+    """Training over all rows for one setting per label value."""
     configs = fixtures.table(spark, d, "embeddings").select("label").distinct().where("label IS NOT NULL").select(F.col("label").alias("config_id"), F.col("label").alias("seed"), F.lit(20).alias("total"), F.lit(2).alias("epochs"), F.lit(0.03).alias("alpha0"))
     return r6(model.hlvq_sweep(_vectors(spark, d), configs), "acc_train", "acc_val")
 
 
 @query
 def classify_regions(spark: SparkSession, d: str) -> DataFrame:
-    """Regions of 20 pixels or more; a prototype per class from the first region in which object seeds are at least, or under, a quarter."""
-    p, found = saved(px(spark, d), "pixels"), saved(runs(spark, d), "runs")
-    f = saved(_features(p, found).select(*REGION, F.transform("features", lambda v: v.cast("double")).alias("features")), "features")
+    """Regions of 20 pixels or more; a prototype per class from the first region of which object seeds are at least, or under, 38 %."""
+    gray = saved(packed(spark, d), "gray")
+    found = saved(rasters.connected_components(gray), "runs")
+    f = saved(_features(gray, found).select(*REGION, F.transform("features", lambda v: v.cast("double")).alias("features")), "features")
     votes = fixtures.seeds(spark, d).join(images.run_pixels(found), ["image_id", "y", "x"]).groupBy(*REGION).agg((F.avg((F.col("kind") == "object").cast("int")) >= 0.38).cast("int").alias("cls"))
-    scaler = model.fit_scaler(f)
+    scaler = saved(model.fit_scaler(f), "scaler")
     scaled = model.apply_scaler(f.join(votes, REGION), scaler)
     proto = scaled.groupBy("cls").agg(F.min_by("features", F.struct(*REGION)).alias("w")).select(F.col("cls").alias("proto_id"), "cls", "w")
-    return r6(rasters.classify_regions(found, p, sizes(p), saved(scaler, "scaler"), saved(proto, "prototypes"), 20), "d2")
+    return r6(rasters.classify_regions(found, gray, scaler, saved(proto, "prototypes"), 20), "d2")
 
 
 # ---- streams ------------------------------------------------------------------------------------------------------------
@@ -627,10 +628,10 @@ def classify_regions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_new_images(spark: SparkSession, d: str) -> DataFrame:
-    """Rasters as raw files, read by a stream that runs until all are done; the metrics it appended."""
+    """Rasters as PNG files, read by a stream that runs until all are done; the metrics it appended."""
     path, out, state = (sinks.new_folder(spark, n) for n in ("arrivals", "metrics", "progress"))
-    sinks.write_files(packed(spark, d).select(F.concat("image_id", F.lit(".gray")).alias("name"), F.col("data").alias("content")), path)
-    jobs.stream_new_images(spark, path, out, state, H, W).awaitTermination()
+    sinks.write_png(packed(spark, d), path)
+    jobs.stream_new_images(spark, path, out, state).awaitTermination()
     got = spark.read.parquet(out).withColumn("image_id", F.split("image_id", "\\.")[0].cast("int"))
     return r6(got, "light_range", "noise", "sharpness", "gradient")
 

@@ -239,3 +239,37 @@ _REPLAY = """WITH e AS (SELECT user_id AS session_id, row_number() OVER (PARTITI
         c AS (SELECT * FROM d WHERE action = 'click' AND NOT EXISTS (SELECT 1 FROM d u WHERE u.session_id = d.session_id AND u.image_id = d.image_id AND u.seq > d.seq AND u.depth < d.depth))
         SELECT session_id, image_id, region_id, arg_max(cls, seq) AS cls FROM c GROUP BY ALL"""
 SQL["annotation_replay"] = SQL["stream_annotations"] = _REPLAY
+
+
+def _grow(name: str, source: str) -> str:
+    return f"{name} AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM {source} CROSS JOIN e5 WHERE y + dy BETWEEN 0 AND 29 AND x + dx BETWEEN 0 AND 23)"
+
+
+def _shrink(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT d.image_id, d.y, d.x FROM dense d CROSS JOIN e5 LEFT JOIN {source} s ON s.image_id = d.image_id AND s.y = d.y + dy AND s.x = d.x + dx
+  WHERE d.y + dy BETWEEN 0 AND 29 AND d.x + dx BETWEEN 0 AND 23 GROUP BY d.image_id, d.y, d.x HAVING count(s.image_id) = count(*))"""
+
+
+_E5 = ", ".join(f"({i - 2}, {dx})" for i, w in enumerate(ELLIPSE[5]) for dx in range(-w, w + 1))
+SQL["clean_mask"] = f"""WITH RECURSIVE {PX}, {DENSE}, e5 AS (SELECT * FROM (VALUES {_E5}) AS t(dy, dx)), m0 AS (SELECT image_id, y, x FROM px WHERE v > 0),
+{_grow("m1", "m0")}, {_grow("m2", "m1")}, {_shrink("m3", "m2")}, {_shrink("m4", "m3")}, {_shrink("m5", "m4")}, {_shrink("m6", "m5")}, {_grow("m7", "m6")}, {_grow("m8", "m7")},
+free AS (SELECT d.image_id, d.y, d.x FROM dense d ANTI JOIN m8 m ON m.image_id = d.image_id AND m.y = d.y AND m.x = d.x), o4 AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS t(dy, dx)),
+out(image_id, y, x) AS (SELECT image_id, y, x FROM free WHERE y = 0 AND x = 0 UNION SELECT n.image_id, n.y, n.x FROM out o CROSS JOIN o4 JOIN free n ON n.image_id = o.image_id AND n.y = o.y + dy AND n.x = o.x + dx),
+filled AS (SELECT d.image_id, d.y, d.x FROM dense d ANTI JOIN out o ON o.image_id = d.image_id AND o.y = d.y AND o.x = d.x), {labelled("filled", "TRUE")}
+SELECT image_id, y, x FROM lab JOIN regs USING (image_id, region_id) WHERE area >= 50"""
+
+_GAINS = {
+    "high_ideal": "CASE WHEN d >= 2 THEN 1 ELSE 0 END", "low_ideal": "CASE WHEN d <= 2 THEN 1 ELSE 0 END", "band": "CASE WHEN d >= 1 AND d <= 3 THEN 1 ELSE 0 END",
+    "high_gaussian": "1 - exp(-d * d / 8)", "low_gaussian": "exp(-d * d / 8)", "high_butterworth": "1 / (1 + pow(2 / (d + 1e-8), 4))", "low_butterworth": "1 / (1 + pow(d / 2, 4))",
+}
+_FORWARD = SQL["frequency_filter"][: SQL["frequency_filter"].index(", fr AS")]
+SQL["frequency_filter_kinds"] = f"""{_FORWARD}, fr AS (SELECT CAST(a.range AS INT) AS ky, CAST(b.range AS INT) AS kx, sqrt(CAST(a.range * a.range + b.range * b.range AS DOUBLE)) AS d FROM range(-4, 4) a CROSS JOIN range(-4, 4) b),
+kinds AS (SELECT * FROM (VALUES {", ".join(f"('{k}')" for k in _GAINS)}) AS t(kind)),
+gain AS (SELECT kind, ky, kx, CAST(CASE kind {" ".join(f"WHEN '{k}' THEN {g}" for k, g in _GAINS.items())} END AS DOUBLE) AS g FROM fr CROSS JOIN kinds),
+sp AS (SELECT image_id, ky, kx, sum(v * cos(2 * pi() * (ky * y + kx * x) / 8)) AS re, -sum(v * sin(2 * pi() * (ky * y + kx * x) / 8)) AS im FROM d8 CROSS JOIN fr GROUP BY ALL),
+ba AS (SELECT s.image_id, kind, p.y, p.x, sum(g * (re * cos(2 * pi() * (s.ky * p.y + s.kx * p.x) / 8) - im * sin(2 * pi() * (s.ky * p.y + s.kx * p.x) / 8))) / 64 AS re,
+  sum(g * (re * sin(2 * pi() * (s.ky * p.y + s.kx * p.x) / 8) + im * cos(2 * pi() * (s.ky * p.y + s.kx * p.x) / 8))) / 64 AS im
+  FROM sp s JOIN gain USING (ky, kx) CROSS JOIN (SELECT DISTINCT y, x FROM d8) p GROUP BY ALL),
+mg AS (SELECT image_id, kind, CASE WHEN sqrt(re * re + im * im) < 1e-9 * 255 THEN 0 ELSE sqrt(re * re + im * im) END AS m FROM ba),
+en AS (SELECT image_id, kind, m, min(m) OVER w AS lo, max(m) OVER w AS hi FROM mg WINDOW w AS (PARTITION BY image_id, kind))
+SELECT image_id, kind, CAST(sum(CASE WHEN hi - lo > 1e-9 * greatest(1, hi) THEN floor((m - lo) * (255 / (hi - lo)) + 1e-9) ELSE 0 END) AS BIGINT) AS total FROM en GROUP BY image_id, kind"""

@@ -18,24 +18,33 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
     Files whose suffix isn't one of SUFFIXES are left out; unreadable files stay with status ``bad`` and size -1. A
     folder without images raises, as Spark does for a path that doesn't exist.
     """
-    files = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
-    name = F.element_at(F.split("origin", "/"), -1)
-    found = files.withColumn("image_id", name).where(F.lower(F.regexp_extract("image_id", r"\.[^.]+$", 0)).isin(*SUFFIXES))
+    found = named_images(spark.read.format("image").option("dropInvalid", False).load(path))
     if found.isEmpty():
         raise ValueError(f"no image in {path}")
+    return found
+
+
+def named_images(files: DataFrame) -> DataFrame:
+    """Rows of Spark's image source, of a folder or a stream, by file name and with a status."""
+    name = F.element_at(F.split("origin", "/"), -1)
+    found = files.select("image.*").withColumn("image_id", name).where(F.lower(F.regexp_extract("image_id", r"\.[^.]+$", 0)).isin(*SUFFIXES))
     return found.select("image_id", "height", "width", F.col("nChannels").alias("n_channels"), "mode", "data", F.when(F.col("height") < 0, "bad").otherwise("ok").alias("status"))
 
 
-def to_gray(images: DataFrame) -> DataFrame:
+def to_gray(images: DataFrame, *, keep_bad: bool = False) -> DataFrame:
     """``(image_id, height, width, data)`` with one byte per pixel: 0.299 R + 0.587 G + 0.114 B, rounded; bytes are BGR.
 
-    Images of one channel pass through; four channels ignore the last; other counts raise. Bad images are left out.
+    Images of one channel pass through; four channels ignore the last; other counts raise. Bad images are left out, or
+    kept with null data.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
-            for n, data in zip(pdf["n_channels"], pdf["data"], strict=True):
+            for n, data, status in zip(pdf["n_channels"], pdf["data"], pdf["status"], strict=True):
+                if status != "ok":
+                    out.append(None)
+                    continue
                 a = np.frombuffer(data, np.uint8).reshape(-1, n).astype(np.int64)
                 if n == 1:
                     out.append(bytes(data))
@@ -45,7 +54,8 @@ def to_gray(images: DataFrame) -> DataFrame:
                     raise ValueError(f"{n} channels")
             yield pdf[["image_id", "height", "width"]].assign(data=out)
 
-    return images.where("status = 'ok'").select("image_id", "height", "width", "n_channels", "data").mapInPandas(run, "image_id string, height int, width int, data binary")
+    rows = images if keep_bad else images.where("status = 'ok'")
+    return rows.select("image_id", "height", "width", "n_channels", "data", "status").mapInPandas(run, "image_id string, height int, width int, data binary")
 
 
 def pack(pixels: DataFrame, height: int | None = None, width: int | None = None) -> DataFrame:

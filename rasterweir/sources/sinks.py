@@ -12,19 +12,33 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
+_own: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names; where it is unset (tests), in a temporary one."""
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local master gets a temporary one, which goes when Python ends; any other master raises, as its
+    executors would write to disks of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _own.setdefault(spark.sparkContext.applicationId, "")
-        if not root:
-            root = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-folder-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.TemporaryDirectory(prefix="spark-folder-", ignore_cleanup_errors=True)
+        root = "file://" + _own[app].name
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """A table that several parts of a job read, written once."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def png(a: np.ndarray) -> bytes:
     """A gray (H x W) or RGB (H x W x 3) byte array as a PNG file."""
     h, w = a.shape[:2]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +11,19 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.qc import image_stencil_qc
-from ..operators.rasters import raster_map
+from ..sources.images import named_images, to_gray
 
-FILES = "path string, modificationTime timestamp, length long, content binary"
+IMAGES = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
 
 
-def stream_new_images(spark: SparkSession, path: str, out: str, checkpoint: str, height: int, width: int) -> StreamingQuery:
-    """Quality metrics of raw gray files (height x width bytes) not seen before, appended as Parquet; runs until all are done.
+def stream_new_images(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Quality metrics of image files not seen before, of any size and format that Spark's image source reads, appended as Parquet; runs until all are done.
 
-    The checkpoint remembers files; files of another size are left out.
+    The checkpoint remembers files. A file that can't be read has a row too, with null metrics.
     """
-    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.gray").load(path)
-    gray = files.where(F.length("content") == height * width).select(F.element_at(F.split("path", "/"), -1).alias("image_id"), F.lit(height).alias("height"), F.lit(width).alias("width"), F.col("content").alias("data"))
-    return image_stencil_qc(raster_map(gray, np.asarray)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    files = spark.readStream.format("image").schema(IMAGES).option("dropInvalid", False).load(path)
+    gray = to_gray(named_images(files), keep_bad=True)
+    return image_stencil_qc(gray).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 LABELS = "session_id long, image_id int, region_id int, cls int, seq long"

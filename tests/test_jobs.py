@@ -67,7 +67,7 @@ def test_split_of_few_rows(spark):
     two = spark.createDataFrame([(1, [0.0], 0), (2, [1.0], 0)], "key long, features array<double>, cls int")
     assert sorted(r.part for r in model.train_val_split(two).collect()) == ["train", "val"]
     other = spark.createDataFrame([(1, [0.0], 0), (2, [1.0], 1), (3, [1.0], 1)], "key long, features array<double>, cls int")
-    assert {r.part for r in model.train_val_split(other).collect()} == {"both"}
+    assert sorted(r.part for r in model.train_val_split(other).collect()) == ["both", "both", "unused"]
 
 
 def test_one_class_fails(spark):
@@ -109,23 +109,127 @@ def test_training_is_no_worse_than_its_start(spark):
 def test_features_of_an_absent_region_and_names(spark):
     assert len(features.FEATURES) == 30 and len(set(features.FEATURES)) == 30
     regs = spark.createDataFrame([(0, 1, 4, 0, 0, 2, 2, 0, 0)], "image_id int, region_id int, area long, x_min int, y_min int, x_max int, y_max int, cx int, cy int")
-    none = spark.createDataFrame([], "image_id int, region_id int, y int, x int")
-    got = features.region_features(regs, spark.createDataFrame([(0, 5, 5)], "image_id int, height int, width int"), none.withColumn("v", F.lit(0)), none.select("image_id", "y", "x").withColumn("v", F.lit(0)), none).first()
+    gray = spark.createDataFrame([(0, 5, 5, bytearray(25))], "image_id int, height int, width int, data binary")
+    none = spark.createDataFrame([], "image_id int, region_id int, y int, x0 int, x1 int")
+    got = features.region_features(regs, gray.select("image_id", "height", "width"), gray, none).first()
     assert got["features"][:28] == [0.0] * 28
 
 
 def test_checkerboard_texture(spark):
-    crop = spark.range(64).select(F.lit(0).alias("image_id"), F.lit(1).alias("region_id"), (F.col("id") / 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x"))
-    crop = crop.withColumn("v", F.when((F.col("y") + F.col("x")) % 2 == 0, 0).otherwise(255)).withColumn("inside", F.lit(True))
-    r = features.region_glcm(crop).first()
+    board = bytearray(int((y + x) % 2 * 255) for y in range(8) for x in range(8))
+    gray = spark.createDataFrame([(0, 8, 8, board)], "image_id int, height int, width int, data binary")
+    runs = spark.createDataFrame([(0, 1, y, 0, 8) for y in range(8)], "image_id int, region_id int, y int, x0 int, x1 int")
+    r = features.region_glcm(features.region_crops(gray, runs)).first()
     assert r.glcm_contrast == pytest.approx(31 * 31 / 2) and r.glcm_dissimilarity == pytest.approx(15.5)
 
 
+def test_feature_plans_are_one_map(spark):
+    gray = spark.createDataFrame([(0, 8, 8, bytearray(64))], "image_id int, height int, width int, data binary")
+    runs = spark.createDataFrame([(0, 1, 2, 1, 5)], "image_id int, region_id int, y int, x0 int, x1 int")
+    regs = regions.region_stats(runs)
+    text = plan(features.region_features(regs, gray.select("image_id", "height", "width"), gray, runs))
+    assert text.count("MapInPandas") == 1 and text.count("FlatMapCoGroupsInPandas") == 1
+
+
+def test_crops_and_rings_of_touching_regions(spark):
+    """Two regions side by side at the frame: each one's ring holds the other's pixels, and nothing outside the image."""
+    a = np.arange(36, dtype=np.uint8).reshape(6, 6)
+    gray = spark.createDataFrame([(0, 6, 6, bytearray(a.tobytes()))], "image_id int, height int, width int, data binary")
+    runs = spark.createDataFrame([(0, 2, 0, 0, 1), (0, 2, 1, 0, 1), (0, 1, 0, 1, 2)], "image_id int, region_id int, y int, x0 int, x1 int")
+    got = {r.region_id: r for r in features.region_crops(gray, runs, 1).collect()}
+    from rasterweir.functions import kernels as K
+
+    for region, own in ((2, {(0, 0), (1, 0)}), (1, {(0, 1)})):
+        ring = {(y + dy, x + dx) for y, x in own for dy, dx in K.ellipse(9)} - own
+        assert sorted(got[region].ring) == sorted(int(a[y, x]) for y, x in ring if 0 <= y < 6 and 0 <= x < 6)
+    assert (got[2].height, got[2].width, list(got[2].crop)) == (3, 2, [0, 3, 6, 3, 3, 3])
+
+
+def test_a_failing_image_is_alone(spark):
+    """Its mask is empty and says why; the other images and the job go on, and it has no regions."""
+    side = 40
+    y, x = np.ogrid[:side, :side]
+    good = (((y - 20) ** 2 + (x - 20) ** 2 < 80) * 200 + (y * x) % 7).astype(np.uint8)
+    gray = spark.createDataFrame([(1, side, side, bytearray(good.tobytes())), (2, side, side, bytearray(good.tobytes()))], "image_id int, height int, width int, data binary")
+
+    def breaks(a):
+        if a[0, 0] == 9:
+            raise KeyError("no such level")
+        return a > 0
+
+    bad = spark.createDataFrame([(1, 1, 2, bytearray(b"\x09a")), (2, 1, 2, bytearray(b"ab"))], "image_id int, height int, width int, data binary")
+    got = {r.image_id: r for r in rasters.raster_map(bad, breaks).collect()}
+    assert got[1].data == bytearray(2) and got[1].status.startswith("failed") and (got[2].data, got[2].status) == (bytearray(b"\1\1"), "ok")
+
+    def fails_on_one(a, fc, area, k):
+        if a[0, 0] == 0xFE:
+            raise ArithmeticError("this image")
+        return a > 100
+
+    original, rasters.candidate = rasters.candidate, fails_on_one
+    try:
+        masked = gray.withColumn("data", F.when(F.col("image_id") == 1, F.expr("cast(concat(cast(X'FE' as binary), substring(data, 2, 1599)) as binary)")).otherwise(F.col("data")))
+        runs, done, status = rasters.segment_corpus(masked, images.unpack(masked), fc=4, least=20)
+        said = {r.image_id: r.status for r in status.collect()}
+    finally:
+        rasters.candidate = original
+    assert said[1].startswith("failed") and said[2] in ("ok", "empty")
+    assert {r.image_id for r in runs.collect()} <= {2} and not any(done.where("image_id = 1").first()["data"])
+
+
+def test_too_many_prototypes_fail(spark):
+    data = spark.createDataFrame([(1, [0.0], 0)], "key long, features array<double>, cls int")
+    protos = spark.range(50).select(F.col("id").cast("int").alias("proto_id"), F.lit(0).alias("cls"), F.array(F.lit(0.0)).alias("w"))
+    before, model.MAX_PROTOTYPES = model.MAX_PROTOTYPES, 49
+    try:
+        with pytest.raises(Exception, match="more than 49 prototypes"):
+            model.nearest_prototype(data, protos).collect()
+    finally:
+        model.MAX_PROTOTYPES = before
+
+
+def test_stream_reads_any_size_and_reports_broken_files(spark, tmp_path):
+    from rasterweir.sources import sinks
+    from rasterweir.streaming import jobs
+
+    rng = np.random.default_rng(0)
+    (tmp_path / "in").mkdir()
+    for name, shape in (("a.png", (5, 9)), ("b.PNG", (12, 4, 3))):
+        (tmp_path / "in" / name).write_bytes(sinks.png(np.ascontiguousarray(rng.integers(0, 256, shape).astype(np.uint8))))
+    (tmp_path / "in" / "c.jpg").write_bytes(b"no image")
+    (tmp_path / "in" / "d.txt").write_bytes(b"text")
+    run = lambda: jobs.stream_new_images(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    run()
+    got = {r.image_id: r.noise for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert set(got) == {"a.png", "b.PNG", "c.jpg"} and got["c.jpg"] is None and got["a.png"] > 0
+    (tmp_path / "in" / "e.png").write_bytes(sinks.png(np.zeros((3, 3), np.uint8)))
+    run()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+
+
+def test_masks_to_predictions(spark):
+    """From candidate masks on: regions, predictions, and what was accepted."""
+    y, x = np.ogrid[:40, :60]
+    m = ((y - 15) ** 2 + (x - 15) ** 2 < 60) | ((y - 20) ** 2 + (x - 42) ** 2 < 150)
+    gray = spark.createDataFrame([(1, 40, 60, bytearray((m * 150 + (y + x) % 9).astype(np.uint8).tobytes()))], "image_id int, height int, width int, data binary")
+    mask = gray.withColumn("data", F.lit(bytearray(m.astype(np.uint8).tobytes())))
+    scaler = spark.createDataFrame([(i, 0.0, 1.0) for i in range(30)], "feature_idx int, mu double, sigma double")
+    runs = rasters.connected_components(mask)
+    vec = {r.region_id: [float(v) for v in r.features] for r in features.region_features(regions.region_stats(runs), gray.select("image_id", "height", "width"), gray, runs).collect()}
+    protos = spark.createDataFrame([(1, 0, vec[1]), (2, 1, vec[2])], "proto_id int, cls int, w array<double>")
+    _, found, kept = rasters.classify_masks(mask, gray, scaler, protos)
+    assert {r.region_id: r.cls for r in found.collect()} == {1: 0, 2: 1}
+    assert regions.region_stats(kept).first()["area"] == int(m[:, 30:].sum()) and {r.region_id for r in kept.collect()} == {1}
+
+
 def test_unreadable_step_is_reported(spark):
-    gray = spark.createDataFrame([(1, 2, 2, bytearray(b"abcd"))], "image_id int, height int, width int, data binary")
-    steps = spark.createDataFrame([(1, [("x", "no such step", {})])], "image_id int, steps array<struct<name: string, method: string, params: map<string, double>>>")
-    assert "unknown step" in rasters.apply_filters(gray, steps).first()["status"]
-    assert rasters.apply_filters(gray, steps, {"no such step": lambda a: a + 1}).first()["data"] == bytearray(b"bcde")
+    gray = spark.createDataFrame([(i, 2, 2, bytearray(b"abcd")) for i in (1, 2, 3)], "image_id int, height int, width int, data binary")
+    kind = "image_id int, steps array<struct<name: string, method: string, params: map<string, double>>>"
+    steps = spark.createDataFrame([(1, [("x", "no such step", {})]), (2, [("x", "gamma", {"gamma": 1.0}), ("y", "median", {"width": 3.0})]), (3, [("x", "frequency_low_ideal", {"fc": 9.0})])], kind)
+    got = {r.image_id: r for r in rasters.apply_filters(gray, steps).collect()}
+    assert "unknown step" in got[1].status and got[2].status.startswith("failed: median") and got[2].data == bytearray(b"abcd") and got[3].status == "ok"
+    extra = rasters.apply_filters(gray, steps, {"no such step": lambda a: a + 1}).where("image_id = 1")
+    assert extra.first()["data"] == bytearray(b"bcde")
 
 
 def test_empty_folder_fails(spark, tmp_path):
@@ -164,5 +268,5 @@ def test_sweep_has_every_label_and_no_row_limit(spark):
     rows = spark.range(50_001).select(F.col("id").alias("key"), F.array((F.col("id") % 2).cast("double"), F.col("id") / 50_001).alias("features"), (F.col("id") % 2).cast("int").alias("cls"))
     configs = spark.createDataFrame([(3, 5, 4, 1, 0.03)], "config_id int, seed int, total int, epochs int, alpha0 double")
     got = model.hlvq_sweep(rows, configs).collect()
-    last = model.hlvq_fit(rows, 1, 4, 0.03, p_drop=0.0, p_jump=0.0, seed=5, noise=0.0)[1].where("epoch = 0").first()
-    assert [tuple(r) for r in got] == [(3, last.acc_train, last.acc_val)]
+    best = model.hlvq_fit(rows, 1, 4, 0.03, seed=5)[1].orderBy(F.desc("acc_val"), "epoch").first()
+    assert [tuple(r) for r in got] == [(3, best.epoch, best.acc_train, best.acc_val)]

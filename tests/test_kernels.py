@@ -144,3 +144,30 @@ def test_median_and_derivatives_by_loops():
             assert gx[y, x] == (box * kx).sum() and gy[y, x] == (box * kx.T).sum()
             assert K.laplacian(a)[y, x] == box[0, 1] + box[2, 1] + box[1, 0] + box[1, 2] - 4 * box[1, 1]
             assert K.median_window(a, 3)[y, x] == np.median(e[y : y + 3, x : x + 3])
+
+
+def test_two_bands_equal_the_shares():
+    rng = np.random.default_rng(4)
+    a, m = rng.integers(0, 256, (12, 15)).astype(np.uint8), rng.random((12, 15)) > 0.4
+    s = K.spectrum_features(a, m)
+    assert K.two_band_ratio(a, m) == pytest.approx(s["fft_ratio"]) and K.two_band_ratio(a, ~(m | True)) == 0
+
+
+@given(masks)
+@settings(max_examples=60, deadline=None)
+def test_runs_and_boxes_of_labels(m):
+    label = naive_components(m, 4)
+    n, y, x0, x1 = K.label_runs(label)
+    back = np.zeros(m.shape, int)
+    for k, r, a, b in zip(n, y, x0, x1, strict=True):
+        back[r, a:b] = k
+    assert (back == label).all()
+    for k, area, box in K.label_boxes(label):
+        assert (label == k).sum() == area == (label[box] == k).sum() and (label[box] == k).any(axis=0)[[0, -1]].all() and (label[box] == k).any(axis=1)[[0, -1]].all()
+    assert len(K.label_boxes(label)) == label.max()
+
+
+def test_frequency_steps_are_the_filters():
+    a = np.random.default_rng(6).integers(0, 256, (9, 8)).astype(np.uint8)
+    for kind in K.FREQUENCY_KINDS:
+        assert (K.STEPS[f"frequency_{kind}"](a, fc=2.0, low=1.0, high=3.0, order=2.0) == K.frequency_filter(a, kind, 2, 1, 3, 2)).all()

@@ -1,13 +1,14 @@
-"""Every registered query runs, and equals its SQL where it has some."""
+"""Every registered query equals its SQL, or plain versions of what it computes."""
 
+import naive
+import numpy as np
 import pytest
 from conftest import DATA, rows_of
 
+from rasterweir.functions import kernels as K
+from rasterweir.operators import features
 from rasterweir.plans import registry
 
-SLOW = {"hlvq_fit", "apply_all_filters", "frequency_filter_kinds"}
-
-
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_its_sql(spark, duck, name):
     got = registry.QUERIES[name](spark, DATA).toPandas()
@@ -16,10 +17,107 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL) - SLOW))
-def test_query_without_sql_runs(spark, name):
-    got = registry.QUERIES[name](spark, DATA).toPandas()
-    assert list(got.columns)
+@pytest.fixture(scope="module")
+def rasters_of(spark):
+    """The activity rasters as arrays."""
+    return {r.image_id: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width) for r in registry.packed(spark, DATA).collect()}
+
+
+def points_of(frame):
+    return {i: set(zip(own["y"].tolist(), own["x"].tolist(), strict=True)) for i, own in frame.groupby("image_id")}
+
+
+def test_candidate_masks_equal_plain_loops(spark, rasters_of):
+    strong, simple = (points_of(registry.QUERIES[n](spark, DATA).toPandas()) for n in ("candidate_mask", "candidate_mask_simple"))
+    square, ellipse = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)], K.ellipse(5)
+    for i, a in rasters_of.items():
+        n = naive.high_pass(a, 4)
+        over = naive.set_of(n > naive.otsu(n))
+        m = over
+        for step in (naive.grown, naive.grown, naive.grown, naive.shrunk):
+            m = step(m, a.shape, square)
+        island = {p for part in naive.parts(m, naive.EIGHT) if len(part) >= 20 for p in part}
+        e = np.where(naive.mask_of(island, a.shape), naive.entropy(n), 0)
+        assert strong.get(i, set()) == naive.set_of(np.isin(e, sorted(set(e.ravel().tolist()))[-2:]) & (e > 0))
+        m = over
+        for step in (naive.grown, naive.shrunk, naive.shrunk, naive.shrunk, naive.grown, naive.grown):
+            m = step(m, a.shape, ellipse)
+        assert simple.get(i, set()) == naive.filled(m, a.shape)
+
+
+def test_shapes_and_edges_equal_plain_counts(spark, rasters_of):
+    """Holes and Euler number by flooding, gradient and Laplacian by loops over the filled crop."""
+    shape = {(r.image_id, r.region_id): r for r in registry.QUERIES["region_shape"](spark, DATA).collect()}
+    edges = {(r.image_id, r.region_id): r for r in registry.QUERIES["region_edges"](spark, DATA).collect()}
+    spectrum = {(r.image_id, r.region_id): r for r in registry.QUERIES["region_spectrum"](spark, DATA).collect()}
+    ratio = {(r.image_id, r.region_id): r.fft_ratio for r in registry.QUERIES["region_band_ratio"](spark, DATA).collect()}
+    seen = 0
+    for i, a in rasters_of.items():
+        for k, part in enumerate(naive.parts(naive.set_of(a > 0), naive.EIGHT), 1):
+            if len(part) < 4:
+                continue
+            seen += 1
+            ys, xs = zip(*part, strict=True)
+            y0, y1, x0, x1 = max(0, min(ys) - 3), min(a.shape[0], max(ys) + 4), max(0, min(xs) - 3), min(a.shape[1], max(xs) + 4)
+            own = {(y - y0, x - x0) for y, x in part}
+            m = naive.mask_of(own, (y1 - y0, x1 - x0))
+            crop = np.where(m, a[y0:y1, x0:x1], int(np.median([a[p] for p in part]))).astype(int)
+            holes = len(naive.parts(naive.filled(own, m.shape) - own, naive.EIGHT))
+            assert (shape[i, k].holes, shape[i, k].euler) == (holes, 1 - holes) and 0 <= shape[i, k].solidity <= 1
+            p, grad, lap = np.pad(crop, 1, mode="reflect"), [], []
+            for y, x in own:
+                box = p[y : y + 3, x : x + 3]
+                gx, gy = (box[:, 2] - box[:, 0]) @ [1, 2, 1], (box[2] - box[0]) @ [1, 2, 1]
+                grad.append(np.hypot(gx, gy))
+                lap.append(box[0, 1] + box[2, 1] + box[1, 0] + box[1, 2] - 4 * box[1, 1])
+            r = edges[i, k]
+            assert (r.gradient_mean, r.gradient_std, r.laplacian_var) == pytest.approx((np.mean(grad), np.std(grad), np.var(lap)), abs=2e-6)
+            s = spectrum[i, k]
+            assert s.energy_low + s.energy_mid + s.energy_high == pytest.approx(1, abs=1e-5) or s.energy_low + s.energy_mid + s.energy_high == 0
+            assert ratio[i, k] == pytest.approx(s.fft_ratio, rel=1e-6, abs=1e-6)
+    assert seen == len(shape) == len(edges)
+
+
+def test_region_features_are_those_of_the_single_queries(spark):
+    """The common map gives what the queries per group give (with their pad), region by region."""
+    whole = registry.QUERIES["region_features"](spark, DATA).toPandas().set_index(["image_id", "region_id"]).sort_index()
+    crops = features.region_crops(*registry._region_inputs(spark, DATA), features.PAD)
+    for part, names in ((features.region_glcm, features.GLCM), (features.region_lbp, features.LBP), (features.region_contrast, features.CONTRAST), (features.region_edges, features.EDGES)):
+        own = part(crops).toPandas().set_index(["image_id", "region_id"]).loc[whole.index]
+        assert np.allclose(own[names], whole[names], atol=2e-5, rtol=1e-5)
+
+
+def test_watershed_queries_cover_their_masks(spark, rasters_of):
+    got = registry.QUERIES["watershed_mask"](spark, DATA).toPandas()
+    for i, own in got.groupby("image_id"):
+        a = rasters_of[i]
+        assert (a[own["y"], own["x"]] > 0).all() and not own.duplicated(["y", "x"]).any() and own["distance"].between(1, 255).all()
+    islands = registry.QUERIES["watershed_islands"](spark, DATA).toPandas()
+    for i, own in islands.groupby("image_id"):
+        assert sorted(own["region_id"].unique()) == list(range(1, own["region_id"].nunique() + 1)) and (rasters_of[i][own["y"], own["x"]] > 0).all()
+
+
+def test_filter_queries_equal_their_steps(spark, rasters_of):
+    every = registry.QUERIES["apply_all_filters"](spark, DATA).toPandas().set_index("image_id")["total"]
+    assert len(every) == len(rasters_of) * len(K.STEPS)
+    for i, a in rasters_of.items():
+        for name, step in K.STEPS.items():
+            assert every[f"{i}:{name}"] == int(step(a).astype(int).sum())
+    own = registry.QUERIES["apply_filters"](spark, DATA).toPandas().set_index("image_id")
+    assert set(own.index) == set(rasters_of) and (own["status"] == "ok").all()
+
+
+def test_segmentation_and_classification_queries(spark, rasters_of):
+    seg = registry.QUERIES["segment_corpus"](spark, DATA).toPandas()
+    assert set(seg["image_id"]) == set(rasters_of) and ((seg["status"] == "ok") == (seg["regions"] > 0)).all() and set(seg["status"]) <= {"ok", "empty"}
+    big = {(r.image_id, r.region_id) for r in registry.QUERIES["area_filter"](spark, DATA).collect()}
+    found = registry.QUERIES["classify_regions"](spark, DATA).collect()
+    assert {(r.image_id, r.region_id) for r in found} == big and {r.cls for r in found} <= {0, 1} and all(r.d2 >= 0 for r in found)
+
+
+def test_training_query(spark):
+    h = registry.QUERIES["hlvq_fit"](spark, DATA).toPandas().sort_values("epoch")
+    assert h["epoch"].tolist() == [-1, 0, 1, 2] and h[["acc_train", "acc_val"]].stack().between(0, 1).all()
 
 
 def test_entry_runs(spark):
