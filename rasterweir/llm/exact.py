@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .shared import discard, new_path, written
 
 #: Bytes that a bucket holds before it is split: its distinct texts, and KEY_BYTES for each. A single text may be larger.
-BUCKET_BYTES = 16 << 20
-KEY_BYTES = 256
+BUCKET_BYTES = 4 << 20
+KEY_BYTES = 1_024
 #: Prefix bits beyond the mean depth that a split can use; the sums on the driver are 2**SLACK per bucket, 2**MOST_BITS at most.
 SLACK = 4
 MOST_BITS = 21
