@@ -571,9 +571,9 @@ def hlvq_epoch(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def levy_alpha(spark: SparkSession, d: str) -> DataFrame:
-    """The schedule without jumps: as many epochs as the events have hours."""
+    """The schedule with its jumps: as many epochs as the events have hours."""
     epochs = fixtures.table(spark, d, "events").select(F.date_trunc("hour", "ts")).distinct().count()
-    return r6(model.levy_alpha(spark, epochs, p_jump=0.0), "alpha")
+    return r6(model.levy_alpha(spark, epochs), "alpha")
 
 
 @query

@@ -273,3 +273,15 @@ ba AS (SELECT s.image_id, kind, p.y, p.x, sum(g * (re * cos(2 * pi() * (s.ky * p
 mg AS (SELECT image_id, kind, CASE WHEN sqrt(re * re + im * im) < 1e-9 * 255 THEN 0 ELSE sqrt(re * re + im * im) END AS m FROM ba),
 en AS (SELECT image_id, kind, m, min(m) OVER w AS lo, max(m) OVER w AS hi FROM mg WINDOW w AS (PARTITION BY image_id, kind))
 SELECT image_id, kind, CAST(sum(CASE WHEN hi - lo > 1e-9 * greatest(1, hi) THEN floor((m - lo) * (255 / (hi - lo)) + 1e-9) ELSE 0 END) AS BIGINT) AS total FROM en GROUP BY image_id, kind"""
+
+
+def _draw(tag: str) -> str:
+    """A number in [0, 1) from the MD5 of seed, tag and epoch."""
+    return f"CAST('0x' || substr(md5('0:{tag}:' || range), 1, 12) AS BIGINT) / 281474976710656::DOUBLE"
+
+
+_SCALE = "pow(gamma(2.5) * sin(pi() * 0.75) / (gamma(1.25) * 1.5 * pow(2, 0.25)), 1 / 1.5)"
+SQL["levy_alpha"] = f"""WITH e AS (SELECT count(DISTINCT date_trunc('hour', ts)) AS n FROM events),
+d AS (SELECT range, range / n::DOUBLE AS t, {_draw("a")} AS a, {_draw("b")} AS b, {_draw("c")} AS c, {_draw("d")} AS d, {_draw("j")} AS j FROM e, range((SELECT n FROM e))),
+s AS (SELECT range, t, j, 0.3 * pow(1 - t, 2) AS base, abs({_SCALE} * sqrt(-2 * ln(1 - a)) * cos(2 * pi() * b) / pow(greatest(abs(sqrt(-2 * ln(1 - c)) * cos(2 * pi() * d)), 1e-12), 1 / 1.5)) AS jump FROM d)
+SELECT CAST(range AS INT) AS epoch, round(greatest(0.01, least(0.3, CASE WHEN t < 0.7 AND j < 0.12 THEN base * (1 + 0.08 * jump) ELSE base END)), 6) AS alpha FROM s"""
