@@ -514,8 +514,8 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _protos(spark: SparkSession, d: str) -> DataFrame:
-    """The rows with vec_id < 50 as prototypes; a fixed, small model."""
-    return _vectors(spark, d).where("key < 50").select(F.col("key").cast("int").alias("proto_id"), "cls", F.col("features").alias("w"))
+    """50 prototypes drawn from all rows, written as several results read them."""
+    return saved(model.init_prototypes(_vectors(spark, d), 50, 3, noise=0.0), "prototypes")
 
 
 def _long(df: DataFrame, column: str, value: str, *keys: str | Column) -> DataFrame:
@@ -555,7 +555,7 @@ def nearest_prototype(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return r6(model.accuracy(model.nearest_prototype(_vectors(spark, d).where("key >= 50"), _protos(spark, d))), "accuracy")
+    return r6(model.accuracy(model.nearest_prototype(_vectors(spark, d), _protos(spark, d))), "accuracy")
 
 
 @query
@@ -566,7 +566,7 @@ def topk_per_prototype(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hlvq_epoch(spark: SparkSession, d: str) -> DataFrame:
-    return _long(model.hlvq_epoch(_vectors(spark, d).where("key >= 50"), _protos(spark, d), 0.3), "w", "v", "proto_id", "cls")
+    return _long(model.hlvq_epoch(_vectors(spark, d), _protos(spark, d), 0.3), "w", "v", "proto_id", "cls")
 
 
 @query

@@ -62,7 +62,9 @@ sl AS (SELECT image_id, region_id, CAST(bool_or(kind = 'object') AS INT) AS cls
 TXT = """tx AS (SELECT doc_id AS image_id, CAST(unnest(range(length(text))) AS INT) AS p, least(255, unicode(unnest(string_split(text, '')))) AS v FROM documents WHERE text <> ''),
 txt AS (SELECT image_id, p // 64 AS y, p % 64 AS x, v FROM tx)"""
 VEC = """vec AS (SELECT vec_id AS key, CAST(label < 5 AS INT) AS cls, CAST(unnest(range(len(embedding))) AS INT) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
-pro AS (SELECT * FROM vec WHERE key < 50)"""
+rk AS (SELECT vec_id, CAST(label < 5 AS INT) AS cls, row_number() OVER (PARTITION BY label < 5 ORDER BY md5('3:' || vec_id), vec_id) - 1 AS r, count(*) OVER (PARTITION BY label < 5) AS n FROM embeddings),
+sl AS (SELECT 25 * cls + slot.range AS proto_id, vec_id FROM rk JOIN range(25) slot ON slot.range % least(25, n) = r),
+pro AS (SELECT sl.proto_id AS key, vec.cls, vec.i, vec.v FROM sl JOIN vec ON vec.key = sl.vec_id)"""
 NEAR = """dist AS (SELECT a.key, b.key AS proto_id, any_value(a.cls) AS cls, any_value(b.cls) AS pred, sum((a.v - b.v) * (a.v - b.v)) AS d2 FROM {data} a JOIN pro b USING (i) GROUP BY a.key, b.key),
 win AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY key ORDER BY d2, proto_id) = 1)"""
 DEN8 = """e8 AS (SELECT vec_id AS image_id, CAST(unnest(range(len(embedding))) AS INT) AS p, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings),
@@ -201,22 +203,19 @@ SQL: dict[str, str] = {
     "apply_scaler": with_(VEC) + "SELECT key, i AS feature_idx, round((v - avg(v) OVER w) / (stddev_pop(v) OVER w), 6) AS z FROM vec WINDOW w AS (PARTITION BY i)",
     "train_val_split": "SELECT vec_id AS key, CASE WHEN row_number() OVER (ORDER BY md5('7:' || vec_id)) <= greatest(1, least((SELECT count(*) FROM embeddings) - 1, round_even((SELECT count(*) FROM embeddings) * 0.2::DOUBLE, 0))) THEN 'val' ELSE 'train' END AS part FROM embeddings",
     "class_ranges": with_(VEC) + "SELECT cls, i AS feature_idx, round(min(v), 6) AS lo, round(max(v), 6) AS hi, round(CASE WHEN stddev_pop(v) < 1e-6 THEN 0.01 ELSE stddev_pop(v) END, 6) AS sd FROM vec GROUP BY ALL",
-    "init_prototypes": with_(VEC) + """, rk AS (SELECT vec_id AS key, CAST(label < 5 AS INT) AS cls, row_number() OVER (PARTITION BY label < 5 ORDER BY md5('3:' || vec_id), vec_id) AS r FROM embeddings),
-        pk AS (SELECT key, cls, row_number() OVER (ORDER BY cls, r) - 1 AS proto_id FROM rk WHERE r <= CASE WHEN cls = 0 THEN 21 ELSE 20 END)
+    "init_prototypes": with_(VEC) + """, pk AS (SELECT vec_id AS key, cls, row_number() OVER (ORDER BY cls, r) - 1 AS proto_id FROM rk WHERE r < CASE WHEN cls = 0 THEN 21 ELSE 20 END)
         SELECT CAST(proto_id AS INT) AS proto_id, pk.cls, i AS feature_idx, round(v, 6) AS v FROM pk JOIN vec USING (key)""",
     "nearest_prototype": with_(VEC, NEAR.format(data="vec")) + "SELECT key AS vec_id, CAST(proto_id AS INT) AS proto_id, round(d2, 6) AS d2, pred FROM win",
-    "accuracy": with_(VEC, "rest AS (SELECT * FROM vec WHERE key >= 50)", NEAR.format(data="rest")) + "SELECT round(avg(CAST(pred = cls AS INT)), 6) AS accuracy FROM win",
+    "accuracy": with_(VEC, NEAR.format(data="vec")) + "SELECT round(avg(CAST(pred = cls AS INT)), 6) AS accuracy FROM win",
     "topk_per_prototype": with_(VEC, NEAR.format(data="vec")) + """, tk AS (SELECT * FROM win WHERE pred = cls QUALIFY row_number() OVER (PARTITION BY proto_id ORDER BY d2, key) <= 7)
         SELECT CAST(proto_id AS INT) AS proto_id, count(*) AS n, i AS feature_idx, round(avg(v), 6) AS mean_v FROM tk JOIN vec USING (key) GROUP BY proto_id, i""",
-    "hlvq_epoch": with_(VEC, "rest AS (SELECT * FROM vec WHERE key >= 50)", NEAR.format(data="rest")) + """, pu AS (SELECT proto_id, i, sum(v) AS s, count(*) AS n FROM win JOIN vec USING (key) WHERE win.pred <> win.cls GROUP BY ALL),
+    "hlvq_epoch": with_(VEC, NEAR.format(data="vec")) + """, pu AS (SELECT proto_id, i, sum(v) AS s, count(*) AS n FROM win JOIN vec USING (key) WHERE win.pred <> win.cls GROUP BY ALL),
         w1 AS (SELECT p.key AS proto_id, p.cls, p.i, p.v - coalesce(least(0.25::DOUBLE * 0.3::DOUBLE, 1.0::DOUBLE / n) * (s - n * p.v), 0) AS w FROM pro p LEFT JOIN pu ON pu.proto_id = p.key AND pu.i = p.i),
         d1 AS (SELECT win.key, win.proto_id, sum((vec.v - w1.w) * (vec.v - w1.w)) AS d2 FROM win JOIN vec USING (key) JOIN w1 ON w1.proto_id = win.proto_id AND w1.i = vec.i WHERE win.pred = win.cls GROUP BY ALL),
         tk AS (SELECT * FROM d1 QUALIFY row_number() OVER (PARTITION BY proto_id ORDER BY d2, key) <= 7),
         me AS (SELECT proto_id, i, avg(v) AS m FROM tk JOIN vec USING (key) GROUP BY ALL)
         SELECT CAST(w1.proto_id AS INT) AS proto_id, w1.cls, w1.i AS feature_idx, round(w + coalesce(0.3::DOUBLE * (m - w), 0), 6) AS v FROM w1 LEFT JOIN me ON me.proto_id = w1.proto_id AND me.i = w1.i""",
-    "levy_alpha": """WITH e AS (SELECT count(DISTINCT date_trunc('hour', ts)) AS n FROM events)
-        SELECT CAST(range AS INT) AS epoch, round(greatest(0.01, least(0.3, 0.3 * pow(1 - range / n::DOUBLE, 2))), 6) AS alpha FROM e, range((SELECT n FROM e))""",
-    "dropout_mask": f"""WITH u AS (SELECT CAST(vec_id AS INT) AS proto_id, CAST(label < 5 AS INT) AS cls, {U48.format("'0:drop:20:' || vec_id")} AS u FROM embeddings WHERE vec_id < 50)
+    "dropout_mask": with_(VEC) + f""", u AS (SELECT CAST(key AS INT) AS proto_id, cls, {U48.format("'0:drop:20:' || key")} AS u FROM pro WHERE i = 0)
         SELECT proto_id, cls, u >= 0.5 OR row_number() OVER (PARTITION BY cls ORDER BY u DESC, proto_id) = 1 AS active FROM u""",
     "reseed_prototypes": with_(VEC) + f""", rg AS (SELECT cls, i, min(v) AS lo, max(v) AS hi FROM vec GROUP BY ALL)
         SELECT CAST(key AS INT) AS proto_id, p.cls, p.i AS feature_idx, round(CASE WHEN key % 3 = 0 THEN lo + (hi - lo) * ({U48.format("'0:box:5:' || key || ':' || p.i")}) ELSE v END, 6) AS v FROM pro p JOIN rg ON rg.cls = p.cls AND rg.i = p.i""",
