@@ -2,7 +2,7 @@
 
 Samples are rows ``(key LONG, features ARRAY<DOUBLE>, cls INT)``, prototypes ``(proto_id INT, cls INT, w ARRAY<DOUBLE>)``.
 The prototypes are a model of a few hundred short rows: they are collected per epoch, checked against MAX_PROTOTYPES
-and travel as one broadcast row. Random draws come from hashes of (seed, epoch, id), not from the order of rows.
+and travel with the tasks. Random draws come from hashes of (seed, epoch, id), not from the order of rows.
 """
 
 from __future__ import annotations
@@ -10,11 +10,17 @@ from __future__ import annotations
 import math
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: Prototypes that a model may have; what is broadcast is bounded by it.
 MAX_PROTOTYPES = 10_000
+#: Deviation of the noise on a sample that becomes a prototype.
+NOISE = 0.08
+#: Differences that a task holds at a time when it scores a batch.
+BLOCK_VALUES = 1 << 21
 
 
 def uniform(*parts: Column | str | float) -> Column:
@@ -108,17 +114,32 @@ def init_prototypes(data: DataFrame, total: int = 200, seed: int = 0, noise: flo
 def nearest_prototype(data: DataFrame, prototypes: DataFrame) -> DataFrame:
     """``data`` with ``proto_id``, ``d2`` and ``pred``: the prototype at least squared distance, ties to the lowest id.
 
-    Map-only: all prototypes are one broadcast row, whose size is bounded by MAX_PROTOTYPES.
+    Map-only. The prototypes are collected, MAX_PROTOTYPES at most, and travel with the tasks; distances of Arrow batches are
+    taken in blocks of bounded size, as interpreted array functions cost many times more per sample, prototype and feature.
+    Features that are null or hold a null or NaN, and a model without prototypes, give nulls.
     """
-    too_many = F.raise_error(F.lit(f"more than {MAX_PROTOTYPES} prototypes"))
-    row = prototypes.agg(F.when(F.count("*") <= MAX_PROTOTYPES, F.collect_list(F.struct("proto_id", "cls", "w"))).otherwise(too_many).alias("_p"))
-
-    def scored(p: Column) -> Column:
-        d2 = F.aggregate(F.zip_with("features", p["w"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        return F.struct(d2.alias("d2"), p["proto_id"].alias("proto_id"), p["cls"].alias("cls"))
-
-    best = data.crossJoin(F.broadcast(row)).withColumn("_b", F.array_min(F.transform("_p", scored)))
-    return best.select(*[F.col(f"`{c}`") for c in data.columns], F.col("_b.proto_id").alias("proto_id"), F.col("_b.d2").alias("d2"), F.col("_b.cls").alias("pred"))
+    model = prototypes.select("proto_id", "cls", "w").orderBy("proto_id").limit(MAX_PROTOTYPES + 1).collect()
+    if len(model) > MAX_PROTOTYPES:
+        raise ValueError(f"more than {MAX_PROTOTYPES} prototypes")
+    ids, classes = [r["proto_id"] for r in model], [r["cls"] for r in model]
+    w = np.array([r["w"] for r in model], float) if model else np.zeros((0, 0))
+    block = max(1, BLOCK_VALUES // max(1, w.size))
+
+    def scored(features: pd.Series) -> pd.DataFrame:
+        good = np.array([len(model) > 0 and f is not None and not np.isnan(np.asarray(f, float)).any() for f in features], bool)
+        at, d2 = np.zeros(len(features), int), np.full(len(features), np.nan)
+        rows = np.flatnonzero(good)
+        for own in (rows[i : i + block] for i in range(0, len(rows), block)):
+            apart = np.stack(features.iloc[own].to_list()).astype(float)[:, None, :] - w
+            all_d2 = np.einsum("ijk,ijk->ij", apart, apart)
+            at[own], d2[own] = all_d2.argmin(axis=1), all_d2.min(axis=1)
+        pick = lambda v: pd.Series([v[k] if g else None for k, g in zip(at.tolist(), good.tolist(), strict=True)], dtype=object)
+        return pd.DataFrame({"proto_id": pick(ids), "d2": pd.Series(d2).astype(object).where(good, None), "cls": pick(classes)})
+
+    kind = {f.name: f.dataType.simpleString() for f in prototypes.schema.fields}
+    best = F.pandas_udf(scored, f"proto_id {kind['proto_id']}, d2 double, cls {kind['cls']}")
+    out = data.withColumn("_b", best("features"))
+    return out.select(*[F.col(f"`{c}`") for c in data.columns], F.col("_b.proto_id").alias("proto_id"), F.col("_b.d2").alias("d2"), F.col("_b.cls").alias("pred"))
 
 
 def accuracy(scored: DataFrame) -> DataFrame:
@@ -166,24 +187,39 @@ def dropout_mask(prototypes: DataFrame, epoch: int, epochs: int, p: float = 0.15
     return prototypes.withColumn("active", (u >= p) | (F.col("proto_id") == -most["neg"]))
 
 
-def reseed_prototypes(prototypes: DataFrame, data: DataFrame, empty: DataFrame, epoch: int, noise: float = 0.08, seed: int = 0) -> DataFrame:
+def class_boxes(data: DataFrame) -> DataFrame:
+    """``(cls, r ARRAY<STRUCT<feature_idx, lo, hi>>, box)``: ranges of each class; box: two samples, and every range is positive."""
+    ranges = class_ranges(data).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("feature_idx", "lo", "hi"))).alias("r"), F.min((F.col("hi") > F.col("lo")).cast("int")).alias("wide"))
+    sizes = data.groupBy("cls").agg(F.count("*").alias("n"))
+    return ranges.join(sizes, "cls").select("cls", "r", ((F.col("n") >= 2) & (F.col("wide") == 1)).alias("box"))
+
+
+def reseed_prototypes(prototypes: DataFrame, data: DataFrame, empty: DataFrame, epoch: int, noise: float = NOISE, seed: int = 0, boxes: DataFrame | None = None) -> DataFrame:
     """``prototypes`` with those of ``empty(proto_id)`` drawn anew.
 
     Uniform in the class range if the class has two samples and every range is positive; else a random sample of the
-    class and normal noise; else unchanged.
+    class and normal noise; else unchanged. ``boxes``: the ``class_boxes`` of the data, where they are known already; samples
+    are read only for classes without a box.
     """
-    ranges = class_ranges(data).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("feature_idx", "lo", "hi"))).alias("r"), F.min((F.col("hi") > F.col("lo")).cast("int")).alias("wide"))
-    pick = data.groupBy("cls").agg(F.min_by("features", F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col("key").cast("string")))).alias("sample"), F.count("*").alias("n"))
-    todo = prototypes.join(F.broadcast(empty.select("proto_id").distinct()), "proto_id").join(F.broadcast(ranges.join(pick, "cls")), "cls", "left")
+    flags = empty.select("proto_id").distinct().withColumn("_empty", F.lit(True))
+    return _redrawn(prototypes.join(F.broadcast(flags), "proto_id", "left"), data, class_boxes(data) if boxes is None else boxes, epoch, noise, seed)
+
+
+def _redrawn(prototypes: DataFrame, data: DataFrame, boxes: DataFrame, epoch: int, noise: float, seed: int) -> DataFrame:
+    """``(proto_id, cls, w)`` in which prototypes with a true ``_empty`` are drawn anew; one projection over joins with small tables."""
+    lone = data.join(F.broadcast(boxes.where("NOT box").select("cls")), "cls", "left_semi")
+    pick = lone.groupBy("cls").agg(F.min_by("features", F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col("key").cast("string")))).alias("sample"))
+    todo = prototypes.join(F.broadcast(boxes), "cls", "left").join(F.broadcast(pick), "cls", "left")
     at = lambda i, tag: uniform(seed, tag, epoch, F.col("proto_id"), i)
     box = F.transform("r", lambda s: s["lo"] + (s["hi"] - s["lo"]) * at(s["feature_idx"], "box"))
     near = F.transform("sample", lambda x, i: x + noise * F.sqrt(-2 * F.log(1 - at(i, "n1"))) * F.cos(2 * math.pi * at(i, "n2")))
-    drawn = todo.select("proto_id", F.when((F.col("n") >= 2) & (F.col("wide") == 1), box).when(F.col("n") >= 1, near).otherwise(F.col("w")).alias("new_w"))
-    return prototypes.join(F.broadcast(drawn), "proto_id", "left").select("proto_id", "cls", F.coalesce("new_w", "w").alias("w"))
+    new = F.when(F.col("box"), box).when(F.col("sample").isNotNull(), near)
+    return todo.select("proto_id", "cls", F.when(F.col("_empty"), F.coalesce(new, F.col("w"))).otherwise(F.col("w")).alias("w"))
 
 
-def hlvq_epoch(data: DataFrame, prototypes: DataFrame, alpha: float, alpha_error: float = 0.25, k: int = 7, *, epoch: int = 0, reseed: bool = False, seed: int = 0) -> DataFrame:
-    """One synchronous epoch: ``(proto_id, cls, w)``. ``prototypes`` may have a column ``active``.
+def hlvq_epoch(data: DataFrame, prototypes: DataFrame, alpha: float | Column, alpha_error: float = 0.25, k: int = 7, *, epoch: int = 0, reseed: bool = False, seed: int = 0, boxes: DataFrame | None = None) -> DataFrame:
+    """One synchronous epoch: ``(proto_id, cls, w)``. ``prototypes`` may have a column ``active``; ``alpha`` may be one of its columns,
+    which keeps the compiled plan the same in all epochs.
 
     Winners are found against the prototypes as they are. Wrong wins push: w - eta * sum(x - w), eta = alpha_error *
     alpha, where eta times the number of pushes is capped at 1. Then each prototype goes by alpha towards the mean of
@@ -191,20 +227,21 @@ def hlvq_epoch(data: DataFrame, prototypes: DataFrame, alpha: float, alpha_error
     drawn anew with ``reseed``.
     """
     on = prototypes.where("active") if "active" in prototypes.columns else prototypes
-    eta = alpha_error * alpha
+    prototypes = prototypes.withColumn("_alpha", alpha if isinstance(alpha, Column) else F.lit(float(alpha)))
+    rate = F.col("_alpha")
     win = nearest_prototype(data, on.select("proto_id", "cls", "w"))
     wrong = win.where("pred <> cls").select("proto_id", F.posexplode("features").alias("i", "v")).groupBy("proto_id", "i").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
     push = wrong.groupBy("proto_id").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("s"))
-    step = F.least(F.lit(eta), 1.0 / F.col("n"))
+    step = F.least(alpha_error * rate, 1.0 / F.col("n"))
     moved = prototypes.join(F.broadcast(push), "proto_id", "left")
-    moved = moved.select("proto_id", "cls", F.when(F.col("n").isNull(), F.col("w")).otherwise(F.zip_with("w", "s", lambda w, s: w - step * (s - F.col("n") * w))).alias("w"))
+    moved = moved.select("proto_id", "cls", "_alpha", F.when(F.col("n").isNull(), F.col("w")).otherwise(F.zip_with("w", "s", lambda w, s: w - step * (s - F.col("n") * w))).alias("w"))
     right = win.where("pred = cls").join(F.broadcast(moved.select("proto_id", F.col("w").alias("w1"))), "proto_id")
     d2 = F.aggregate(F.zip_with("features", "w1", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     top = topk_per_prototype(right.withColumn("d2", d2), k)
-    out = moved.join(F.broadcast(top), "proto_id", "left").select("proto_id", "cls", F.when(F.col("mean").isNull(), F.col("w")).otherwise(F.zip_with("w", "mean", lambda w, m: w + alpha * (m - w))).alias("w"), F.col("mean").isNull().alias("_empty"))
+    out = moved.join(F.broadcast(top), "proto_id", "left").select("proto_id", "cls", F.when(F.col("mean").isNull(), F.col("w")).otherwise(F.zip_with("w", "mean", lambda w, m: w + rate * (m - w))).alias("w"), F.col("mean").isNull().alias("_empty"))
     if not reseed:
         return out.drop("_empty")
-    return reseed_prototypes(out.drop("_empty"), data, out.where("_empty").select("proto_id"), epoch, seed=seed)
+    return _redrawn(out, data, class_boxes(data) if boxes is None else boxes, epoch, NOISE, seed)
 
 
 def best_epoch(history: DataFrame, min_delta: float = 0.0, patience: int = 30) -> DataFrame:
@@ -226,28 +263,38 @@ def hlvq_fit(data: DataFrame, epochs: int = 300, total: int = 200, alpha0: float
     """Best prototypes and ``train_history(epoch, alpha, acc_train, acc_val)``.
 
     A driver loop over epochs: what comes to the driver is the model and two numbers per epoch; the samples stay in
-    the cluster, cached once. The model is re-made from its rows each epoch, which cuts the lineage.
+    the cluster, cached once, and their class ranges are found once. The model is re-made from its rows each epoch, which
+    cuts the lineage. Training stops after ``patience`` epochs without a better validation accuracy.
     """
     spark = data.sparkSession
     parts = train_val_split(data, share, seed).cache()
-    train, val = parts.where("part IN ('train', 'both')"), parts.where("part IN ('val', 'both')")
-    schema = "proto_id int, cls int, w array<double>"
-    fixed = lambda df: spark.createDataFrame([tuple(r) for r in df.select("proto_id", "cls", "w").collect()], schema)  # noqa: E731  MAX_PROTOTYPES rows
-    score = lambda rows, w: accuracy(nearest_prototype(rows, w)).first()[0]
-    w = fixed(init_prototypes(train, total, seed, noise))
-    best, best_acc, bad, history = w, score(val, w), 0, []
-    history.append((-1, 0.0, score(train, w), best_acc))
+    train = parts.where("part IN ('train', 'both')")
+    rows = lambda df: [tuple(r) for r in df.select("proto_id", "cls", "w").collect()]  # noqa: E731  MAX_PROTOTYPES rows
+    table = lambda w, alpha: spark.createDataFrame([(*r, alpha) for r in w], "proto_id int, cls int, w array<double>, alpha double").coalesce(1)
+
+    def scores(w: list[tuple]) -> tuple[float, float]:
+        """Accuracy of training and validation rows, in one pass."""
+        hit = (F.col("pred") == F.col("cls")).cast("double")
+        shares = [F.coalesce(F.avg(F.when(F.col("part").isin(p, "both"), hit)), F.lit(0.0)) for p in ("train", "val")]
+        return tuple(nearest_prototype(parts, table(w, 0.0).drop("alpha")).agg(*shares).first())
+
+    boxes = class_boxes(train)
+    boxes = spark.createDataFrame(boxes.collect(), boxes.schema).coalesce(1)  # a row per class
+    w = rows(init_prototypes(train, total, seed, noise))
+    on_train, best_acc = scores(w)
+    best, bad, history = w, 0, [(-1, 0.0, on_train, best_acc)]
     alphas = [r["alpha"] for r in levy_alpha(spark, epochs, alpha0, alpha_min, p_jump=p_jump, seed=seed).orderBy("epoch").collect()]
     for t, alpha in enumerate(alphas):
-        w = fixed(hlvq_epoch(train, dropout_mask(w, t, epochs, p_drop, warmup, seed), alpha, epoch=t, reseed=True, seed=seed))
-        acc = score(val, w)
-        history.append((t, alpha, score(train, w), acc))
+        on = dropout_mask(table(w, alpha), t, epochs, p_drop, warmup, seed)
+        w = rows(hlvq_epoch(train, on, F.col("alpha"), epoch=t, reseed=True, seed=seed, boxes=boxes))
+        on_train, acc = scores(w)
+        history.append((t, alpha, on_train, acc))
         if acc > best_acc + min_delta:
             best, best_acc, bad = w, acc, 0
         elif (bad := bad + 1) >= patience:
             break
     parts.unpersist()
-    return best, spark.createDataFrame(history, "epoch int, alpha double, acc_train double, acc_val double")
+    return table(best, 0.0).drop("alpha"), spark.createDataFrame(history, "epoch int, alpha double, acc_train double, acc_val double")
 
 
 #: Settings of a sweep that are trained at a time.

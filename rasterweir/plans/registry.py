@@ -313,6 +313,13 @@ def region_edges(spark: SparkSession, d: str) -> DataFrame:
     return r6(features.region_edges(_crops(spark, d)), *features.EDGES)
 
 
+@query
+def region_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """The edge features that SQL can express."""
+    names = ["gradient_mean", "gradient_std", "laplacian_var"]
+    return r6(features.region_edges(_crops(spark, d)).select(*REGION, *names), *names)
+
+
 def _features(gray: DataFrame, found: DataFrame, least: int = 20) -> DataFrame:
     """Features of the regions of at least so many pixels, from images and label runs that have been written."""
     big = regions.area_filter(regions.region_stats(found), least)
@@ -599,8 +606,8 @@ def best_epoch(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hlvq_fit(spark: SparkSession, d: str) -> DataFrame:
-    """A short training run: history by epoch."""
-    return r6(model.hlvq_fit(_vectors(spark, d), epochs=3, total=20, warmup=1)[1], "alpha", "acc_train", "acc_val")
+    """A short training run in which dropout, new seeds, jumps and patience act: history by epoch."""
+    return r6(model.hlvq_fit(_vectors(spark, d), epochs=12, warmup=2, patience=5)[1], "alpha", "acc_train", "acc_val")
 
 
 @query

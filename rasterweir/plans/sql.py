@@ -273,6 +273,16 @@ mg AS (SELECT image_id, kind, CASE WHEN sqrt(re * re + im * im) < 1e-9 * 255 THE
 en AS (SELECT image_id, kind, m, min(m) OVER w AS lo, max(m) OVER w AS hi FROM mg WINDOW w AS (PARTITION BY image_id, kind))
 SELECT image_id, kind, CAST(sum(CASE WHEN hi - lo > 1e-9 * greatest(1, hi) THEN floor((m - lo) * (255 / (hi - lo)) + 1e-9) ELSE 0 END) AS BIGINT) AS total FROM en GROUP BY image_id, kind"""
 
+#: Sobel and Laplacian of the filled crops, mirrored at their edges without repeating the edge, on object pixels.
+SQL["region_gradient"] = with_(PX, DENSE, LAB, OWN, INTENSITY, CROPS) + """, bx AS (SELECT image_id, region_id, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM crop GROUP BY ALL),
+st AS (SELECT a.range AS dy, b.range AS dx FROM range(-1, 2) a CROSS JOIN range(-1, 2) b),
+nb AS (SELECT image_id, region_id, c.y, c.x, dy, dx, CASE WHEN c.y + dy < y0 THEN y0 + 1 WHEN c.y + dy > y1 THEN y1 - 1 ELSE c.y + dy END AS ny,
+  CASE WHEN c.x + dx < x0 THEN x0 + 1 WHEN c.x + dx > x1 THEN x1 - 1 ELSE c.x + dx END AS nx FROM crop c JOIN bx USING (image_id, region_id) CROSS JOIN st WHERE inside),
+gr AS (SELECT n.image_id, n.region_id, n.y, n.x, CAST(sum(v * dx * (2 - abs(dy))) AS DOUBLE) AS gx, CAST(sum(v * dy * (2 - abs(dx))) AS DOUBLE) AS gy,
+  CAST(sum(v * CASE abs(dy) + abs(dx) WHEN 0 THEN -4 WHEN 1 THEN 1 ELSE 0 END) AS DOUBLE) AS lp
+  FROM nb n JOIN crop c ON c.image_id = n.image_id AND c.region_id = n.region_id AND c.y = n.ny AND c.x = n.nx GROUP BY ALL)
+SELECT image_id, region_id, round(avg(sqrt(gx * gx + gy * gy)), 6) AS gradient_mean, round(stddev_pop(sqrt(gx * gx + gy * gy)), 6) AS gradient_std, round(var_pop(lp), 6) AS laplacian_var FROM gr GROUP BY ALL"""
+
 
 def _draw(tag: str) -> str:
     """A number in [0, 1) from the MD5 of seed, tag and epoch."""

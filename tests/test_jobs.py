@@ -188,6 +188,21 @@ def test_too_many_prototypes_fail(spark):
         model.MAX_PROTOTYPES = before
 
 
+def test_nearest_prototype_with_nulls_ties_and_no_model(spark):
+    rows = [(1, [0.0, 1.0], 0), (2, [5.0, 5.0], 1), (3, None, 0), (4, [1.0, None], 1), (5, [0.5, 0.5], 1)]
+    data = spark.createDataFrame(rows, "key long, features array<double>, cls int")
+    protos = spark.createDataFrame([(7, 1, [0.0, 1.0]), (3, 0, [0.0, 1.0]), (9, 1, [4.0, 5.0])], "proto_id int, cls int, w array<double>")
+    before, model.BLOCK_VALUES = model.BLOCK_VALUES, 6  # a sample at a time
+    try:
+        got = {r.key: (r.proto_id, r.d2, r.pred) for r in model.nearest_prototype(data, protos).collect()}
+    finally:
+        model.BLOCK_VALUES = before
+    none = (None, None, None)
+    assert got == {1: (3, 0.0, 0), 2: (9, 1.0, 1), 3: none, 4: none, 5: (3, 0.5, 0)}
+    assert {(r.proto_id, r.d2, r.pred) for r in model.nearest_prototype(data, protos.limit(0)).collect()} == {none}
+    assert model.nearest_prototype(data.limit(0), protos).count() == 0
+
+
 def test_stream_reads_any_size_and_reports_broken_files(spark, tmp_path):
     from rasterweir.sources import sinks
     from rasterweir.streaming import jobs
