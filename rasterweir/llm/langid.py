@@ -21,6 +21,8 @@ ORDERS = (1, 2, 3)
 BUCKET_BITS = 14
 #: Documents that the model is fitted on at most; a documented bound, chosen by a hash of the row.
 MAX_TRAIN = 20_000
+#: Leading bits of the hash by which labelled rows are counted, to find the bound without ordering them all.
+PREFIX_BITS = 12
 #: Languages that a model has at most, those of most training documents: a matrix of 16 MB.
 MAX_LANGUAGES = 256
 #: Characters of one scoring step; a longer text is scored in overlapping slices.
@@ -81,13 +83,19 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     smallest hashes of key and text are taken, never more than that many (equal rows that straddle the bound are all left
     out), so the choice doesn't depend on order or partitions. Of more than ``max_languages`` labels in them the most
     frequent are learnt, ties by name. Empty texts teach the label's frequency only; very long ones are counted in slices.
-    What reaches the driver is languages x buckets counts at most. No labelled row: a model without languages, that calls
+    What reaches the driver is a count per hash prefix, and languages x buckets counts at most. No labelled row: a model without languages, that calls
     all texts ``und``.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.xxhash64(F.col(key_col), F.col(text_col)).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    end = rows.select("h").orderBy("h").limit(max_train + 1).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
-    rows = written((rows.where(F.col("h") < end["h"]) if end["n"] > max_train else rows).select("lang", "text"), "language-sample")
+    # the hash prefix in which the bound lies, from 2**PREFIX_BITS counts; only rows up to that prefix are ordered
+    prefix = F.shiftright("h", 64 - PREFIX_BITS)
+    steps = rows.groupBy(prefix.alias("p")).count().toPandas().sort_values("p")
+    over = steps["p"][steps["count"].cumsum() > max_train]
+    rows = sample = written(rows.where(prefix <= int(over.iloc[0])) if len(over) else rows, "language-sample")
+    if len(over):
+        end = sample.select("h").orderBy("h").limit(max_train + 1).agg(F.max("h")).first()[0]
+        rows = sample.where(F.col("h") < end)
     most = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
 
     def count(batches):
@@ -104,7 +112,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
             yield pd.DataFrame({"lang": lang, "bucket": np.append(at, -1).astype(np.int32), "n": np.append(got[at], docs_of[lang])})
 
     found = rows.where(F.col("lang").isin(most)).mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    discard(rows)
+    discard(sample)
     languages = sorted(found["lang"].unique())
     counts, seen = np.zeros((1 << BUCKET_BITS, len(languages))), np.zeros(len(languages))
     for j, lang in enumerate(languages):
