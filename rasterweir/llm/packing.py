@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences under several capacities.
 
 Tokenising is map-only; what is packed are pieces of a few integers each. Full pieces are sequences of their own.
-The others are dealt by a hash of the document to groups of bounded size, and each group is packed by itself:
+The others are dealt by a hash of the piece and its place in the written table to groups of bounded size, so that rows
+that repeat go to all groups, and each group is packed by itself:
 longest first, into the open bin that fits in every dimension (tokens, documents, attention cost) and for which the
 weighted residual that would remain is smallest, or, if asked for, the weighted dot-product of need and room largest.
 """
@@ -108,15 +109,15 @@ def pack(docs: DataFrame, vocabulary: str, capacity: Capacity | None = None, id_
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``: one row per piece of each document.
 
     Sequences hold at most what ``capacity`` says, in every dimension; offsets have no gaps. Which piece goes where
-    depends on the rows alone, not on partitions. Null text is a separator alone, repeated rows are packed each by itself,
-    a very long text becomes full pieces. Other columns are ignored, whatever their names. An empty table gives no rows.
+    depends on the rows and on where the written pieces lie, so a task that runs again gives the same. Null text is a separator
+    alone; repeated rows are packed each by itself, however many there are; a very long text becomes full pieces. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     capacity = capacity or Capacity()
     limit = min(capacity.tokens, int(capacity.attention**0.5))
     found = written(pieces(docs, vocabulary, limit, id_col, text_col), "pieces")
     part = found.where(F.col("length") < limit)
     groups = max(1, -(-part.count() // group_pieces))
-    part = part.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
+    part = part.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
