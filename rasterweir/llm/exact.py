@@ -31,6 +31,8 @@ KEY_BYTES = 1_024
 #: Prefix bits beyond the mean depth that a split can use; the sums on the driver are 2**SLACK per bucket, 2**MOST_BITS at most.
 SLACK = 4
 MOST_BITS = 21
+#: Files of the index at most: a task owns the buckets of one file.
+MOST_FILES = 1 << 15
 #: Rows that are held as Python objects, or sent back, at a time.
 OUT_ROWS = 512
 #: Stands for a null id among the ids of a group.
@@ -144,7 +146,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     index = rows.mapInArrow(chain, "bucket int, doc_id long, head long, key long, n long, sha string, data binary")
     path, table = new_path(spark, "hash-index"), f"hash_index_{uuid.uuid4().hex}"
-    files = max(1, min(buckets, 4096))
+    files = max(1, min(buckets, MOST_FILES))
     index.repartition(files, "bucket").write.option("path", path).option("compression", "none").bucketBy(files, "bucket").sortBy("bucket", "key").format("parquet").saveAsTable(table)
     index = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the catalogue forgets the name; the files stay and the plan has found them
