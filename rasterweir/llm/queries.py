@@ -106,12 +106,31 @@ QUERIES = {
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: White space between words, as Python's split has it, for a regular expression of the SQL.
+_SPACE = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace()) + "]+"
+
 SQL = {
     "op5_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOW.format("coalesce(text, '')")} AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM t JOIN g USING (body)
     """,
+    # all pairs of texts that share a shingle, without signatures or bands; equal word sequences are one text
+    "op6_minhash_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+        c AS (SELECT w, row_number() OVER () AS rep FROM (SELECT DISTINCT w FROM d WHERE len(w) > 0 AND doc_id IS NOT NULL)),
+        u AS (SELECT rep, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM c),
+        g AS (SELECT rep, i, n, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle FROM u WINDOW o AS (PARTITION BY rep ORDER BY i)),
+        s AS (SELECT rep, shingle, count(*) AS n FROM g WHERE i <= greatest(n - 4, 1) GROUP BY ALL), t AS (SELECT rep, sum(n) AS total FROM s GROUP BY rep),
+        p AS (SELECT a.rep AS x, b.rep AS y, sum(least(a.n, b.n)) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.rep <> b.rep GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN t a ON a.rep = x JOIN t b ON b.rep = y WHERE shared / CAST(a.total + b.total - shared AS DOUBLE) >= 0.8::DOUBLE),
+        m AS (SELECT doc_id, rep FROM d JOIN c USING (w) WHERE doc_id IS NOT NULL),
+        e AS (SELECT x, y FROM l UNION SELECT a.rep, b.rep FROM m a JOIN m b USING (doc_id)),
+        walk(rep, root) AS (SELECT rep, rep FROM c UNION SELECT e.y, walk.root FROM walk JOIN e ON e.x = walk.rep),
+        f AS (SELECT walk.rep, min(m.doc_id) AS class_id FROM walk JOIN m ON m.rep = walk.root GROUP BY walk.rep),
+        o AS (SELECT d.doc_id, CASE WHEN d.doc_id IS NOT NULL THEN coalesce(f.class_id, d.doc_id) END AS class_id FROM d LEFT JOIN c USING (w) LEFT JOIN f USING (rep))
+        SELECT doc_id, class_id, doc_id IS NOT DISTINCT FROM class_id AS kept FROM o
+    """,
     "op8_url_filter": f"""
         WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
         h AS (SELECT page_id, {_LOW.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
