@@ -240,12 +240,12 @@ _REPLAY = """WITH e AS (SELECT user_id AS session_id, row_number() OVER (PARTITI
 SQL["annotation_replay"] = SQL["stream_annotations"] = _REPLAY
 
 
-def _grow(name: str, source: str) -> str:
-    return f"{name} AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM {source} CROSS JOIN e5 WHERE y + dy BETWEEN 0 AND 29 AND x + dx BETWEEN 0 AND 23)"
+def _grow(name: str, source: str, by: str = "e5") -> str:
+    return f"{name} AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM {source} CROSS JOIN {by} WHERE y + dy BETWEEN 0 AND 29 AND x + dx BETWEEN 0 AND 23)"
 
 
-def _shrink(name: str, source: str) -> str:
-    return f"""{name} AS (SELECT d.image_id, d.y, d.x FROM dense d CROSS JOIN e5 LEFT JOIN {source} s ON s.image_id = d.image_id AND s.y = d.y + dy AND s.x = d.x + dx
+def _shrink(name: str, source: str, by: str = "e5") -> str:
+    return f"""{name} AS (SELECT d.image_id, d.y, d.x FROM dense d CROSS JOIN {by} LEFT JOIN {source} s ON s.image_id = d.image_id AND s.y = d.y + dy AND s.x = d.x + dx
   WHERE d.y + dy BETWEEN 0 AND 29 AND d.x + dx BETWEEN 0 AND 23 GROUP BY d.image_id, d.y, d.x HAVING count(s.image_id) = count(*))"""
 
 
@@ -257,6 +257,27 @@ out(image_id, y, x) AS (SELECT image_id, y, x FROM free WHERE y = 0 AND x = 0 UN
 filled AS (SELECT d.image_id, d.y, d.x FROM dense d ANTI JOIN out o ON o.image_id = d.image_id AND o.y = d.y AND o.x = d.x), {labelled("filled", "TRUE")}
 SELECT image_id, y, x FROM lab JOIN regs USING (image_id, region_id) WHERE area >= 50"""
 
+_PHASE = "2 * pi() * (ky * y / 30.0::DOUBLE + kx * x / 24.0::DOUBLE)"
+#: The rasters less their waves under radius 4, as magnitudes stretched to bytes, and the pixels over the Otsu level.
+_OVER = f"""wave AS (SELECT CAST(a.range AS INT) AS ky, CAST(b.range AS INT) AS kx FROM range(-3, 4) a CROSS JOIN range(-3, 4) b WHERE a.range * a.range + b.range * b.range < 16),
+sp AS (SELECT image_id, ky, kx, sum(v * cos({_PHASE})) AS re, -sum(v * sin({_PHASE})) AS im FROM dense CROSS JOIN wave GROUP BY ALL),
+slow AS (SELECT image_id, y, x, any_value(v) AS v, sum(re * cos({_PHASE}) - im * sin({_PHASE})) / 720 AS low FROM dense JOIN sp USING (image_id) GROUP BY ALL),
+mg AS (SELECT image_id, y, x, CASE WHEN abs(v - low) < 1e-9 * greatest(1, max(v) OVER (PARTITION BY image_id)) THEN 0 ELSE abs(v - low) END AS m FROM slow),
+en AS (SELECT *, min(m) OVER w AS lo, max(m) OVER w AS hi FROM mg WINDOW w AS (PARTITION BY image_id)),
+fl AS (SELECT image_id, y, x, CAST(CASE WHEN hi - lo > 1e-9 * greatest(1, hi) THEN floor((m - lo) * (255 / (hi - lo)) + 1e-9) ELSE 0 END AS INT) AS v FROM en),
+{otsu("fl")}, over AS (SELECT image_id, y, x FROM fl JOIN thr USING (image_id) WHERE v > threshold)"""
+SQL["candidate_mask"] = with_(
+    PX, DENSE, _OVER, off("sq3", 1), _grow("m1", "over", "sq3"), _grow("m2", "m1", "sq3"), _grow("m3", "m2", "sq3"), _shrink("m4", "m3", "sq3"), labelled("m4", "TRUE"), off("o6", 6),
+    f"""cn AS (SELECT d.image_id, d.y, d.x, n.v, count(*) AS n FROM fl d CROSS JOIN o6
+  JOIN fl n ON n.image_id = d.image_id AND n.y = {symmetric("d.y + dy", 30)} AND n.x = {symmetric("d.x + dx", 24)} GROUP BY ALL),
+bits AS (SELECT image_id, y, x, floor(log2(169) - sum(n * log2(n)) / 169 + 1e-9) AS e FROM cn GROUP BY image_id, y, x)""",
+) + """SELECT image_id, y, x FROM (SELECT * FROM bits JOIN lab USING (image_id, y, x) JOIN regs USING (image_id, region_id) WHERE area >= 20 AND e > 0) QUALIFY dense_rank() OVER (PARTITION BY image_id ORDER BY e DESC) <= 2"""
+SQL["candidate_mask_simple"] = with_(
+    PX, DENSE, _OVER, f"e5 AS (SELECT * FROM (VALUES {_E5}) AS t(dy, dx))", _grow("m1", "over"), _shrink("m2", "m1"), _shrink("m3", "m2"), _shrink("m4", "m3"), _grow("m5", "m4"), _grow("m6", "m5"),
+    "free AS (SELECT d.image_id, d.y, d.x FROM dense d ANTI JOIN m6 m ON m.image_id = d.image_id AND m.y = d.y AND m.x = d.x), o4 AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS t(dy, dx))",
+    "out(image_id, y, x) AS (SELECT image_id, y, x FROM free WHERE y = 0 AND x = 0 UNION SELECT n.image_id, n.y, n.x FROM out o CROSS JOIN o4 JOIN free n ON n.image_id = o.image_id AND n.y = o.y + dy AND n.x = o.x + dx)",
+) + "SELECT d.image_id, d.y, d.x FROM dense d ANTI JOIN out o ON o.image_id = d.image_id AND o.y = d.y AND o.x = d.x"
+
 _GAINS = {
     "high_ideal": "CASE WHEN d >= 2 THEN 1 ELSE 0 END", "low_ideal": "CASE WHEN d <= 2 THEN 1 ELSE 0 END", "band": "CASE WHEN d >= 1 AND d <= 3 THEN 1 ELSE 0 END",
     "high_gaussian": "1 - exp(-d * d / 8)", "low_gaussian": "exp(-d * d / 8)", "high_butterworth": "1 / (1 + pow(2 / (d + 1e-8), 4))", "low_butterworth": "1 / (1 + pow(d / 2, 4))",
