@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, linededup, minhash, packing, urlfilter, vectors, warc
+from . import audit, bpe, chat, exact, langid, linededup, minhash, packing, sharding, spelling, urlfilter, vectors, warc
 
 
 def vocabulary(name: str) -> str:
@@ -93,6 +93,23 @@ def op10_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Shards of the sharding query.
+SHARDS = 24
+
+
+def op12_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.layout(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams the files of documents; labels are read once."""
+    return audit.interactions(audit.counters(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_byte_bpe, op3_chat_format, op4_best_fit_packing, op5_exact_dedup, op6_minhash_near_dedup, op7_warc, op8_url_filter, op9_line_dedup, op10_pq_near_dedup, pipeline)
+    for f in (op1_language_id, op2_byte_bpe, op3_chat_format, op4_best_fit_packing, op5_exact_dedup, op6_minhash_near_dedup, op7_warc, op8_url_filter, op9_line_dedup, op10_pq_near_dedup, op11_spelling_variants, op12_jump_sharding, op13_filter_audit, pipeline)
 }
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -109,7 +126,65 @@ _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
 #: White space between words, as Python's split has it, for a regular expression of the SQL.
 _SPACE = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace()) + "]+"
 
+def _crc32_table() -> list[int]:
+    """The 256 entries of CRC-32, from its reversed polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        out.append(c)
+    return out
+
+
+def _crc32_sql(octets: str) -> str:
+    """CRC-32 of a list of byte values; ``crc`` is a table of one row with the 256 entries as ``entries``."""
+    return f"xor(list_reduce({octets}, lambda c, x: xor(c >> 8, entries[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_CRC = f"crc AS (SELECT {_crc32_table()}::BIGINT[] AS entries)"
+_OCTETS = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+_JUMP = "CASE WHEN s.j < {n} THEN {{'own': CASE WHEN s.j < {own} THEN s.j ELSE s.own END, 'b': s.j, 'key': {key}, 'j': CAST(floor((s.j + 1)::DOUBLE * (2147483648::DOUBLE / (({key} >> 33) + 1)::DOUBLE)) AS BIGINT)}} ELSE s END"
+
 SQL = {
+    # near words by their patterns: a word with one place left open, or without it
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE {_CRC}, d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOW.format("text")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+        t AS (SELECT id, run, count(*) AS n FROM d GROUP BY ALL), h AS (SELECT run, n, {_crc32_sql(_OCTETS.format("id || ':' || run"))} AS h FROM t, crc WHERE length(run) >= 6),
+        w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+        v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        p AS (SELECT word, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        l AS (SELECT a.word AS x, b.word AS y FROM p a JOIN p b USING (hole) WHERE a.word <> b.word UNION SELECT p.word, v.word FROM p JOIN v ON v.word = less UNION SELECT v.word, p.word FROM p JOIN v ON v.word = less),
+        k AS (SELECT x, y, v.n AS m, row_number() OVER (PARTITION BY x ORDER BY v.n DESC, y) AS r, count(*) OVER (PARTITION BY x) AS n_near FROM l JOIN v ON v.word = y),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN y END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN k ON x = v.word AND r = 1),
+        walk(word, tip) AS (SELECT word, word FROM f UNION SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.tip WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, walk.tip AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word JOIN f g ON g.word = walk.tip WHERE g.form IS NULL
+    """,
+    "op12_jump_sharding": f"""
+        WITH {_CRC}, d AS (SELECT doc_id, coalesce(text, '') AS body, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+        s AS (SELECT doc_id, CAST(strlen(body) + 8 AS BIGINT) AS size, {_crc32_sql(_OCTETS.format("body"))} AS text_crc32,
+              list_reduce(range({SHARDS} + 1), lambda s, i: {_JUMP.format(n=SHARDS + 1, own=SHARDS, key=f"((s.key * {sharding.MULTIPLIER}::HUGEINT + 1) % 18446744073709551616::HUGEINT)")},
+                          {{'own': -1::BIGINT, 'b': -1::BIGINT, 'key': CAST('0x' || substr(digest, 1, 8) AS HUGEINT) * 4294967296 + CAST('0x' || substr(digest, 9, 8) AS HUGEINT), 'j': 0::BIGINT}}) AS jumps FROM d, crc)
+        SELECT doc_id, size, text_crc32, 'key' AS law, CAST(jumps.own AS INTEGER) AS shard, CAST(jumps.b AS INTEGER) AS grown_shard,
+               row_number() OVER (PARTITION BY jumps.own ORDER BY md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), size, text_crc32)), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot FROM s
+    """,
+    "op13_filter_audit": """
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(body, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, length(regexp_replace(body, '[^A-Z]', '', 'g')) AS capitals, min(doc_id) OVER (PARTITION BY body) AS first FROM d),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+              || CASE WHEN 100 * capitals > 5 * length(body) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+        e AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM e a, e b, e c, e d, e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+        r AS (SELECT part, filter_order, step, f, sum(CASE WHEN translate(fails, before || f, '') = fails THEN n ELSE 0 END) AS kept,
+              sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN n ELSE 0 END) AS removed,
+              sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') <> fails THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+              sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN good ELSE 0 END) AS good_lost,
+              sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN toxic ELSE 0 END) AS toxic_lost FROM c, s GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+    """,
     "op5_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOW.format("coalesce(text, '')")} AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
