@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -21,6 +21,8 @@ PAD = 12
 #: Size of the ellipse that an object is grown by for its ring.
 RING = 9
 REGION = ["image_id", "region_id"]
+#: Regions of an image that a task cuts at most.
+PART_REGIONS = 500
 # The 30 features in the order of the vector, which stored models and data sets rely on.
 FEATURES = [
     "solidity", "holes", "euler", "intensity_std", "intensity_cv", "intensity_iqr", "intensity_entropy", "contrast_mean", "contrast_std", "contrast_entropy",
@@ -40,11 +42,41 @@ EDGES = ["edge_density", "gradient_mean", "gradient_std", "laplacian_var", "log_
 CROP = "height int, width int, crop binary, mask binary, ring binary"
 
 
-def region_crops(gray: DataFrame, runs: DataFrame, pad: int = PAD) -> DataFrame:
+def _parts(runs: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+    """``runs`` with ``part INT``, and ``bands(image_id, bands ARRAY<STRUCT<part, lo, hi>>)``: the rows of the image that a part's regions need.
+
+    The regions of an image are taken in the order of their first rows, PART_REGIONS to a part, so a part needs a band of rows, and an image with
+    any number of regions is dealt over as many tasks as it has parts.
+    """
+    boxes = runs.groupBy(*REGION).agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("lo", "region_id"))  # three numbers a region
+    boxes = boxes.withColumn("part", F.floor((place - 1) / PART_REGIONS).cast("int"))
+    bands = boxes.groupBy("image_id", "part").agg((F.min("lo") - reach).alias("lo"), (F.max("hi") + 1 + reach).alias("hi"))
+    return runs.join(boxes.select(*REGION, "part"), REGION), bands.groupBy("image_id").agg(F.collect_list(F.struct("part", "lo", "hi")).alias("bands"))
+
+
+def _bands(gray: DataFrame, bands: DataFrame) -> DataFrame:
+    """``(image_id, part, y0, height, width, image_height, data)``: the band of each part, cut where the image lies. Null or short data has none."""
+    kind = gray.schema["image_id"].dataType.simpleString()
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for i, h, w, data, own in zip(pdf["image_id"], pdf["height"], pdf["width"], pdf["data"], pdf["bands"], strict=True):
+                if data is None or len(data) != h * w:
+                    continue
+                out = [(i, b["part"], max(0, b["lo"]), min(h, b["hi"]) - max(0, b["lo"]), w, h, bytes(data[max(0, b["lo"]) * w : min(h, b["hi"]) * w])) for b in own]
+                yield pd.DataFrame(out, columns=["image_id", "part", "y0", "height", "width", "image_height", "data"])
+
+    rows = gray.select("image_id", "height", "width", "data").join(bands, "image_id")
+    return rows.mapInPandas(cut, f"image_id {kind}, part int, y0 int, height int, width int, image_height int, data binary")
+
+
+def region_crops(gray: DataFrame, runs: DataFrame, pad: int = PAD, *, ring: bool = True) -> DataFrame:
     """``(image_id, region_id, height, width, crop, mask, ring)``: a row per region of ``label_runs`` whose image is in ``gray``.
 
-    An image meets its runs in one task, and its regions leave as rows of their own. The ring is what lies within an
-    ellipse of size RING around the object, inside the image and not in it; other objects' pixels belong to it.
+    A task meets a part of an image's regions (PART_REGIONS at most) with the band of the image that they lie in, and its regions leave as rows of
+    their own. The ring is what lies within an ellipse of size RING around the object, inside the image and not in it; other objects'
+    pixels belong to it. Without ``ring`` it is empty and isn't looked for. Regions of images with null or short data have no row.
     """
     kind = runs.schema["image_id"].dataType.simpleString()
     near, reach = K.ellipse(RING), RING // 2
@@ -54,24 +86,26 @@ def region_crops(gray: DataFrame, runs: DataFrame, pad: int = PAD) -> DataFrame:
         if len(image) and len(own):
             first = image.iloc[0]
             a = np.frombuffer(first["data"], np.uint8).reshape(first["height"], first["width"])
-            own = own.sort_values("region_id", kind="stable")
-            region, y, x0, x1 = (own[c].to_numpy() for c in ("region_id", "y", "x0", "x1"))
+            own = own.sort_values(["region_id", "y", "x0"], kind="stable")
+            region, y, x0, x1 = own["region_id"].to_numpy(), own["y"].to_numpy() - first["y0"], own["x0"].to_numpy(), own["x1"].to_numpy()
             ends = np.flatnonzero(np.diff(region, append=region[-1] + 1)) + 1
+            m = np.zeros(a.shape, bool)
             for i, k in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 box = (y[i:k].min(), y[i:k].max() + 1, x0[i:k].min(), x1[i:k].max())
                 grown = lambda n: np.s_[max(0, box[0] - n) : min(a.shape[0], box[1] + n), max(0, box[2] - n) : min(a.shape[1], box[3] + n)]  # noqa: B023, E731
-                m = np.zeros(a.shape, bool) if i == 0 else m
                 for r, b, e in zip(y[i:k].tolist(), x0[i:k].tolist(), x1[i:k].tolist(), strict=True):
                     m[r, b:e] = True
-                wide, tight = grown(reach), grown(pad)
-                ring = a[wide][K.dilate(m[wide], near) & ~m[wide]]
+                tight = grown(pad)
+                around = a[grown(reach)][K.dilate(m[grown(reach)], near) & ~m[grown(reach)]].tobytes() if ring else b""
                 fill = int(np.median(a[tight][m[tight]]))
                 crop = np.where(m[tight], a[tight], fill).astype(np.uint8)
-                out.append((image["image_id"].iloc[0], region[i], *crop.shape, crop.tobytes(), m[tight].astype(np.uint8).tobytes(), ring.tobytes()))
+                out.append((own["image_id"].iloc[0], region[i], *crop.shape, crop.tobytes(), m[tight].astype(np.uint8).tobytes(), around))
                 m[grown(0)] = False
         return pd.DataFrame(out, columns=[*REGION, "height", "width", "crop", "mask", "ring"])
 
-    pair = gray.select("image_id", "height", "width", "data").groupBy("image_id").cogroup(runs.select(*REGION, "y", "x0", "x1").groupBy("image_id"))
+    parted, bands = _parts(runs.select(*REGION, "y", "x0", "x1"), max(pad, reach if ring else 0))
+    key = ["image_id", "part"]
+    pair = _bands(gray, bands).groupBy(*key).cogroup(parted.select(*REGION, "y", "x0", "x1", "part").groupBy(*key))
     return pair.applyInPandas(cut, f"image_id {kind}, region_id int, {CROP}")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runs import points_in_runs
+
 
 def negative_seeds(seeds: DataFrame) -> DataFrame:
     """Background, crystal and residue seeds one after the other, duplicates kept."""
@@ -12,19 +14,31 @@ def negative_seeds(seeds: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def seed_labels(seeds: DataFrame, label_pixels: DataFrame) -> DataFrame:
+def seed_votes(seeds: DataFrame, label_runs: DataFrame) -> DataFrame:
+    """``(image_id, region_id, pos, neg)``: object seeds and other seeds of the regions that seeds hit.
+
+    Seeds are counted per place before they meet the runs, so a place that a third of all seeds hit is a row.
+    """
+    places = seeds.groupBy("image_id", "y", "x").agg(F.sum((F.col("kind") == "object").cast("int")).alias("pos"), F.sum((F.col("kind") != "object").cast("int")).alias("neg"))
+    return points_in_runs(places, label_runs).groupBy("image_id", "region_id").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def seed_labels(seeds: DataFrame, label_runs: DataFrame) -> DataFrame:
     """``(image_id, region_id, cls)``: 1 with object seeds only, 0 with other seeds only; regions with both or none are left out.
 
-    Seeds outside the image or on background meet no pixel.
+    Seeds outside the image or on background meet no run.
     """
-    hit = seeds.join(label_pixels, ["image_id", "y", "x"])
-    votes = hit.groupBy("image_id", "region_id").agg(F.sum((F.col("kind") == "object").cast("int")).alias("pos"), F.sum((F.col("kind") != "object").cast("int")).alias("neg"))
+    votes = seed_votes(seeds, label_runs)
     return votes.where("(pos > 0) <> (neg > 0)").select("image_id", "region_id", (F.col("pos") > 0).cast("int").alias("cls"))
 
 
 def valid_clicks(events: DataFrame, label_runs: DataFrame) -> DataFrame:
-    """Clicks ``(event_id, image_id, y, x)`` that hit a region, with its ``region_id``; an equi-join on the row, then the run's range."""
-    return events.join(label_runs, ["image_id", "y"]).where("x >= x0 AND x < x1").select("event_id", "image_id", "y", "x", "region_id")
+    """Clicks ``(event_id, image_id, y, x)`` that hit a region, with its ``region_id``.
+
+    Places are looked up once each, by one sweep over points and runs, and joined back to their clicks.
+    """
+    hit = points_in_runs(events.select("image_id", "y", "x").distinct(), label_runs)
+    return events.join(hit, ["image_id", "y", "x"]).select("event_id", "image_id", "y", "x", "region_id")
 
 
 def annotation_replay(log: DataFrame) -> DataFrame:

@@ -1,26 +1,30 @@
 """Prototype classifier: scaling, splits, prototypes, epochs, fitting, scoring.
 
 Samples are rows ``(key LONG, features ARRAY<DOUBLE>, cls INT)``, prototypes ``(proto_id INT, cls INT, w ARRAY<DOUBLE>)``.
-The prototypes are a model of a few hundred short rows: they are collected per epoch, checked against MAX_PROTOTYPES
-and travel with the tasks. Random draws come from hashes of (seed, epoch, id), not from the order of rows.
+A model in training is a few hundred short rows: they are collected per epoch, checked against MAX_PROTOTYPES, and travel
+with the tasks; scoring takes any number of prototypes. Random draws come from hashes of (seed, epoch, id), not from the order of rows.
 """
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Prototypes that a model may have; what is broadcast is bounded by it.
+from ..sources.sinks import dropped, saved
+from .nearest import PrototypeIndex
+
+#: Prototypes of a model in training.
 MAX_PROTOTYPES = 10_000
+#: Prototypes that travel with a task at a time.
+BLOCK_PROTOTYPES = 100_000
 #: Deviation of the noise on a sample that becomes a prototype.
 NOISE = 0.08
-#: Differences that a task holds at a time when it scores a batch.
-BLOCK_VALUES = 1 << 21
 
 
 def uniform(*parts: Column | str | float) -> Column:
@@ -111,37 +115,64 @@ def init_prototypes(data: DataFrame, total: int = 200, seed: int = 0, noise: flo
 # ---- scoring ------------------------------------------------------------------------------------------------------------
 
 
-def nearest_prototype(data: DataFrame, prototypes: DataFrame) -> DataFrame:
+def _scored(data: DataFrame, model: pa.Table, kinds: dict[str, str], so_far: str | None) -> DataFrame:
+    """``data`` with ``_b`` struct<d2, proto_id, cls>: the nearest of the model's prototypes, or what is so far if that is as near."""
+    ids, classes = model.column("proto_id").to_pylist(), model.column("cls").to_pylist()
+    w = np.array(model.column("w").to_pylist(), float) if len(ids) else np.zeros((0, 0))
+    shared = data.sparkSession.sparkContext.broadcast((ids, classes, PrototypeIndex(w) if len(ids) else None))  # BLOCK_PROTOTYPES at most
+
+    def scored(features: pd.Series) -> pd.DataFrame:
+        ids, classes, index = shared.value
+        good = np.array([index is not None and f is not None and not np.isnan(np.asarray(f, float)).any() for f in features], bool)
+        at, d2, rows = np.zeros(len(features), np.int64), np.full(len(features), np.nan), np.flatnonzero(good)
+        if len(rows):
+            at[rows], d2[rows], _ = index.search(np.stack(features.iloc[rows].to_list()).astype(float))
+        pick = lambda v: pd.Series(np.asarray(v)[at] if good.all() and len(v) else [v[k] if g else None for k, g in zip(at.tolist(), good.tolist(), strict=True)], dtype=None if good.all() else object)
+        return pd.DataFrame({"d2": pd.Series(d2) if good.all() else pd.Series(d2).astype(object).where(good, None), "proto_id": pick(ids), "cls": pick(classes)})
+
+    best = F.pandas_udf(scored, f"d2 double, proto_id {kinds['proto_id']}, cls {kinds['cls']}")("features")
+    if so_far is None:
+        return data.withColumn("_b", best)
+    out = data.withColumn("_n", best)
+    older = F.col(so_far).isNotNull() & ((F.col(f"{so_far}.d2") < F.col("_n.d2")) | ((F.col(f"{so_far}.d2") == F.col("_n.d2")) & (F.col(f"{so_far}.proto_id") < F.col("_n.proto_id"))))
+    return out.withColumn(so_far, F.when(older, F.col(so_far)).otherwise(F.col("_n"))).drop("_n")
+
+
+def nearest_prototype(data: DataFrame, prototypes: DataFrame, block: int = BLOCK_PROTOTYPES) -> DataFrame:
     """``data`` with ``proto_id``, ``d2`` and ``pred``: the prototype at least squared distance, ties to the lowest id.
 
-    Map-only. The prototypes are collected, MAX_PROTOTYPES at most, and travel with the tasks; distances of Arrow batches are
-    taken in blocks of bounded size, as interpreted array functions cost many times more per sample, prototype and feature.
-    Features that are null or hold a null or NaN, and a model without prototypes, give nulls.
+    Map-only. Up to ``block`` prototypes travel with the tasks, in an index that skips groups of prototypes by the triangle inequality. More of them
+    are dealt to blocks that the data passes one after the other with the nearest one so far, so their number has no limit; the
+    data is written between blocks. Features that are null or hold a null or NaN, and a model without prototypes, give nulls.
     """
-    model = prototypes.select("proto_id", "cls", "w").orderBy("proto_id").limit(MAX_PROTOTYPES + 1).collect()
-    if len(model) > MAX_PROTOTYPES:
-        raise ValueError(f"more than {MAX_PROTOTYPES} prototypes")
-    ids, classes = [r["proto_id"] for r in model], [r["cls"] for r in model]
-    w = np.array([r["w"] for r in model], float) if model else np.zeros((0, 0))
-    block = max(1, BLOCK_VALUES // max(1, w.size))
-
-    def scored(features: pd.Series) -> pd.DataFrame:
-        good = np.array([len(model) > 0 and f is not None and not np.isnan(np.asarray(f, float)).any() for f in features], bool)
-        at, d2 = np.zeros(len(features), int), np.full(len(features), np.nan)
-        rows = np.flatnonzero(good)
-        for own in (rows[i : i + block] for i in range(0, len(rows), block)):
-            apart = np.stack(features.iloc[own].to_list()).astype(float)[:, None, :] - w
-            all_d2 = np.einsum("ijk,ijk->ij", apart, apart)
-            at[own], d2[own] = all_d2.argmin(axis=1), all_d2.min(axis=1)
-        pick = lambda v: pd.Series([v[k] if g else None for k, g in zip(at.tolist(), good.tolist(), strict=True)], dtype=object)
-        return pd.DataFrame({"proto_id": pick(ids), "d2": pd.Series(d2).astype(object).where(good, None), "cls": pick(classes)})
-
-    kind = {f.name: f.dataType.simpleString() for f in prototypes.schema.fields}
-    best = F.pandas_udf(scored, f"proto_id {kind['proto_id']}, d2 double, cls {kind['cls']}")
-    out = data.withColumn("_b", best("features"))
+    kinds = {f.name: f.dataType.simpleString() for f in prototypes.schema.fields}
+    model = prototypes.select("proto_id", "cls", "w").orderBy("proto_id").limit(block + 1).toArrow()
+    if model.num_rows <= block:
+        out = _scored(data, model, kinds, None)
+    else:
+        held = saved(prototypes.select("proto_id", "cls", "w"), "prototypes")
+        blocks = math.ceil(1.25 * held.count() / block)  # hashed blocks are uneven
+        out = data
+        for k in range(blocks):
+            own = held.where(F.pmod(F.xxhash64("proto_id"), F.lit(blocks)) == k).orderBy("proto_id").toArrow()
+            out = saved(_scored(out, own, kinds, "_b" if k else None), "nearest")
+        dropped(held)
     return out.select(*[F.col(f"`{c}`") for c in data.columns], F.col("_b.proto_id").alias("proto_id"), F.col("_b.d2").alias("d2"), F.col("_b.cls").alias("pred"))
 
 
+def skipped_distances(data: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """``(samples, prototypes, taken, skipped)``: distances that the index takes for ``data``, and the share it skips. BLOCK_PROTOTYPES at most."""
+    w = prototypes.select("w").limit(BLOCK_PROTOTYPES).toArrow().column("w").to_pylist()
+    shared = data.sparkSession.sparkContext.broadcast(PrototypeIndex(np.array(w, float)))
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame({"samples": [len(pdf)], "taken": [shared.value.search(np.stack(pdf["features"].to_list()).astype(float))[2] if len(pdf) else 0]})
+
+    sums = data.where("features IS NOT NULL").select("features").mapInPandas(count, "samples long, taken long").agg(F.sum("samples").alias("samples"), F.sum("taken").alias("taken"))
+    return sums.select("samples", F.lit(len(w)).cast("long").alias("prototypes"), "taken", (1 - F.col("taken") / (F.col("samples") * len(w))).alias("skipped"))
+
+
 def accuracy(scored: DataFrame) -> DataFrame:
     """``accuracy``: share of rows whose pred is cls; 0 for none."""
     return scored.agg(F.coalesce(F.avg((F.col("pred") == F.col("cls")).cast("double")), F.lit(0.0)).alias("accuracy"))
@@ -295,25 +326,3 @@ def hlvq_fit(data: DataFrame, epochs: int = 300, total: int = 200, alpha0: float
             break
     parts.unpersist()
     return table(best, 0.0).drop("alpha"), spark.createDataFrame(history, "epoch int, alpha double, acc_train double, acc_val double")
-
-
-#: Settings of a sweep that are trained at a time.
-SWEEP_RUNS = 5
-
-
-def hlvq_sweep(data: DataFrame, configs: DataFrame) -> DataFrame:
-    """Training for each row of ``configs(config_id, seed, total, epochs, alpha0)``: ``(config_id, best_epoch, acc_train, acc_val)``.
-
-    Each setting is a run of ``hlvq_fit`` with its dropout, new seeds, jumps and patience; the best epoch is the first with
-    the highest validation accuracy, -1 for the start. SWEEP_RUNS of them go at a time, as their jobs are short. The samples
-    stay in the cluster and may be any number; what comes to the driver is the settings and each one's model and accuracies.
-    """
-
-    def fit(r: Row) -> tuple[int, int, float, float]:
-        _, history = hlvq_fit(data, int(r["epochs"]), int(r["total"]), float(r["alpha0"]), seed=int(r["seed"]))
-        best = history.orderBy(F.desc("acc_val"), "epoch").first()
-        return int(r["config_id"]), best["epoch"], best["acc_train"], best["acc_val"]
-
-    with ThreadPoolExecutor(SWEEP_RUNS) as pool:
-        out = list(pool.map(fit, configs.orderBy("config_id").collect()))
-    return data.sparkSession.createDataFrame(out, "config_id int, best_epoch int, acc_train double, acc_val double")

@@ -19,7 +19,7 @@ def image_stencil_qc(gray: DataFrame) -> DataFrame:
     """``(image_id, light_range, noise, sharpness, gradient)`` of packed images, map-only.
 
     light_range: of the image smoothed with sigma max(H, W) // 8 (1 at least), in rounded levels; noise: deviation of
-    image minus 5 x 5 median; sharpness: variance of the Laplacian; gradient: mean Sobel magnitude. Null data: nulls.
+    image minus 5 x 5 median; sharpness: variance of the Laplacian; gradient: mean Sobel magnitude. Null data, or a wrong number of bytes: nulls.
     """
     kind = gray.schema["image_id"].dataType.simpleString()
 
@@ -27,7 +27,7 @@ def image_stencil_qc(gray: DataFrame) -> DataFrame:
         for pdf in parts:
             out = []
             for i, h, w, data in zip(pdf["image_id"], pdf["height"], pdf["width"], pdf["data"], strict=True):
-                if data is None:
+                if data is None or len(data) != h * w or not len(data):
                     out.append((i, None, None, None, None))
                     continue
                 a = np.frombuffer(data, np.uint8).reshape(h, w)

@@ -19,23 +19,44 @@ def _kind(df: DataFrame) -> str:
     return df.schema["image_id"].dataType.simpleString()
 
 
-def _arrays(pdf: pd.DataFrame, column: str = "data") -> Iterator[tuple]:
-    for i, h, w, data in zip(pdf["image_id"], pdf["height"], pdf["width"], pdf[column], strict=True):
-        yield i, np.frombuffer(data, np.uint8).reshape(h, w)
+def _image(h: int, w: int, data: bytes | None) -> np.ndarray:
+    """A packed image as an array; null data and a wrong number of bytes raise ValueError."""
+    if data is None:
+        raise ValueError("no data")
+    if not (h >= 0 and w >= 0) or len(data) != h * w:
+        raise ValueError(f"{len(data)} bytes for {h} x {w} pixels")
+    return np.frombuffer(data, np.uint8).reshape(int(h), int(w))
+
+
+def _blank(h: int, w: int) -> bytes:
+    return bytes(int(h) * int(w)) if h > 0 and w > 0 else b""
+
+
+def _arrays(pdf: pd.DataFrame, *columns: str) -> Iterator[tuple]:
+    """Image ids and the arrays of the columns (by default the data); rows in which one of them is no image are passed over."""
+    for i, h, w, *held in zip(pdf["image_id"], pdf["height"], pdf["width"], *(pdf[c] for c in columns or ("data",)), strict=True):
+        try:
+            found = [_image(h, w, data) for data in held]
+        except (TypeError, ValueError):
+            continue
+        yield i, *found
 
 
 def raster_map(gray: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``fn`` on every image: ``(image_id, height, width, data, status)``. An image on which it fails becomes all zero, and ``status`` says why."""
+    """``fn`` on every image: ``(image_id, height, width, data, status)``.
+
+    An image on which it fails becomes all zero, and ``status`` says why; so does one with null data or a wrong number of bytes.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             data, status = [], []
-            for _, a in _arrays(pdf):
+            for h, w, held in zip(pdf["height"], pdf["width"], pdf["data"], strict=True):
                 try:
-                    data.append(np.asarray(fn(a)).astype(np.uint8).tobytes())
+                    data.append(np.asarray(fn(_image(h, w, held))).astype(np.uint8).tobytes())
                     status.append("ok")
                 except Exception as e:  # noqa: BLE001  one image's failure is its own
-                    data.append(bytes(a.size))
+                    data.append(_blank(h, w))
                     status.append(f"failed: {e}")
             yield pdf[["image_id", "height", "width"]].assign(data=data, status=status)
 
@@ -71,7 +92,10 @@ def clean_mask(masks: DataFrame, least: int = 50) -> DataFrame:
 
 
 def connected_components(masks: DataFrame, connectivity: int = 8) -> DataFrame:
-    """``label_runs(image_id, region_id, y, x0, x1)``; ids in the order of first pixels."""
+    """``label_runs(image_id, region_id, y, x0, x1)``; ids in the order of first pixels. Null or short data has no runs.
+
+    An image is one task; ``runs.run_components`` cuts images into strips instead.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -88,19 +112,26 @@ def apply_filters(gray: DataFrame, steps: DataFrame, extra: dict[str, Callable]
 
     Images are dealt anew by how dear their steps are (non-local means costs hundreds of shifts a pixel), so that they
     don't pile up in a task. ``extra``: more steps by name. An unknown step, or one that fails (a parameter it doesn't know,
-    a value it can't use), is reported in ``status``; the image stays as it was before that step.
+    a value it can't use), is reported in ``status``; the image stays as it was before that step. An image without a list, or
+    with a null one, stays as it is, with status ``ok``; null data or a wrong number of bytes becomes all zero, with a status.
     """
     known = K.STEPS | (extra or {})
-    dear = F.aggregate("steps", F.lit(1), lambda s, x: s + F.when(x["method"] == "non_local_means", 441).when(x["method"] == "bilateral", 25).otherwise(4)) * F.col("height") * F.col("width")
-    rows = gray.select("image_id", "height", "width", "data").join(steps.select("image_id", "steps"), "image_id").withColumn("cost", dear)
-    rows = rows.repartition(F.floor(F.log2("cost")), F.xxhash64("image_id"))
+    dear = F.aggregate(F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)), F.lit(1), lambda s, x: s + F.when(x["method"] == "non_local_means", 441).when(x["method"] == "bilateral", 25).otherwise(4)) * F.col("height") * F.col("width")
+    rows = gray.select("image_id", "height", "width", "data").join(steps.select("image_id", "steps"), "image_id", "left").withColumn("cost", dear)
+    rows = rows.repartition(F.floor(F.log2(F.greatest("cost", F.lit(1)))), F.xxhash64("image_id"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             data, status = [], []
-            for (_, a), plan in zip(_arrays(pdf), pdf["steps"], strict=True):
+            for h, w, held, plan in zip(pdf["height"], pdf["width"], pdf["data"], pdf["steps"], strict=True):
                 said = "ok"
-                for s in plan:
+                try:
+                    a = _image(h, w, held)
+                except (TypeError, ValueError) as e:
+                    data.append(_blank(h, w))
+                    status.append(f"failed: {e}")
+                    continue
+                for s in plan if plan is not None else ():
                     if s["method"] not in known:
                         said = f"failed: unknown step {s['method']}"
                         break
@@ -150,7 +181,7 @@ def islands(gray: DataFrame, masks: DataFrame, least: int = 50) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
-            for (i, a), (_, m) in zip(_arrays(pdf), _arrays(pdf, "m"), strict=True):
+            for i, a, m in _arrays(pdf, "data", "m"):
                 label = K.components(m > 0, 4)
                 for n, area, box in K.label_boxes(label):
                     if area >= least:
@@ -186,7 +217,7 @@ def watershed_mask(gray: DataFrame, masks: DataFrame, share: float = 0.5) -> tup
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for (i, a), (_, m) in zip(_arrays(pdf), _arrays(pdf, "m"), strict=True):
+            for i, a, m in _arrays(pdf, "data", "m"):
                 n, y, x0, x1 = K.label_runs(K.split_island(a, m > 0, share))
                 yield pd.DataFrame({"image_id": i, "region_id": n.astype(np.int32), "y": y.astype(np.int32), "x0": x0.astype(np.int32), "x1": x1.astype(np.int32)})
 
@@ -198,31 +229,40 @@ def segment_corpus(gray: DataFrame, pixels: DataFrame, fc: float = 90, area: int
     """Stage 1 over a corpus: ``label_runs``, processed images, and a status per image (``ok``, ``empty`` or ``failed: why``).
 
     Candidate mask (per image), quality plan (aggregates), its steps (per image, dealt by cost), masked stretch, watershed
-    (per island), ids. Processed images and runs are written, as several results read them. An image that fails in a step
-    has no regions and all-zero results; the others aren't touched by it.
+    (per island), ids. Images, processed images and runs are written, as several results read them. An image that fails in a step
+    has no regions and all-zero results; the others aren't touched by it. So has an image without rows in ``pixels``, whose quality isn't known
+    (``failed: no pixels``), one with null or short data, and one that is lost on the way (``failed: not processed``).
     """
     from . import qc
 
+    gray = saved(gray.select("image_id", "height", "width", "data"), "gray")
     masks = candidate_mask(gray, fc, area, k)
     plan = qc.qc_plan(qc.qc_flags(qc.image_qc(pixels, gray)))
     done = apply_filters(gray, plan)
     both = done.select("image_id", "height", "width", "data", "status").join(masks.select("image_id", F.col("data").alias("m"), F.col("status").alias("ms")), "image_id")
-    both = both.withColumn("status", F.when(F.col("ms") != "ok", F.col("ms")).otherwise(F.col("status"))).drop("ms")
+    planned = plan.select("image_id", F.lit(True).alias("planned")).distinct()
+    said = F.when(F.col("ms") != "ok", F.col("ms")).when(F.col("planned").isNull(), "failed: no pixels").otherwise(F.col("status"))
+    both = both.join(planned, "image_id", "left").withColumn("status", said).drop("ms", "planned")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             data, mask = [], []
-            for (_, a), (_, m), status in zip(_arrays(pdf), _arrays(pdf, "m"), pdf["status"], strict=True):
-                good = status == "ok"
-                data.append(K.stretch(np.where(m > 0, a, 0)).tobytes() if good else bytes(a.size))
-                mask.append(m.tobytes() if good else bytes(a.size))
-            yield pdf[["image_id", "height", "width", "status"]].assign(data=data, mask=mask)
+            said = []
+            for h, w, own, m, status in zip(pdf["height"], pdf["width"], pdf["data"], pdf["m"], pdf["status"], strict=True):
+                try:
+                    cut_out = K.stretch(np.where(_image(h, w, m) > 0, _image(h, w, own), 0)).tobytes() if status == "ok" else None
+                except Exception as e:  # noqa: BLE001  one image's failure is its own
+                    cut_out, status = None, f"failed: {e}"
+                said.append(status)
+                data.append(_blank(h, w) if cut_out is None else cut_out)
+                mask.append(_blank(h, w) if cut_out is None else m)
+            yield pdf[["image_id", "height", "width"]].assign(status=said, data=data, mask=mask)
 
     processed = saved(both.mapInPandas(cut, f"image_id {_kind(gray)}, height int, width int, status string, data binary, mask binary"), "processed")
     runs = saved(watershed_islands(processed, processed.select("image_id", "height", "width", F.col("mask").alias("data")), share, least), "segments")
     some = runs.select("image_id").distinct().withColumn("some", F.lit(1))
     status = gray.select("image_id").join(processed.select("image_id", "status"), "image_id", "left").join(some, "image_id", "left")
-    said = F.when(F.col("status") != "ok", F.col("status")).when(F.col("some").isNull(), "empty").otherwise("ok")
+    said = F.when(F.col("status").isNull(), "failed: not processed").when(F.col("status") != "ok", F.col("status")).when(F.col("some").isNull(), "empty").otherwise("ok")
     return runs, processed.select("image_id", "height", "width", "data"), status.select("image_id", said.alias("status"))
 
 

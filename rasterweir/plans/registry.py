@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..operators import features, labels, model, pixels, qc, rasters, regions
-from ..sources import fixtures, images, sinks
+from ..operators import corpus_stats, features, labels, model, pixels, qc, rasters, regions
+from ..operators import runs as run_tables
+from ..operators import sequential
+from ..sources import fixtures, headers, images, sinks, store
 from ..sources.sinks import saved
-from ..streaming import jobs
+from ..streaming import annotations, jobs
 from .sql import SQL
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]
@@ -95,6 +97,13 @@ def scan_images(spark: SparkSession, d: str) -> DataFrame:
     return found.select("image_id", "height", "width", "n_channels", "status")
 
 
+@query
+def scan_headers(spark: SparkSession, d: str) -> DataFrame:
+    """The same folder by its files' headers: PNG files of three channels, sized without reading pixels."""
+    found = headers.scan_headers(spark, _written_images(spark, d)).where("suffix = '.png' AND bytes > 20 AND height >= 8")
+    return found.select("image_id", "height", "width", "channels", "status")
+
+
 @query
 def to_gray(spark: SparkSession, d: str) -> DataFrame:
     gray = images.to_gray(images.scan_images(spark, _written_images(spark, d)))
@@ -122,10 +131,12 @@ def model_store(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def write_results(spark: SparkSession, d: str) -> DataFrame:
-    """Runs and images written per bucket and read again: pixels and regions per image."""
+    """Runs and images merged into a store in two parts and read again: pixels and regions per image."""
     path = sinks.new_folder(spark, "results")
-    images.write_results(path, runs(spark, d), packed(spark, d), 8)
-    found = spark.read.parquet(f"{path}/label_runs")
+    gray, found = packed(spark, d), runs(spark, d)
+    for part in (0, 1):
+        images.write_results(path, found.where(F.col("image_id") % 2 == part), gray.where(F.col("image_id") % 2 == part), 8)
+    found = store.read(spark, path, "label_runs")
     return found.groupBy("image_id").agg(F.countDistinct("region_id").alias("regions"), F.sum(F.col("x1") - F.col("x0")).cast("long").alias("pixels"))
 
 
@@ -189,6 +200,15 @@ def mask_algebra(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@query
+def run_algebra(spark: SparkSession, d: str) -> DataFrame:
+    """The same sets as runs, and what is neither, by sweeps over the runs' ends; as pixels."""
+    a, b = (run_tables.mask_runs(px(spark, d).where(c)) for c in ("v > 20", "v > 5 AND x % 2 = 0"))
+    parts = [run_tables.run_algebra(a, b, how).withColumn("how", F.lit(how)) for how in ("and", "minus", "or")]
+    parts.append(run_tables.complement(run_tables.run_algebra(a, b, "or"), sizes(px(spark, d))).withColumn("how", F.lit("neither")))
+    return reduce(DataFrame.unionByName, parts).select("image_id", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "how")
+
+
 @query
 def image_stencil_qc(spark: SparkSession, d: str) -> DataFrame:
     return r6(qc.image_stencil_qc(packed(spark, d)), "light_range", "noise", "sharpness", "gradient")
@@ -219,6 +239,15 @@ def corpus_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return r6(qc.corpus_quantiles(pixels.image_profile(fixtures.text_pixels(spark, d)), ["v_range", "mean", "std", "entropy"]), "value")
 
 
+@query
+def merged_scaler(spark: SparkSession, d: str) -> DataFrame:
+    """The scaler of all vectors from states stored batch by batch, one per label, and never read again."""
+    path, data = sinks.new_folder(spark, "states"), fixtures.vectors(spark, d)
+    for r in data.select(F.coalesce(F.col("label"), F.lit(-1)).alias("label")).distinct().collect():
+        corpus_stats.add_batch(corpus_stats.feature_values(data.where(F.coalesce(F.col("label"), F.lit(-1)) == r["label"])), path, str(r["label"]))
+    return r6(corpus_stats.state_scaler(corpus_stats.corpus_state(spark, path)), "mu", "sigma")
+
+
 # ---- regions ------------------------------------------------------------------------------------------------------------
 
 
@@ -227,6 +256,21 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return lab(spark, d).select("image_id", "region_id", "y", "x")
 
 
+@query
+def tiled_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the set pixels from strips of four rows, joined over their seams; runs with dense ids."""
+    found = run_tables.run_components(run_tables.mask_runs(px(spark, d).where("v > 0")), 8, 4)
+    return images.run_pixels(found).select("image_id", "region_id", "y", "x")
+
+
+@query
+def run_fill_holes(spark: SparkSession, d: str) -> DataFrame:
+    """Holes of the rasters from components of the complement's runs, in strips of seven rows."""
+    p = px(spark, d)
+    found = run_tables.run_fill_holes(run_tables.mask_runs(p.where("v > 0")), sizes(p), 7)
+    return found.select("image_id", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"))
+
+
 @query
 def region_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats(spark, d)
@@ -270,7 +314,7 @@ def _crops(spark: SparkSession, d: str, least: int = 4, pad: int = 3) -> DataFra
 
 @query
 def region_intensity(spark: SparkSession, d: str) -> DataFrame:
-    return r6(features.region_intensity(_crops(spark, d, 1)), *features.INTENSITY)
+    return r6(features.region_intensity(features.region_crops(*_region_inputs(spark, d), 0, ring=False)), *features.INTENSITY)
 
 
 @query
@@ -340,7 +384,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     over = pixels.foreground(p, pixels.otsu_threshold(p)).withColumn("v", F.lit(1))
     found = saved(rasters.connected_components(images.pack(over, H, W)), "runs")
     big = regions.relabel(regions.area_filter(regions.region_stats(found), 4))
-    crops = features.region_crops(images.pack(p, H, W), found.join(big.select(*REGION), REGION, "left_semi"))
+    crops = features.region_crops(images.pack(p, H, W), found.join(big.select(*REGION), REGION, "left_semi"), 0, ring=False)
     return r6(big.join(features.region_intensity(crops), REGION).drop("region_id"), *features.INTENSITY)
 
 
@@ -452,7 +496,7 @@ def segment_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _seed_labels(spark: SparkSession, d: str) -> DataFrame:
-    return labels.seed_labels(fixtures.seeds(spark, d), lab(spark, d))
+    return labels.seed_labels(fixtures.seeds(spark, d), runs(spark, d))
 
 
 @query
@@ -612,22 +656,23 @@ def hlvq_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hlvq_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Training over all rows for one setting per label value."""
-    configs = fixtures.table(spark, d, "embeddings").select("label").distinct().where("label IS NOT NULL").select(F.col("label").alias("config_id"), F.col("label").alias("seed"), F.lit(20).alias("total"), F.lit(2).alias("epochs"), F.lit(0.03).alias("alpha0"))
-    return r6(model.hlvq_sweep(_vectors(spark, d), configs), "acc_train", "acc_val")
+    """Exact sequential training over all rows with the trainer's own settings, one seed per label value."""
+    configs = fixtures.table(spark, d, "embeddings").select("label").distinct().where("label IS NOT NULL").select(F.col("label").alias("config_id"), F.col("label").alias("seed"))
+    return r6(sequential.hlvq_sweep(_vectors(spark, d), configs).drop("prototypes"), "acc_train", "acc_val")
 
 
 @query
 def classify_regions(spark: SparkSession, d: str) -> DataFrame:
-    """Regions of 20 pixels or more; a prototype per class from the first region of which object seeds are at least, or under, 38 %."""
+    """From candidate masks on: regions of 20 pixels or more; a prototype per class from the first region of the whole rasters of which object seeds are at least, or under, 38 %."""
     gray = saved(packed(spark, d), "gray")
     found = saved(rasters.connected_components(gray), "runs")
     f = saved(_features(gray, found).select(*REGION, F.transform("features", lambda v: v.cast("double")).alias("features")), "features")
-    votes = fixtures.seeds(spark, d).join(images.run_pixels(found), ["image_id", "y", "x"]).groupBy(*REGION).agg((F.avg((F.col("kind") == "object").cast("int")) >= 0.38).cast("int").alias("cls"))
+    votes = labels.seed_votes(fixtures.seeds(spark, d), found).select(*REGION, (F.col("pos") / (F.col("pos") + F.col("neg")) >= 0.38).cast("int").alias("cls"))
     scaler = saved(model.fit_scaler(f), "scaler")
     scaled = model.apply_scaler(f.join(votes, REGION), scaler)
     proto = scaled.groupBy("cls").agg(F.min_by("features", F.struct(*REGION)).alias("w")).select(F.col("cls").alias("proto_id"), "cls", "w")
-    return r6(rasters.classify_regions(found, gray, scaler, saved(proto, "prototypes"), 20), "d2")
+    masks = rasters.candidate_mask(gray, fc=4, area=20)
+    return r6(rasters.classify_masks(masks, gray, scaler, saved(proto, "prototypes"), 20)[1], "d2")
 
 
 # ---- streams ------------------------------------------------------------------------------------------------------------
@@ -643,11 +688,22 @@ def stream_new_images(spark: SparkSession, d: str) -> DataFrame:
     return r6(got, "light_range", "noise", "sharpness", "gradient")
 
 
+@query
+def stream_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Rasters as PNG files, segmented by a stream; segments and pixels of each image from the tables of its batches."""
+    path, out, state = (sinks.new_folder(spark, n) for n in ("arrivals", "segments", "progress"))
+    sinks.write_png(packed(spark, d), path)
+    jobs.stream_segments(spark, path, out, state, fc=4, least=20).awaitTermination()
+    found = jobs.read_segments(spark, out)
+    n = found["regions"].groupBy("image_id").agg(F.count("*").alias("regions"), F.sum("area").alias("pixels"))
+    got = found["status"].join(n, "image_id", "left").select(F.split("image_id", "\\.")[0].cast("int").alias("image_id"), "status", F.coalesce("regions", F.lit(0)).alias("regions"), F.coalesce("pixels", F.lit(0)).alias("pixels"))
+    return got
+
+
 @query
 def stream_annotations(spark: SparkSession, d: str) -> DataFrame:
-    """The annotation log as arriving files; final labels from the changes that the stream appended."""
+    """The annotation log as files that arrive out of order; final labels from the changes that the stream appended."""
     path, out, state = (sinks.new_folder(spark, n) for n in ("actions", "changes", "progress"))
-    log = jobs.with_mode(fixtures.annotation_log(spark, d))
-    log.write.parquet(path)
-    jobs.stream_annotations(spark, path, spark.read.parquet(path).schema, out, state).awaitTermination()
-    return jobs.final_labels(spark.read.parquet(out))
+    fixtures.annotation_log(spark, d).repartition(6, F.xxhash64("seq")).write.parquet(path)
+    annotations.stream_annotations(spark, path, spark.read.parquet(path).schema, out, state, lateness=1_000_000, files_per_batch=2).awaitTermination()
+    return annotations.final_labels(spark.read.parquet(out))

@@ -315,3 +315,10 @@ SQL["levy_alpha"] = f"""WITH e AS (SELECT count(DISTINCT date_trunc('hour', ts))
 d AS (SELECT range, range / n::DOUBLE AS t, {_draw("a")} AS a, {_draw("b")} AS b, {_draw("c")} AS c, {_draw("d")} AS d, {_draw("j")} AS j FROM e, range((SELECT n FROM e))),
 s AS (SELECT range, t, j, 0.3 * pow(1 - t, 2) AS base, abs({_SCALE} * sqrt(-2 * ln(1 - a)) * cos(2 * pi() * b) / pow(greatest(abs(sqrt(-2 * ln(1 - c)) * cos(2 * pi() * d)), 1e-12), 1 / 1.5)) AS jump FROM d)
 SELECT CAST(range AS INT) AS epoch, round(greatest(0.01, least(0.3, CASE WHEN t < 0.7 AND j < 0.12 THEN base * (1 + 0.08 * jump) ELSE base END)), 6) AS alpha FROM s"""
+
+# the same results by other plans
+SQL["tiled_components"] = SQL["connected_components"]
+SQL["run_fill_holes"] = SQL["fill_holes"]
+SQL["run_algebra"] = with_(PX, DENSE) + SQL["mask_algebra"][len(with_(PX)) :] + " UNION ALL SELECT image_id, y, x, 'neither' FROM dense WHERE NOT (v > 20 OR (v > 5 AND x % 2 = 0))"
+SQL["merged_scaler"] = SQL["fit_scaler"]
+SQL["scan_headers"] = SQL["scan_images"].split("UNION ALL")[0].replace("n_channels", "channels")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,24 +10,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 SUFFIXES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp")
 
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
-    """``(image_id STRING, height, width, n_channels, mode, data, status)`` of all image files in a folder.
+    """``(image_id STRING, height, width, n_channels, mode, data, status)`` of all image files in a folder and those below it.
 
-    Files whose suffix isn't one of SUFFIXES are left out; unreadable files stay with status ``bad`` and size -1. A
-    folder without images raises, as Spark does for a path that doesn't exist.
+    ``image_id`` is the path below the folder, so that equal names in two folders stay apart. Files whose suffix isn't one of SUFFIXES are
+    left out; unreadable files stay with status ``bad`` and size -1. A folder without images raises, as Spark does for a path that doesn't
+    exist. Sizes alone are cheaper by ``headers.scan_headers``.
     """
-    found = named_images(spark.read.format("image").option("dropInvalid", False).load(path))
+    read = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True)
+    found = named_images(read.load(path), path)
     if found.isEmpty():
         raise ValueError(f"no image in {path}")
     return found
 
 
-def named_images(files: DataFrame) -> DataFrame:
-    """Rows of Spark's image source, of a folder or a stream, by file name and with a status."""
-    name = F.element_at(F.split("origin", "/"), -1)
+#: Scheme and authority of a URI.
+_PLACE = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"
+
+
+def named_images(files: DataFrame, root: str) -> DataFrame:
+    """Rows of Spark's image source, of a folder or a stream, by their path below ``root`` (the whole path for files elsewhere) and with a status."""
+    path, base = F.regexp_replace("origin", _PLACE, ""), re.sub(_PLACE, "", root).rstrip("/") + "/"
+    name = F.when(F.startswith(path, F.lit(base)), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
     found = files.select("image.*").withColumn("image_id", name).where(F.lower(F.regexp_extract("image_id", r"\.[^.]+$", 0)).isin(*SUFFIXES))
     return found.select("image_id", "height", "width", F.col("nChannels").alias("n_channels"), "mode", "data", F.when(F.col("height") < 0, "bad").otherwise("ok").alias("status"))
 
@@ -100,14 +110,15 @@ def pixel_runs(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("g", F.col("x") - rank).groupBy("image_id", "region_id", "y", "g").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1")).drop("g")
 
 
-def store_annotations(path: str, runs: DataFrame, regions: DataFrame, labels: DataFrame, buckets: int = 64) -> None:
-    """Label maps, regions and labels as Parquet, partitioned by a hash bucket of the image."""
-    for name, df in (("label_runs", runs), ("regions", regions), ("region_labels", labels)):
-        df.withColumn("bucket", F.pmod(F.hash("image_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+def store_annotations(path: str, runs: DataFrame, regions: DataFrame, labels: DataFrame, buckets: int = 64) -> int:
+    """Label maps, regions and labels of some images merged into a store; the images that were there otherwise stay as they are. Returns the snapshot."""
+    return store.merge(path, {"label_runs": runs, "regions": regions, "region_labels": labels}, buckets=buckets)
 
 
-def load_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{name}").drop("bucket") for name in ("label_runs", "regions", "region_labels"))
+def load_annotations(spark: SparkSession, path: str, snapshot: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The store's tables as of a snapshot, by default the last."""
+    snapshot = store.snapshots(spark, path)[-1] if snapshot is None else snapshot
+    return tuple(store.read(spark, path, name, snapshot) for name in ("label_runs", "regions", "region_labels"))
 
 
 def store_model(path: str, scaler: DataFrame, prototypes: DataFrame) -> None:
@@ -120,7 +131,6 @@ def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/scaler"), spark.read.parquet(f"{path}/prototypes")
 
 
-def write_results(path: str, runs: DataFrame, gray: DataFrame, buckets: int = 64) -> None:
-    """Label runs and processed images per bucket."""
-    for name, df in (("label_runs", runs), ("gray", gray)):
-        df.withColumn("bucket", F.pmod(F.hash("image_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+def write_results(path: str, runs: DataFrame, gray: DataFrame, buckets: int = 64) -> int:
+    """Label runs and processed images merged into a store, image by image; an image without runs is kept with none. Returns the snapshot."""
+    return store.merge(path, {"label_runs": runs, "gray": gray}, gray.select("image_id"), buckets)

@@ -177,26 +177,46 @@ def test_a_failing_image_is_alone(spark):
     assert {r.image_id for r in runs.collect()} <= {2} and not any(done.where("image_id = 1").first()["data"])
 
 
-def test_too_many_prototypes_fail(spark):
-    data = spark.createDataFrame([(1, [0.0], 0)], "key long, features array<double>, cls int")
-    protos = spark.range(50).select(F.col("id").cast("int").alias("proto_id"), F.lit(0).alias("cls"), F.array(F.lit(0.0)).alias("w"))
-    before, model.MAX_PROTOTYPES = model.MAX_PROTOTYPES, 49
-    try:
-        with pytest.raises(Exception, match="more than 49 prototypes"):
-            model.nearest_prototype(data, protos).collect()
-    finally:
-        model.MAX_PROTOTYPES = before
+def test_prototypes_in_blocks_and_their_number(spark):
+    """More prototypes than a block takes are scored block by block; as many as training allows at most can be drawn."""
+    rng = np.random.default_rng(4)
+    w = np.round(rng.normal(size=(90, 3)), 1)
+    protos = spark.createDataFrame([(int(i) * 3 - 20, int(i) % 4, [float(v) for v in x]) for i, x in enumerate(w)], "proto_id int, cls int, w array<double>")
+    data = spark.createDataFrame([(i, [float(v) for v in np.round(rng.normal(size=3), 1)], 0) for i in range(50)] + [(50, None, 0)], "key long, features array<double>, cls int")
+    whole, cut = ({tuple(r) for r in model.nearest_prototype(data, protos, block).select("key", "proto_id", "d2", "pred").collect()} for block in (1000, 20))
+    assert whole == cut and len(whole) == 51
+    with pytest.raises(ValueError, match="at most"):
+        model.init_prototypes(data, model.MAX_PROTOTYPES + 1)
+
+
+@pytest.mark.parametrize(("size", "dim"), [(1, 2), (300, 2), (3_000, 5), (100_000, 2)])
+def test_index_equals_a_plain_search(size, dim):
+    from rasterweir.operators.nearest import PrototypeIndex
+
+    rng = np.random.default_rng(size)
+    w = rng.normal(size=(size, dim))
+    w[size // 2 :] = np.round(w[size // 2 :], 1)  # equal ones, and ties
+    x = np.concatenate([np.round(rng.normal(size=(150, dim)), 1), w[:20], rng.normal(size=(20, dim)) * 100])
+    at, d2, taken = PrototypeIndex(w).search(x)
+    for i, v in enumerate(x):
+        plain = ((v - w) ** 2).sum(axis=1)
+        assert at[i] == plain.argmin() and d2[i] == plain.min()
+    if size == 100_000:
+        assert taken < 0.1 * len(x) * size
+
+
+def test_skipped_distances_are_reported(spark):
+    data = spark.range(300).select(F.col("id").alias("key"), F.array(F.col("id") / 10.0, F.lit(0.0)).alias("features"))
+    protos = spark.range(2000).select(F.array(F.col("id") / 50.0, F.lit(0.5)).alias("w"))
+    r = model.skipped_distances(data, protos).first()
+    assert (r.samples, r.prototypes) == (300, 2000) and 0.5 < r.skipped < 1 and r.taken == round((1 - r.skipped) * 600_000)
 
 
 def test_nearest_prototype_with_nulls_ties_and_no_model(spark):
     rows = [(1, [0.0, 1.0], 0), (2, [5.0, 5.0], 1), (3, None, 0), (4, [1.0, None], 1), (5, [0.5, 0.5], 1)]
     data = spark.createDataFrame(rows, "key long, features array<double>, cls int")
     protos = spark.createDataFrame([(7, 1, [0.0, 1.0]), (3, 0, [0.0, 1.0]), (9, 1, [4.0, 5.0])], "proto_id int, cls int, w array<double>")
-    before, model.BLOCK_VALUES = model.BLOCK_VALUES, 6  # a sample at a time
-    try:
-        got = {r.key: (r.proto_id, r.d2, r.pred) for r in model.nearest_prototype(data, protos).collect()}
-    finally:
-        model.BLOCK_VALUES = before
+    got = {r.key: (r.proto_id, r.d2, r.pred) for r in model.nearest_prototype(data, protos).collect()}
     none = (None, None, None)
     assert got == {1: (3, 0.0, 0), 2: (9, 1.0, 1), 3: none, 4: none, 5: (3, 0.5, 0)}
     assert {(r.proto_id, r.d2, r.pred) for r in model.nearest_prototype(data, protos.limit(0)).collect()} == {none}
@@ -277,11 +297,36 @@ def test_reconnecting_merges_touching_regions(spark):
     assert regions.region_stats(merged).count() == 1
 
 
-def test_sweep_has_every_label_and_no_row_limit(spark):
-    labels_of = {r.label for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("label").distinct().collect()}
-    assert {r.config_id for r in registry.QUERIES["hlvq_sweep"](spark, DATA).collect()} == labels_of
-    rows = spark.range(50_001).select(F.col("id").alias("key"), F.array((F.col("id") % 2).cast("double"), F.col("id") / 50_001).alias("features"), (F.col("id") % 2).cast("int").alias("cls"))
-    configs = spark.createDataFrame([(3, 5, 4, 1, 0.03)], "config_id int, seed int, total int, epochs int, alpha0 double")
-    got = model.hlvq_sweep(rows, configs).collect()
-    best = model.hlvq_fit(rows, 1, 4, 0.03, seed=5)[1].orderBy(F.desc("acc_val"), "epoch").first()
-    assert [tuple(r) for r in got] == [(3, best.epoch, best.acc_train, best.acc_val)]
+# ---- failures and statuses ----------------------------------------------------------------------------------------------
+
+BROKEN = [(1, 2, 3, b"abcdef"), (2, 2, 3, None), (3, 2, 3, b"ab"), (4, -1, -1, b""), (5, 2, 3, b"fedcba")]
+PACKED = "image_id int, height int, width int, data binary"
+
+
+def test_null_and_short_data_have_a_status(spark):
+    gray = spark.createDataFrame([(i, h, w, None if d is None else bytearray(d)) for i, h, w, d in BROKEN], PACKED)
+    got = {r.image_id: (bytes(r.data), r.status) for r in rasters.raster_map(gray, lambda a: a + 1).collect()}
+    assert got[1] == (b"bcdefg", "ok") and got[5][1] == "ok"
+    assert got[2] == (bytes(6), "failed: no data") and got[3] == (bytes(6), "failed: 2 bytes for 2 x 3 pixels") and got[4][0] == b"" and got[4][1].startswith("failed")
+    steps = spark.createDataFrame([(1, [("x", "gamma", {"gamma": 1.0})]), (2, [("x", "gamma", {"gamma": 1.0})]), (3, None)], "image_id int, steps array<struct<name: string, method: string, params: map<string, double>>>")
+    done = {r.image_id: (bytes(r.data), r.status) for r in rasters.apply_filters(gray, steps).collect()}
+    assert set(done) == {1, 2, 3, 4, 5} and done[5] == (b"fedcba", "ok") and done[1][1] == "ok" and all(done[i][1].startswith("failed") for i in (2, 3, 4))
+    assert {r.image_id for r in rasters.connected_components(gray).collect()} == {1, 5}
+    assert rasters.watershed_islands(gray, gray, least=1).where("image_id IN (2, 3, 4)").count() == 0
+    runs, _ = rasters.watershed_mask(gray, gray)
+    assert runs.where("image_id IN (2, 3, 4)").count() == 0
+    from rasterweir.operators import qc
+
+    assert {r.image_id: r.noise is None for r in qc.image_stencil_qc(gray).collect()} == {1: False, 2: True, 3: True, 4: True, 5: False}
+
+
+def test_every_image_of_a_segmentation_has_a_true_status(spark):
+    y, x = np.ogrid[:40, :40]
+    good = (((y - 20) ** 2 + (x - 20) ** 2 < 80) * 200 + (y * x) % 7).astype(np.uint8).tobytes()
+    rows = [(1, 40, 40, bytearray(good)), (2, 40, 40, bytearray(good)), (3, 40, 40, None), (4, 40, 40, bytearray(good[:-1])), (5, 40, 40, bytearray(1600))]
+    gray = spark.createDataFrame(rows, PACKED)
+    pixels = images.unpack(gray.where("image_id IN (1, 5)")).union(images.unpack(gray.where("image_id = 1")).select(F.lit(4), "y", "x", "v"))
+    runs, _, status = rasters.segment_corpus(gray, pixels, fc=4, least=20)
+    said = {r.image_id: r.status for r in status.collect()}
+    assert said[1] == "ok" and said[2] == "failed: no pixels" and said[3] == "failed: no data" and said[4].startswith("failed: 1599 bytes") and said[5] == "empty"
+    assert {r.image_id for r in runs.collect()} == {1}
