@@ -84,7 +84,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of equal texts the row with the
     largest id stays. Rows that repeat an id count separately, and all rows with the id that stays are kept. A null
-    id orders before all others. A very long text is one row of its bucket. Other columns are ignored, whatever their
+    id orders before all others. Ids are integers; strings that aren't numbers raise. Buckets follow the bytes up to
+    2**MOST_BITS of them (8 TB of distinct texts); beyond that they grow. A very long text is one row of its bucket. Other columns are ignored, whatever their
     names. An empty table gives no rows.
     """
     spark = docs.sparkSession

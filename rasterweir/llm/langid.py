@@ -23,8 +23,16 @@ BUCKET_BITS = 14
 MAX_TRAIN = 20_000
 #: Leading bits of the hash by which labelled rows are counted, to find the bound without ordering them all.
 PREFIX_BITS = 12
-#: Languages that a model has at most, those of most training documents: a matrix of 16 MB.
-MAX_LANGUAGES = 256
+#: Languages that a model has at most, those of most training documents: more than there are codes for; a matrix of 128 MB then.
+MAX_LANGUAGES = 2_048
+#: Texts that the limits of ``calibrate`` are taken from, about; a documented bound, chosen by a hash of the text.
+MAX_CALIBRATION = 20_000
+#: A language with fewer calibration texts has the limits of all languages together.
+LEAST_CALIBRATION = 30
+#: n-grams from which a text counts as long.
+LONG_TEXT = 256
+#: Quantile of the calibration texts' deviations, and the multiple of it at which a text is rejected.
+QUANTILE, SLACK = 0.995, 2.0
 #: Characters of one scoring step; a longer text is scored in overlapping slices.
 STEP = 1 << 20
 
@@ -80,8 +88,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     """Learn from the labelled rows of ``docs``.
 
     Rows whose text or label is null teach nothing. Where more than ``max_train`` rows are labelled, those with the
-    smallest hashes of key and text are taken, never more than that many (equal rows that straddle the bound are all left
-    out), so the choice doesn't depend on order or partitions. Of more than ``max_languages`` labels in them the most
+    smallest hashes of key and text are taken, never more than that many (of equal rows that straddle the bound as many as
+    fit), so the choice doesn't depend on order or partitions. Of more than ``max_languages`` labels in them the most
     frequent are learnt, ties by name. Empty texts teach the label's frequency only; very long ones are counted in slices.
     What reaches the driver is a count per hash prefix, and languages x buckets counts at most. No labelled row: a model without languages, that calls
     all texts ``und``.
@@ -96,6 +104,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     if len(over):
         end = sample.select("h").orderBy("h").limit(max_train + 1).agg(F.max("h")).first()[0]
         rows = sample.where(F.col("h") < end)
+        rows = rows.unionByName(sample.where(F.col("h") == end).orderBy("lang").limit(max_train - rows.count()))  # equal rows, or hardly any
     most = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
 
     def count(batches):
@@ -126,6 +135,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
 
 def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Best language, its posterior, and its evidence per text; ``und``, 0 and nan for null and for texts without letters."""
+    return _scored(model, texts)[:3]
+
+
+def _scored(model: LanguageModel, texts: list[str | None], shape: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``score_texts``, the numbers of n-grams, and with ``shape`` those of distinct n-gram buckets."""
+    distinct = np.zeros(len(texts), np.int64)
     total = np.zeros((len(texts), max(1, len(model.languages))))
     grams = np.zeros(len(texts))
     indices, rows, size = [], [], 0
@@ -142,11 +157,15 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     for i, text in enumerate(texts):
         if text is None or not model.languages:
             continue
+        seen = np.zeros(1 << BUCKET_BITS if shape else 0, bool)
         for part in _slices(text):
             codes = _codes(part)
             if not codes.any():
                 continue
             indices.append(ngram_buckets(codes))
+            if shape:
+                seen[indices[-1]] = True
+                distinct[i] = seen.sum()
             rows.append(i)
             grams[i] += len(indices[-1])
             size += len(codes)
@@ -154,12 +173,12 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
                 add()
     add()
     if not model.languages:
-        return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), grams, distinct
     z = total + model.prior
     z = np.exp(z - z.max(axis=1, keepdims=True))
     best, p, known = z.argmax(axis=1), z.max(axis=1) / z.sum(axis=1), grams > 0
     own = total[np.arange(len(texts)), best] / np.maximum(grams, 1) + BUCKET_BITS * np.log(2)
-    return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, p, 0.0), np.where(known, own, np.nan)
+    return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, p, 0.0), np.where(known, own, np.nan), grams, distinct
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -183,3 +202,95 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     found = fresh("guess", docs.columns)
     return docs.select(*kept, guess(F.col(f"`{text_col}`")).alias(found)).select(*kept, *[F.col(f"{found}.{c}") for c in names])
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a text of a learnt language looks like at least. evidence: language -> (median, deviation of long texts, deviation of
+    short ones times the root of their n-grams), ``None`` for all languages; variety: log2 of the n-grams -> median; spread: its
+    deviation."""
+
+    evidence: dict[str | None, tuple[float, float, float]]
+    variety: dict[int, float]
+    spread: float
+
+    def fits(self, languages: list[str], evidence: np.ndarray, grams: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+        """Whether texts are told to be in their language; those without a letter aren't. Without calibration, whether the language explains more than noise does."""
+        known = np.nan_to_num(evidence, nan=-np.inf)
+        if not self.evidence:
+            return known > 0
+        middle, wide, short = (np.array([self.evidence.get(x, self.evidence[None])[k] for x in languages]) for k in range(3))
+        least = middle - SLACK * np.maximum(wide, short / np.sqrt(np.maximum(grams, 1)))
+        classes = np.array(sorted(self.variety))
+        nearest = classes[np.abs(_length_class(grams)[:, None] - classes[None, :]).argmin(axis=1)]
+        usual = np.array([self.variety[k] for k in nearest])
+        return (known > np.maximum(least, 0)) & (_variety(grams, distinct) >= usual - SLACK * self.spread)
+
+
+def _length_class(grams: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(grams, 1)).astype(int)
+
+
+def _variety(grams: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """How fast new n-grams come: log of the distinct ones over log of all; low for repetitions."""
+    return np.log(np.maximum(distinct, 1)) / np.log(np.maximum(grams, 2))
+
+
+def calibrate(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_CALIBRATION) -> Limits:
+    """Limits from labelled texts that the model wasn't fitted on and calls by their label.
+
+    About ``max_rows`` distinct texts, chosen by hash, and four numbers of each reach the driver. Evidence is a mean per n-gram, so
+    that of short texts varies more: deviations from the language's median are taken apart for long texts, and times the root
+    of the length for short ones. Rows with null text or label, texts without letters and wrongly predicted ones say nothing.
+    No such row: limits that accept whatever a language explains better than noise.
+    """
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("calibration"), F.col(text_col)).alias("h"))
+    n = rows.count()
+    if n > max_rows:
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    rows = rows.groupBy("h").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
+    found = _judged(rows, model).where("lang_pred = lang AND evidence IS NOT NULL").select("lang_pred", "evidence", "grams", "distinct_grams").toPandas()
+    if not len(found):
+        return Limits({}, {}, 0.0)
+    grams, own = found["grams"].to_numpy(), found["evidence"].to_numpy(float)
+    limits = {}
+    for lang in [None, *sorted(found["lang_pred"].unique())]:
+        at = np.ones(len(found), bool) if lang is None else (found["lang_pred"] == lang).to_numpy()
+        if lang is None or at.sum() >= LEAST_CALIBRATION:
+            middle = float(np.median(own[at]))
+            below, n = np.maximum(middle - own[at], 0), grams[at]
+            long = n >= LONG_TEXT
+            wide = float(np.quantile(below[long], QUANTILE)) if long.any() else 0.0
+            short = float(np.quantile((below * np.sqrt(n))[~long], QUANTILE)) if (~long).any() else wide * LONG_TEXT**0.5
+            limits[lang] = (middle, wide, short)
+    variety, classes = _variety(grams, found["distinct_grams"].to_numpy()), _length_class(grams)
+    usual = {int(k): float(np.median(variety[classes == k])) for k in np.unique(classes)}
+    spread = float(np.quantile(np.array([usual[int(k)] for k in classes]) - variety, QUANTILE))
+    return Limits(limits, usual, max(spread, 0.01))
+
+
+def _judged(docs: DataFrame, model: LanguageModel, limits: Limits | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred, evidence, grams, distinct_grams, fits``."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, limits or Limits({}, {}, 0.0)))  # MAX_LANGUAGES x 2 ** BUCKET_BITS floats at most
+
+    @F.pandas_udf("lang_pred string, evidence double, grams long, distinct_grams long, fits boolean")
+    def judge(text: pd.Series) -> pd.DataFrame:
+        best, _, own, grams, distinct = _scored(shared.value[0], [x if isinstance(x, str) else None for x in text], shape=True)
+        fits = shared.value[1].fits(best, own, grams, distinct)
+        return pd.DataFrame({"lang_pred": best, "evidence": pd.Series(own).astype(object).where(~np.isnan(own), None), "grams": grams.astype(np.int64), "distinct_grams": distinct, "fits": fits})
+
+    found = fresh("judged", docs.columns)
+    out = docs.select("*", judge(F.col(f"`{text_col}`")).alias(found))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], f"{found}.*")
+
+
+def reject(docs: DataFrame, model: LanguageModel, limits: Limits, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is in a language of the model by ``limits``; all columns pass through, names that clash too.
+
+    Null texts and texts without letters go. So do texts whose n-grams their best language explains much worse than it does
+    texts of its own of such a length (other languages, code, encoded data), and texts with far fewer distinct n-grams than usual
+    (repetitions). A short text has to be much farther off than a long one. A very long text is judged whole; repeated rows are
+    judged alike; an empty table stays empty.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return _judged(rows, model, limits).where("fits").select("row.*")

@@ -10,8 +10,11 @@ register's earliest.
 Classes: texts with equal word sequences collapse first into word classes with ids of their own. In each band's bucket
 the member that collides most is the leader, and the others are verified against it: one link per member, never a
 bucket's pairs. Buckets that then still span several components are resolved exactly by blocks (members outside the
-largest component against all), each block in one bounded task that keeps spanning links only. Documents get their
-classes at the very end, so that rows that repeat an id lose no link.
+largest component against all), each block in one bounded task that keeps spanning links only. Where a bucket has many
+such members, as when thousands of pages share a template but are no near copies, blocks would be all pairs. Such members
+meet by rare shingles instead (prefix filter): a link shares one of the rarest shingles of both at a place from which
+enough of both is left to overlap. That loses no link, and pages whose own text is rare don't meet at all. Documents get
+their classes at the very end, so that rows that repeat an id lose no link.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from .shared import connected_components, discard, memory_bytes, written
 class NearParams:
     """words: of a shingle. similarity: least weighted Jaccard of a link. bands x rows: registers of a signature.
     block: rows of one side of a verification task. slack: standard errors that a signature's estimate may be low by
-    before a pair of the block step is verified.
+    before a pair is verified. outsiders: members outside the main component up to which a bucket is compared in blocks.
     """
 
     words: int = 5
@@ -44,9 +47,14 @@ class NearParams:
     rows: int = 5
     block: int = 128
     slack: float = 5.0
+    outsiders: int = 128
 
 
 WORD_CACHE = 300_000
+#: Counters (a power of two) that order shingles by frequency; they are broadcast. Any order gives the same links.
+COUNTER_BITS = 18
+#: Rows of a task that looks for pairs, and pairs that it holds at a time.
+TILE_ROWS, PAIRS = 50_000, 1 << 20
 #: The ids of documents that share a bucket are broadcast if they take so much memory at most (ID_BYTES a row, counted),
 #: so that only their texts are moved; beyond it, texts and ids are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -176,20 +184,21 @@ def near_groups(docs: DataFrame, params: NearParams | None = None, id_col: str =
     A class is a connected component of the documents by links of weighted Jaccard >= ``similarity`` over word
     shingles. Rows with equal word sequences always share a class. Null texts and texts without words are classes of
     their own. Rows that repeat an id are one document: each keeps its row, and the links of all its texts count. Rows
-    with a null id: ``class_id`` null, kept. A very long text is signed and verified whole. Other columns are ignored,
+    with a null id: ``class_id`` null, kept. Ids are of any type with an order, strings too. A very long text is signed and verified whole. Other columns are ignored,
     whatever their names; an empty table gives no rows. The tables that the result reads stay in the shared folder
     (hashes and ids); the others, texts among them, are deleted.
     """
     p = params or NearParams()
     registers = p.bands * p.rows
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     # 1. word classes, numbered when they are written
     def word_key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_words_key(x) for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "words"])
 
-    keyed = written(rows.mapInArrow(word_key, "doc_id long, words binary"), "word-keys")
+    keyed = written(rows.mapInArrow(word_key, f"doc_id {kind}, words binary"), "word-keys")
     known = keyed.where("words IS NOT NULL AND doc_id IS NOT NULL")
     firsts = written(known.groupBy("words").agg(F.min("doc_id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "word-classes")
 
@@ -239,14 +248,20 @@ def near_groups(docs: DataFrame, params: NearParams | None = None, id_col: str =
     split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi AND members > 2")
     sizes = named.join(split.select("band"), "band", "left_semi").groupBy("band", "component").agg(F.count("*").alias("n"))
     most = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("members")).select("band", F.col("most.component").alias("main"), F.col("most.n").alias("main_n"), "members")
-    more = written(_resolved(named.join(most, "band"), signed, texts, p), "more-links")
+    many = F.col("members") - F.col("main_n") > p.outsiders
+    more = _resolved(named.join(most.where(~many), "band"), signed, texts, p)
+    crowd = written(named.join(most.where(many), "band", "left_semi").select("rep", "component").distinct(), "crowd")
+    if not crowd.isEmpty():
+        pairs = written(_close(_prefix_pairs(crowd, texts, p), signed, p), "pairs")
+        more = more.union(_verified(pairs, texts, p))
+    more = written(more, "more-links")
 
     # 5. texts of one document belong together; then classes of documents
     several = known.groupBy("doc_id").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low <> high")
     same = known.join(several, "doc_id").where("words <> low").select("words", "low").distinct()
     same = same.join(firsts.select("words", F.col("rep").alias("a")), "words").join(firsts.select(F.col("words").alias("low"), F.col("rep").alias("b")), "low")
     comp = written(connected_components(links.unionByName(more).unionByName(same.select("a", "b"))), "component")
-    discard(signed, banded, star, members, texts, named, links, more)
+    discard(signed, banded, star, members, texts, named, links, more, crowd)
     linked = comp.join(firsts.select(F.col("rep").alias("id"), "first"), "id")
     linked = linked.join(linked.groupBy("component").agg(F.min("first").alias("class_id")), "component").select(F.col("id").alias("rep"), "class_id")
     final = firsts.join(linked, "rep", "left").select("words", F.coalesce("class_id", "first").alias("class_id"))
@@ -316,6 +331,122 @@ def _resolved(open_rows: DataFrame, signed: DataFrame, texts: DataFrame, p: Near
     return full.groupBy("band", "i", "j").applyInPandas(check, "a long, b long")
 
 
+def tokens(text: str | None, words: int) -> np.ndarray:
+    """A bag of shingles as a set: the k-th occurrence of a shingle is an element of its own."""
+    u, n = shingles(text, words)
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return _mix(np.repeat(u, n) ^ _mix(at.astype(np.uint64)))
+
+
+def _frequencies(rows: DataFrame, p: NearParams) -> np.ndarray:
+    """How many elements of all texts fall on each of 2 ** COUNTER_BITS counters; summed in blocks by Spark."""
+    size, block = 1 << COUNTER_BITS, 1 << 12
+
+    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                sums += np.bincount((tokens(x.as_py(), p.words) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=size)
+        used = np.flatnonzero(sums.reshape(-1, block).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([x.tobytes() for x in sums.reshape(-1, block)[used]], pa.binary())], names=["block", "sums"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "sums": [np.sum([np.frombuffer(x, np.int64) for x in pdf["sums"]], axis=0).tobytes()]})
+
+    out = np.zeros((size // block, block), np.int64)
+    for r in rows.select("text").mapInArrow(tally, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, sums binary").collect():  # 2 ** COUNTER_BITS numbers
+        out[r["block"]] = np.frombuffer(r["sums"], np.int64)
+    return out.ravel()
+
+
+def _prefix(own: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest elements of a set of which a link shares one, and for each the size up to which a set may be that meets this one there first."""
+    n = len(own)
+    order = np.lexsort((own, counts[(own >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
+    first = order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+    # overlap that is left from a place on >= s / (1 + s) * (both sizes)
+    left = n - np.arange(len(first))
+    return own[first], np.floor(left * (1 + similarity) / similarity - n + 1e-6).astype(np.int64)
+
+
+def _prefix_pairs(crowd: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
+    """``(a, b)``: pairs of ``crowd(rep, component)`` of different components that may reach the similarity; none that does is missing.
+
+    Rows ``(element, rep, component, size, cap)`` meet by element. An element on which no set could meet one of its own size or larger is
+    dropped, and so are those of one component. What remains of an element is dealt in blocks, members outside its largest component
+    against all, and blocks are dealt to tasks of about TILE_ROWS rows.
+    """
+    rows = texts.join(crowd, "rep").select("text", "rep", "component")
+    counts = rows.sparkSession.sparkContext.broadcast(_frequencies(rows, p))
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _chunks(batches, "text", 4 << 20):
+            found = [(tokens(x.as_py(), p.words), r, c) for x, r, c in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            parts = [(*_prefix(own, counts.value, p.similarity), r, c, len(own)) for own, r, c in found if len(own)]
+            if parts:
+                n = [len(x[0]) for x in parts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)), *(pa.array(np.repeat(np.array([x[k] for x in parts], np.int64), n)) for k in (2, 3, 4)), pa.array(np.concatenate([x[1] for x in parts]))],
+                    names=["element", "rep", "component", "size", "cap"],
+                )
+
+    met = written(rows.mapInArrow(first, "element long, rep long, component long, size long, cap long"), "prefixes")
+    shape = met.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.max(F.col("cap") >= F.col("size")).alias("meets"))
+    shape = shape.where("lo <> hi AND meets").select("element", "members")
+    met = written(met.join(shape, "element"), "prefixes-met")
+    sizes = met.groupBy("element", "component").agg(F.count("*").alias("n"), F.max("members").alias("members"))
+    most = sizes.groupBy("element").agg(F.max(F.struct("n", "component")).alias("most")).select("element", F.col("most.component").alias("main"), F.col("most.n").alias("main_n"))
+    wide = 4 * p.block
+    n_out, n_all = (F.greatest(F.lit(1), F.ceil(x / wide)).cast("int") for x in (F.col("members") - F.col("main_n"), F.col("members")))
+    base = met.join(most, "element").withColumns({"outside": F.col("component") != F.col("main"), "n_out": n_out, "n_all": n_all, "spot": F.pmod(F.xxhash64("rep", "element"), F.lit(1 << 30))})
+    names = ["element", "rep", "component", "size", "cap"]
+    left = base.where("outside").select(*names, F.pmod("spot", "n_out").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(True).alias("query"))
+    right = base.select(*names, F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), F.pmod("spot", "n_all").cast("int").alias("j"), F.lit(False).alias("query"))
+    both = left.unionByName(right)
+    tiles = max(1, -(-met.count() // TILE_ROWS))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["element", "i", "j"], kind="stable")
+        ident = pdf[["element", "i", "j"]].to_numpy()
+        group = np.cumsum(np.append(True, (ident[1:] != ident[:-1]).any(axis=1))) - 1
+        query = pdf["query"].to_numpy(bool)
+        rep, comp, size, cap = (pdf[c].to_numpy() for c in ("rep", "component", "size", "cap"))
+        x, y = np.flatnonzero(query), np.flatnonzero(~query)
+        per = np.bincount(group[y], minlength=group[-1] + 1)
+        start = np.append(0, np.cumsum(per))[:-1]
+        out, at = [], np.cumsum(per[group[x]])
+        cuts = [0, *np.unique(np.searchsorted(at, np.arange(PAIRS, at[-1] if len(at) else 0, PAIRS), side="right")), len(x)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            k = per[group[x[lo:hi]]]
+            i = np.repeat(x[lo:hi], k)
+            j = y[np.repeat(start[group[x[lo:hi]]], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)]
+            good = (comp[i] != comp[j]) & (size[j] <= cap[i]) & (size[i] <= cap[j]) & (np.minimum(size[i], size[j]) >= p.similarity * np.maximum(size[i], size[j]) - 1e-9)
+            out.append(np.unique(np.stack([np.minimum(rep[i[good]], rep[j[good]]), np.maximum(rep[i[good]], rep[j[good]])], axis=1), axis=0))
+        got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+
+    found = both.withColumn("tile", F.pmod(F.xxhash64("element", "i", "j"), F.lit(tiles))).groupBy("tile").applyInPandas(meet, "a long, b long").distinct()
+    found = written(found, "prefix-pairs")
+    discard(met)
+    return found
+
+
+def _close(pairs: DataFrame, signed: DataFrame, p: NearParams) -> DataFrame:
+    """``(leader, rep, size)`` of the pairs whose signatures aren't ``slack`` standard errors too far apart; only these move texts."""
+    least = p.similarity - p.slack * (p.similarity * (1 - p.similarity) / (p.bands * p.rows)) ** 0.5
+
+    def agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.array([np.frombuffer(v.as_py(), np.uint32) for v in b.column(k)]).reshape(b.num_rows, -1) for k in (2, 3))
+            good = pa.array((x == y).mean(axis=1) >= least) if b.num_rows else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], names=["leader", "rep"])
+
+    sig = signed.select("rep", "sig")
+    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+    close = both.mapInArrow(agree, "leader long, rep long")
+    return close.join(close.groupBy("leader").agg(F.count("*").alias("size")), "leader").select("leader", "rep", "size")
+
+
 def keep_one(docs: DataFrame, params: NearParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id. All columns pass through.
 

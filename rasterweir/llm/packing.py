@@ -110,7 +110,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: Capacity | None = None, id_
 
     Sequences hold at most what ``capacity`` says, in every dimension; offsets have no gaps. Which piece goes where
     depends on the rows and on where the written pieces lie, so a task that runs again gives the same. Null text is a separator
-    alone; repeated rows are packed each by itself, however many there are; a very long text becomes full pieces. Other columns are ignored, whatever their names. An empty table gives no rows.
+    alone; ids are integers, strings that aren't numbers raise; repeated rows are packed each by itself, however many there are; a very long text becomes full pieces. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     capacity = capacity or Capacity()
     limit = min(capacity.tokens, int(capacity.attention**0.5))

@@ -84,7 +84,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites are the sources of the documents; the cleaned text is returned as size and digest."""
+    """Sites are the sources of the documents; a line on over MAX_RATIO of a site's pages goes. The cleaned text is returned as size and digest."""
     out = linededup.drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "source", F.col("lines_dropped").cast("long").alias("lines_dropped"), F.char_length("text").cast("long").alias("chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
@@ -216,10 +216,10 @@ SQL = {
     """,
     "op9_line_dedup": f"""
         WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-        t AS (SELECT DISTINCT coalesce(source, '') AS host, text FROM documents),
-        c AS (SELECT host, line, count(*) AS pages FROM (SELECT DISTINCT host, text, unnest(string_split(text, chr(10))) AS line FROM t) WHERE line <> '' GROUP BY 1, 2),
+        t AS (SELECT row_number() OVER () AS page, coalesce(source, '') AS host, text FROM documents),
+        c AS (SELECT host, line, count(*) AS pages FROM (SELECT DISTINCT host, page, unnest(string_split(text, chr(10))) AS line FROM t) WHERE line <> '' GROUP BY 1, 2),
         h AS (SELECT host, count(*) AS total FROM t GROUP BY 1),
-        b AS (SELECT host, line FROM c JOIN h USING (host) WHERE pages > 1 AND pages - 1 > (total - 1) * {linededup.MAX_RATIO}::DOUBLE),
+        b AS (SELECT host, line FROM c JOIN h USING (host) WHERE pages > total * {linededup.MAX_RATIO}::DOUBLE),
         k AS (SELECT doc_id, count(b.host) AS n, coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE b.host IS NULL), '') AS body
               FROM l LEFT JOIN b ON coalesce(l.source, '') = b.host AND l.line = b.line GROUP BY doc_id)
         SELECT d.doc_id, d.source, coalesce(k.n, 0) AS lines_dropped, CASE WHEN d.text IS NOT NULL THEN length(coalesce(k.body, '')) END AS chars_kept,

@@ -133,7 +133,7 @@ def _usable(vector: Column) -> Column:
 def near_vectors(rows: DataFrame, params: PQParams | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row for each input row.
 
-    Two rows link if their labels are equal and not null and the cosine of their vectors, in double precision, is at
+    Ids are of any type with an order. Labels of any type are compared as text. Two rows link if their labels are equal and not null and the cosine of their vectors, in double precision, is at
     least ``cosine``. Null or zero vectors, those with null or non-finite components, and those of unlike lengths link
     with nothing, and neither do rows with a null id. Rows that repeat an id are rows of their own that link like any
     others, each by its own vector. ``component_id`` is the smallest id that links reach. Links found are exact; one may be
@@ -143,7 +143,7 @@ def near_vectors(rows: DataFrame, params: PQParams | None = None, id_col: str =
     p = params or PQParams()
     kind = rows.schema[vector_col].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
-    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast(kind).alias("vector"))
+    base = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(kind).alias("vector"))
     fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _usable(F.col("vector"))
     # 128 bits of a vector stand for it wherever rows are only counted or looked up
     base = base.select("vec_id", "label", *[F.when(fine, F.xxhash64(F.lit(i), "vector")).alias(f"h{i}") for i in (1, 2)], F.when(fine, F.col("vector")).alias("vector"))
@@ -155,7 +155,7 @@ def near_vectors(rows: DataFrame, params: PQParams | None = None, id_col: str =
 
     placed, shape = _placed(reps, p)
     found = written(_searched(placed, shape, kind, p), "links")
-    discard(shape)
+    discard(shape, *([placed] if placed is not reps and hasattr(placed, "written_to") else []))
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     comp = comp.join(reps.select(F.col("rep").alias("id"), "first"), "id")
     comp = comp.join(comp.groupBy("component").agg(F.min("first").alias("component_id")), "component").select(F.col("id").alias("rep"), "component_id")
@@ -185,13 +185,13 @@ def _placed(reps: DataFrame, p: PQParams) -> tuple[DataFrame, DataFrame]:
     placed = reps.withColumns({"home": F.lit(0), "visits": F.array(F.lit(0))})
     if width:
         chosen = reps.join(big, ["label", "dim"]).where(F.pmod("h1", F.lit(1 << 30)) < F.lit(float(1 << 30)) * p.sample / F.col("rows"))
-        fitted = chosen.select("label", "dim", "rows", "h1", "vector").groupBy("label", "dim").applyInPandas(fit, "label int, dim int, centres array<double>").toPandas()  # CELL_BYTES at most
+        fitted = chosen.select("label", "dim", "rows", "h1", "vector").groupBy("label", "dim").applyInPandas(fit, "label string, dim int, centres array<double>").toPandas()  # CELL_BYTES at most
         centres = {(r.label, r.dim): np.asarray(r.centres, float).reshape(-1, r.dim) for r in fitted.itertuples()}
         shared = reps.sparkSession.sparkContext.broadcast(centres)
 
         def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                label, dim = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("label", "dim"))
+                label, dim = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("label", "dim"))
                 home, visits = np.zeros(b.num_rows, np.int32), [[0]] * b.num_rows
                 vector = b.column(b.schema.get_field_index("vector"))
                 for k, d in {k for k in zip(label.tolist(), dim.tolist(), strict=True) if k in shared.value}:
@@ -203,6 +203,7 @@ def _placed(reps: DataFrame, p: PQParams) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(visits, pa.list_(pa.int32()))], names=[*b.schema.names, "home", "visits"])
 
         placed = reps.mapInArrow(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema) + ", home int, visits array<int>")
+        placed = written(placed, "placed-vectors")  # read several times
         cells = placed.join(big.select("label", "dim"), ["label", "dim"], "left_semi").select("label", "dim", "home", F.explode("visits").alias("cell"))
         inside = F.col("home") == F.col("cell")
         cells = cells.groupBy("label", "dim", "cell").agg(F.count(F.when(inside, 1)).alias("members"), F.count(F.when(~inside, 1)).alias("visitors"))

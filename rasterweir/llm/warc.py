@@ -4,6 +4,8 @@ Records are WARC 1.1. By default they are written uncompressed, their payloads g
 that a reader can seek from header to header; with ``compression`` ``gzip`` each record is a gzip member of a ``.warc.gz``
 file, the usual form. The reader takes any folder of such files, plans one partition per file, tests record type and other
 header predicates on the headers, and skips the payloads of records that don't qualify or whose payload isn't asked for.
+A payload that can't be decoded leaves its row with a null payload and the reason in ``problem``; where a file itself is
+broken, a last row of type ``broken`` says why and where, and the other files are read on.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql.types import StructType
 
 from .shared import discard, memory_bytes, new_path, written
 
-SCHEMA = "page_id long, record_type string, record_id string, date string, target_uri string, payload_digest string, payload_bytes long, refers_to long, refers_to_uri string, payload binary"
+SCHEMA = "page_id long, record_type string, record_id string, date string, target_uri string, payload_digest string, payload_bytes long, refers_to long, refers_to_uri string, payload binary, problem string"
 #: A writer task begins another file beyond so many bytes.
 FILE_BYTES = 256 << 20
 READ_BYTES = 1 << 20
@@ -34,6 +36,7 @@ DIGEST_BYTES = 160
 # Version, and the profile of revisit records, from the WARC 1.1 format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Beginning of the names of manifests, one for each commit to a folder.
 MANIFEST = "_MANIFEST"
 SUFFIXES = (".warc", ".warc.gz")
 
@@ -49,6 +52,19 @@ def _uri(path: str) -> str:
     return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
+def _manifests(fs, root: str) -> list[str]:  # noqa: ANN001
+    """Paths of a folder's manifests, in the order of their names; none for a folder that isn't there."""
+    from pyarrow.fs import FileSelector, FileType
+
+    found = fs.get_file_info(FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in found if f.type == FileType.File and f.path.rsplit("/", 1)[-1].startswith(MANIFEST))
+
+
+def _listed(fs, manifest: str) -> list[str]:  # noqa: ANN001
+    with fs.open_input_stream(manifest) as f:
+        return f.read().decode().split()
+
+
 def record_bytes(row: dict, record_id: str, date: str, *, encode: bool = True) -> bytes:
     """One record. Line ends in a target URI are percent-encoded, a null or empty one is ``urn:page:`` and the page's id;
     a page's id and payload size are extension headers. encode: gzip as the content encoding."""
@@ -142,27 +158,55 @@ def _number(text: str | None) -> int | None:
     return int(text) if text and text.lstrip("-").isdigit() else None
 
 
-def parse(file, types: set[str] | None, headers: dict[str, set[str] | None], payload: bool, *, seeks: bool = True) -> Iterator[tuple]:  # noqa: ANN001
-    """Rows of SCHEMA. headers: the values that a header may have, None for any. Headers first: a record that a predicate rejects is skipped, its payload isn't read or decoded."""
+def _bare(uri: str | None) -> str | None:
+    """A URI without the angle brackets that older archives put around it."""
+    return uri[1:-1] if uri and uri.startswith("<") and uri.endswith(">") else uri
+
+
+def parse(file, types: set[str] | None, headers: dict[str, set[str] | None], payload: bool, *, seeks: bool = True, strict: bool = False) -> Iterator[tuple]:  # noqa: ANN001
+    """Rows of SCHEMA. headers: the values that a header may have, None for any. Headers first: a record that a predicate
+    rejects is skipped, its payload isn't read or decoded. strict: a broken payload or file raises instead of giving a row."""
     src = _Source(file, seeks=seeks)
-    while (raw := src.head()) is not None:
-        lines = raw.decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record: {lines[0][:40]!r}")
-        h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size, kind, data = int(h["content-length"]), h.get("warc-type", ""), None
-        if (types is not None and kind not in types) or not all(k in h if v is None else h.get(k) in v for k, v in headers.items()):
-            src.skip(size)
-            continue
-        if payload and kind in ("response", "resource", "conversion"):
-            data = _payload(kind, h.get("content-type", ""), src.take(size))
-        else:
-            src.skip(size)
+    record = 0
+    while True:
+        try:
+            if (raw := src.head()) is None:
+                return
+            lines = raw.decode("utf-8", "replace").split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError(f"no WARC record: {lines[0][:40]!r}")
+            h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            h |= {k: _bare(h[k]) for k in ("warc-target-uri", "warc-refers-to-target-uri", "warc-record-id") if k in h}
+            size, kind, data, problem = int(h["content-length"]), h.get("warc-type", ""), None, None
+            if size < 0:
+                raise ValueError("a WARC record of negative length")
+            if (types is not None and kind not in types) or not all(k in h if v is None else h.get(k) in v for k, v in headers.items()):
+                src.skip(size)
+                continue
+            block = None
+            if payload and kind in ("response", "resource", "conversion"):
+                block = src.take(size)
+            else:
+                src.skip(size)
+        except (ValueError, KeyError, OSError, EOFError, zlib.error) as e:  # where the next record begins isn't known
+            if strict:
+                raise
+            if types is None or "broken" in types:
+                yield (None, "broken", None, None, None, None, None, None, None, None, f"record {record}: {type(e).__name__}: {e}")
+            return
+        finally:
+            record += 1
+        if block is not None:
+            try:
+                data = _payload(kind, h.get("content-type", ""), block)
+            except (ValueError, OSError, EOFError, zlib.error) as e:
+                if strict:
+                    raise
+                problem = f"{type(e).__name__}: {e}"
         n = _number(h.get("x-payload-bytes"))
-        uri = lambda name: h[name].strip("<>") if name in h else None  # noqa: B023, E731
         yield (
-            _number(h.get("x-page-id")), kind, uri("warc-record-id"), h.get("warc-date"), h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
-            len(data) if n is None and data is not None else n, _number(h.get("x-refers-to-page")), h.get("warc-refers-to-target-uri"), data,
+            _number(h.get("x-page-id")), kind, h.get("warc-record-id"), h.get("warc-date"), h.get("warc-target-uri"), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
+            len(data) if n is None and data is not None else n, _number(h.get("x-refers-to-page")), h.get("warc-refers-to-target-uri"), data, problem,
         )
 
 
@@ -172,13 +216,14 @@ class FilePart(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    """Options: path; payload ("false": payload columns stay null and nothing is decoded)."""
+    """Options: path; payload ("false": payload columns stay null and nothing is decoded); strict ("true": what is broken raises)."""
 
     # columns that a header decides, and the header's name
     COLUMNS = {"record_type": "warc-type", "target_uri": "warc-target-uri"}
 
     def __init__(self, options: dict) -> None:
         self.path, self.payload = _uri(options["path"]), str(options.get("payload", "true")).lower() != "false"
+        self.strict = str(options.get("strict", "false")).lower() == "true"
         self.types: set[str] | None = None
         self.headers: dict[str, set[str] | None] = {}
 
@@ -197,15 +242,14 @@ class WarcReader(DataSourceReader):
                 self.headers[self.COLUMNS[name]] = values if before is None else before & values
 
     def partitions(self) -> list[InputPartition]:
-        """A file that is named; what the manifest of a folder lists; else all its WARC files, in folders below it too."""
+        """A file that is named; what the manifests of a folder list; else all its WARC files, in folders below it too."""
         from pyarrow.fs import FileSelector, FileType
 
         fs, root = _fs(self.path)
         if fs.get_file_info(root).type == FileType.File:
             return [FilePart(self.path)]
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-                names = f.read().decode().split()
+        if manifests := _manifests(fs, root):
+            names = [n for m in manifests for n in _listed(fs, m)]
         else:
             names = sorted(f.path[len(root) :].lstrip("/") for f in fs.get_file_info(FileSelector(root, recursive=True)) if f.type == FileType.File and f.path.endswith(SUFFIXES))
         return [FilePart(f"{self.path}/{n}") for n in names]
@@ -217,9 +261,9 @@ class WarcReader(DataSourceReader):
         with fs.open_input_file(path) as f:
             if path.endswith(".gz"):
                 with gzip.GzipFile(fileobj=f) as g:
-                    yield from parse(g, self.types, self.headers, self.payload, seeks=False)
+                    yield from parse(g, self.types, self.headers, self.payload, seeks=False, strict=self.strict)
             else:
-                yield from parse(f, self.types, self.headers, self.payload)
+                yield from parse(f, self.types, self.headers, self.payload, strict=self.strict)
 
 
 @dataclass
@@ -230,11 +274,14 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceWriter):
     """Options: path; date (of the capture, ISO 8601 in UTC; the time of writing if unset); compression ("gzip": a member per record).
 
-    Tasks write files under names of their own; only those of committed tasks are listed in the manifest. Record ids
-    follow from the file's name and the record's place, so they are unique.
+    Tasks write files under names of their own; only those of committed tasks are listed in the commit's manifest, which
+    appears at once under a name of its own: a folder holds the records of all commits to it. With mode overwrite the manifests
+    and listed files that were there are deleted once the new manifest is. Record ids follow from the file's name and the
+    record's place, so they are unique.
     """
 
-    def __init__(self, options: dict) -> None:
+    def __init__(self, options: dict, overwrite: bool = False) -> None:
+        self.overwrite = overwrite
         self.path, self.gzip = _uri(options["path"]), options.get("compression") == "gzip"
         self.date = options.get("date") or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -260,8 +307,16 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
+        before = _manifests(fs, root) if self.overwrite else []
+        own = uuid.uuid4().hex
+        with fs.open_output_stream(f"{root}/.{own}") as f:
             f.write("\n".join(n for m in messages if m for n in m.names).encode())
+        fs.move(f"{root}/.{own}", f"{root}/{MANIFEST}-{own}")
+        for old in before:
+            gone = _listed(fs, old)
+            fs.delete_file(old)
+            for n in gone:
+                fs.delete_file(f"{root}/{n}")
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = _fs(self.path)
@@ -283,7 +338,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -329,12 +384,16 @@ def archive_rows(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id"
     none = F.lit(None).cast("string")
     return rows.select(
         "page_id", F.when(again, "revisit").otherwise("response").alias("record_type"), none.alias("record_id"), none.alias("date"), "target_uri", sha1_base32(F.col("sha")).alias("payload_digest"), "payload_bytes",
-        F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_uri")).alias("refers_to_uri"), F.when(~again, F.col("payload")).alias("payload"),
+        F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_uri")).alias("refers_to_uri"), F.when(~again, F.col("payload")).alias("payload"), none.alias("problem"),
     ), first
 
 
 def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0, **options: str) -> str:
-    """Write a record per page; returns the folder (a new one in the shared folder unless named). An empty table: no records. options: the writer's."""
+    """Write a record per page; returns the folder (a new one in the shared folder unless named). options: the writer's.
+
+    An empty table: no records. A folder that has an archive keeps it: the records are added. Payloads are told apart within
+    one call only, so a page that an earlier call has written is a response again.
+    """
     register(pages.sparkSession)
     path = path or new_path(pages.sparkSession, "warc")
     rows, first = archive_rows(pages, least_bytes)
@@ -344,6 +403,11 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Rows of SCHEMA from a file or folder; filters on record_type and target_uri are decided on the headers. Page ids are null in archives from elsewhere."""
+    """Rows of SCHEMA from a file or folder; filters on record_type and target_uri are decided on the headers.
+
+    Page ids are null in archives from elsewhere. Angle brackets around URIs (WARC 1.0) are taken off before predicates are
+    tested. A payload that can't be decoded is null and ``problem`` says why; a file that breaks off or isn't WARC ends with
+    a row of type ``broken``. ``problem`` is null in all other rows.
+    """
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)

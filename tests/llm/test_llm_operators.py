@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import itertools
 import random
@@ -98,7 +99,7 @@ def test_bounds_of_the_training_sample(spark):
     seen = []
     original, langid.written = langid.written, lambda df, name: seen.append(out := original(df, name)) or out
     try:
-        assert langid.fit(same, max_train=20).languages == []  # equal rows straddle the bound
+        assert langid.fit(same, max_train=20).languages == ["de"]  # equal rows straddle the bound: as many as fit
         assert len(langid.fit(many, max_train=150, max_languages=7).languages) == 7
     finally:
         langid.written = original
@@ -412,6 +413,84 @@ def test_near_groups_equal_brute_force(spark):
         assert got == classes(rows)
 
 
+def template_pages(n, seed=3):
+    """Pages of a shared template and words of their own, at a similarity of about 0.7; a few pairs are near copies."""
+    rng = random.Random(seed)
+    head = [f"vorlage{k}" for k in range(150)]
+    rows = []
+    for i in range(n):
+        own = [f"eigen{i}x{k}" for k in range(22)]
+        rows.append((i, " ".join(head[:75] + own + head[75:])))
+    for k in range(0, n // 50):
+        own = [f"eigen{k}x{j}" for j in range(22)]
+        own[rng.randrange(22)] = "anders"
+        rows.append((n + k, " ".join(head[:75] + own + head[75:])))
+    return rows
+
+
+def test_pages_of_a_template_are_no_pairs(spark, monkeypatch):
+    """Work on pages that share a template grows with their number, not with its square; near copies among them are found."""
+    seen = {}
+    original = minhash.written
+
+    def counted(df, name):
+        out = original(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    made = []
+    for n in (500, 2000):
+        seen.clear()
+        rows = template_pages(n)
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        got = {r.doc_id: r.class_id for r in minhash.near_groups(frame).collect()}
+        assert got == {i: i - n if i >= n else i for i, _ in rows}
+        assert "crowd" in seen and seen["crowd"] > n / 4
+        made.append(seen.get("prefixes-met", 0) + seen.get("prefix-pairs", 0) + seen.get("pairs", 0))
+    assert made[1] <= 4**1.3 * max(made[0], 20)
+
+
+@pytest.mark.parametrize("outsiders", [0, 10**9])
+def test_crowded_buckets_equal_brute_force(spark, outsiders):
+    """All open buckets by rare shingles, or none of them: the same classes."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        base = [f"w{g}x{rng.randrange(400)}" for _ in range(rng.choice([30, 90]))] + [f"alle{k}" for k in range(60)]
+        for _ in range(12):
+            rows.append((len(rows), edited(rng, base, rng.choice([1, 3, 6, 9]))))
+        rows.append((len(rows), " ".join(base[:5] * 20)))
+        rows.append((len(rows), " ".join(base[:5] * 19)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in minhash.near_groups(frame, minhash.NearParams(outsiders=outsiders)).collect()}
+    assert got == classes(rows)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_prefixes_of_links_meet(seed):
+    """Any two sets at the similarity share an element of both prefixes within both caps."""
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(0, 50, 1 << minhash.COUNTER_BITS)
+    for _ in range(300):
+        n, own, other = rng.integers(1, 60), rng.integers(0, 8), rng.integers(0, 8)
+        a, b, c = (rng.integers(0, 1 << 62, k).astype(np.uint64) for k in (n, own, other))
+        x, y = np.concatenate([a, b]), np.concatenate([a, c])
+        if n / (n + own + other) < 0.8:
+            continue
+        (p, cap_p), (q, cap_q) = (minhash._prefix(v, counts, 0.8) for v in (x, y))
+        caps = dict(zip(q.tolist(), cap_q.tolist(), strict=True))
+        assert any(e in caps and len(y) <= c and len(x) <= caps[e] for e, c in zip(p.tolist(), cap_p.tolist(), strict=True))
+
+
+def test_string_ids(spark):
+    rows = [("urn:b", "ein kleiner text mit sieben ganzen worten hier"), ("urn:a", "ein kleiner text mit sieben ganzen worten hier"), ("urn:c", "etwas anderes steht hier ganz allein"), (None, "x")]
+    got = {r.doc_id: (r.class_id, r.kept) for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"urn:b": ("urn:a", False), "urn:a": ("urn:a", True), "urn:c": ("urn:c", True), None: (None, True)}
+    vecs = spark.createDataFrame([("b", [1.0, 2.0], "x"), ("a", [1.0, 2.01], "x"), ("c", [1.0, 2.0], "y")], "vec_id string, embedding array<double>, label string")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(vecs).collect()} == {"b": (1, "a"), "a": (1, "a"), "c": (0, "c")}
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     u = np.sort(rng.choice(2**62, 300, replace=False).astype(np.uint64))
@@ -562,6 +641,42 @@ def test_archive_query_by_hand(spark):
         assert (r.payload_digest, r.record_type, r.refers_to) == (digest[r.page_id], "revisit" if again else "response", first[digest[r.page_id]] if again else None)
 
 
+def test_commits_to_one_folder_add_up(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"text {i}") for i in range(6)], "page_id long, url string, html string")
+    path = f"{tmp_path}/archive"
+    warc.write_archive(pages.where("page_id < 2"), path)
+    warc.write_archive(pages.where("page_id >= 2 AND page_id < 4"), path, compression="gzip")
+    assert sorted(r.page_id for r in warc.read_archive(spark, path).collect()) == [0, 1, 2, 3]
+    warc.register(spark)
+    rows, first = warc.archive_rows(pages.where("page_id >= 4"))
+    rows.write.format("warc").mode("overwrite").save(path)
+    assert sorted(r.page_id for r in warc.read_archive(spark, path).collect()) == [4, 5]
+    shared.discard(first)
+
+
+def test_broken_payloads_and_files_keep_the_rest(spark, tmp_path):
+    """Payloads that don't decode are null with a reason; a file that breaks off, or isn't WARC, says so in a row of its own."""
+
+    def record(uri, body, encoding=b"gzip"):
+        block = b"HTTP/1.1 200 OK\r\nContent-Encoding: " + encoding + b"\r\n\r\n" + body
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: <" + uri + b">\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    good = record(b"http://good/", gzip.compress(b"fine"))
+    bad = [record(b"http://bad/1", b"no gzip"), record(b"http://bad/2", gzip.compress(b"x" * 99)[:-9]), record(b"http://bad/3", b"no zlib", b"deflate")]
+    (tmp_path / "a.warc").write_bytes(good + b"".join(bad) + good)
+    (tmp_path / "b.warc").write_bytes(good + good[:-30])
+    (tmp_path / "c.warc").write_bytes(b"<html>not an archive</html>\r\n\r\n")
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(good)[:-12])
+    got = warc.read_archive(spark, str(tmp_path)).collect()
+    assert [bytes(r.payload) for r in got if r.target_uri == "http://good/"] == [b"fine"] * 4 or [bytes(r.payload) for r in got if r.target_uri == "http://good/"] == [b"fine"] * 5
+    assert sorted((r.target_uri, r.payload, bool(r.problem)) for r in got if "bad" in (r.target_uri or "")) == [(f"http://bad/{i}", None, True) for i in (1, 2, 3)]
+    assert len([r for r in got if r.record_type == "broken" and r.problem]) >= 2 and all(r.problem is None for r in got if r.payload is not None)
+    found = warc.read_archive(spark, str(tmp_path / "a.warc")).where("target_uri = 'http://bad/2'").collect()
+    assert [r.target_uri for r in found] == ["http://bad/2"]
+    with pytest.raises(Exception, match="gzip"):
+        spark.read.format("warc").option("strict", "true").load(str(tmp_path / "a.warc")).collect()
+
+
 def test_predicates_reach_the_reader(spark, tmp_path):
     path = warc.write_archive(spark.createDataFrame(SITES, PAGES), f"file://{tmp_path}/w")
     some = warc.read_archive(spark, path, payload=False).where("record_type = 'revisit'")
@@ -634,12 +749,41 @@ def test_cascade_is_exact(spark):
     listed = universe.where("cast(key as int) % 7 = 0").union(spark.createDataFrame([("elsewhere",), (None,)], "key string"))
     made = urlfilter.build(listed, universe)
     assert 1 < len(made.levels) < 12
-    at = universe.select("key", *[urlfilter._positions(F.col("key"), k, bits).alias(f"l{k}") for k, (bits, _) in enumerate(made.levels)]).toPandas()
+    at = universe.select("key", *[urlfilter._positions(F.col("key"), k, bits, hashes).alias(f"l{k}") for k, (bits, hashes, _) in enumerate(made.levels)]).toPandas()
     got = made.contains([np.stack(at[f"l{k}"].to_numpy()) for k in range(len(made.levels))])
     assert (got == (at["key"].astype(int) % 7 == 0)).all()
     assert urlfilter.build(listed.limit(0), universe).levels == []
 
 
+def test_levels_follow_the_list_not_the_universe(spark):
+    """A short list in a large universe: all levels stay small, and the answer is exact."""
+    universe = spark.range(200_001).select(F.concat(F.lit("h"), F.col("id"), F.lit(".net/")).alias("key"))
+    listed = universe.where("key IN ('h7.net/', 'h1234.net/')")
+    made = urlfilter.build(listed, universe)
+    assert all(len(data) <= 1 << 17 and len(data) == bits // 8 for bits, _, data in made.levels)
+    assert sum(len(data) for _, _, data in made.levels[1:]) <= 64
+    pages = universe.select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.lit("http://"), "key").alias("url"))
+    judged = urlfilter.judge(pages, [("h7.net/", "block"), ("h1234.net/", "allow"), ("net/", "allow")])
+    assert sorted((r.host, r.rule) for r in judged.where("rule <> 'net/' OR rule IS NULL").collect()) == [("h1234.net", "h1234.net/"), ("h7.net", "h7.net/")]
+
+
+def test_levels_of_a_long_list_keep_their_bound(spark, monkeypatch):
+    seen, original = [], urlfilter._level
+    monkeypatch.setattr(urlfilter, "_level", lambda *a: seen.append(original(*a)) or seen[-1])
+    rules = spark.range(4000).select(F.concat(F.lit("s"), F.col("id"), F.lit(".net/")).alias("key"), F.when(F.col("id") % 9 == 0, "allow").otherwise("block").alias("verdict"))
+    pages = spark.range(60_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://s"), F.col("id"), F.lit(".net/x")).alias("url"))
+    monkeypatch.setattr(urlfilter, "LEAST_BITS", 64)
+    got = urlfilter.judge(pages, rules, max_bytes=4096)
+    assert got.where("verdict = 'block'").count() == 4000 - 445 and got.where("rule IS NOT NULL").count() == 4000
+    assert max(len(x[2]) for x in seen if x) <= 4096 and len([x for x in seen if x]) > 8
+
+
+@pytest.mark.parametrize("rule", [("example.org", "block"), ("example.org/", "deny"), ("example.org/", None)])
+def test_odd_rules_raise(spark, rule):
+    with pytest.raises(ValueError, match="neither"):
+        urlfilter.judge(spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string"), spark.createDataFrame([rule], "key string, verdict string"))
+
+
 def test_no_rules_and_no_pages(spark):
     frame = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     assert urlfilter.judge(frame, [], default="block").first().verdict == "block"
@@ -649,13 +793,13 @@ def test_no_rules_and_no_pages(spark):
 # ---- 9 line dedup -------------------------------------------------------------------------------------------------------
 
 
-def cleaned(rows, ratio, distinct=True):
+def cleaned(rows, ratio, distinct, fellows, least):
     total, pages = collections.Counter(), collections.Counter()
     for host, text in {(h or "", t) for _, h, t in rows} if distinct else [(h or "", t) for _, h, t in rows]:
         total[host] += 1
         for line in set((text or "").split("\n")) - {""}:
             pages[host, line] += 1
-    bad = {k for k, n in pages.items() if n - 1 > (total[k[0]] - 1) * ratio}
+    bad = {k for k, n in pages.items() if n >= least and n - fellows > (total[k[0]] - fellows) * ratio}
     out = []
     for doc, host, text in rows:
         lines = None if text is None else text.split("\n")
@@ -665,19 +809,19 @@ def cleaned(rows, ratio, distinct=True):
 
 
 @pytest.mark.parametrize("size", [8 << 20, 0])
-@pytest.mark.parametrize("distinct", [True, False])
-def test_lines_by_hand(spark, size, distinct):
+@pytest.mark.parametrize(("distinct", "fellows", "least"), [(False, False, 1), (True, True, 2), (True, False, 1), (False, True, 3)])
+def test_lines_by_hand(spark, size, distinct, fellows, least):
     rng = random.Random(9)
     rows = [(i, rng.choice(["a", "b", None]), "\n".join(rng.choice(["menu", "Menu", "", "foot", *[f"line {k}" for k in range(60)]]) for _ in range(rng.randrange(6)))) for i in range(200)]
     rows += [(500, "a", None), (501, "a", "menu\nmenu\n\nmenu"), (502, "a", LONG), (503, "a", "menu"), (503, "a", "menu"), (504, "one", "alone\non its host")]
     rows += [(600 + i, "a", "copied\ntwice\n\ncopied") for i in range(40)] + [(700 + i, "a", None) for i in range(3)]
     frame = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("lines_dropped", F.lit("x")).withColumn("_bad", F.lit(1)).withColumn("line", F.lit(2)).withColumn("whole", F.lit(1)).withColumn("own", F.lit(2))
-    out = linededup.drop_boilerplate(frame, max_ratio=0.05, broadcast_bytes=size, distinct=distinct)
-    want = cleaned(rows, 0.05, distinct)
+    out = linededup.drop_boilerplate(frame, max_ratio=0.05, broadcast_bytes=size, distinct=distinct, fellows=fellows, least_pages=least)
+    want = cleaned(rows, 0.05, distinct, fellows, least)
     assert sorted(((r.doc_id, r.text, r.lines_dropped) for r in out.collect()), key=str) == want
     assert len(out.columns) == len(set(out.columns)) == 8
     assert (600, "copied\ntwice\n\ncopied", 0) in want if distinct else (600, "", 3) in want
-    assert (504, "alone\non its host", 0) in want and any(n for _, _, n in want)
+    assert ((504, "alone\non its host", 0) in want) == fellows and any(n for _, _, n in want)
 
 
 def test_the_repeated_line_goes_in_every_source(spark):
@@ -744,9 +888,9 @@ def test_vectors_of_repeated_ids(spark):
     assert got == sorted([(7, 3, 5, False), (7, 2, 7, True), (5, 3, 5, True), (6, 3, 5, False), (6, 3, 5, False), (8, 2, 7, False), (9, 2, 7, False), (None, 0, None, True)], key=str)
 
 
-@pytest.mark.parametrize("params", [vectors.PQParams(), vectors.PQParams(cell_rows=200, block=300)])
+@pytest.mark.parametrize("params", [vectors.PQParams(), vectors.PQParams(cell_rows=200, block=300), vectors.PQParams(cell_rows=40)])
 def test_recall_with_few_probes(spark, tmp_path, params):
-    """One label, planted pairs of cosine 0.93 to 0.97: 46 lists for 8 probes; or 60 cells for 3 visits, in blocks."""
+    """One label, planted pairs of cosine 0.93 to 0.97: 46 lists for 8 probes; 60 cells for 3 visits, in blocks; 300 cells for 3 visits."""
     rng, n, dim = np.random.default_rng(2), 12_000, 64
     x = rng.normal(size=(n, dim)) + rng.normal(size=dim) * 0.5
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -765,6 +909,20 @@ def test_recall_with_few_probes(spark, tmp_path, params):
     assert got["n_links"].sum() >= 0.9 * true.sum()
 
 
+def test_vector_query_finds_planted_links(spark, tmp_path):
+    """The query on the table with near copies of its own rows: links of 0.93 and more, by brute force."""
+    pdf = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
+    rng = np.random.default_rng(5)
+    more = pdf[pdf["label"].notna() & pdf["embedding"].notna()].head(120).copy()
+    more["vec_id"] += 10**6
+    more["embedding"] = [(np.asarray(v, np.float32) + rng.normal(size=len(v)).astype(np.float32) * np.float32(np.std(v) * s)) for v, s in zip(more["embedding"], rng.uniform(0.1, 0.5, len(more)), strict=True)]
+    both = pd.concat([pdf, more], ignore_index=True)
+    both.to_parquet(tmp_path / "embeddings.parquet")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in queries.op10_pq_near_dedup(spark, str(tmp_path)).collect()}
+    want = links_by_hand([(v, [float(z) for z in x], k) for v, x, k in zip(both["vec_id"], both["embedding"], both["label"], strict=True)], 0.93)
+    assert got == want and 80 < sum(n for n, _ in want.values()) < 480
+
+
 def test_vector_query_by_hand(spark):
     pdf = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
     got = {r.vec_id: (r.n_links, r.component_id) for r in queries.op10_pq_near_dedup(spark, DATA).collect()}
@@ -811,9 +969,10 @@ def test_pipeline_equals_brute_force(spark):
     out = corpus_pipeline.run(spark, DATA).toPandas()
     full(out)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near", "packed"]
-    rows = [tuple(r) for r in corpus_pipeline.language(spark, docs, DATA).select("doc_id", "source", "text").collect()]
-    assert len(rows) == docs.count()  # all of them are clean
-    texts = [(d, t) for d, t, _ in cleaned(rows, linededup.MAX_RATIO)]
+    stays = in_language_by_hand(docs)
+    rows = [tuple(r) for r in docs.select("doc_id", "source", "text").collect() if r.doc_id in stays]
+    assert len(rows) >= 0.98 * docs.count()  # nearly all of them are clean
+    texts = [(d, t) for d, t, _ in cleaned(rows, linededup.MAX_RATIO, True, True, 2)]
     kept = {d for d, c in classes(texts).items() if d == c}
     assert set(out["doc_id"]) == kept
     from tokenizers import Tokenizer
@@ -823,6 +982,85 @@ def test_pipeline_equals_brute_force(spark):
     assert out.groupby("doc_id")["length"].sum().to_dict() == size
 
 
+#: Article 1 of a public declaration in languages that the tables don't have, in the same script; code; encoded data; repetitions.
+FOREIGN = {
+    "indonesian": "Semua orang dilahirkan merdeka dan mempunyai martabat dan hak-hak yang sama. Mereka dikaruniai akal dan hati nurani dan hendaknya bergaul satu sama lain dalam semangat persaudaraan.",
+    "italian": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+    "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "turkish": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "code": "for (int i = 0; i < n; i++) { if (x[i] == null) return foo_bar(x, y->z); } def __init__(self, *args): import numpy as np; print(f'{x!r}') while (k--) { buf[k] ^= key >> (k & 7); } struct node *next = malloc(sizeof *next);",
+    "encoded": "aGVsbG8gd29ybGQgdGhpcyBpcyBhIGJhc2U2NCBlbmNvZGVkIHN0cmluZyB0aGF0IGlzIGxvbmc=",
+    "letters": "aaaa " * 200,
+    "words": "the of and to " * 150,
+}
+
+
+def in_language_by_hand(docs, extra=()):
+    """Ids that the pipeline's language stage keeps, by plain counting and quantiles."""
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", (F.pmod(F.xxhash64(F.lit("taught"), "text"), F.lit(3)) != 1).alias("taught")).collect()]
+    languages, prior, logp = fitted_by_hand([(t, lang) for _, t, lang, taught in rows if taught and t is not None and lang is not None])
+
+    def shape(text):
+        codes = langid._codes(text or "")
+        grams = langid.ngram_buckets(codes).tolist()
+        if not codes.any():
+            return None
+        total = logp[grams].sum(axis=0)
+        best = int((total + prior).argmax())
+        return languages[best], total[best] / len(grams) + langid.BUCKET_BITS * np.log(2), len(grams), np.log(len(set(grams))) / np.log(len(grams))
+
+    labels = {}
+    for _, t, lang, taught in rows:
+        if not taught and t is not None and lang is not None:
+            labels[t] = min(lang, labels.get(t, lang))
+    own = [s for t, lang in labels.items() if (s := shape(t)) and s[0] == lang]
+
+    def limits(held):
+        middle = np.median([s[1] for s in held])
+        below = [(max(0, middle - s[1]), s[2]) for s in held]
+        far, near = [d for d, n in below if n >= langid.LONG_TEXT], [d * n**0.5 for d, n in below if n < langid.LONG_TEXT]
+        wide = np.quantile(far, langid.QUANTILE) if far else 0
+        return middle, wide, np.quantile(near, langid.QUANTILE) if near else wide * langid.LONG_TEXT**0.5
+
+    every = limits(own)
+    per = {x: limits(held) for x in languages if len(held := [s for s in own if s[0] == x]) >= langid.LEAST_CALIBRATION}
+    usual = {k: np.median([s[3] for s in own if int(np.log2(s[2])) == k]) for k in {int(np.log2(s[2])) for s in own}}
+    spread = max(0.01, np.quantile([usual[int(np.log2(s[2]))] - s[3] for s in own], langid.QUANTILE))
+    out = set()
+    for i, t, *_ in [*rows, *extra]:
+        if (s := shape(t)) is None:
+            continue
+        middle, wide, short = per.get(s[0], every)
+        near = min(sorted(usual), key=lambda k: abs(k - int(np.log2(s[2]))))
+        if s[1] > max(0, middle - langid.SLACK * max(wide, short / s[2] ** 0.5)) and s[3] >= usual[near] - langid.SLACK * spread:
+            out.add(i)
+    return out
+
+
+def test_language_stage_rejects_other_languages_code_and_repetitions(spark):
+    """Texts in unlearnt languages of the same script go, those in learnt ones stay; the same by plain counting."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = [(10**6 + k, t, None, "a", None) for k, t in enumerate(FOREIGN.values())]
+    learnt = [r.text[:600] for r in docs.where("lang IS NOT NULL AND length(text) > 2000").dropDuplicates(["lang"]).collect()]
+    extra += [(2 * 10**6 + k, t, None, "a", None) for k, t in enumerate(learnt)]
+    both = docs.unionByName(spark.createDataFrame(extra, DOCS))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, both, DATA).collect()}
+    assert {i for i in kept if i >= 10**6} == {2 * 10**6 + k for k in range(len(learnt))} and len(learnt) == 4
+    assert len(kept) - len(learnt) >= 0.99 * docs.count()
+    assert kept == in_language_by_hand(both)
+
+
+def test_limits_without_calibration(spark):
+    model = langid.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    none = langid.calibrate(empty(spark), model)
+    assert none.evidence == {} and langid.reject(empty(spark), model, none).count() == 0
+    kept = [r.doc_id for r in langid.reject(awkward(spark), model, none).collect()]
+    assert set(kept) == {1, 4, 6, 7, None} and kept.count(7) == 2
+
+
 def test_language_stage_rejects_what_is_in_no_language(spark):
     import corpus_pipeline
 
@@ -830,7 +1068,7 @@ def test_language_stage_rejects_what_is_in_no_language(spark):
     junk = ["xqzjk vwpqx zzkqj qqxw", "qXzKjvWpRt kJxQzWvYpLmXqRtZbHcDf wKvQzXjPyGbTqMx", "Это русский текст о погоде", "123 !!! 456", "", None, "\u4eca\u65e5\u306f\u5929\u6c17"]
     more = spark.createDataFrame([(10**6 + i, t, None, "a", None) for i, t in enumerate([*junk, docs.first()["text"][:60]])], DOCS)
     kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), DATA).collect()}
-    assert kept == {r.doc_id for r in docs.collect()} | {10**6 + len(junk)}
+    assert {i for i in kept if i >= 10**6} == {10**6 + len(junk)} and len(kept) > 0.98 * docs.count()
     unlabelled = more.withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in corpus_pipeline.language(spark, unlabelled, DATA).collect()} == {10**6 + i for i in (0, 1, 2, 6, 7)}
     assert corpus_pipeline.lines(spark, docs.drop("n_chars"), DATA).columns == [c for c in docs.columns if c != "n_chars"]
