@@ -2,9 +2,10 @@
 
 Documents arrive in available-now micro-batches. A document's mask has a bit for each filter that it fails. Four bits come
 from its text; the fifth, "identical to the text of a smaller id", may be set later. Keyed state holds, for each text, the
-smallest id so far with its parts and labels. When a smaller id arrives, the count of the earlier one is retracted from its mask and
-added to the mask with the fifth bit. The part counters are a log with one folder for each micro-batch, which a repeated batch overwrites;
-their sum doesn't depend on the order in which files arrive.
+smallest id so far with its parts and labels; texts share a state by a prefix of their hash, about TEXTS of them, so that a
+state is a small table which is updated at once. When a smaller id arrives, the count of the earlier one is retracted from its
+mask and added to the mask with the fifth bit. The part counters are a log with one folder for each micro-batch, which a
+repeated batch overwrites; their sum doesn't depend on the order in which files arrive.
 
 Everything reported follows from a part's 32 counters, whatever its number of documents.
 """
@@ -13,7 +14,9 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -27,13 +30,14 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 #: Micro-batches take so many bytes of files at least, and there are about so many batches at most.
 BATCH_BYTES = 96 << 20
-BATCHES = 64
+BATCHES = 16
+#: Texts that a state aims at.
+TEXTS = 2_000
 #: Labels are broadcast up to so many bytes (LABEL_BYTES a row, counted).
 BROADCAST_BYTES = 64 << 20
 LABEL_BYTES = 32
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COUNTERS = "part string, mask int, n long, good long, toxic long"
-STATE = "least long, good int, toxic int, parts array<string>, ns array<long>"
+STATE = "texts binary"
 
 
 def text_mask(text: Column) -> Column:
@@ -48,70 +52,72 @@ def text_mask(text: Column) -> Column:
     return sum((f.cast("int") * F.lit(1 << i) for i, f in enumerate(fails[1:], 1)), fails[0].cast("int"))
 
 
-def _combined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each text of an Arrow batch: its smallest id with parts, and the other rows' counts by part.
+ROWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("least", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("n", pa.int64()), ("good", pa.int64()), ("toxic", pa.int64())])
 
-    A hot text reaches its state as a row for each batch of a map task, not as a row for each document.
+
+def _combined(buckets: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of an Arrow batch as far as they can be told there: for each text its smallest id, as ``(bucket, copy false, ROWS)``; and the
+    sums of all others, which are copies whatever comes later, as ``(bucket, copy true, ROWS)`` without a text.
+
+    A hot text reaches its state as a row for each batch of a map task, not as a row for each document. good, toxic: of all n rows.
     """
-    names = ["key", "mask", "least", "good", "toxic", "parts", "ns", "more_parts", "more_ns", "more_good", "more_toxic"]
     for b in batches:
         if not b.num_rows:
             continue
         d = b.to_pandas()
-        d = d.sort_values(["key", "doc_id"], kind="stable")
-        key, ids = d["key"].to_numpy(), d["doc_id"].to_numpy()
-        first = np.append(True, key[1:] != key[:-1])
-        group = np.cumsum(first) - 1
-        least = ids[first]
-        at_least = ids == least[group]
-        d = d.assign(group=group, n=1)
-        own = d[at_least].groupby(["group", "part"], sort=True).agg(n=("n", "sum")).reset_index()
-        more = d[~at_least].groupby(["group", "part"], sort=True).agg(n=("n", "sum"), good=("good", "sum"), toxic=("toxic", "sum")).reset_index()
+        h1, h2, ids, part = (d[c].to_numpy() for c in ("h1", "h2", "least", "part"))
+        order = np.lexsort((part, ids, h2, h1))
+        d, h1, h2, ids = d.iloc[order], h1[order], h2[order], ids[order]
+        first = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+        at_least = ids == ids[first][np.cumsum(first) - 1]
+        own = d[at_least].groupby(["h1", "h2", "least", "part", "mask"], sort=False)[["n", "good", "toxic"]].sum().reset_index()
+        more = d[~at_least].groupby(["part", "mask"], sort=False)[["n", "good", "toxic"]].sum().reset_index()
+        own = own.assign(copy=False, bucket=own["h1"].to_numpy() % buckets)
+        more = more.assign(copy=True, h1=np.int64(0), h2=np.int64(0), least=np.int64(0), bucket=[zlib.crc32(f"{m}:{p}".encode("utf-8", "replace")) % buckets for p, m in zip(more["part"], more["mask"], strict=True)])
+        both = pd.concat([own, more], ignore_index=True)
+        both = both.astype({"mask": "int32", "copy": bool, **{c: "int64" for c in ("bucket", "h1", "h2", "least", "n", "good", "toxic")}})
+        yield pa.RecordBatch.from_pandas(both[["bucket", "copy", *ROWS.names]], preserve_index=False)
 
-        def lists(x: pd.DataFrame, column: str, kind: pa.DataType, groups: int = len(least)) -> pa.Array:
-            ends = np.append(0, np.cumsum(np.bincount(x["group"].to_numpy(np.int64), minlength=groups))).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(x[column].tolist(), kind))
 
-        heads = d[first]
-        flat = [pa.array(heads["key"].tolist(), pa.binary()), pa.array(heads["mask"], pa.int32()), pa.array(least, pa.int64()), pa.array(heads["good"], pa.int32()), pa.array(heads["toxic"], pa.int32())]
-        nested = [lists(own, "part", pa.string()), lists(own, "n", pa.int64()), *(lists(more, c, pa.string() if c == "part" else pa.int64()) for c in ("part", "n", "good", "toxic"))]
-        yield pa.RecordBatch.from_arrays(flat + nested, names=names)
+_COMBINED = "bucket long, copy boolean, h1 long, h2 long, least long, part string, mask int, n long, good long, toxic long"
+_SUMS = ["n", "good", "toxic"]
 
 
-_COMBINED = "key binary, mask int, least long, good int, toxic int, parts array<string>, ns array<long>, more_parts array<string>, more_ns array<long>, more_good array<long>, more_toxic array<long>"
+def update(held: pd.DataFrame, new: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The texts' smallest ids after ``new`` rows, and the changes of counters ``(part, mask, n, good, toxic)``.
+
+    A new smallest id counts under its mask and other rows under the mask with the fifth bit; an id that was the smallest and isn't any more
+    is retracted from its mask and added under that with the fifth bit.
+    """
+    both = pd.concat([held[ROWS.names].assign(old=True), new[ROWS.names].assign(old=False)], ignore_index=True)
+    h1, h2, ids = (both[c].to_numpy() for c in ("h1", "h2", "least"))
+    order = np.lexsort((ids, h2, h1))
+    both, h1, h2, ids = both.iloc[order], h1[order], h2[order], ids[order]
+    first = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) if len(both) else np.zeros(0, bool)
+    least = ids == ids[first][np.cumsum(first) - 1]
+    old = both["old"].to_numpy(bool)
+    gone, copies = both[old & ~least], both[~least]
+    changes = [both[~old & least], copies.assign(mask=copies["mask"] | COPY), gone.assign(**{c: -gone[c] for c in _SUMS})]
+    kept = both[least].groupby(["h1", "h2", "least", "part", "mask"], sort=False)[_SUMS].sum().reset_index()
+    return kept, pd.concat(changes)[["part", "mask", *_SUMS]]
 
 
 def _changes(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-    """Changes of counters by the rows of one text: new counts, and retractions of the smallest id so far if a smaller one arrives."""
-    out: dict[tuple[str, int], list[int]] = {}
-
-    def add(part: str, mask: int, n: int, good: int, toxic: int) -> None:
-        got = out.setdefault((part, mask), [0, 0, 0])
-        got[0] += n
-        got[1] += good
-        got[2] += toxic
-
-    held = state.get if state.exists else None
-    least, good, toxic, parts = (held[0], held[1], held[2], dict(zip(held[3], held[4], strict=True))) if held else (None, 0, 0, {})
-    mask = 0
-    for pdf in frames:
-        for r in pdf.itertuples(index=False):
-            mask = r.mask
-            for p, n, g, t in zip(r.more_parts, r.more_ns, r.more_good, r.more_toxic, strict=True):
-                add(p, mask | COPY, int(n), int(g), int(t))
-            if least is None or r.least < least:
-                for p, n in parts.items():  # the earlier smallest id is a copy now
-                    add(p, mask, -n, -n * good, -n * toxic)
-                    add(p, mask | COPY, n, n * good, n * toxic)
-                least, good, toxic, parts = int(r.least), int(r.good), int(r.toxic), {}
-            copy = r.least > least
-            for p, n in zip(r.parts, r.ns, strict=True):
-                add(p, mask | COPY if copy else mask, int(n), int(n) * int(r.good), int(n) * int(r.toxic))
-                if not copy:
-                    parts[p] = parts.get(p, 0) + int(n)
-    state.update((least, good, toxic, list(parts), list(parts.values())))
-    changed = [(p, m, *v) for (p, m), v in out.items() if any(v)]
-    yield pd.DataFrame(dict(zip(("part", "mask", "n", "good", "toxic"), zip(*changed, strict=True), strict=True)))
+    """Changes of counters by a bucket's rows; its state is a table of ROWS in Arrow's format."""
+    new = pd.concat(list(frames), ignore_index=True)
+    held = pa.ipc.open_stream(bytes(state.get[0])).read_pandas() if state.exists else ROWS.empty_table().to_pandas()
+    copy = new["copy"].to_numpy(bool)
+    kept, changes = update(held, new[~copy])
+    if not copy.all():
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(kept, schema=ROWS, preserve_index=False)
+        with pa.ipc.new_stream(sink, ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+    more = new[copy]
+    every = pd.concat([changes, more.assign(mask=more["mask"] | COPY)[["part", "mask", *_SUMS]]])
+    every = every.groupby(["part", "mask"], sort=False)[_SUMS].sum().reset_index()
+    yield every[(every[_SUMS] != 0).any(axis=1)]
 
 
 def _bytes_of(spark: SparkSession, path: str) -> int:
@@ -133,8 +139,8 @@ def counters(spark: SparkSession, path: str, labels: DataFrame | None = None, pa
     labels: ``(doc_id, quality, toxic)``; a document is good or toxic if any of its rows says 1; documents without a row and
     null values are neither. A null part is the empty one. A document with a null id is a copy of nothing, and nothing is a
     copy of it. Rows that repeat an id and a text are copies of each other only if a smaller id has the text. Very long texts are
-    judged whole, and identity is that of SHA-256 of all bytes. An empty table gives no rows. Files are read once, in micro-batches of ``batch_bytes``
-    (by default a 64th of the table, BATCH_BYTES at least).
+    judged whole, and identity is that of 120 bits of the SHA-256 of all bytes. An empty table gives no rows. Files are read once, in micro-batches of ``batch_bytes``
+    (by default a 16th of the table, BATCH_BYTES at least). State is held by the session's state store, about 30 bytes a text.
     """
     schema = spark.read.parquet(path).select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{part_col}`").alias("p")).schema
     kinds = f"`{id_col}` {schema['i'].dataType.simpleString()}, `{text_col}` {schema['t'].dataType.simpleString()}, `{part_col}` {schema['p'].dataType.simpleString()}"
@@ -142,11 +148,10 @@ def counters(spark: SparkSession, path: str, labels: DataFrame | None = None, pa
     read = spark.readStream.schema(kinds)
     read = read.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else read.option("maxBytesPerTrigger", size)
     docs = read.parquet(_pattern(spark, path)).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"), F.col(f"`{text_col}`").alias("text"))
-    text = F.coalesce("text", F.lit(""))
-    key = F.unhex(F.sha2(text, 256))
-    # a text of a row without an id is a key of its own row: no other row meets it
-    lone = F.concat(F.lit(b"\x00"), F.unhex(F.sha2(F.concat(F.uuid(), F.col("part")), 256)))
-    docs = docs.select("doc_id", "part", text_mask(F.col("text")).alias("mask"), F.when(F.col("doc_id").isNull(), lone).otherwise(key).alias("key"))
+    # a row without an id gets a text of its own: no other row meets it
+    docs = docs.select("doc_id", "part", text_mask(F.col("text")).alias("mask"), F.sha2(F.when(F.col("doc_id").isNull(), F.uuid()).otherwise(F.coalesce("text", F.lit(""))), 256).alias("key"))
+    half = lambda i: F.conv(F.substring("key", i, 15), 16, 10).cast("long")  # noqa: E731  60 bits each, no sign
+    buckets = max(1, math.ceil(spark.read.parquet(path).count() / TEXTS))
     temporary = []
     if labels is not None:
         flags = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
@@ -155,20 +160,14 @@ def counters(spark: SparkSession, path: str, labels: DataFrame | None = None, pa
         docs = docs.join(F.broadcast(flags) if memory_bytes(flags, LABEL_BYTES) <= BROADCAST_BYTES else flags, "doc_id", "left")
     else:
         docs = docs.withColumns({"good": F.lit(0), "toxic": F.lit(0)})
-    docs = docs.select("key", F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
-    changes = docs.mapInArrow(_combined, _COMBINED).groupBy("key").applyInPandasWithState(_changes, COUNTERS, STATE, "update", "NoTimeout")
+    docs = docs.select(half(1).alias("h1"), half(16).alias("h2"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("least"), "part", "mask", F.lit(1).cast("long").alias("n"), F.coalesce("good", F.lit(0)).cast("long").alias("good"), F.coalesce("toxic", F.lit(0)).cast("long").alias("toxic"))
+    changes = docs.mapInArrow(partial(_combined, buckets), _COMBINED).groupBy("bucket").applyInPandasWithState(_changes, COUNTERS, STATE, "update", "NoTimeout")
     log, checkpoint = new_path(spark, "audit-counters"), new_path(spark, "audit-stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")]).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, STATE_STORE)  # state on disk and in the checkpoint, not in the executors' heaps
-    try:
-        query = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(setting, before)
+    query = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
     discard(*temporary)
     _delete(spark, checkpoint)
