@@ -138,13 +138,17 @@ def near_pairs(words: list[str], starts: np.ndarray) -> Iterator[tuple[np.ndarra
                 yield at[x, y + r], at[x, z], prefix[x, y, z]
 
 
-def _grouped(m: Column, p: Column, s: Column) -> Column:
+#: What tells groups apart besides the shared letters; two ways of dividing may lead to one p and s, with other bounds.
+GROUP = ["key", "m", "p", "s", "below"]
+
+
+def _grouped(m: Column, p: Column, s: Column, below: Column) -> Column:
     """Key of the words that share their first ``p`` and last ``s`` letters."""
-    return F.xxhash64(m, p, s, F.expr("substring(word, 1, p)"), F.expr("substring(word, char_length(word) - s + 1, s)"))
+    return F.xxhash64(m, p, s, below, F.expr("substring(word, 1, p)"), F.expr("substring(word, char_length(word) - s + 1, s)"))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("key", _grouped(F.col("m"), F.col("p"), F.col("s")))
+    return rows.withColumn("key", _grouped(F.col("m"), F.col("p"), F.col("s"), F.col("below")))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -162,8 +166,8 @@ def near_words(words: DataFrame) -> DataFrame:
     done: list[DataFrame] = []
     while True:
         rows = written(rows, "spelling-groups")
-        sizes = rows.groupBy("key", "m", "p", "s").agg(F.count("*").alias("size"), F.max(F.col("len") == F.col("m")).alias("whole")).where("size > 1 AND whole")
-        met = written(rows.join(sizes.drop("whole"), ["key", "m", "p", "s"]), "spelling-met")
+        sizes = rows.groupBy(*GROUP).agg(F.count("*").alias("size"), F.max(F.col("len") == F.col("m")).alias("whole")).where("size > 1 AND whole")
+        met = written(rows.join(sizes.drop("whole"), GROUP), "spelling-met")
         discard(rows)
         open_letters = F.col("m") - 1 - F.col("p") - F.col("s")
         large = (F.col("size") > BLOCK) & (open_letters > 0)
@@ -189,8 +193,8 @@ def _compared(met: DataFrame) -> DataFrame:
     tiles = max(1, math.ceil(met.count() / TILE_ROWS))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["m", "key", "p", "s"], kind="stable")
-        ident = pdf[["m", "key", "p", "s"]].to_numpy()
+        pdf = pdf.sort_values(["m", "key", "p", "s", "below"], kind="stable")
+        ident = pdf[["m", "key", "p", "s", "below"]].to_numpy()
         starts = np.flatnonzero(np.append(True, (ident[1:] != ident[:-1]).any(axis=1)))
         word, size, below, m = pdf["word"].to_numpy(), pdf["len"].to_numpy(), pdf["below"].to_numpy(), pdf["m"].to_numpy()
         a, b = [word[:0]], [word[:0]]
