@@ -31,8 +31,10 @@ MAX_CALIBRATION = 20_000
 LEAST_CALIBRATION = 30
 #: n-grams from which a text counts as long.
 LONG_TEXT = 256
-#: Quantile of the calibration texts' deviations, and the multiple of it at which a text is rejected.
-QUANTILE, SLACK = 0.995, 2.0
+#: Quantile of the calibration texts' deviations in evidence, and the multiple of it at which a text is rejected.
+QUANTILE, SLACK = 0.995, 3.0
+#: The same for variety; some labelled texts are mere repetitions, so the quantile is lower. The deviation is LEAST_SPREAD at least.
+VARIETY_QUANTILE, VARIETY_SLACK, LEAST_SPREAD = 0.95, 2.0, 0.05
 #: Characters of one scoring step; a longer text is scored in overlapping slices.
 STEP = 1 << 20
 
@@ -220,11 +222,11 @@ class Limits:
         if not self.evidence:
             return known > 0
         middle, wide, short = (np.array([self.evidence.get(x, self.evidence[None])[k] for x in languages]) for k in range(3))
-        least = middle - SLACK * np.maximum(wide, short / np.sqrt(np.maximum(grams, 1)))
+        least = middle - SLACK * np.where(grams >= LONG_TEXT, wide, np.maximum(wide, short / np.sqrt(np.maximum(grams, 1))))
         classes = np.array(sorted(self.variety))
         nearest = classes[np.abs(_length_class(grams)[:, None] - classes[None, :]).argmin(axis=1)]
         usual = np.array([self.variety[k] for k in nearest])
-        return (known > np.maximum(least, 0)) & (_variety(grams, distinct) >= usual - SLACK * self.spread)
+        return (known > np.maximum(least, 0)) & (_variety(grams, distinct) >= usual - VARIETY_SLACK * self.spread)
 
 
 def _length_class(grams: np.ndarray) -> np.ndarray:
@@ -241,7 +243,7 @@ def calibrate(docs: DataFrame, model: LanguageModel, text_col: str = "text", lan
 
     About ``max_rows`` distinct texts, chosen by hash, and four numbers of each reach the driver. Evidence is a mean per n-gram, so
     that of short texts varies more: deviations from the language's median are taken apart for long texts, and times the root
-    of the length for short ones. Rows with null text or label, texts without letters and wrongly predicted ones say nothing.
+    of the length for short ones, and count at least as those of all languages together: passages in another language are in any. Rows with null text or label, texts without letters and wrongly predicted ones say nothing.
     No such row: limits that accept whatever a language explains better than noise.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("calibration"), F.col(text_col)).alias("h"))
@@ -262,11 +264,11 @@ def calibrate(docs: DataFrame, model: LanguageModel, text_col: str = "text", lan
             long = n >= LONG_TEXT
             wide = float(np.quantile(below[long], QUANTILE)) if long.any() else 0.0
             short = float(np.quantile((below * np.sqrt(n))[~long], QUANTILE)) if (~long).any() else wide * LONG_TEXT**0.5
-            limits[lang] = (middle, wide, short)
+            limits[lang] = (middle, max(wide, limits.get(None, (0, 0, 0))[1]), max(short, limits.get(None, (0, 0, 0))[2]))
     variety, classes = _variety(grams, found["distinct_grams"].to_numpy()), _length_class(grams)
     usual = {int(k): float(np.median(variety[classes == k])) for k in np.unique(classes)}
-    spread = float(np.quantile(np.array([usual[int(k)] for k in classes]) - variety, QUANTILE))
-    return Limits(limits, usual, max(spread, 0.01))
+    spread = float(np.quantile(np.array([usual[int(k)] for k in classes]) - variety, VARIETY_QUANTILE))
+    return Limits(limits, usual, max(spread, LEAST_SPREAD))
 
 
 def _judged(docs: DataFrame, model: LanguageModel, limits: Limits | None = None, text_col: str = "text") -> DataFrame:

@@ -228,4 +228,5 @@ def _decided(spark: SparkSession, cascades: dict[str, Cascade]) -> Column:
                         rule[r], verdict[r] = flat[j], v
         return pd.DataFrame({"rule": rule, "verdict": verdict})
 
-    return decide("keys", at, "rule", "verdict")
+    # not deterministic for the optimiser: else a filter on the result takes it in, where it can't be evaluated
+    return decide.asNondeterministic()("keys", at, "rule", "verdict")

@@ -92,11 +92,13 @@ class _Source:
 
     def __init__(self, file, *, seeks: bool) -> None:  # noqa: ANN001
         self.file, self.seeks = file, seeks
+        # of a compressed file as much as there is: a broken end doesn't take what lies before it
+        self.read = file.read if seeks else file.read1
         self.held, self.at = b"", 0
 
     def _more(self, n: int) -> bool:
         """At least one more byte is held, if there is one."""
-        got = self.file.read(max(n, READ_BYTES))
+        got = self.read(max(n, READ_BYTES))
         self.held, self.at = self.held[self.at :] + got, 0
         return bool(got)
 
@@ -113,7 +115,7 @@ class _Source:
         n -= own
         if n and self.seeks:
             self.file.seek(self.file.tell() + n)
-        while n and not self.seeks and (got := self.file.read(min(n, READ_BYTES))):
+        while n and not self.seeks and (got := self.read(min(n, READ_BYTES))):
             n -= len(got)
 
     def head(self) -> bytes | None:

@@ -668,9 +668,9 @@ def test_broken_payloads_and_files_keep_the_rest(spark, tmp_path):
     (tmp_path / "c.warc").write_bytes(b"<html>not an archive</html>\r\n\r\n")
     (tmp_path / "d.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(good)[:-12])
     got = warc.read_archive(spark, str(tmp_path)).collect()
-    assert [bytes(r.payload) for r in got if r.target_uri == "http://good/"] == [b"fine"] * 4 or [bytes(r.payload) for r in got if r.target_uri == "http://good/"] == [b"fine"] * 5
+    assert [bytes(r.payload) for r in got if r.target_uri == "http://good/"] == [b"fine"] * 4
     assert sorted((r.target_uri, r.payload, bool(r.problem)) for r in got if "bad" in (r.target_uri or "")) == [(f"http://bad/{i}", None, True) for i in (1, 2, 3)]
-    assert len([r for r in got if r.record_type == "broken" and r.problem]) >= 2 and all(r.problem is None for r in got if r.payload is not None)
+    assert len([r for r in got if r.record_type == "broken" and r.problem]) == 3 and all(r.problem is None for r in got if r.payload is not None)
     found = warc.read_archive(spark, str(tmp_path / "a.warc")).where("target_uri = 'http://bad/2'").collect()
     assert [r.target_uri for r in found] == ["http://bad/2"]
     with pytest.raises(Exception, match="gzip"):
@@ -971,7 +971,7 @@ def test_pipeline_equals_brute_force(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near", "packed"]
     stays = in_language_by_hand(docs)
     rows = [tuple(r) for r in docs.select("doc_id", "source", "text").collect() if r.doc_id in stays]
-    assert len(rows) >= 0.98 * docs.count()  # nearly all of them are clean
+    assert len(rows) >= 0.95 * docs.count()  # nearly all of them are clean
     texts = [(d, t) for d, t, _ in cleaned(rows, linededup.MAX_RATIO, True, True, 2)]
     kept = {d for d, c in classes(texts).items() if d == c}
     assert set(out["doc_id"]) == kept
@@ -983,7 +983,7 @@ def test_pipeline_equals_brute_force(spark):
 
 
 #: Article 1 of a public declaration in languages that the tables don't have, in the same script; code; encoded data; repetitions.
-FOREIGN = {
+UNLEARNT = {
     "indonesian": "Semua orang dilahirkan merdeka dan mempunyai martabat dan hak-hak yang sama. Mereka dikaruniai akal dan hati nurani dan hendaknya bergaul satu sama lain dalam semangat persaudaraan.",
     "italian": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
     "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
@@ -992,6 +992,7 @@ FOREIGN = {
     "code": "for (int i = 0; i < n; i++) { if (x[i] == null) return foo_bar(x, y->z); } def __init__(self, *args): import numpy as np; print(f'{x!r}') while (k--) { buf[k] ^= key >> (k & 7); } struct node *next = malloc(sizeof *next);",
     "encoded": "aGVsbG8gd29ybGQgdGhpcyBpcyBhIGJhc2U2NCBlbmNvZGVkIHN0cmluZyB0aGF0IGlzIGxvbmc=",
     "letters": "aaaa " * 200,
+    "few letters": "aaaa aaaa aaaa",
     "words": "the of and to " * 150,
 }
 
@@ -1024,16 +1025,17 @@ def in_language_by_hand(docs, extra=()):
         return middle, wide, np.quantile(near, langid.QUANTILE) if near else wide * langid.LONG_TEXT**0.5
 
     every = limits(own)
-    per = {x: limits(held) for x in languages if len(held := [s for s in own if s[0] == x]) >= langid.LEAST_CALIBRATION}
+    per = {x: (limits(held)[0], max(limits(held)[1], every[1]), max(limits(held)[2], every[2])) for x in languages if len(held := [s for s in own if s[0] == x]) >= langid.LEAST_CALIBRATION}
     usual = {k: np.median([s[3] for s in own if int(np.log2(s[2])) == k]) for k in {int(np.log2(s[2])) for s in own}}
-    spread = max(0.01, np.quantile([usual[int(np.log2(s[2]))] - s[3] for s in own], langid.QUANTILE))
+    spread = max(langid.LEAST_SPREAD, np.quantile([usual[int(np.log2(s[2]))] - s[3] for s in own], langid.VARIETY_QUANTILE))
     out = set()
     for i, t, *_ in [*rows, *extra]:
         if (s := shape(t)) is None:
             continue
         middle, wide, short = per.get(s[0], every)
         near = min(sorted(usual), key=lambda k: abs(k - int(np.log2(s[2]))))
-        if s[1] > max(0, middle - langid.SLACK * max(wide, short / s[2] ** 0.5)) and s[3] >= usual[near] - langid.SLACK * spread:
+        off = wide if s[2] >= langid.LONG_TEXT else max(wide, short / s[2] ** 0.5)
+        if s[1] > max(0, middle - langid.SLACK * off) and s[3] >= usual[near] - langid.VARIETY_SLACK * spread:
             out.add(i)
     return out
 
@@ -1043,13 +1045,16 @@ def test_language_stage_rejects_other_languages_code_and_repetitions(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    extra = [(10**6 + k, t, None, "a", None) for k, t in enumerate(FOREIGN.values())]
+    extra = [(10**6 + k, t, None, "a", None) for k, t in enumerate(UNLEARNT.values())]
     learnt = [r.text[:600] for r in docs.where("lang IS NOT NULL AND length(text) > 2000").dropDuplicates(["lang"]).collect()]
     extra += [(2 * 10**6 + k, t, None, "a", None) for k, t in enumerate(learnt)]
     both = docs.unionByName(spark.createDataFrame(extra, DOCS))
     kept = {r.doc_id for r in corpus_pipeline.language(spark, both, DATA).collect()}
     assert {i for i in kept if i >= 10**6} == {2 * 10**6 + k for k in range(len(learnt))} and len(learnt) == 4
-    assert len(kept) - len(learnt) >= 0.99 * docs.count()
+    assert len(kept) - len(learnt) >= 0.97 * docs.count()
+    gone = [r.text for r in docs.where("text IS NOT NULL").collect() if r.doc_id not in kept]
+    for words in (t.split() for t in gone):  # texts that go say the same words again and again
+        assert len(set(words)) < 0.5 * len(words)
     assert kept == in_language_by_hand(both)
 
 
@@ -1068,7 +1073,7 @@ def test_language_stage_rejects_what_is_in_no_language(spark):
     junk = ["xqzjk vwpqx zzkqj qqxw", "qXzKjvWpRt kJxQzWvYpLmXqRtZbHcDf wKvQzXjPyGbTqMx", "Это русский текст о погоде", "123 !!! 456", "", None, "\u4eca\u65e5\u306f\u5929\u6c17"]
     more = spark.createDataFrame([(10**6 + i, t, None, "a", None) for i, t in enumerate([*junk, docs.first()["text"][:60]])], DOCS)
     kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), DATA).collect()}
-    assert {i for i in kept if i >= 10**6} == {10**6 + len(junk)} and len(kept) > 0.98 * docs.count()
+    assert {i for i in kept if i >= 10**6} == {10**6 + len(junk)} and len(kept) > 0.95 * docs.count()
     unlabelled = more.withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in corpus_pipeline.language(spark, unlabelled, DATA).collect()} == {10**6 + i for i in (0, 1, 2, 6, 7)}
     assert corpus_pipeline.lines(spark, docs.drop("n_chars"), DATA).columns == [c for c in docs.columns if c != "n_chars"]
