@@ -167,7 +167,7 @@ def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
 @query
 def text_otsu(spark: SparkSession, d: str) -> DataFrame:
     """Thresholds of the text rasters, and how many pixels are over them."""
-    return pixels.otsu_counts(fixtures.text_pixels(spark, d)).where("n_over > 0").select("image_id", "n_over")
+    return pixels.otsu_counts(fixtures.text_pixels(spark, d)).select("image_id", "n_over")
 
 
 @query

@@ -122,7 +122,7 @@ SQL: dict[str, str] = {
     "text_profile": with_(TXT, profile("txt")) + "SELECT image_id, height, width, v_min, v_max, v_range, round(mean, 6) AS mean, round(std, 6) AS std, round(entropy, 6) AS entropy FROM prof",
     "gray_histogram": with_(TXT) + "SELECT image_id, v, count(*) AS n FROM txt GROUP BY ALL",
     "otsu_threshold": with_(PX, otsu("px")) + "SELECT image_id, CAST(threshold AS INT) AS threshold FROM thr",
-    "text_otsu": with_(TXT, otsu("txt")) + "SELECT image_id, count(*) AS n_over FROM txt JOIN thr USING (image_id) WHERE v > threshold GROUP BY ALL",
+    "text_otsu": with_(TXT, otsu("txt")) + "SELECT image_id, count(CASE WHEN v > threshold THEN 1 END) AS n_over FROM txt JOIN thr USING (image_id) GROUP BY ALL",
     "minmax_norm": with_(PX) + "SELECT image_id, y, x, CAST(CASE WHEN max(v) OVER w > min(v) OVER w THEN floor((v - min(v) OVER w) * 255 / (max(v) OVER w - min(v) OVER w)) ELSE 0 END AS INT) AS v FROM px WINDOW w AS (PARTITION BY image_id)",
     "contrast_stretch": with_(PX, "e AS (SELECT image_id, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM px GROUP BY 1)")
     + "SELECT image_id, y, x, CAST(CASE WHEN hi > lo THEN floor(greatest(0.0, least(255.0, (v - lo) * 255 / (hi - lo)))) ELSE v END AS INT) AS v FROM px JOIN e USING (image_id)",

@@ -57,7 +57,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(event_id, image_id, y, x, kind)``; every fiftieth event lies outside its image."""
+    """``(event_id, image_id, y, x, kind)``; every fiftieth event lies outside its image.
+
+    Views and signups are many more than clicks and errors, so a third of them stands for the rarer kinds; there are four kinds of seeds and
+    five of events, so purchases are none.
+    """
     e = table(spark, sf_dir, "events")
     third = F.col("event_id") % 3 == 0
     kind = F.when(F.col("event_type") == "click", "object").when(F.col("event_type") == "error", "background").when((F.col("event_type") == "view") & third, "crystal").when((F.col("event_type") == "signup") & third, "residue")
