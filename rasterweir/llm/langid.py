@@ -250,8 +250,9 @@ def calibrate(docs: DataFrame, model: LanguageModel, text_col: str = "text", lan
     n = rows.count()
     if n > max_rows:
         rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
-    rows = rows.groupBy("h").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
-    found = _judged(rows, model).where("lang_pred = lang AND evidence IS NOT NULL").select("lang_pred", "evidence", "grams", "distinct_grams").toPandas()
+    # texts are scored where they lie; what is moved and told apart by the text's hash are numbers
+    judged = _judged(rows, model).groupBy("h").agg(F.min("lang").alias("lang"), *[F.first(c).alias(c) for c in ("lang_pred", "evidence", "grams", "distinct_grams")])
+    found = judged.where("lang_pred = lang AND evidence IS NOT NULL").select("lang_pred", "evidence", "grams", "distinct_grams").toPandas()
     if not len(found):
         return Limits({}, {}, 0.0)
     grams, own = found["grams"].to_numpy(), found["evidence"].to_numpy(float)
