@@ -83,3 +83,48 @@ def entropy(a, k=13):
             n = np.unique(p[y : y + k, x : x + k], return_counts=True)[1] / (k * k)
             out[y, x] = int(np.floor(-(n * np.log2(n)).sum() + 1e-9))
     return out
+
+
+def outline_measures(points, shape):
+    """Area within, and length of, the outer outline through pixel centres, from the patterns of all 2 x 2 squares."""
+    wide = (shape[0] + 2, shape[1] + 2)  # what lies at the crop's edge is outside, too
+    m = mask_of(filled({(y + 1, x + 1) for y, x in points}, wide), wide)
+    area = length = 0.0
+    for y in range(m.shape[0] - 1):
+        for x in range(m.shape[1] - 1):
+            box = m[y : y + 2, x : x + 2]
+            n, diagonal = int(box.sum()), box[0, 0] == box[1, 1]
+            area += {3: 0.5, 4: 1.0}.get(n, 0.0)
+            length += {2: 2 * 2**0.5 if diagonal else 1.0, 3: 2**0.5}.get(n, 0.0)
+    return area, length
+
+
+def hull_area(points):
+    """Area of the convex hull: a pair of points is a side if all others are left of it or between the two."""
+    p, twice = np.array(sorted(points)), 0
+    for a in p:
+        for b in p:
+            side, along = (b - a)[0] * (p - a)[:, 1] - (b - a)[1] * (p - a)[:, 0], (p - a) @ (b - a)
+            if (a != b).any() and (side >= 0).all() and ((side > 0) | ((along >= 0) & (along <= (b - a) @ (b - a)))).all():
+                twice += int(a[0] * b[1] - a[1] * b[0])
+    return abs(twice) / 2
+
+
+def spectrum(a, points):
+    """Energy shares up to 18 % and 45 % of the largest radius and beyond, and spectral entropy, by explicit transform matrices."""
+    h, w = a.shape
+    patch, mean = np.zeros((h, w)), np.mean([a[p] for p in points])
+    for p in points:
+        patch[p] = a[p] - mean
+    ey, ex = (np.exp(-2j * np.pi * np.outer(np.arange(n), np.arange(n)) / n) for n in (h, w))
+    energy = np.abs(ey @ patch @ ex) ** 2
+    top = max(np.hypot(v, u) for v in (h // 2, h - 1 - h // 2) for u in (w // 2, w - 1 - w // 2))
+    bands, total = [0.0, 0.0, 0.0], energy.sum()
+    if total < 1e-6:
+        return *bands, 0.0
+    for ky in range(h):
+        for kx in range(w):
+            r = np.hypot(ky if ky < h - h // 2 else h - ky, kx if kx < w - w // 2 else w - kx) / top
+            bands[0 if r <= 0.18 else 1 if r <= 0.45 else 2] += energy[ky, kx] / total
+    share = energy[energy > total * 1e-18] / total
+    return *bands, -(share * np.log2(share)).sum() / np.log2(h * w)

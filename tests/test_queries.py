@@ -46,7 +46,7 @@ def test_candidate_masks_equal_plain_loops(spark, rasters_of):
 
 
 def test_shapes_and_edges_equal_plain_counts(spark, rasters_of):
-    """Holes and Euler number by flooding, gradient and Laplacian by loops over the filled crop."""
+    """Holes and Euler number by flooding, outlines from 2 x 2 squares, gradient, Laplacian and spectrum by loops over the filled crop."""
     shape = {(r.image_id, r.region_id): r for r in registry.QUERIES["region_shape"](spark, DATA).collect()}
     edges = {(r.image_id, r.region_id): r for r in registry.QUERIES["region_edges"](spark, DATA).collect()}
     spectrum = {(r.image_id, r.region_id): r for r in registry.QUERIES["region_spectrum"](spark, DATA).collect()}
@@ -63,7 +63,10 @@ def test_shapes_and_edges_equal_plain_counts(spark, rasters_of):
             m = naive.mask_of(own, (y1 - y0, x1 - x0))
             crop = np.where(m, a[y0:y1, x0:x1], int(np.median([a[p] for p in part]))).astype(int)
             holes = len(naive.parts(naive.filled(own, m.shape) - own, naive.EIGHT))
-            assert (shape[i, k].holes, shape[i, k].euler) == (holes, 1 - holes) and 0 <= shape[i, k].solidity <= 1
+            assert (shape[i, k].holes, shape[i, k].euler) == (holes, 1 - holes)
+            (area, length), outer = naive.outline_measures(own, m.shape), naive.hull_area(own)
+            assert shape[i, k].solidity == pytest.approx(area / outer if outer else 0, abs=2e-6)
+            assert shape[i, k].circularity == pytest.approx(4 * np.pi * area / length**2, abs=2e-6)
             p, grad, lap = np.pad(crop, 1, mode="reflect"), [], []
             for y, x in own:
                 box = p[y : y + 3, x : x + 3]
@@ -73,7 +76,12 @@ def test_shapes_and_edges_equal_plain_counts(spark, rasters_of):
             r = edges[i, k]
             assert (r.gradient_mean, r.gradient_std, r.laplacian_var) == pytest.approx((np.mean(grad), np.std(grad), np.var(lap)), abs=2e-6)
             s = spectrum[i, k]
-            assert s.energy_low + s.energy_mid + s.energy_high == pytest.approx(1, abs=1e-5) or s.energy_low + s.energy_mid + s.energy_high == 0
+            low, mid, high, spread = naive.spectrum(crop, own)
+            assert (s.energy_low, s.energy_mid, s.energy_high, s.spectral_entropy) == pytest.approx((low, mid, high, spread), abs=1e-5)
+            if low > 1e-6:
+                assert s.fft_ratio == pytest.approx((mid + high) / low, rel=1e-4)
+            else:  # nothing at all, or nothing in the lowest band
+                assert s.fft_ratio == 0 if mid + high == 0 else s.fft_ratio > 1e6
             assert ratio[i, k] == pytest.approx(s.fft_ratio, rel=1e-6, abs=1e-6)
     assert seen == len(shape) == len(edges)
 
