@@ -16,14 +16,14 @@ from rasterweir.llm.shared import written
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told; model and limits are fitted on labelled documents of the input.
 
-    Two thirds of the texts, by a hash, teach the model, the others the limits: what evidence and variety texts of a learnt
+    All labelled texts count: two thirds, by a hash, teach the model, the others the limits: what evidence and variety texts of a learnt
     language of such a length have. Texts without letters go (null and empty ones too), and so do other languages of the
     same script, source code, encoded data and mere repetitions. Short texts have to be farther off than long ones. Without
     labels there is nothing to reject by: every text with a letter stays. Repeated rows are judged alike; an empty table
     stays empty; columns of any name pass through.
     """
     taught = F.pmod(F.xxhash64(F.lit("taught"), "text"), F.lit(3)) != 1
-    model = langid.fit(docs.where(taught))
+    model = langid.fit(docs.where(taught), max_train=None)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     return langid.reject(docs, model, langid.calibrate(docs.where(~taught), model))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import discard, fresh, written
@@ -19,14 +19,12 @@ from .shared import discard, fresh, written
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 14
-#: Documents that the model is fitted on at most; a documented bound, chosen by a hash of the row.
+#: Documents that the model is fitted on at most by default; a documented bound, chosen by a hash of the row.
 MAX_TRAIN = 20_000
 #: Leading bits of the hash by which labelled rows are counted, to find the bound without ordering them all.
 PREFIX_BITS = 12
 #: Languages that a model has at most, those of most training documents: more than there are codes for; a matrix of 128 MB then.
 MAX_LANGUAGES = 2_048
-#: Texts that the limits of ``calibrate`` are taken from, about; a documented bound, chosen by a hash of the text.
-MAX_CALIBRATION = 20_000
 #: A language with fewer calibration texts has the limits of all languages together.
 LEAST_CALIBRATION = 30
 #: n-grams from which a text counts as long.
@@ -86,27 +84,29 @@ def _slices(text: str):
         yield text[max(0, i - max(ORDERS) + 1) : i + STEP]
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", max_train: int = MAX_TRAIN, alpha: float = 0.5, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", max_train: int | None = MAX_TRAIN, alpha: float = 0.5, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
     """Learn from the labelled rows of ``docs``.
 
     Rows whose text or label is null teach nothing. Where more than ``max_train`` rows are labelled, those with the
     smallest hashes of key and text are taken, never more than that many (of equal rows that straddle the bound as many as
-    fit), so the choice doesn't depend on order or partitions. Of more than ``max_languages`` labels in them the most
+    fit), so the choice doesn't depend on order or partitions; ``None`` takes all rows. Of more than ``max_languages`` labels in them the most
     frequent are learnt, ties by name. Empty texts teach the label's frequency only; very long ones are counted in slices.
     What reaches the driver is a count per hash prefix, and languages x buckets counts at most. No labelled row: a model without languages, that calls
     all texts ``und``.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.xxhash64(F.col(key_col), F.col(text_col)).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    # the hash prefix in which the bound lies, from 2**PREFIX_BITS counts; only rows up to that prefix are ordered
-    prefix = F.shiftright("h", 64 - PREFIX_BITS)
-    steps = rows.groupBy(prefix.alias("p")).count().toPandas().sort_values("p")
-    over = steps["p"][steps["count"].cumsum() > max_train]
-    rows = sample = written(rows.where(prefix <= int(over.iloc[0])) if len(over) else rows, "language-sample")
-    if len(over):
-        end = sample.select("h").orderBy("h").limit(max_train + 1).agg(F.max("h")).first()[0]
-        rows = sample.where(F.col("h") < end)
-        rows = rows.unionByName(sample.where(F.col("h") == end).orderBy("lang").limit(max_train - rows.count()))  # equal rows, or hardly any
+    sample = None
+    if max_train is not None:
+        # the hash prefix in which the bound lies, from 2**PREFIX_BITS counts; only rows up to that prefix are ordered
+        prefix = F.shiftright("h", 64 - PREFIX_BITS)
+        steps = rows.groupBy(prefix.alias("p")).count().toPandas().sort_values("p")
+        over = steps["p"][steps["count"].cumsum() > max_train]
+        rows = sample = written(rows.where(prefix <= int(over.iloc[0])) if len(over) else rows, "language-sample")
+        if len(over):
+            end = sample.select("h").orderBy("h").limit(max_train + 1).agg(F.max("h")).first()[0]
+            rows = sample.where(F.col("h") < end)
+            rows = rows.unionByName(sample.where(F.col("h") == end).orderBy("lang").limit(max_train - rows.count()))  # equal rows, or hardly any
     most = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
 
     def count(batches):
@@ -123,7 +123,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
             yield pd.DataFrame({"lang": lang, "bucket": np.append(at, -1).astype(np.int32), "n": np.append(got[at], docs_of[lang])})
 
     found = rows.where(F.col("lang").isin(most)).mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    discard(sample)
+    if sample is not None:
+        discard(sample)
     languages = sorted(found["lang"].unique())
     counts, seen = np.zeros((1 << BUCKET_BITS, len(languages))), np.zeros(len(languages))
     for j, lang in enumerate(languages):
@@ -238,38 +239,72 @@ def _variety(grams: np.ndarray, distinct: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(distinct, 1)) / np.log(np.maximum(grams, 2))
 
 
-def calibrate(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_CALIBRATION) -> Limits:
+def _quantiles(values: DataFrame) -> dict[tuple[str, str], tuple[float, int]]:
+    """``(what, kind)`` -> (quantile at ``share``, number of values) of all ``values(what, kind, share, value)``: exact ones, as numpy's
+    between the two nearest values.
+
+    Equal values are counted, then put in ranges of their order, so that no kind is in one task; only the ranges that hold the
+    wanted ranks are ordered. Two values a kind reach the driver.
+    """
+    ranged = values.groupBy("what", "kind", "share", "value").agg(F.count("*").alias("n"))
+    ranged = written(ranged.repartitionByRange("what", "kind", "value").withColumn("part", F.spark_partition_id()), "ranges")
+    kind = Window.partitionBy("what", "kind")
+    parts = ranged.groupBy("what", "kind", "share", "part").agg(F.sum("n").alias("part_n"), F.min("value").alias("least"))
+    parts = parts.withColumn("total", F.sum("part_n").over(kind)).withColumn("before", F.sum("part_n").over(kind.orderBy("least")) - F.col("part_n"))
+    parts = parts.withColumn("rank", F.col("share") * (F.col("total") - 1)).where("before <= ceil(rank) AND before + part_n > floor(rank)")
+    end = F.col("before") + F.sum("n").over(Window.partitionBy("what", "kind", "part").orderBy("value"))
+    near = ranged.drop("share").join(F.broadcast(parts), ["what", "kind", "part"]).withColumn("end", end).where("end > floor(rank) AND end - n <= ceil(rank)")
+    found = near.groupBy("what", "kind").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.first("rank").alias("rank"), F.first("total").alias("total")).collect()
+    discard(ranged)
+    return {(r["what"], r["kind"]): (float(np.quantile([r["low"], r["high"]], r["rank"] % 1)), r["total"]) for r in found}
+
+
+def calibrate(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> Limits:
     """Limits from labelled texts that the model wasn't fitted on and calls by their label.
 
-    About ``max_rows`` distinct texts, chosen by hash, and four numbers of each reach the driver. Evidence is a mean per n-gram, so
+    All distinct texts count; medians and quantiles are exact and taken in Spark. Evidence is a mean per n-gram, so
     that of short texts varies more: deviations from the language's median are taken apart for long texts, and times the root
     of the length for short ones, and count at least as those of all languages together: passages in another language are in any. Rows with null text or label, texts without letters and wrongly predicted ones say nothing.
     No such row: limits that accept whatever a language explains better than noise.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("calibration"), F.col(text_col)).alias("h"))
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
     # texts are scored where they lie; what is moved and told apart by the text's hash are numbers
     judged = _judged(rows, model).groupBy("h").agg(F.min("lang").alias("lang"), *[F.first(c).alias(c) for c in ("lang_pred", "evidence", "grams", "distinct_grams")])
-    found = judged.where("lang_pred = lang AND evidence IS NOT NULL").select("lang_pred", "evidence", "grams", "distinct_grams").toPandas()
-    if not len(found):
+    variety = F.log(F.greatest("distinct_grams", F.lit(1))) / F.log(F.greatest("grams", F.lit(2)))
+    length = F.length(F.bin("grams")) - 1  # as _length_class
+    found = judged.where("lang_pred = lang AND evidence IS NOT NULL").select("lang", "evidence", "grams", variety.alias("variety"), length.cast("string").alias("length"))
+    found = written(found, "calibration")
+
+    def one(what: Column | str, kind: Column, share: float, value: Column) -> Column:
+        return F.struct((F.lit(what) if isinstance(what, str) else what).alias("what"), kind.alias("kind"), F.lit(share).alias("share"), value.alias("value"))
+
+    every = F.lit("")
+    middles = _quantiles(found.select(F.inline(F.array(one("all", every, 0.5, F.col("evidence")), one("own", F.col("lang"), 0.5, F.col("evidence")), one("variety", F.col("length"), 0.5, F.col("variety"))))))
+    if not middles:
+        discard(found)
         return Limits({}, {}, 0.0)
-    grams, own = found["grams"].to_numpy(), found["evidence"].to_numpy(float)
-    limits = {}
-    for lang in [None, *sorted(found["lang_pred"].unique())]:
-        at = np.ones(len(found), bool) if lang is None else (found["lang_pred"] == lang).to_numpy()
-        if lang is None or at.sum() >= LEAST_CALIBRATION:
-            middle = float(np.median(own[at]))
-            below, n = np.maximum(middle - own[at], 0), grams[at]
-            long = n >= LONG_TEXT
-            wide = float(np.quantile(below[long], QUANTILE)) if long.any() else 0.0
-            short = float(np.quantile((below * np.sqrt(n))[~long], QUANTILE)) if (~long).any() else wide * LONG_TEXT**0.5
-            limits[lang] = (middle, max(wide, limits.get(None, (0, 0, 0))[1]), max(short, limits.get(None, (0, 0, 0))[2]))
-    variety, classes = _variety(grams, found["distinct_grams"].to_numpy()), _length_class(grams)
-    usual = {int(k): float(np.median(variety[classes == k])) for k in np.unique(classes)}
-    spread = float(np.quantile(np.array([usual[int(k)] for k in classes]) - variety, VARIETY_QUANTILE))
-    return Limits(limits, usual, max(spread, LEAST_SPREAD))
+    middle = {kind: m for (what, kind), (m, n) in middles.items() if what == "own" and n >= LEAST_CALIBRATION}
+    usual = {kind: m for (what, kind), (m, _) in middles.items() if what == "variety"}
+    # how far each text is below the medians: MAX_LANGUAGES rows, and one for each length class, at most
+    rows = found.join(F.broadcast(docs.sparkSession.createDataFrame(list(usual.items()), "length string, usual double")), "length")
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(list(middle.items()), "lang string, middle double")), "lang", "left")
+    long = F.col("grams") >= LONG_TEXT
+    below = lambda middle: F.greatest(middle - F.col("evidence"), F.lit(0.0)) * F.when(long, 1.0).otherwise(F.sqrt("grams"))
+    far = F.array(
+        one("spread", every, VARIETY_QUANTILE, F.col("usual") - F.col("variety")),
+        one(F.when(long, "all long").otherwise("all short"), every, QUANTILE, below(F.lit(middles["all", ""][0]))),
+        one(F.when(long, "own long").otherwise("own short"), F.col("lang"), QUANTILE, below(F.col("middle"))),
+    )
+    off = _quantiles(rows.select(F.inline(far)).where("value IS NOT NULL"))
+    discard(found)
+
+    def spans(whose: str, kind: str) -> tuple[float, float]:
+        wide = off.get((f"{whose} long", kind), (0.0, 0))[0]
+        return wide, off.get((f"{whose} short", kind), (wide * LONG_TEXT**0.5, 0))[0]
+
+    least = spans("all", "")
+    limits = {None: (middles["all", ""][0], *least)} | {lang: (m, *map(max, spans("own", lang), least)) for lang, m in sorted(middle.items())}
+    return Limits(limits, {int(k): m for k, m in sorted(usual.items())}, max(off["spread", ""][0], LEAST_SPREAD))
 
 
 def _judged(docs: DataFrame, model: LanguageModel, limits: Limits | None = None, text_col: str = "text") -> DataFrame:

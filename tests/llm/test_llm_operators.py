@@ -5,6 +5,7 @@ import collections
 import gzip
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -1058,6 +1059,42 @@ def test_language_stage_rejects_other_languages_code_and_repetitions(spark):
     assert kept == in_language_by_hand(both)
 
 
+def test_quantiles_are_exact(spark):
+    """Ties, single values and several kinds over many ranges, as numpy's."""
+    rng = random.Random(4)
+    rows = [(what, kind, share, rng.choice([0.0, 0.0, round(rng.uniform(-3, 9), 2), rng.random()])) for what, share in (("a", 0.5), ("b", 0.995)) for kind, n in (("", 1), ("x", 2), ("y", 400), ("z", 3001)) for _ in range(n)]
+    got = langid._quantiles(spark.createDataFrame(rows, "what string, kind string, share double, value double").repartition(7))
+    held = collections.defaultdict(list)
+    for what, kind, share, value in rows:
+        held[what, kind, share].append(value)
+    assert {k: n for k, (_, n) in got.items()} == {k[:2]: len(v) for k, v in held.items()}
+    for (what, kind, share), v in held.items():
+        assert got[what, kind][0] == pytest.approx(np.quantile(v, share), abs=1e-12)
+
+
+def test_pipeline_model_and_limits_are_of_all_texts(spark, monkeypatch):
+    """More labelled texts than the bound that op1's model has: every one counts, in the priors and in the limits."""
+    import corpus_pipeline
+
+    words = F.concat_ws(" ", *[F.concat(F.lit("wort"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(977))) for k in range(5)])
+    docs = spark.range(63_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id"), F.when(F.col("id") % 9 == 0, F.translate(words, "wort", "emil")).otherwise(words)).alias("text"), F.when(F.col("id") % 9 == 0, "em").otherwise("wo").alias("lang"))
+    seen = []
+    monkeypatch.setattr(langid, "reject", lambda docs, model, limits: seen.extend([model, limits]) or docs)
+    corpus_pipeline.language(spark, docs, DATA)
+    model, limits = seen
+    taught = F.pmod(F.xxhash64(F.lit("taught"), "text"), F.lit(3)) != 1
+    n = {r["lang"]: r["count"] for r in docs.where(taught).groupBy("lang").count().collect()}
+    assert sum(n.values()) > langid.MAX_TRAIN and model.prior == pytest.approx([math.log(n[x] / sum(n.values())) for x in model.languages], abs=1e-12)
+    own = langid._judged(docs.where(~taught), model).where("lang = lang_pred").toPandas()
+    assert len(own) > 20_000
+    for lang, part in [(None, own), *own.groupby("lang")]:
+        below = np.maximum(part["evidence"].median() - part["evidence"], 0) * np.sqrt(part["grams"])
+        assert limits.evidence[lang][0] == pytest.approx(part["evidence"].median(), abs=1e-12)
+        assert limits.evidence[lang][2] >= np.quantile(below, langid.QUANTILE) - 1e-9
+    below = np.maximum(own["evidence"].median() - own["evidence"], 0) * np.sqrt(own["grams"])
+    assert limits.evidence[None][2] == pytest.approx(np.quantile(below, langid.QUANTILE), abs=1e-9)
+
+
 def test_limits_without_calibration(spark):
     model = langid.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
     none = langid.calibrate(empty(spark), model)
