@@ -3,9 +3,9 @@
 1. Directory: the bytes of the distinct keys' texts are summed by key prefix; starting from one bucket, an overfull bucket
    is split and the directory doubled when its depth is reached. The driver sees one number per prefix, never keys or rows.
 2. Index: within each Arrow batch equal texts are chained first, so that a text with millions of copies reaches its
-   owner once per batch. What is left goes to its bucket; the buckets are the files of a bucketed table in the shared
-   folder, texts compressed. The other rows keep only (row id, id of their batch's representative).
-3. Owners: a task reads the files of a bucket (no exchange), chains the rows of equal keys and compares bytes.
+   owner once per batch. What is left goes to its bucket; the files of a bucketed table in the shared folder hold a few
+   buckets each, texts compressed. The other rows keep only (row id, id of their batch's representative).
+3. Owners: a task reads a file bucket by bucket (no exchange), chains the rows of equal keys and compares bytes.
 """
 
 from __future__ import annotations
@@ -31,7 +31,10 @@ KEY_BYTES = 1_024
 #: Prefix bits beyond the mean depth that a split can use; the sums on the driver are 2**SLACK per bucket, 2**MOST_BITS at most.
 SLACK = 4
 MOST_BITS = 21
-#: Files of the index at most: a task owns the buckets of one file.
+#: Buckets that share a file of the index, about, where there are more than CORE_FILES files for each core: a task owns the buckets of
+#: one file, one after the other, and each file costs its executor child processes (Hadoop sets a local file's mode by one).
+FILE_BUCKETS, CORE_FILES = 4, 2
+#: Files of the index at most.
 MOST_FILES = 1 << 15
 #: Rows that are held as Python objects, or sent back, at a time.
 OUT_ROWS = 512
@@ -79,6 +82,11 @@ def directory(prefix_bytes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]
     return np.repeat(np.arange(len(leaves)), [1 << (depth - local) for local, _ in leaves]), depth
 
 
+def index_files(buckets: int, cores: int) -> int:
+    """Files for that many buckets: enough for all cores, beyond that one for FILE_BUCKETS buckets."""
+    return max(1, min(buckets, MOST_FILES, max(CORE_FILES * cores, -(-buckets // FILE_BUCKETS))))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row for each input row, dropped ones too.
 
@@ -147,7 +155,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     index = rows.mapInArrow(chain, "bucket int, doc_id long, head long, key long, n long, sha string, data binary")
     path, table = new_path(spark, "hash-index"), f"hash_index_{uuid.uuid4().hex}"
-    files = max(1, min(buckets, MOST_FILES))
+    files = index_files(buckets, spark.sparkContext.defaultParallelism)
     index.repartition(files, "bucket").write.option("path", path).option("compression", "none").bucketBy(files, "bucket").sortBy("bucket", "key").format("parquet").saveAsTable(table)
     index = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the catalogue forgets the name; the files stay and the plan has found them

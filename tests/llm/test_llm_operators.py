@@ -355,6 +355,20 @@ def test_exact_groups_by_hand(spark, bucket_bytes):
     assert exact.exact_groups(empty(spark)).count() == 0
 
 
+def test_buckets_share_files(spark, monkeypatch):
+    """Many buckets don't make as many files, and the groups are the same; few buckets have a file each."""
+    made, original = [], exact.new_path
+    monkeypatch.setattr(exact, "new_path", lambda *a: made.append(original(*a)) or made[-1])
+    rows = [(i, f"text number {i % 1500}") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact.exact_groups(frame, bucket_bytes=2_000).collect()
+    assert sorted(((r.doc_id, r.group_size, r.kept, r.keep_id, r.text_sha256) for r in got), key=str) == by_hand(rows)
+    index = spark.read.parquet(made[-1])
+    buckets, files = index.where("bucket >= 0").select("bucket").distinct().count(), index.select(F.input_file_name()).distinct().count()
+    assert buckets > 500 and files < buckets / 2  # empty buckets have their share of the files, too
+    assert exact.index_files(1, 8) == 1 and exact.index_files(12, 8) == 12 and exact.index_files(10**9, 8) == exact.MOST_FILES
+
+
 def test_directory_splits_overfull_buckets():
     counts = np.zeros(64, np.int64)
     counts[:4], counts[40] = 10, 3
