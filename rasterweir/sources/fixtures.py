@@ -22,9 +22,23 @@ def _place() -> list[Column]:
 
 
 def activity_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(image_id, y, x, v)``, sparse: pixels that no event hits are missing and mean 0."""
-    events = table(spark, sf_dir, "events").select(*_place(), "value")
-    return events.groupBy("image_id", "y", "x").agg(F.least(F.lit(255), F.floor(F.sum("value"))).cast("int").alias("v"))
+    """``(image_id, y, x, v)``, sparse: pixels that no event hits are missing and mean 0.
+
+    Sums of doubles depend on their order, and a sum at a whole number is on either side of it, so sums per task would change with files, splits
+    and tasks. Where any order gives the same level, the plain sum is taken; the values of the other pixels are added one by one in the order in
+    which the table holds them, file by file, as one sweep over the table would. Nulls are left out.
+    """
+    place = ["image_id", "y", "x"]
+    stored = F.struct("_metadata.file_path", "_metadata.row_index", "value").alias("stored")
+    events = table(spark, sf_dir, "events").select(*_place(), stored)
+    value, level = F.col("stored.value"), lambda total: F.least(F.lit(255), F.floor(total)).cast("int")
+    off = F.count(value) * F.sum(F.abs(value)) * 2.0**-52  # two sums of the same values are no farther apart
+    sums = events.groupBy(*place).agg(level(F.sum(value) - off).alias("v"), level(F.sum(value) + off).alias("most"))
+    near = sums.where("v <> most").select(*[F.col(c).alias(f"near_{c}") for c in place])
+    swept = F.aggregate(F.array_sort(F.collect_list("stored")), F.lit(None).cast("double"), lambda s, e: F.coalesce(s + e["value"], s, e["value"]))
+    own = [F.col(c).eqNullSafe(F.col(f"near_{c}")) for c in place]
+    swept = events.join(near, own, "left_semi").groupBy(*place).agg(level(swept).alias("v"))
+    return sums.where("v = most").drop("most").unionByName(swept)
 
 
 def dense_activity(spark: SparkSession, sf_dir: str) -> DataFrame:

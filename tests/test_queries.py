@@ -4,10 +4,12 @@ import naive
 import numpy as np
 import pytest
 from conftest import DATA, rows_of
+from pyspark.sql import functions as F
 
 from rasterweir.functions import kernels as K
 from rasterweir.operators import features, rasters
 from rasterweir.plans import registry
+from rasterweir.plans.sql import PX
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_its_sql(spark, duck, name):
@@ -134,3 +136,50 @@ def test_entry_runs(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.fixture(scope="module")
+def split_events(tmp_path_factory):
+    """Two rasters of 6 x 6 pixels with three values each, the first in one file and the others in another, whose floor depends on the order of adding."""
+    import datetime
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng, found = np.random.default_rng(4), []
+    while len(found) < 72:
+        a, b = (int(v) for v in rng.integers(1, 9000, 2))
+        t = [a / 100, b / 100, (-(a + b) % 100 + 100 * int(rng.integers(1, 70))) / 100]
+        if int(t[0] + t[1] + t[2]) != int(t[0] + (t[1] + t[2])):
+            found.append(t)
+    at = [(5 * i, datetime.datetime(2024, 1, 2 + y, 3 + x)) for i in range(2) for y in range(6) for x in range(6)]
+    path = tmp_path_factory.mktemp("split") / "events.parquet"
+    path.mkdir()
+    for part, own in enumerate(([0], [1, 2])):
+        rows = [(100 * k + j, ts, user, "click", found[k][j], "{}") for k, (user, ts) in enumerate(at) for j in own]
+        columns = dict(zip(("event_id", "ts", "user_id", "event_type", "value", "props"), map(list, zip(*rows, strict=True)), strict=True))
+        pq.write_table(pa.table(columns), path / f"part-{part}.parquet")
+    return path.parent
+
+
+@pytest.mark.parametrize("name", ["contrast_stretch", "gamma_lut", "image_profile", "labelled_dataset", "median_filter", "minmax_norm", "region_gradient", "region_intensity", "region_pixels", "top2_values"])
+def test_rasters_do_not_depend_on_files_and_tasks(spark, split_events, name):
+    """Values at a whole number are added as one sweep over the files would, as the SQL does in one thread."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{split_events}/events.parquet/*.parquet'")
+    assert rows_of(registry.QUERIES[name](spark, str(split_events)).toPandas()) == rows_of(con.sql(registry.SQL[name]).df())
+
+
+def test_rasters_with_nulls_and_repeated_rows(spark, tmp_path):
+    """Null values are left out, null users and times are a raster and a place of their own, and the cap holds."""
+    import duckdb
+
+    rows = [(1, None, None, 0.3), (1, "2024-01-02 03:00:00", 5, None), (2, "2024-01-02 03:00:00", 6, 0.7), (2, "2024-01-02 03:00:00", 6, 0.3), (3, "2024-01-02 04:00:00", 6, None), (4, "2024-01-02 05:00:00", 6, 300.5), (5, None, None, 0.7)]
+    rows += [(6, "2024-01-02 06:00:00", 7, 0.1)] * 10 + [(7, "2024-01-02 07:00:00", 7, -0.1)] * 10
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.connect().sql(f"WITH events AS (SELECT * FROM '{tmp_path}/events.parquet/*.parquet'), {PX} SELECT * FROM px").df()
+    assert rows_of(registry.px(spark, str(tmp_path)).toPandas()) == rows_of(want)
