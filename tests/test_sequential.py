@@ -154,3 +154,34 @@ def test_sweep_query_has_every_label_and_its_settings_act(spark):
     got = registry.QUERIES["hlvq_sweep"](spark, DATA).collect()
     assert {r.config_id for r in got} == {r.label for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("label").distinct().collect()}
     assert all(30 <= r.epochs_run < 300 and r.epochs_run == r.best_epoch + 31 for r in got)  # past warm-up, ended by patience
+
+
+def test_winners_by_products_are_those_by_differences():
+    """Equal and nearly equal prototypes, far ones and values that products can't tell apart; the work is products, not differences."""
+    rng = np.random.default_rng(2)
+    w = rng.normal(size=(40, 6))
+    w[7], w[9], w[11] = w[3], w[3] + 1e-15, w[4] * (1 + 1e-15)
+    x = np.concatenate([rng.normal(size=(3000, 6)), w, (w[3] + w[5])[None] / 2])
+    for far in (0.0, 1e6, 1e9):
+        assert (sequential._nearest(x + far, w + far) == ((x[:, None] + far - (w + far)[None]) ** 2).sum(-1).argmin(1)).all()
+
+
+def test_few_differences_are_taken(monkeypatch, tmp_path):
+    """Training compares by squared differences only where products leave several prototypes within rounding."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows, taken, plain_apart = samples(400, 3), [], sequential._apart
+    (tmp_path / "bucket=0").mkdir()
+    pq.write_table(pa.table({"key": [r[0] for r in rows], "features": [r[1] for r in rows], "cls": pa.array([r[2] for r in rows], pa.int32())}), tmp_path / "bucket=0" / "a.parquet")
+    monkeypatch.setattr(sequential, "_apart", lambda x, w: (taken.append(len(x)), plain_apart(x, w))[1])
+    got = sequential.train(str(tmp_path), {"seed": 3, "total": 20, "epochs": 5})
+    assert got["epochs_run"] == 5 and sum(taken) < 400
+
+
+def test_settings_have_tasks_of_their_own(spark):
+    """Ten settings go to ten tasks, not by hash to fewer of them."""
+    data = frame(spark, samples(60, 5))
+    settings = spark.range(10).select(F.col("id").cast("int").alias("config_id"), F.lit(1).alias("seed"), F.lit(4).alias("total"), F.lit(1).alias("epochs"))
+    got = sequential.hlvq_sweep(data, settings)
+    assert got.count() == 10 and got.select(F.input_file_name()).distinct().count() == 10
